@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import simhash_cover
+from pulsegrid.llm import lsa_decontam, quality_fm, simhash_cover
 from pulsegrid.llm.shared import table
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_lsa_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_cover.hex16("fp").alias("fingerprint"), "component_id")
@@ -18,6 +26,8 @@ def op10_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_fm": op2_quality_fm,
+        "op4_lsa_decontam": op4_lsa_decontam,
         "op10_simhash_cover": op10_simhash_cover,
     }
 

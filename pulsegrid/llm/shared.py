@@ -46,7 +46,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE_LOWER = np.where(_SPACE, 0, _BYTE[_LOWER]).astype(np.uint64)
+#: Bytes of letters and digits; those over 127 belong to letters of other scripts.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -65,18 +67,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts (runs of bytes without white space, A-Z lower-cased), hashed without a loop over words.
+    """The words of several texts, A-Z lower-cased and hashed without a loop over words: runs of bytes without white space,
+    or with bare=True of letters and digits alone.
 
     start, end: byte offsets in buf; hash: 64 bits each; first: for each text the index of its first word, and the
     number of words at the end. at: byte offset of each text, and the end.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], bare: bool = False):
         self.buf = b"\n".join(texts) + b"\n"
         size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.at = np.concatenate(([0], np.cumsum(size)))
         self.bytes = a = np.frombuffer(self.buf, np.uint8)
-        gap = _SPACE[a]
+        gap = ~_LETTER[a] if bare else _SPACE[a]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if len(a) and not gap[0]:
             edge = np.concatenate(([0], edge))
@@ -86,7 +89,7 @@ class Words:
         n = len(self.start)
         self.hash = np.zeros(0, np.uint64)
         if n:
-            body = _BYTE_LOWER[a[self.start[0] :]]
+            body = np.where(gap[self.start[0] :], np.uint64(0), _BYTE[_LOWER[a[self.start[0] :]]])
             begin = self.start - self.start[0]
             run = np.diff(np.concatenate((begin, [len(body)])))
             place = np.arange(len(body), dtype=np.int64) - np.repeat(begin, run)
