@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import lsa_decontam, quality_fm, simhash_cover
+import corpus_pipeline
+from pulsegrid.llm import lsa_decontam, quality_fm, rake_mix, secret_worklist, simhash_cover
 from pulsegrid.llm.shared import table
 
 
@@ -19,6 +20,15 @@ def op4_lsa_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsa_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_worklist.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rake_mix.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"))
+
+
 def op10_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_cover.hex16("fp").alias("fingerprint"), "component_id")
@@ -28,9 +38,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_fm": op2_quality_fm,
         "op4_lsa_decontam": op4_lsa_decontam,
+        "op6_secret_worklist": op6_secret_worklist,
+        "op8_rake_mix": op8_rake_mix,
         "op10_simhash_cover": op10_simhash_cover,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_rake_mix": rake_mix.sql(),
+    }

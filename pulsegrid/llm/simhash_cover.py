@@ -51,14 +51,14 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; one pass, nothing shuffled."""
+    """doc_id, digest (of the text), fp (the 64 bits as a signed long) of every row; one pass, nothing shuffled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs.
+    """doc_id, digest (of the text), fp, root (the component's smallest fingerprint), component_id for every row of docs.
 
     component_id is the smallest doc_id that the row's fingerprint reaches over links of at most two bits. Null and empty
     texts have fingerprint zero and link like any other; a null doc_id never names a component unless it stands alone;
@@ -167,8 +167,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     root = components(links(fps))
     named = low.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     top = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of, _ = park(named.join(top, "root").select("fp", "component_id"), "components")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of, _ = park(named.join(top, "root").select("fp", "root", "component_id"), "components")
+    return fps.join(of, "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, one of each component: the smallest doc_id's (null last), of its texts the one with the
+    least digest, of equal rows one."""
+    found, path = park(near_duplicates(docs, shingle), "near")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("kept"))
+    rows = found.join(kept, "root")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest"))
+    gone = rows.where(~is_kept).select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest")).distinct()
+    twice = rows.where(is_kept).groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"))
+    twice, _ = park(twice, "twice")
+    gone, _ = park(gone, "gone")
+    drop(docs.sparkSession, path)
+    same = lambda d, other: d["doc_id"].cast("long").eqNullSafe(other["__doc_id"]) & (F.xxhash64(d["text"]) == other["__digest"])
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    once = left.join(twice, same(left, twice), "left_anti")
+    return once.union(left.join(twice, same(left, twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def hex16(fp) -> F.Column:
