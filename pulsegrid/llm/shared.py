@@ -100,8 +100,8 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
 
 
-def batches(texts: list[str | None], most: int = 1_000_000):
-    """(first index, texts as UTF-8) in groups of about `most` bytes; a longer text stands alone. Null counts as empty."""
+def batches(texts: list[str | None], most: int = 100_000):
+    """(first index, texts as UTF-8) in groups of about `most` bytes, which fit a CPU cache; a longer text stands alone. Null counts as empty."""
     group, size, first = [], 0, 0
     for i, t in enumerate(texts):
         b = (t or "").encode()
