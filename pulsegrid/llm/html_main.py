@@ -179,9 +179,9 @@ class Page:
             yield i
 
     def blank(self, i: int) -> bool:
-        return next(self.blocks([i], frozenset(), None), None) is None
+        return next(self.blocks([i]), None) is None
 
-    def blocks(self, scopes: list[int], deleted: frozenset, hashes: list[int] | None) -> Iterator[str]:
+    def blocks(self, scopes: list[int], deleted: frozenset = frozenset(), hashes: list[int] | None = None) -> Iterator[str]:
         """The blocks of text under the scopes in page order, white space folded."""
         line: list[str] = []
         for scope in scopes:
@@ -193,7 +193,7 @@ class Page:
                         line.append(k)
                         continue
                 elif k >= 0:
-                    if k != scope and not self.holds[k] and (self.boiler[k] or hashes is not None and hashes[k] in deleted and self.deletable(k, deleted is not None)):
+                    if k != scope and not self.holds[k] and (self.boiler[k] or hashes is not None and hashes[k] in deleted and self.deletable(k)):
                         if self.tag[k] in _BLOCK:
                             k = -1
                         else:
@@ -217,7 +217,7 @@ class Page:
             if text:
                 yield text
 
-    def deletable(self, k: int, _: bool = True) -> bool:
+    def deletable(self, k: int) -> bool:
         """Whether the subtree may be a template's: outside articles any block, inside those that aren't plain text."""
         tag = self.tag[k]
         if tag not in _BLOCK or tag in _NEVER or self.main[k] or self.holds[k]:

@@ -108,7 +108,7 @@ cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM seen GR
 total AS (SELECT sum(tokens)::DOUBLE AS total FROM cells),
 c0 AS MATERIALIZED (
   SELECT source, lang, topic, tokens, tokens * {fraction}::DOUBLE AS weight, a.s * total * {fraction}::DOUBLE AS t_source, b.s * total * {fraction}::DOUBLE AS t_lang, c.s * total * {fraction}::DOUBLE AS t_topic
-  FROM cells, total JOIN {share("source")} a USING (source) JOIN {share("lang")} b USING (lang) JOIN {share("topic")} c USING (topic)),
+  FROM cells JOIN {share("source")} a USING (source) JOIN {share("lang")} b USING (lang) JOIN {share("topic")} c USING (topic) CROSS JOIN total),
 {", ".join(steps)}
 SELECT doc_id, s.topic, s.tokens::BIGINT AS n_tokens, round(p, 6) AS probability,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < p AS sampled
