@@ -232,7 +232,7 @@ def cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k == 1:
             return "email", rng.choice(["email:", "", "contact"]), f"{word()}.{word()}{rng.choice([' @ ', '@ ', ' @'])}{word()}{dot()}{tld()}"
         if k == 2:
-            return "ip", rng.choice(["ip", "host", "server", "from", ""]), rng.choice(["[.]", "(.)"]).join(str(rng.randrange(1, 256)) for _ in range(4))
+            return "ip", rng.choice(["ip", "host", "server", "from", ""]), rng.choice(["[.]", "(.)"]).join(str(rng.choice([rng.randrange(10), rng.randrange(10, 100), rng.randrange(100, 256)])) for _ in range(4))
         if k == 3:
             full = [f"{rng.randrange(65536):x}" for _ in range(8)]
             return "ip", rng.choice(["ip", "host", "from", ""]), ":".join(full) if rng.random() < 0.5 else ":".join(full[:4]) + "::" + full[7]

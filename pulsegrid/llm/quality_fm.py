@@ -116,24 +116,30 @@ def fit(first: np.ndarray, bucket: np.ndarray, value: np.ndarray, dense: np.ndar
     theta = [m.w, m.v]
     first_moment, second_moment = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     bias_moment = [0.0, 0.0]
+    blocks = [(i, min(i + 500, len(y))) for i in range(0, len(y), 500)]  # a block's arrays are what memory holds at once
     for t in range(1, rounds + 1):
-        z, total = m.margin(first, bucket, value, x)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        gw, gv = 1e-5 * m.w, 1e-5 * m.v
-        row = (g[of] * value).astype(np.float32)
-        gw[used] += np.bincount(small, row, len(used))
-        gw[BUCKETS:] += g @ x
-        pull = row * value
-        weight = np.bincount(small, pull, len(used))
-        for f in range(RANK):
-            gv[used, f] += np.bincount(small, row * total[of, f], len(used)) - weight * m.v[used, f]
-        gv[BUCKETS:] += (x * g[:, None]).T @ total - ((x * x * g[:, None]).sum(axis=0))[:, None] * m.v[BUCKETS:]
+        gw, gv, total_g = 1e-5 * m.w, 1e-5 * m.v, 0.0
+        gw_used, weight, gv_used = np.zeros(len(used)), np.zeros(len(used)), np.zeros((len(used), RANK))
+        for i, j in blocks:
+            part = slice(first[i], first[j])
+            z, total = m.margin(first[i : j + 1] - first[i], bucket[part], value[part], x[i:j])
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
+            total_g += g.sum()
+            row = g[of[part] - i] * value[part]
+            gw_used += np.bincount(small[part], row, len(used))
+            gw[BUCKETS:] += g @ x[i:j]
+            weight += np.bincount(small[part], row * value[part], len(used))
+            for f in range(RANK):
+                gv_used[:, f] += np.bincount(small[part], row * total[of[part] - i, f], len(used))
+            gv[BUCKETS:] += (x[i:j] * g[:, None]).T @ total - ((x[i:j] * x[i:j] * g[:, None]).sum(axis=0))[:, None] * m.v[BUCKETS:]
+        gw[used] += gw_used
+        gv[used] += gv_used - weight[:, None] * m.v[used]
         for theta_i, grad, a, b in zip(theta, (gw, gv), first_moment, second_moment):
             a += 0.1 * (grad - a)
             b += 0.001 * (grad * grad - b)
             theta_i -= 0.05 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-        bias_moment[0] += 0.1 * (g.sum() - bias_moment[0])
-        bias_moment[1] += 0.001 * (g.sum() ** 2 - bias_moment[1])
+        bias_moment[0] += 0.1 * (total_g - bias_moment[0])
+        bias_moment[1] += 0.001 * (total_g**2 - bias_moment[1])
         m.bias -= 0.05 * (bias_moment[0] / (1 - 0.9**t)) / (np.sqrt(bias_moment[1] / (1 - 0.999**t)) + 1e-8)
     return m
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import cdc_dedup, html_main, lsa_decontam, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, warc_revisit
+from pulsegrid.llm import cdc_dedup, html_main, iblt, lsa_decontam, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, warc_revisit
 from pulsegrid.llm.shared import table
 
 
@@ -47,6 +47,10 @@ def op8_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"))
 
 
+def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_cover.hex16("fp").alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_worklist": op6_secret_worklist,
         "op7_warc_revisit": op7_warc_revisit,
         "op8_rake_mix": op8_rake_mix,
+        "op9_iblt": op9_iblt,
         "op10_simhash_cover": op10_simhash_cover,
         "pipeline": corpus_pipeline.run,
     }
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_warc_revisit": warc_revisit.SQL,
         "op8_rake_mix": rake_mix.sql(),
+        "op9_iblt": iblt.sql(),
     }

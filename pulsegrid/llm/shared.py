@@ -14,12 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local runs, tests), one of our own."""
+    """This application's part of the folder in spark.checkpoint.dir; where that is unset (local runs, tests), of one of our
+    own. Whoever ends the application may remove it; tables that results still read are there."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    return f"{place.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"
 
 
 def park(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -176,6 +176,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least digest, of equal rows one."""
     found, path = park(near_duplicates(docs, shingle), "near")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("kept"))
+    kept, _ = park(kept, "kept")  # read again, so that Spark can split a root that has too many rows for a task
     rows = found.join(kept, "root")
     is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest"))
     gone = rows.where(~is_kept).select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest")).distinct()

@@ -110,13 +110,13 @@ c AS (
     scheme || '://' || name || CASE WHEN port = '' OR scheme = 'http' AND port = '80' OR scheme = 'https' AND port = '443' THEN '' ELSE ':' || port END
     || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END ELSE u END AS canonical_url
   FROM parts),
-r AS (SELECT 2 * page_id AS record_id, 2 * page_id AS time, canonical_url, etag, size, page_id, true AS full FROM c
+r AS (SELECT 2 * page_id AS record_id, 2 * page_id AS time, canonical_url, etag, size, page_id, true AS whole FROM c
   UNION ALL SELECT 2 * page_id + 1, 2 * page_id + 10001, canonical_url, etag, size, page_id, false FROM c),
 w AS (
-  SELECT *, last_value(CASE WHEN full THEN {'id': record_id, 'etag': etag, 'size': size, 'page_id': page_id} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY time, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM r)
+  SELECT *, last_value(CASE WHEN whole THEN {'id': record_id, 'etag': etag, 'size': size, 'page_id': page_id} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY time, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM r)
 SELECT record_id, canonical_url, time, f.id AS refers_to,
   CASE WHEN f IS NULL THEN 'missing' WHEN f.etag = etag THEN 'resolved' ELSE 'changed' END AS status,
   CASE WHEN f.etag = etag THEN 'content-length=' || f.size || ';date=day ' || page_id % 365 || ' later;etag=' || f.etag
     ELSE 'date=day ' || page_id % 365 || ' later' END AS headers
-FROM w WHERE NOT full
+FROM w WHERE NOT whole
 """
