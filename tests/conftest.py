@@ -22,4 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from pulsegrid.operators.workspace import sweep
+
+    sweep(session)
     session.stop()
