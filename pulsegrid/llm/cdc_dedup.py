@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over each text's UTF-8 bytes, and a chunk ends where its top bits are zero. Ends depend on the last 32
-bytes alone, so an insertion moves no more than the chunks around it. Chunks are counted by digest over the corpus; runs
-of neighbouring chunks that other documents have too are the repeated passages.
+A gear hash rolls over each text's UTF-8 bytes, and a chunk ends where the hash is less than at any place within NEAR bytes
+on either side. Such ends depend on the 32 + 2 * NEAR bytes around them and on nothing else, not even on where the chunk
+before has ended, so that an insertion moves no more than the chunks around it and lengths vary little. Chunks are counted
+by digest over the corpus; runs of neighbouring chunks that other documents have too are the repeated passages.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import park
 
-#: Bytes of a chunk: at least, at most (but for the rest of a character), and the bits that are zero at an end.
-LEAST, MOST, BITS = 16, 256, 5
+#: A chunk has more than NEAR bytes (a power of two), twice as many on average, and MOST at most (but for the rest of a character).
+NEAR, MOST = 16, 256
 #: A run is reported from so many words and code points. Its passage is longer: the chunks at both ends aren't repeated as
-#: they reach out of it, which costs some 20 of the words of a passage.
-MIN_WORDS, MIN_CHARS = 12, 64
+#: they reach out of it, which costs some 10 of the words of a passage.
+MIN_WORDS, MIN_CHARS = 20, 100
 
 _GEAR = np.random.default_rng(20240601).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -37,45 +38,52 @@ def gear(a: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(raw: bytes) -> list[int]:
+def cuts(raw: bytes) -> np.ndarray:
     """Where chunks end, the text's end included; always between characters."""
     a = np.frombuffer(raw, np.uint8)
-    if not len(a):
-        return []
+    n = len(a)
+    if not n:
+        return np.zeros(0, np.int64)
     starts = (a & 0xC0) != 0x80
-    ok = gear(a) >> np.uint32(32 - BITS) == 0
-    ok[:-1] &= starts[1:]
-    out, last = [], 0
-    for e in (np.flatnonzero(ok) + 1).tolist() + [len(a)]:
-        while e - last > MOST:
-            cut = last + MOST
-            while not starts[cut]:
-                cut += 1
-            if cut >= e:
-                break
-            out.append(cut)
-            last = cut
-        if e - last >= LEAST or e == len(a):
-            if e > last:
-                out.append(e)
-                last = e
-    return out
+    top = np.iinfo(np.uint32).max
+    h = np.full(n + 2 * NEAR, top)
+    h[NEAR:-NEAR] = gear(a)
+    h[NEAR : n + NEAR - 1][~starts[1:]] = top
+    low, k = h, 1  # low[i]: least of k values from i on
+    while k < NEAR:
+        low = np.minimum(low[:-k], low[k:])
+        k *= 2
+    own = h[NEAR:-NEAR]
+    out = np.flatnonzero((own < low[:n]) & (own < low[NEAR + 1 : NEAR + 1 + n])) + 1
+    out = np.concatenate(([0], out[(out > NEAR) & (out < n)], [n]))
+    wide = np.flatnonzero(np.diff(out) > MOST)
+    if len(wide):
+        more = []
+        for i in wide.tolist():
+            at = int(out[i]) + MOST
+            while at < out[i + 1]:
+                while at < out[i + 1] and not starts[at]:
+                    at += 1
+                more.append(at)
+                at += MOST
+        out = np.unique(np.concatenate((out, more)))
+    return out[1:]
 
 
 def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """digest, start and length in code points, number of words that begin, of each chunk of a whole text."""
     raw = (text or "").encode()
     ends = cuts(raw)
-    if not ends:
+    if not len(ends):
         return (np.zeros(0, np.int64),) * 4
     a = np.frombuffer(raw, np.uint8)
-    edge = np.array([0, *ends])
+    edge = np.concatenate(([0], ends))
     point = np.concatenate(([0], np.cumsum((a & 0xC0) != 0x80)))
     gap = _SPACE[a]
     begins = ~gap
     begins[1:] &= gap[:-1]
     word = np.concatenate(([0], np.cumsum(begins)))
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(edge[:-1].tolist(), ends)), np.uint64, len(ends))
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(edge[:-1].tolist(), ends.tolist())), np.uint64, len(ends))
     return digest.view(np.int64), point[edge[:-1]], np.diff(point[edge]), np.diff(word[edge])
 
 

@@ -11,6 +11,8 @@ document and cell, which that partitioning serves, so that rounds need no exchan
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from pulsegrid.llm.shared import drop, park
 #: Cells of each of the three tables of the sketch that is published.
 WIDTH = 4
 ROUNDS = 12
+#: (row, pair)s of a task when peeling: each is spread to hundreds of rows, so that the size of what is read tells little.
+PAIRS = 20_000
 #: doc_ids that share all bits but the last ten follow each other in one window.
 BLOCK = 10
 #: Blocks are themselves put in order in one window up to this number, and else in blocks of blocks.
@@ -106,8 +110,9 @@ def differing(pairs: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     out, todo, scale = None, pairs, 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / PAIRS))
     while True:
-        tried, _ = park(_peel(todo, scale), "peeled")
+        tried, _ = park(_peel(todo, scale, tasks), "peeled")
         failed = tried.where("cell >= 0").select("row", "pair").distinct()
         found = tried.where("cell < 0").select("row", "pair", F.col("n").cast("long").alias("n"))
         failed, failed_path = park(failed, "failed")
@@ -120,12 +125,12 @@ def differing(pairs: DataFrame) -> DataFrame:
         todo, scale = pairs.join(failed, ["row", "pair"], "left_semi"), scale * 2
 
 
-def _peel(pairs: DataFrame, scale: int) -> DataFrame:
+def _peel(pairs: DataFrame, scale: float, tasks: int) -> DataFrame:
     """row, pair, cell, n, key, check after so many rounds; cell -1 has the number of digests found."""
     some = F.size("a") + F.size("b")
     width = F.greatest(F.lit(4), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(some, F.lit(1)) * 0.6 * scale)))).cast("long")
     signed = lambda c, s: F.transform(c, lambda d: F.struct(d.alias("key"), F.lit(s).alias("n")))
-    sized = pairs.repartition("row").select("row", "pair", width.alias("width"), F.explode(F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1))).alias("e"))
+    sized = pairs.repartition(tasks, "row").select("row", "pair", width.alias("width"), F.explode(F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1))).alias("e"))
     key = F.col("e.key")
     place = lambda j, d: F.col("width") * j + _hash(d, FACTORS[j]) % F.col("width")
     rows = sized.select("row", "pair", "width", F.explode(F.array(*(place(j, key) for j in range(3)))).alias("cell"), F.col("e.n").alias("n"), key.alias("key"), check(key).alias("check"))

@@ -19,7 +19,16 @@ def test_chunks_cover_the_text():
         assert length.sum() == len(text) and words.sum() == len(text.split())
         assert (start[1:] == (start + length)[:-1]).all()
         size = [len(text[s : s + n].encode()) for s, n in zip(start, length)]
-        assert all(op.LEAST <= x <= op.MOST + 3 for x in size[:-1])
+        assert all(x <= op.MOST + 3 for x in size)
+
+
+def test_cuts_equal_their_definition():
+    rng = random.Random(9)
+    raw = "".join(rng.choice("abc déf\n€😀") for _ in range(3000)).encode()
+    h = op.gear(np.frombuffer(raw, np.uint8)).tolist()
+    free = [i for i in range(len(raw)) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
+    want = [i + 1 for i in free if op.NEAR <= i < len(raw) - 1 and all(h[i] < h[j] for j in free if j != i and abs(i - j) <= op.NEAR)]
+    assert op.cuts(raw).tolist() == want + [len(raw)] and max(np.diff([0, *want, len(raw)])) <= op.MOST
 
 
 def test_an_insertion_moves_few_chunks():

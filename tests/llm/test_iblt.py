@@ -27,7 +27,7 @@ def test_peeling_finds_every_difference(spark):
 def test_a_sketch_that_fails_is_retried_larger(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, 0, [rng.getrandbits(60) for _ in range(14)], [rng.getrandbits(60) for _ in range(14)]) for i in range(200)], "row long, pair int, a array<long>, b array<long>")
-    assert op._peel(df, 0.4).where("cell >= 0").count() > 0
+    assert op._peel(df, 0.4, 4).where("cell >= 0").count() > 0
     assert {r.n for r in op.differing(df).collect()} == {28}
 
 
