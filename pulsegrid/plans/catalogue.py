@@ -665,7 +665,7 @@ def q_upsert_names(spark, sf):
 def _stream(spark, sf, batch) -> DataFrame:
     """What `batch` makes of the events, with events read as a stream of files."""
     schema = V.table(spark, sf, "events").schema
-    raw = jobs.files(spark, f"{sf}/events.parquet", schema)
+    raw = jobs.files(spark, f"{sf}/events.parque[t]", schema)  # a pattern, as a stream's path may not name a single file
     read = V.table
     V.table = lambda s, d, name: raw if name == "events" else read(s, d, name)  # the views are built on V.table
     try:

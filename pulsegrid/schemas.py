@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-_ddl = StructType.fromDDL
+_TYPES: dict[str, DataType] = {"int": IntegerType(), "bigint": LongType(), "string": StringType(), "double": DoubleType(), "binary": BinaryType(), "timestamp": TimestampType()}
 
-PING = _ddl(
-    "fw int, mver string, af int, msm_id int, msm_name string, type string, prb_id int, timestamp bigint, proto string, dst_name string, dst_addr string, src_addr string, `from` string, "
-    "step int, ttl int, size int, lts int, sent int, rcvd int, dup int, min double, max double, avg double, result array<struct<rtt: double, dup: int, ttl: int>>, err string, country_code string, asn int"
+
+def _struct(columns: str, **nested: DataType) -> StructType:
+    """A schema from "name type, ..."; a type that isn't a simple one is given by its column's name. Needs no session."""
+    pairs = (c.split() for c in columns.split(","))
+    return StructType([StructField(n, nested[n] if n in nested else _TYPES[t]) for n, t in pairs])
+
+
+PING = _struct(
+    "fw int, mver string, af int, msm_id int, msm_name string, type string, prb_id int, timestamp bigint, proto string, dst_name string, dst_addr string, src_addr string, from string, "
+    "step int, ttl int, size int, lts int, sent int, rcvd int, dup int, min double, max double, avg double, result array, err string, country_code string, asn int",
+    result=ArrayType(_struct("rtt double, dup int, ttl int")),
 )
-_ENTITY = "entity struct<type: string, code: string, name: string>, entityType string, entityCode string"
-ALERT = _ddl(f"{_ENTITY}, datasource string, time bigint, `from` bigint, until bigint, value double, historyValue double, historicalValue double, condition string, level string, method string")
-EVENT = _ddl(f"{_ENTITY}, datasource string, time bigint, `from` bigint, until bigint, score double, overallScore double, method string, id string, alerts string")
-SIGNAL = _ddl("entityType string, entityCode string, datasource string, ts bigint, value double, step int, nativeStep int")
-SERIES = _ddl("entityType string, entityCode string, datasource string, `from` bigint, until bigint, step int, nativeStep int, values array<double>")
-PROBE = _ddl("id int, asn_v4 int, country_code string")
-ENVELOPE = _ddl("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp")
+_ENTITY = _struct("type string, code string, name string")
+ALERT = _struct("entity struct, entityType string, entityCode string, datasource string, time bigint, from bigint, until bigint, value double, historyValue double, historicalValue double, condition string, level string, method string", entity=_ENTITY)
+EVENT = _struct("entity struct, entityType string, entityCode string, datasource string, time bigint, from bigint, until bigint, score double, overallScore double, method string, id string, alerts string", entity=_ENTITY)
+SIGNAL = _struct("entityType string, entityCode string, datasource string, ts bigint, value double, step int, nativeStep int")
+SERIES = _struct("entityType string, entityCode string, datasource string, from bigint, until bigint, step int, nativeStep int, values array", values=ArrayType(DoubleType()))
+PROBE = _struct("id int, asn_v4 int, country_code string")
+ENVELOPE = _struct("key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp")
 
 CORRUPT = "_corrupt_record"
 

@@ -11,8 +11,9 @@ from pulsegrid.schemas import CORRUPT, with_corrupt
 
 def json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, texts of malformed lines). Compressed files and empty ones are fine; a gzip file is one task."""
-    raw = spark.read.schema(with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, *schema.names).select(CORRUPT)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    raw = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", with_corrupt(schema), options).alias("r"))
+    return raw.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT), raw.select(f"r.{CORRUPT}").where(F.col(CORRUPT).isNotNull())
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
