@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import park
+from pulsegrid.llm.shared import free, park
 
 #: A chunk has more than NEAR bytes (a power of two), twice as many on average, and MOST at most (but for the rest of a character).
 NEAR, MOST = 16, 256
@@ -167,8 +167,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(text, pa.string()), *b.columns[at + 1 : -1]], names)
 
     version = F.udf(lambda t: xxhash.xxh3_64_intdigest((t or "").encode()) & 0x7FFF, "long")
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), null), "__version": version("text")})
-    joined = keyed.join(later.withColumnsRenamed({"doc": "__doc", "version": "__version"}), ["__doc", "__version"], "left")
-    return joined.select(*docs.columns, "__cut").mapInArrow(run, docs.schema)
+    doc, number, cut = (free(n, docs.columns) for n in ("__doc", "__version", "__cut"))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), null), number: version("text")})
+    joined = keyed.join(later.withColumnsRenamed({"doc": doc, "version": number, "__cut": cut}), [doc, number], "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), cut).mapInArrow(run, docs.schema)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Words, batches
+from pulsegrid.llm.shared import Words, batches, free
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -189,11 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     return fit(first, np.concatenate([np.zeros(0, np.int32), *bucket]), np.concatenate([np.zeros(0, np.float32), *value]), dense, (got["y"].to_numpy() > 0).astype(float))
 
 
-def scores(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and quality_score (0 to 1) of every whole text; null and empty texts are scored by their
+def scores(docs: DataFrame, machine: Machine, keep: list[str], name: str = "quality_score") -> DataFrame:
+    """The columns `keep` of docs and the score (0 to 1), under a name that isn't among them, of every whole text; null and empty texts are scored by their
     statistics alone. One pass, nothing shuffled; the machine has a fixed size."""
     fields = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep) + ", quality_score double"
+    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
     n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     held = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v.astype(np.float32), machine.mean, machine.scale))
 
@@ -203,9 +203,10 @@ def scores(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
             got, n = np.zeros(b.num_rows), _meta(b, b.num_columns - 1)
             for k, texts in batches(b.column(b.num_columns - 2).to_pylist()):
                 got[k : k + len(texts)] = m.score(*features(texts, n[k : k + len(texts)]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(got)], [*keep, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(got)], [*keep, name])
 
-    return docs.select(*keep, F.col("text").alias("__text"), n_chars.alias("__n")).mapInArrow(run, schema)
+    own = [F.col("text").alias(free("__text", keep)), n_chars.alias(free("__n", keep))]
+    return docs.select(*(F.col(f"`{c}`") for c in keep), *own).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:

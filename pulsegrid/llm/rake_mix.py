@@ -7,10 +7,12 @@ the caps allow. A cell's weight over its tokens is the probability to sample its
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import drop, park
+from pulsegrid.llm.shared import drop, free, park
 
 FRACTION = 0.5
 #: Targets, where none are given: a value's share of the tokens to this power, over the sum of these.
@@ -71,20 +73,35 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, fraction
     return now
 
 
+class Names(NamedTuple):
+    """Names of the columns that mix adds."""
+
+    topic: str
+    tokens: str
+    probability: str
+    sampled: str
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Names:
+        return cls(*(free(n, docs.columns) for n in ("__topic", "__tokens", "__probability", "__sampled")))
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
-    """docs with __topic, __tokens, __probability and __sampled.
+    """docs with the columns of Names.of(docs): genre, words, probability, and whether the row is in the sample.
 
     Null source and lang count as the empty value; null and empty texts have no tokens and go with their cell's probability,
     which is `fraction` where the whole cell has no token; rows of one doc_id are drawn alike; repeated rows and ties need no
-    rule; an empty table gives an empty one. A column named topic in docs is left alone.
+    rule; an empty table gives an empty one. Columns of docs are left alone, whatever their names.
     """
-    seen = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__topic": topic(), "__tokens": n_tokens()})
-    cells, path = park(seen.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "marginals")
+    name = Names.of(docs)
+    key = {"source": free("__source", docs.columns), "lang": free("__lang", docs.columns), "topic": name.topic}
+    seen = docs.withColumns({key["source"]: F.coalesce(F.col("source").cast("string"), F.lit("")), key["lang"]: F.coalesce(F.col("lang").cast("string"), F.lit("")), name.topic: topic(), name.tokens: n_tokens()})
+    cells, path = park(seen.groupBy(*(F.col(key[d]).alias(d) for d in DIMS)).agg(F.sum(name.tokens).alias("tokens")), "marginals")
     fitted = rake(cells, targets, fraction, rounds)
-    chance = fitted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(fraction)).alias("__probability"))
+    chance = fitted.select(*(F.col(d).alias(key[d]) for d in DIMS), F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(fraction)).alias(name.probability))
     drop(docs.sparkSession, path)
-    found = seen.join(chance, ["__source", "__lang", "__topic"])
-    return found.select(*docs.columns, "__topic", "__tokens", "__probability", (draw() < F.col("__probability")).alias("__sampled"))
+    found = seen.join(chance, list(key.values())).withColumn(name.sampled, draw() < F.col(name.probability))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), name.topic, name.tokens, name.probability, name.sampled)
 
 
 def sql(fraction: float = FRACTION, rounds: int = ROUNDS) -> str:

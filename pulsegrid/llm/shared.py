@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as make it differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder in spark.checkpoint.dir; where that is unset (local runs, tests), of one of our
     own. Whoever ends the application may remove it; tables that results still read are there."""
