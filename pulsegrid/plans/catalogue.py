@@ -24,6 +24,7 @@ SQL: dict[str, str] = {}
 SINCE, UNTIL = dt.datetime(2024, 1, 5, tzinfo=dt.timezone.utc), dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
 RANGE = "'2024-01-05'::TIMESTAMP"
 RANGE_END = "'2024-01-20'::TIMESTAMP"
+MEAS_DAY = V.MEAS.replace("date_trunc('hour', ts) AS", "date_trunc('day', ts)::TIMESTAMP AS")
 TRUE_LOSS = "CASE WHEN rtt_avg_ms > 0 THEN rtt_avg_ms END"
 
 
@@ -48,6 +49,11 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     return gold.baselines(V.measurements(spark, sf))
 
 
+def base_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Baselines of whole days, for queries that need several measurements in a window."""
+    return gold.baselines(V.measurements(spark, sf).withColumn("ts_utc", F.date_trunc("day", "ts_utc")))
+
+
 def outages(spark: SparkSession, sf: str) -> DataFrame:
     return gold.outage_events(base(spark, sf), gold.signal_buckets(V.signals(spark, sf)))
 
@@ -186,15 +192,15 @@ _CONSISTENT = f"""cons AS (SELECT asn, coalesce(name, 'AS' || asn) AS provider,
 
 
 def _consistency(spark, sf):
-    return serving.provider_consistency(base(spark, sf), V.asn_names(spark, sf), SINCE, UNTIL)
+    return serving.provider_consistency(base_by_day(spark, sf), V.asn_names(spark, sf), SINCE, UNTIL)
 
 
-@query(V.with_(V.EV, V.MEAS, V.BASE, V.NAMES, _CONSISTENT) + "SELECT * FROM cons")
+@query(V.with_(V.EV, MEAS_DAY, V.BASE, V.NAMES, _CONSISTENT) + "SELECT * FROM cons")
 def q_provider_consistency(spark, sf):
     return _consistency(spark, sf)
 
 
-@query(V.with_(V.EV, V.MEAS, V.BASE, V.NAMES, _CONSISTENT) + "SELECT * FROM cons ORDER BY avg_rtt, asn LIMIT 10")
+@query(V.with_(V.EV, MEAS_DAY, V.BASE, V.NAMES, _CONSISTENT) + "SELECT * FROM cons ORDER BY avg_rtt, asn LIMIT 10")
 def q_provider_top10(spark, sf):
     return serving.top_providers(_consistency(spark, sf))
 
@@ -257,11 +263,11 @@ def q_rank_bars(spark, sf):
 
 
 @query(
-    V.with_(V.EV, V.MEAS, V.BASE, V.NAMES)
+    V.with_(V.EV, MEAS_DAY, V.BASE, V.NAMES)
     + f"SELECT time_window, asn, coalesce(name, 'AS' || asn) AS provider, round(rtt_median_ms, 6) AS rtt_median_ms, total_measurements FROM base LEFT JOIN asn_names USING (asn) WHERE country_code = 'C2' AND time_window >= {RANGE} AND time_window < {RANGE_END} AND rtt_median_ms > 0 AND total_measurements >= 3"
 )
 def q_serving_window(spark, sf):
-    return serving.baseline_series(base(spark, sf), V.asn_names(spark, sf), "C2", SINCE, UNTIL).select("time_window", "asn", "provider", "rtt_median_ms", "total_measurements")
+    return serving.baseline_series(base_by_day(spark, sf), V.asn_names(spark, sf), "C2", SINCE, UNTIL).select("time_window", "asn", "provider", "rtt_median_ms", "total_measurements")
 
 
 @query(V.outages_sql() + f"SELECT {_OUT} FROM outages WHERE country_code = 'C3' AND detected_at >= {RANGE} AND detected_at < {RANGE_END}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -71,17 +72,24 @@ def _touched(batch: DataFrame, time: str) -> DataFrame:
     return batch.select(F.date_trunc("hour", time).alias("__hour")).distinct()
 
 
+def _again(batch: DataFrame, silver_path: str) -> DataFrame | None:
+    """All refined rows of the hours that a batch touches; only the partitions of the batch's days are read."""
+    rows = tables.read(batch.sparkSession, silver_path)
+    span = batch.agg(F.to_date(F.min("ts_utc")).alias("low"), F.to_date(F.max("ts_utc")).alias("high")).first()
+    if rows is None or span.low is None:
+        return None
+    rows = rows.where(tables.day_range(span.low, span.high + dt.timedelta(days=1)))
+    hours = _touched(batch, "ts_utc")
+    return rows.join(hours, F.date_trunc("hour", rows["ts_utc"]) == hours["__hour"], "left_semi")
+
+
 def baseline_handler(silver_path: str, gold_path: str) -> Callable[[DataFrame, int], None]:
     """Percentiles of batches can't be merged: the hours that a batch touches are computed again from all refined rows."""
 
     def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = tables.read(spark, silver_path)
-        if rows is None:
-            return
-        hours = _touched(batch, "ts_utc")
-        rows = rows.join(hours, F.date_trunc("hour", rows["ts_utc"]) == hours["__hour"], "left_semi")
-        tables.upsert(gold.baselines(silver.dedup(rows, "pings")), gold_path, KEYS["baselines"], day="time_window")
+        rows = _again(batch, silver_path)
+        if rows is not None:
+            tables.upsert(gold.baselines(silver.dedup(rows, "pings")), gold_path, KEYS["baselines"], day="time_window")
 
     return run
 
@@ -90,12 +98,9 @@ def signal_handler(silver_path: str, gold_path: str) -> Callable[[DataFrame, int
     """Buckets of touched hours, again from all refined rows; the step of a bucket that is there already stays."""
 
     def run(batch: DataFrame, _: int) -> None:
-        rows = tables.read(batch.sparkSession, silver_path)
-        if rows is None:
-            return
-        hours = _touched(batch, "ts_utc")
-        rows = rows.join(hours, F.date_trunc("hour", rows["ts_utc"]) == hours["__hour"], "left_semi")
-        tables.upsert(gold.signal_buckets(silver.dedup(rows, "signals")), gold_path, KEYS["signals"], day="time_bucket", keep=["step_seconds"])
+        rows = _again(batch, silver_path)
+        if rows is not None:
+            tables.upsert(gold.signal_buckets(silver.dedup(rows, "signals")), gold_path, KEYS["signals"], day="time_bucket", keep=["step_seconds"])
 
     return run
 
@@ -106,12 +111,13 @@ def outage_handler(base_path: str, buckets_path: str, gold_path: str) -> Callabl
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         base, buckets = tables.read(spark, base_path), tables.read(spark, buckets_path)
-        span = batch.agg(F.date_trunc("hour", F.min("ts_utc")).alias("low"), F.date_trunc("hour", F.max("ts_utc")).alias("high")).first()
+        span = batch.agg(F.date_trunc("hour", F.min("ts_utc")).alias("low"), F.date_trunc("hour", F.max("ts_utc")).alias("high"), F.to_date(F.min("ts_utc")).alias("first"), F.to_date(F.max("ts_utc")).alias("last")).first()
         if base is None or buckets is None or span.low is None:
             return
         until = F.lit(span.high) + F.expr("INTERVAL 1 HOUR")
-        buckets = buckets.where((F.col("time_bucket") >= F.lit(span.low) - F.expr(f"INTERVAL {LOOKBACK_HOURS} HOURS")) & (F.col("time_bucket") < until))
-        base = base.where((F.col("time_window") >= F.lit(span.low)) & (F.col("time_window") < until))
+        days = (F.col("__day") >= F.lit(span.first - dt.timedelta(days=1))) & (F.col("__day") <= F.lit(span.last))  # partitions
+        buckets = buckets.where(days & (F.col("time_bucket") >= F.lit(span.low) - F.expr(f"INTERVAL {LOOKBACK_HOURS} HOURS")) & (F.col("time_bucket") < until))
+        base = base.where(days & (F.col("time_window") >= F.lit(span.low)) & (F.col("time_window") < until))
         hours = _touched(batch, "ts_utc")
         found = gold.outages(gold.loss_evidence_batch(base), gold.signal_changes(buckets))
         tables.upsert(found.join(hours, found["detected_at"] == hours["__hour"], "left_semi"), gold_path, KEYS["outages"], day="detected_at")
@@ -119,6 +125,22 @@ def outage_handler(base_path: str, buckets_path: str, gold_path: str) -> Callabl
     return run
 
 
+def raw_sink(path: str, time: str = "timestamp", servers: str | None = None, topic: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Writes each batch as compressed JSON lines by event day, and to a message topic first where servers are given. Batches
+    without rows write nothing; time is a column of epoch seconds."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        if servers:
+            batch.select(F.to_json(F.struct("*")).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+        day = F.timestamp_seconds(time)
+        rows = batch.select(F.to_json(F.struct("*")).alias("value"), F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"), F.date_format(day, "dd").alias("day"))
+        rows.hint("rebalance", *tables.DAY).write.mode("append").option("compression", "gzip").partitionBy(*tables.DAY).text(path)
+
+    return run
+
+
 def start_all(spark: SparkSession, starts: dict[str, Callable[[], StreamingQuery | None]]) -> dict[str, StreamingQuery]:
     """Starts independent queries; one whose source isn't there yet is left out, the others run."""
     out = {}
