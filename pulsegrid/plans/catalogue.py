@@ -723,7 +723,7 @@ def q_batch_silver(spark, sf):
 
 
 def _run_gold(spark, path, handlers) -> None:
-    jobs.each_batch(jobs.files(spark, path), handlers, folder(spark, "checkpoint"), f"gold_{path[-12:]}", every=None).awaitTermination()
+    jobs.each_batch(jobs.files(spark, path, most=1000), handlers, folder(spark, "checkpoint"), f"gold_{path[-12:]}", every=None).awaitTermination()
 
 
 @query(SQL["q_hourly_baseline"])
