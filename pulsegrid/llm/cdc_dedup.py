@@ -53,20 +53,26 @@ def cuts(raw: bytes) -> np.ndarray:
     while k < NEAR:
         low = np.minimum(low[:-k], low[k:])
         k *= 2
-    own = h[NEAR:-NEAR]
-    out = np.flatnonzero((own < low[:n]) & (own < low[NEAR + 1 : NEAR + 1 + n])) + 1
+    own, before, after = h[NEAR:-NEAR], low[:n], low[NEAR + 1 : NEAR + 1 + n]
+    out = np.flatnonzero((own < before) & (own < after)) + 1
     out = np.concatenate(([0], out[(out > NEAR) & (out < n)], [n]))
-    wide = np.flatnonzero(np.diff(out) > MOST)
+    wide = np.flatnonzero(np.diff(out) > 4 * NEAR)
     if len(wide):
+        # A short text over and over has no place that is less than all others near it, but it has some that equal the least.
+        level = np.flatnonzero((own <= before) & (own <= after) & (own < top)) + 1
         more = []
         for i in wide.tolist():
-            at = int(out[i]) + MOST
-            while at < out[i + 1]:
-                while at < out[i + 1] and not starts[at]:
-                    at += 1
-                more.append(at)
-                at += MOST
-        out = np.unique(np.concatenate((out, more)))
+            at, end = int(out[i]), int(out[i + 1])
+            for e in [*level[np.searchsorted(level, at + 1) : np.searchsorted(level, end)].tolist(), end]:
+                while e - at > MOST:
+                    at += MOST
+                    while at < end and not starts[at]:
+                        at += 1
+                    more.append(min(at, end))
+                if e - at >= 2 * NEAR and e < end:
+                    more.append(e)
+                    at = e
+        out = np.unique(np.concatenate((out, np.array(more, np.int64))))
     return out[1:]
 
 

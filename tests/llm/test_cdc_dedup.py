@@ -39,6 +39,13 @@ def test_an_insertion_moves_few_chunks():
     assert sum(d not in before for d in after) <= 12
 
 
+def test_a_word_over_and_over(spark):
+    rng = random.Random(6)
+    rows = [(d, words(rng, rng.randrange(20, 60)) + " " + "again " * 60 + words(rng, 50)) for d in range(20)] + [(99, words(rng, 200))]
+    got = {r.doc_id for r in op.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(20))
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n))
 
