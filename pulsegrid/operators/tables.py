@@ -90,27 +90,42 @@ def _all(parts) -> Column:
     return out
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], day: str | None = None, keep: list[str] = (), retract: Column | None = None) -> int:
+def upsert(new: DataFrame, path: str, keys: list[str], day: str | None = None, keep: list[str] = (), retract: Column | None = None, span: tuple[dt.date | None, dt.date | None] | None = None) -> int:
     """Merges new into the table at path; gives the number of rows of new.
 
     The table is partitioned by `__day`, the date of column `day`: only days that new touches are read and rewritten. A day
     is written next to the table first, so that no file is read and replaced at once. retract: old rows of the touched days
-    that this holds for go unless new has them. One writer at a time.
+    that this holds for go unless new has them; with span, days of [since, until) count as touched too (None: no bound). One
+    writer at a time.
     """
     spark = new.sparkSession
     stage = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     rows = new.withColumn("__day", F.to_date(day) if day else F.lit(None).cast("date"))
     rows.write.parquet(f"{stage}/new")
     fresh = spark.read.parquet(f"{stage}/new")
-    old = read(spark, path) if exists(spark, path) else None
+    old, emptied = (read(spark, path) if exists(spark, path) else None), None
     if old is not None:
         touched = fresh.select("__day").distinct()
+        if retract is not None and span is not None:
+            low, high = span
+            within = old.select("__day").distinct()
+            within = within if low is None else within.where(F.col("__day") >= F.lit(low))
+            within = within if high is None else within.where(F.col("__day") < F.lit(high))
+            touched = touched.union(within).distinct()
         old = old.join(touched, old["__day"].eqNullSafe(touched["__day"]), "left_semi")
+        before = old.select("__day").distinct()
         if retract is not None:
             old = old.where(~F.coalesce(retract, F.lit(False)))
         old = old.select(*fresh.columns)
+        emptied = before if retract is not None else None
     merge(old, fresh, keys, list(keep)).write.parquet(f"{stage}/merged")
-    overwrite(spark.read.parquet(f"{stage}/merged"), path, by=["__day"])
+    merged = spark.read.parquet(f"{stage}/merged")
+    if emptied is not None:  # a day that has no row left isn't overwritten, so it's removed
+        left = merged.select("__day").distinct()
+        gone = [r[0] for r in emptied.where("__day IS NOT NULL").join(left, "__day", "left_anti").toLocalIterator()]
+        for d in gone:
+            remove(spark, f"{path.rstrip('/')}/__day={d}")
+    overwrite(merged, path, by=["__day"])
     n = fresh.count()
     remove(spark, stage)
     return n

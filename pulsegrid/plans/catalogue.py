@@ -310,9 +310,9 @@ def _scored(spark, sf):
     return gold.trailing_nulls(gold.z_scores(V.signals(spark, sf, gaps=True)), tie="event_id")
 
 
-@query(V.with_(V.EV, V.SIG, _Z) + "SELECT event_id, country_code, datasource, round(m, 4) AS rolling_mean, round(d, 3) AS rolling_std, round(z_score, 2) AS z_score FROM zs")
+@query(V.with_(V.EV, V.SIG, _Z) + "SELECT event_id, country_code, datasource, round(m, 4) AS rolling_mean, round(d, 3) AS rolling_std, z_score FROM zs")
 def q_zscore_7d(spark, sf):
-    return _scored(spark, sf).select("event_id", F.col("entity_code").alias("country_code"), "datasource", F.round("rolling_mean", 4).alias("rolling_mean"), F.round("rolling_std", 3).alias("rolling_std"), F.round("z_score", 2).alias("z_score"))
+    return _scored(spark, sf).select("event_id", F.col("entity_code").alias("country_code"), "datasource", F.round("rolling_mean", 4).alias("rolling_mean"), F.round("rolling_std", 3).alias("rolling_std"), "z_score")
 
 
 @query(V.with_(V.EV, V.SIG, _Z) + "SELECT event_id, country_code, datasource, is_gap, is_trailing_null FROM zs")
@@ -380,9 +380,9 @@ def q_quality_report_events(spark, sf):
     return out.withColumns({c: F.col(c).cast("double") for c in ("min_minutes", "max_minutes", "avg_minutes")})
 
 
-@query(V.with_(V.EV, V.SIG, _Z) + "SELECT datasource, count(*) AS n, count(*) FILTER (is_gap) AS n_gaps, round(avg(value), 6) AS avg_value, round(min(z_score), 2) AS min_z, round(max(z_score), 2) AS max_z, count(*) FILTER (is_gap) - count(*) FILTER (is_trailing_null) AS n_inner_gaps FROM zs GROUP BY ALL")
+@query(V.with_(V.EV, V.SIG, _Z) + "SELECT datasource, count(*) AS n, count(*) FILTER (is_gap) AS n_gaps, round(avg(value), 6) AS avg_value, min(z_score) AS min_z, max(z_score) AS max_z, count(*) FILTER (is_gap) - count(*) FILTER (is_trailing_null) AS n_inner_gaps FROM zs GROUP BY ALL")
 def q_quality_report_signals(spark, sf):
-    return gold.signal_report(_scored(spark, sf)).withColumns({"min_z": F.round("min_z", 2), "max_z": F.round("max_z", 2)})
+    return gold.signal_report(_scored(spark, sf))
 
 
 @query(V.with_(V.EV, V.SIG) + "SELECT datasource, CAST(step AS INT) AS step, count(*) AS n, CAST(0 AS BIGINT) AS n_mismatch FROM sig GROUP BY ALL")
@@ -644,7 +644,7 @@ def q_upsert_signals(spark, sf):
 @query(V.outages_sql() + f"SELECT {_OUT} FROM outages WHERE country_code <> 'C4'")
 def q_upsert_outages_retract(spark, sf):
     rows = outages(spark, sf)
-    return _upserted(spark, "outages", rows, rows.where("country_code != 'C4'"), day="detected_at", retract=F.col("country_code") == "C4")
+    return _upserted(spark, "outages", rows, rows.where("country_code != 'C4'"), day="detected_at", retract=F.col("country_code") == "C4", span=(None, None))
 
 
 @query(V.outages_sql() + f"SELECT {_OUT} FROM outages")

@@ -89,7 +89,7 @@ def aggregate(spark: SparkSession, at: Layout, names=GOLD, since: dt.date | None
         if since is not None:
             base, buckets = base.where(F.col("__day") >= F.lit(since)), buckets.where(F.col("__day") >= F.lit(since - dt.timedelta(days=1)))
         found = gold.outage_events(base, buckets, low, high)
-        done["outages"] = tables.upsert(found, at.gold("outages"), KEYS["outages"], day="detected_at", retract=F.lit(True) if retract else None)
+        done["outages"] = tables.upsert(found, at.gold("outages"), KEYS["outages"], day="detected_at", retract=F.lit(True) if retract else None, span=(since, until))
     if "coverage" in names and pings is not None and signals is not None:
         done["coverage"] = tables.upsert(gold.coverage(pings, signals), at.gold("coverage"), KEYS["coverage"], day="coverage_date")
     return done

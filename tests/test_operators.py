@@ -162,6 +162,17 @@ def test_upsert_touches_only_its_days(spark):
     assert {f.path for f in _files(spark, path, "2024-01-01")} == before
 
 
+def test_retraction_empties_days(spark):
+    path = folder(spark, "t")
+    rows = [(dt.datetime(2024, 1, d, 1), k, d) for d in (1, 2, 3) for k in "ab"]
+    df = spark.createDataFrame(rows, "t timestamp, k string, v int")
+    tables.upsert(df, path, ["t", "k"], day="t")
+    tables.upsert(df.where("v = 1 AND k = 'a'"), path, ["t", "k"], day="t", retract=F.lit(True), span=(dt.date(2024, 1, 1), dt.date(2024, 1, 3)))
+    assert sorted((r.t.day, r.k) for r in tables.read(spark, path).collect()) == [(1, "a"), (3, "a"), (3, "b")]
+    tables.upsert(df.limit(0), path, ["t", "k"], day="t", retract=F.col("k") == "a", span=(None, None))
+    assert sorted((r.t.day, r.k) for r in tables.read(spark, path).collect()) == [(3, "b")]
+
+
 class _F:
     def __init__(self, path):
         self.path = path
