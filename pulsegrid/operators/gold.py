@@ -128,9 +128,34 @@ def rollup_daily(base: DataFrame) -> DataFrame:
 
 
 def z_scores(signals: DataFrame, days: int = 7) -> DataFrame:
-    """Each value against mean and sample deviation of the days before it."""
-    w = Window.partitionBy("entity_code", "datasource").orderBy("ts").rangeBetween(-days * 24 * HOUR, -1)
-    found = signals.withColumns({"rolling_mean": F.avg("value").over(w), "rolling_std": F.stddev("value").over(w)})
+    """Each value against mean and sample deviation of the days before it, [ts - days, ts).
+
+    A sliding frame would sum some thousand rows again for every row, and a long series would be one task. Instead moments are
+    taken by hour: whole hours from a small table, the hour at either end by running sums within it. What's in the oldest hour
+    from ts - days on is its total less what comes before, which a probe row at that time finds out. Values are centred by
+    their series' mean first, so that squares don't cancel.
+    """
+    key, hours = ["entity_code", "datasource"], days * 24
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    centre = signals.groupBy(*key).agg(F.avg("value").alias("__c"))
+    rows = signals.join(centre, key, "left").select(F.monotonically_increasing_id().alias("__id"), *key, F.struct(*signals.columns, "__c").alias("__row"), (F.col("value") - F.col("__c")).alias("__v"), "ts")
+    hour = lambda c: F.floor(c / HOUR)
+    hourly = rows.groupBy(*key, hour(F.col("ts")).alias("__h")).agg(F.count("__v").cast("double").alias("n"), F.sum("__v").alias("s"), F.sum(F.col("__v") * F.col("__v")).alias("q"))
+    w = Window.partitionBy(*key).orderBy("__h")
+    whole = hourly.select(*key, "__h", *(F.sum(c).over(w.rangeBetween(1 - hours, -1)).alias(f"__all_{c}") for c in "nsq"), *(F.sum(c).over(w.rangeBetween(-hours, -hours)).alias(f"__edge_{c}") for c in "nsq"))
+    here = F.struct(F.col("ts").alias("at"), F.lit(True).alias("own"), F.col("__v").alias("v"))
+    past = F.struct((F.col("ts") - hours * HOUR).alias("at"), F.lit(False).alias("own"), F.lit(None).cast("double").alias("v"))
+    spread = rows.select("__id", *key, "__row", F.explode(F.array(here, past)).alias("e")).select("__id", *key, F.when(F.col("e.own"), F.col("__row")).alias("__row"), "e.*")
+    before = Window.partitionBy(*key, hour(F.col("at"))).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    run = spread.select("__id", "own", "__row", F.count("v").over(before).cast("double").alias("n"), F.sum("v").over(before).alias("s"), F.sum(F.col("v") * F.col("v")).over(before).alias("q"))
+    of = lambda own, c: F.max(F.when(F.col("own") == own, F.col(c)))
+    ends = run.groupBy("__id").agg(F.max("__row").alias("__row"), *(of(True, c).alias(f"__own_{c}") for c in "nsq"), *(of(False, c).alias(f"__past_{c}") for c in "nsq"))
+    both = ends.select(F.col("__row.entity_code").alias("entity_code"), F.col("__row.datasource").alias("datasource"), hour(F.col("__row.ts")).alias("__h"), *(c for c in ends.columns if c != "__id")).join(whole, [*key, "__h"])
+    total = both.select("__row", *((zero(f"__all_{c}") + zero(f"__own_{c}") + zero(f"__edge_{c}") - zero(f"__past_{c}")).alias(c) for c in "nsq"))
+    n, s = F.col("n"), F.col("s")
+    spare = F.col("q") - s * s / n
+    std = F.when(n > 1, F.when(spare > F.col("q") * 1e-13, F.sqrt(spare / (n - 1))).otherwise(0.0))
+    found = total.select("__row.*", F.when(n > 0, F.col("__row.__c") + s / n).alias("rolling_mean"), std.alias("rolling_std")).drop("__c")
     return found.withColumn("z_score", C.z_score(F.col("value"), F.col("rolling_mean"), F.col("rolling_std")))
 
 

@@ -97,6 +97,21 @@ def test_zero_and_negative_baselines(spark):
     assert [r[0] for r in df.select(C.z_score(F.col("v"), F.lit(1.0), F.col("b"))).collect()] == [None, None, None, None, 0.0]
 
 
+def test_z_scores_equal_a_sliding_frame(spark):
+    import statistics
+
+    rng = random.Random(3)
+    rows = [("DE", ds, rng.randrange(-(10**5), 15 * 86400) if ds == "x" else i * 7200, None if rng.random() < 0.1 else 5.0 if ds == "flat" else rng.gauss(1000, 1)) for ds in ("x", "y", "flat") for i in range(150)]
+    rows += rows[:20]
+    got = gold.z_scores(spark.createDataFrame(rows, "entity_code string, datasource string, ts long, value double")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        seen = [v for _, ds, t, v in rows if ds == r.datasource and r.ts - 7 * 86400 <= t < r.ts and v is not None]
+        assert r.rolling_mean == (pytest.approx(statistics.fmean(seen)) if seen else None)
+        assert r.rolling_std == (pytest.approx(statistics.stdev(seen), rel=1e-6, abs=1e-9) if len(seen) > 1 else None)
+        assert (r.z_score is None) == (r.value is None or len(seen) < 2 or r.datasource == "flat")
+
+
 def test_trailing_nulls(spark):
     values = [1.0, None, 2.0] + [None] * 6
     got = gold.trailing_nulls(spark.createDataFrame([("DE", "bgp", i, v) for i, v in enumerate(values)], "entity_code string, datasource string, ts long, value double")).orderBy("ts").collect()
