@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import park
+from pulsegrid.llm.shared import park, small
 
 #: A subtree is a template's if so many pages of its host have it, and so large a share of the host's pages; plain
 #: paragraphs (of pages without an article element) need the second share.
@@ -259,7 +259,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             hosts, hashes, plain, pages_ = [], [], [], []
             for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not source:
@@ -292,7 +292,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple, frozenset] = {}
-        for b in it:
+        for b in small(it):
             text = []
             for source, hashes in zip(b.column(2).to_pylist(), b.column(3)):
                 deleted = frozenset()

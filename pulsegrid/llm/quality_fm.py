@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Words, batches, free
+from pulsegrid.llm.shared import Words, batches, free, small
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     rows = _plain(docs).where(F.col("text").isNotNull()).join(picked, "doc_id").select("text", "n_chars", "y", "doc_id")
 
     def sparse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             for k, texts in batches(b.column(0).to_pylist()):
                 first, bucket, value, dense = features(texts, _meta(b, 1)[k : k + len(texts)])
                 cut = [slice(first[i], first[i + 1]) for i in range(len(texts))]
@@ -199,7 +199,7 @@ def scores(docs: DataFrame, machine: Machine, keep: list[str], name: str = "qual
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*held.value)
-        for b in it:
+        for b in small(it):
             got, n = np.zeros(b.num_rows), _meta(b, b.num_columns - 1)
             for k, texts in batches(b.column(b.num_columns - 2).to_pylist()):
                 got[k : k + len(texts)] = m.score(*features(texts, n[k : k + len(texts)]))

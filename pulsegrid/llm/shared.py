@@ -109,6 +109,13 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
 
 
+def small(it, rows: int = 512):
+    """Arrow batches cut to a few rows each, so that few texts are Python objects at once."""
+    for b in it:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def batches(texts: list[str | None], most: int = 100_000):
     """(first index, texts as UTF-8) in groups of about `most` bytes, which fit a CPU cache; a longer text stands alone. Null counts as empty."""
     group, size, first = [], 0, 0
