@@ -16,7 +16,9 @@ def baselines(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
     """Hourly percentiles of latency and loss for each country and ASN.
 
     Without include_total_loss, rows without a positive mean latency, lost pings among them, are left out of everything; with
-    it they count for loss and numbers, and only the latencies leave them out.
+    it they count for loss and numbers, and only the latencies leave them out. Distinct probes and measurements are gathered
+    as sets, which an hour of an ASN has few of: counting two columns' distinct values would triple the rows and build
+    percentiles for every one of those values first.
     """
     known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL")
     rtt: Column = F.col("rtt_avg_ms")
@@ -31,8 +33,8 @@ def baselines(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
         C.percentile("packet_loss", 0.5).alias("loss_median_pct"),
         C.percentile("packet_loss", 0.95).alias("loss_p95_pct"),
         F.count("*").cast("int").alias("total_measurements"),
-        F.count_distinct("probe_id_hash").cast("int").alias("probe_count"),
-        F.count_distinct("msm_id").cast("int").alias("root_server_count"),
+        F.size(F.collect_set("probe_id_hash")).alias("probe_count"),
+        F.size(F.collect_set("msm_id")).alias("root_server_count"),
         F.sum(F.col("icmp_filtered").cast("int")).cast("int").alias("icmp_filtered_count"),
     )
 
