@@ -42,6 +42,9 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead banner topbar footer sidebar sidenav aside ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies related recommended teaser pagination pager widget skip".split()
 )
+#: Inside an article these name its own parts or subjects.
+_INSIDE = _WORDS - frozenset("header masthead banner topbar alert skip widget login signup social".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _ARTICLE_WORDS = frozenset("comment comments ad ads advert advertisement sponsored promo related recommended teaser reply".split())
 _NEVER = frozenset(["html", "body", "main"])
 
@@ -51,9 +54,15 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.kids = ["html"], [-1], [[]]
-        self.boiler, self.named, self.main = [False], [False], [False]
+        self.boiler, self.named, self.main, self.inside, self.soft = [False], [False], [False], [False], [False]
         self.parse(source)
         n = len(self.tag)
+        self.size = [sum(len(k) for k in kids if isinstance(k, str)) for kids in self.kids]
+        for i in range(n - 1, 0, -1):
+            self.size[self.parent[i]] += self.size[i]
+        for i in range(1, n):  # a class like has-sidebar may stand on what holds most of the page
+            if self.soft[i] and 2 * self.size[i] > self.size[0]:
+                self.boiler[i] = False
         self.holds = [False] * n  # an article or main element, or within one level or more above it
         for i in range(n - 1, 0, -1):
             if self.holds[i] or self.main[i]:
@@ -99,17 +108,21 @@ class Page:
         words = {w for k in ("class", "id") if k in found for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found[k]).lower())}
         role = found.get("role", "").lower()
         is_main = tag in ("article", "main") or role == "main" or "articlebody" in found.get("itemprop", "").lower()
-        inside = any(self.main[i] for i in stack)
+        inside = self.inside[stack[-1]] or self.main[stack[-1]]
+        by_name = False
         if tag in _NEVER or is_main and tag != "article":
             boiler = False
         elif tag == "article":
             boiler = bool(words & _ARTICLE_WORDS)
         else:
-            boiler = tag in _DROP or role in _ROLES or bool(words & _WORDS) or "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in found.get("style", "").replace(" ", "") or tag == "header" and not inside
+            boiler = tag in _DROP or role in _ROLES or "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in found.get("style", "").replace(" ", "") or tag == "header" and not inside
+            by_name = not boiler and bool(words & (_INSIDE if inside else _WORDS))
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.kids.append([])
-        self.boiler.append(boiler)
+        self.boiler.append(boiler or by_name)
+        self.soft.append(by_name and not words & _COMMENTS)
+        self.inside.append(inside)
         self.named.append(bool(found))
         self.main.append(is_main and not boiler)
         self.kids[stack[-1]].append(len(self.tag) - 1)
@@ -224,14 +237,6 @@ class Page:
             return False
         return not self.inside[k] or self.named[k] or tag not in _PLAIN
 
-    @property
-    def inside(self) -> list[bool]:
-        if not hasattr(self, "_inside"):
-            self._inside = [False] * len(self.tag)
-            for i in range(1, len(self.tag)):
-                self._inside[i] = self._inside[self.parent[i]] or self.main[self.parent[i]]
-        return self._inside
-
     def candidates(self) -> dict[int, bool]:
         """Hashes of the subtrees with text that may be a template's, and whether each is plain text."""
         found = self.hashes()

@@ -34,6 +34,8 @@ def test_article_and_nothing_else():
         ("<!-- never closed <p>x", ""),
         ("<b><p>x</b>y</p>z", "xy\nz"),
         ("<p title='a>b'>x</p><p data=\"1>0\" class=big>y", "x\ny"),
+        ("<div class='page has-sidebar'><div class=content><p>a long text of the page</p></div><div class=sidebar>b</div></div>", "a long text of the page"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p class=social-science>x</p><div class=notice>n</div><div id=comments>" + "c " * 50 + "</div></article>", "T\nx"),
         ("<table><tr><td>a</td><td>b</td></tr></table>", "a b"),
     ],
 )
