@@ -32,7 +32,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: What the generators propose, by kind.
 _PROPOSED = (
-    ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?)[A-Za-z0-9-]{2,63}){1,4}", re.I)),
     ("ip", re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.|\x20\.\x20)[0-9]{1,3}){3}(?![0-9])")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[.\x20/_-]{1,2}[0-9]{4,6}){2}(?:[.\x20/_-]{1,2}[0-9]{1,7})?(?![0-9])")),

@@ -59,6 +59,8 @@ def test_added_spans():
     found = op.added(["please contact jane.doe [at] mailhost [dot] com today", "call (212) 555-0188 now", "ip 10[.]2[.]3[.]4 seen", "we meet at noon. all is well", "order 123-456-7890 shipped"], [own] * 5, op.model())
     assert found[0] == [("email", 15, 47)] and found[1] == [("phone", 5, 19)] and found[2] == [("ip", 3, 17)]
     assert found[3] == []
+    clean = ["meet by at and. It is so", "version 1.2.3.4.5 of 2024-01-31", "isbn 978-3-1614-8410-0", "price 123.456.789"]
+    assert not any(op.added(clean, [op.base(t) for t in clean], op.model()))
     text = "mail x@y.com or +1 (017) 555-7713"
     base = op.base(text)
     assert not [s for s in op.added([text], [base], op.model())[0] if s in base]
