@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import broadcast, received
+
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 
@@ -329,17 +331,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans; repeated rows are each searched; candidates of equal probability are taken in the
     generators' order; an empty table gives an empty one; other columns are not looked at. One pass, nothing shuffled.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model())
+    held = broadcast(docs.sparkSession, model())
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = received(held)
         for b in it:
             bases, spans = [], []
             for first in range(0, b.num_rows, 500):
                 texts = [t or "" for t in b.column(1)[first : first + 500].to_pylist()]
                 own = [base(t) for t in texts]
                 bases += own
-                spans += [order({*s, *more}) for s, more in zip(own, added(texts, own, held.value))]
+                spans += [order({*s, *more}) for s, more in zip(own, added(texts, own, fitted))]
             counts = [pa.array([sum(s[0] == k for s in x) for x in bases], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(joined(order(x)).encode()).hexdigest() for x in bases], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([joined(x) for x in spans], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -109,6 +111,16 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
 
 
+def broadcast(spark: SparkSession, what):
+    """A broadcast of `what` as bytes; `received` gives it back. Spark's own pickles classes by name, so that executors would
+    need this package on their path."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(what))
+
+
+def received(held):
+    return pickle.loads(held.value)
+
+
 def small(it, rows: int = 512):
     """Arrow batches cut to a few rows each, so that few texts are Python objects at once."""
     for b in it:
