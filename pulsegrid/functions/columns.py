@@ -12,8 +12,8 @@ WEIGHT_LOSS, WEIGHT_BGP, WEIGHT_MERIT, WEIGHT_PING = 0.35, 0.35, 0.20, 0.10
 HARD, DEGRADED, POSSIBLE = 0.70, 0.45, 0.20
 ORDINAL = {"hard_outage": 3, "degraded": 2, "possible": 1, "none": 0}
 
-#: Percentiles equal exact ones in groups of up to about this many rows.
-ACCURACY = 1_000_000
+#: Percentiles are off by a rank in this many at most: exact in groups of up to about so many rows, and bounded in memory.
+ACCURACY = 10_000
 
 
 def percentile(c: str | Column, p: float) -> Column:

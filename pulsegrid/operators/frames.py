@@ -26,6 +26,15 @@ def first_of_each(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*").select(*df.columns)
 
 
+def matched(df: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the other columns of `more`, null where it has no such keys; null equals null. Keys are unique in `more`."""
+    b = more.withColumnsRenamed({k: f"__on_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(b[f"__on_{k}"])
+    return df.join(b, on, "left").drop(*(f"__on_{k}" for k in keys))
+
+
 def naive(df: DataFrame) -> DataFrame:
     """Timestamps as UTC wall-clock time without a zone."""
     return df.withColumns({c: F.col(f"`{c}`").cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
+from pulsegrid.operators.frames import matched
 
 HOUR = 3600
 #: Window of the signal baseline: the 24 hours before, the hour itself left out.
@@ -15,12 +16,12 @@ TRAILING = 24 * HOUR
 def baselines(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
     """Hourly percentiles of latency and loss for each country and ASN.
 
-    Without include_total_loss, rows without a positive mean latency, lost pings among them, are left out of everything; with
-    it they count for loss and numbers, and only the latencies leave them out. Distinct probes and measurements are gathered
+    Rows without a known loss are left out. Without include_total_loss, so are rows without a positive mean latency, lost pings
+    among them; with it they count for loss and numbers, and only the latencies leave them out. Distinct probes and measurements are gathered
     as sets, which an hour of an ASN has few of: counting two columns' distinct values would triple the rows and build
     percentiles for every one of those values first.
     """
-    known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL")
+    known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL AND packet_loss IS NOT NULL")
     rtt: Column = F.col("rtt_avg_ms")
     if include_total_loss:
         rtt = F.when(rtt > 0, rtt)
@@ -40,15 +41,15 @@ def baselines(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
 
 
 def signal_buckets(signals: DataFrame, compat: bool = False) -> DataFrame:
-    """Means of a signal over its native steps; of several steps in a bucket the finest counts.
+    """Means of a signal over its steps; of several steps in a bucket the finest counts.
 
-    A bucket with any gap, or without a value at all, is a gap.
+    A bucket with any gap, or without a value at all, is a gap. Rows without a positive step have no bucket.
     """
-    epoch, step = F.unix_timestamp("ts_utc"), F.col("nativeStep")
+    epoch, step = F.unix_timestamp("ts_utc"), F.col("step")
     at = C.step_bucket_compat(epoch, step) if compat else C.step_bucket(epoch, step)
     found = (
-        signals.where("entity_code IS NOT NULL AND nativeStep > 0")
-        .groupBy(at.alias("time_bucket"), F.col("entity_code").alias("country_code"), "datasource", F.col("nativeStep").alias("step_seconds"))
+        signals.where("entity_code IS NOT NULL AND step > 0")
+        .groupBy(at.alias("time_bucket"), F.col("entity_code").alias("country_code"), "datasource", F.col("step").alias("step_seconds"))
         .agg(F.avg("value").alias("signal_value"), F.min("value").alias("signal_min"), F.max("value").alias("signal_max"), F.count("*").cast("int").alias("sample_count"), F.bool_or("collection_gap").alias("gap"))
     )
     rest = ["signal_value", "signal_min", "signal_max", "sample_count", "gap"]
@@ -71,7 +72,7 @@ def loss_evidence_batch(base: DataFrame, limit: float = C.LOSS_DEGRADED) -> Data
 
 def loss_evidence_raw(pings: DataFrame, limit: float = C.LOSS_DEGRADED) -> DataFrame:
     """The same columns from single measurements, as the streaming job computes them."""
-    known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL AND rtt_avg_ms > 0")
+    known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL AND rtt_avg_ms > 0 AND packet_loss IS NOT NULL")
     return known.groupBy(F.date_trunc("hour", "ts_utc").alias("time_window"), "country_code").agg(
         C.percentile("packet_loss", 0.95).alias("ripe_loss_p95"),
         C.percentile("rtt_avg_ms", 0.9).alias("ripe_rtt_p90_ms"),
@@ -132,40 +133,67 @@ def rollup_daily(base: DataFrame) -> DataFrame:
 def z_scores(signals: DataFrame, days: int = 7) -> DataFrame:
     """Each value against mean and sample deviation of the days before it, [ts - days, ts).
 
-    A sliding frame would sum some thousand rows again for every row, and a long series would be one task. Instead moments are
-    taken by hour: whole hours from a small table, the hour at either end by running sums within it. What's in the oldest hour
-    from ts - days on is its total less what comes before, which a probe row at that time finds out. Values are centred by
-    their series' mean first, so that squares don't cancel.
+    A sliding frame would sum some thousand rows again for every row, and a long series would be one task. Statistics depend
+    on a series and a time alone, so rows are first summed by these. Moments are then taken by hour: whole hours from a small
+    table, the hour at either end by running sums within it. What's in the oldest hour from ts - days on is its total less what
+    comes before, which a probe at that time finds out.
+
+    Sums are of decimals of twelve places, so they are exact and don't depend on order; squares are of values centred by their
+    series' mean, so that they don't cancel. A value that no such decimal holds (not finite, or from 1e16 on) makes the
+    statistics of its windows null. Every row stays, whatever is null in it: keys are compared null-safely, and rows without a
+    time are each other's window, as in a frame over nulls.
     """
     key, hours = ["entity_code", "datasource"], days * 24
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    centre = signals.groupBy(*key).agg(F.avg("value").alias("__c"))
-    rows = signals.join(centre, key, "left").select(F.monotonically_increasing_id().alias("__id"), *key, F.struct(*signals.columns, "__c").alias("__row"), (F.col("value") - F.col("__c")).alias("__v"), "ts")
+    exact = F.col("value").try_cast("decimal(28,12)")
+    centre = signals.groupBy(*key).agg(F.avg(exact).cast("double").alias("__c"))
+    points = (
+        matched(signals.select(*key, "ts", "value"), centre, key)
+        .groupBy(*key, "ts")
+        .agg(F.first("__c").alias("c"), F.count("value").alias("n"), F.count(exact).alias("k"), F.sum(exact).alias("s"), F.sum((F.col("value") - F.col("__c")) * (F.col("value") - F.col("__c"))).alias("q"))
+    )
+    sums = ["n", "k", "s", "q"]
     hour = lambda c: F.floor(c / HOUR)
-    hourly = rows.groupBy(*key, hour(F.col("ts")).alias("__h")).agg(F.count("__v").cast("double").alias("n"), F.sum("__v").alias("s"), F.sum(F.col("__v") * F.col("__v")).alias("q"))
     w = Window.partitionBy(*key).orderBy("__h")
-    whole = hourly.select(*key, "__h", *(F.sum(c).over(w.rangeBetween(1 - hours, -1)).alias(f"__all_{c}") for c in "nsq"), *(F.sum(c).over(w.rangeBetween(-hours, -hours)).alias(f"__edge_{c}") for c in "nsq"))
-    here = F.struct(F.col("ts").alias("at"), F.lit(True).alias("own"), F.col("__v").alias("v"))
-    past = F.struct((F.col("ts") - hours * HOUR).alias("at"), F.lit(False).alias("own"), F.lit(None).cast("double").alias("v"))
-    spread = rows.select("__id", *key, "__row", F.explode(F.array(here, past)).alias("e")).select("__id", *key, F.when(F.col("e.own"), F.col("__row")).alias("__row"), "e.*")
+    hourly = points.groupBy(*key, hour(F.col("ts")).alias("__h")).agg(*(F.sum(c).alias(c) for c in sums))
+    whole = hourly.select(*key, "__h", *(F.sum(c).over(w.rangeBetween(1 - hours, -1)).alias(f"__all_{c}") for c in sums), *(F.sum(c).over(w.rangeBetween(-hours, -hours)).alias(f"__edge_{c}") for c in sums))
+    here = F.struct(F.col("ts").alias("at"), F.lit(True).alias("own"), *(F.col(c) for c in sums))
+    past = F.struct((F.col("ts") - hours * HOUR).alias("at"), F.lit(False).alias("own"), *(F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c in sums))
+    spread = points.select(*key, "ts", "c", F.explode(F.array(here, past)).alias("e")).select(*key, "ts", "c", "e.*")
     before = Window.partitionBy(*key, hour(F.col("at"))).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    run = spread.select("__id", "own", "__row", F.count("v").over(before).cast("double").alias("n"), F.sum("v").over(before).alias("s"), F.sum(F.col("v") * F.col("v")).over(before).alias("q"))
+    run = spread.select(*key, "ts", "c", "own", *(F.sum(c).over(before).alias(c) for c in sums))
     of = lambda own, c: F.max(F.when(F.col("own") == own, F.col(c)))
-    ends = run.groupBy("__id").agg(F.max("__row").alias("__row"), *(of(True, c).alias(f"__own_{c}") for c in "nsq"), *(of(False, c).alias(f"__past_{c}") for c in "nsq"))
-    both = ends.select(F.col("__row.entity_code").alias("entity_code"), F.col("__row.datasource").alias("datasource"), hour(F.col("__row.ts")).alias("__h"), *(c for c in ends.columns if c != "__id")).join(whole, [*key, "__h"])
-    total = both.select("__row", *((zero(f"__all_{c}") + zero(f"__own_{c}") + zero(f"__edge_{c}") - zero(f"__past_{c}")).alias(c) for c in "nsq"))
-    n, s = F.col("n"), F.col("s")
-    spare = F.col("q") - s * s / n
-    std = F.when(n > 1, F.when(spare > F.col("q") * 1e-13, F.sqrt(spare / (n - 1))).otherwise(0.0))
-    found = total.select("__row.*", F.when(n > 0, F.col("__row.__c") + s / n).alias("rolling_mean"), std.alias("rolling_std")).drop("__c")
+    ends = run.groupBy(*key, "ts").agg(F.first("c").alias("c"), *(of(True, c).alias(f"__own_{c}") for c in sums), *(of(False, c).alias(f"__past_{c}") for c in sums))
+    both = matched(ends.withColumn("__h", hour(F.col("ts"))), whole, [*key, "__h"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    timed = lambda c: zero(f"__all_{c}") + zero(f"__own_{c}") + zero(f"__edge_{c}") - zero(f"__past_{c}")
+    total = both.select(*key, "ts", "c", *(F.when(F.col("ts").isNull(), zero(f"__all_{c}")).otherwise(timed(c)).alias(c) for c in sums))
+    n = F.col("n")
+    mean = F.when((n > 0) & (F.col("k") == n), F.col("s").cast("double") / n)
+    off = mean - F.col("c")
+    spare = F.col("q") - n * off * off
+    std = F.when((n > 1) & mean.isNotNull(), F.when(spare > F.col("q") * 1e-13, F.sqrt(spare / (n - 1))).otherwise(0.0))
+    found = matched(signals, total.select(*key, "ts", mean.alias("rolling_mean"), std.alias("rolling_std")), [*key, "ts"])
     return found.withColumn("z_score", C.z_score(F.col("value"), F.col("rolling_mean"), F.col("rolling_std")))
 
 
 def trailing_nulls(signals: DataFrame, rows: int = 5, tie: str | None = None) -> DataFrame:
-    """Gaps that no value follows within so many rows of their series."""
-    w = Window.partitionBy("entity_code", "datasource").orderBy("ts", *([tie] if tie else [])).rowsBetween(1, rows)
+    """Gaps that no value follows within so many rows of their series, rows in order of ts (nulls first) and `tie`.
+
+    A series of years isn't one task: rows are numbered within a day of their series, and what follows a day's end is found in
+    a table that holds the first rows of each day. A day with rows adds one at least, so as many days as rows are enough.
+    """
+    key, order = ["entity_code", "datasource"], ["ts", *([tie] if tie else [])]
+    day = F.floor(F.col("ts") / (24 * HOUR))
+    known = F.col("value").isNotNull()
+    w = Window.partitionBy(*key, "__day").orderBy(*order)
+    here = signals.withColumn("__day", day).withColumns({"__i": F.row_number().over(w), "__ahead": F.collect_list(known).over(w.rowsBetween(1, rows))})
+    heads = here.where(F.col("__i") <= rows).groupBy(*key, "__day").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", known.alias("known")))), lambda x: x["known"]).alias("head"))
+    series = Window.partitionBy(*key).orderBy("__day")
+    later = heads.select(*key, "__day", F.flatten(F.collect_list("head").over(series.rowsBetween(1, rows))).alias("__later"))
+    seen = F.concat("__ahead", F.slice(F.coalesce("__later", F.array().cast("array<boolean>")), F.lit(1), F.lit(rows) - F.size("__ahead")))
     gap = F.col("value").isNull()
-    return signals.withColumns({"is_gap": gap, "is_trailing_null": gap & (F.coalesce(F.count("value").over(w), F.lit(0)) == 0)})
+    found = matched(here, later, [*key, "__day"]).withColumns({"is_gap": gap, "is_trailing_null": gap & ~F.exists(seen, lambda x: x)})
+    return found.drop("__day", "__i", "__ahead", "__later")
 
 
 def step_census(signals: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
+from pulsegrid.operators.frames import matched
 
 LEAST = 3
 OUTAGE_LABELS = ("hard_outage", "degraded")
@@ -128,6 +129,14 @@ def severity_bars(summary: DataFrame) -> DataFrame:
 
 
 def ranked(summary: DataFrame, by: str, n: int | None = None) -> DataFrame:
-    """country_code, value and rank by a column, ties by code. Countries are few, so one window holds them."""
-    out = summary.select("country_code", F.col(by).alias("value"), F.row_number().over(Window.orderBy(F.desc_nulls_last(by), "country_code")).alias("rank"))
+    """country_code, value and rank by a column, ties by code; only ranks up to n where it's given.
+
+    Rows aren't put into one window: a value's first rank is the number of rows with greater values, from a table of the
+    distinct values, and ranks go on within the value.
+    """
+    rows = summary.select("country_code", F.col(by).alias("value"))
+    before = F.sum("n").over(Window.orderBy(F.desc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = rows.groupBy("value").agg(F.count("*").alias("n")).select("value", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("value").orderBy("country_code"))
+    out = matched(rows, firsts, ["value"]).select("country_code", "value", (F.col("__before") + within).cast("int").alias("rank"))
     return out if n is None else out.where(F.col("rank") <= n)

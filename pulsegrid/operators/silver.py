@@ -35,6 +35,11 @@ def on_day(df: DataFrame, day: dt.date, column: str = "ts_utc") -> DataFrame:
     return df.where((F.col(column) >= F.lit(day).cast("timestamp")) & (F.col(column) < F.lit(day + dt.timedelta(days=1)).cast("timestamp")))
 
 
+def between_epochs(df: DataFrame, first: int, last: int, column: str = "ts_utc") -> DataFrame:
+    """Rows of the closed range of whole seconds [first, last]."""
+    return df.where(F.unix_timestamp(column).between(first, last))
+
+
 def pings(raw: DataFrame) -> DataFrame:
     """Ping results: hashed probe, means from the scalars or else the packets, loss, and day; personal columns go."""
     raw = ensure(raw, asn="int", country_code="string", err="string", af="int", step="int", dup="int", mver="string", type="string")

@@ -51,12 +51,19 @@ def days(spark: SparkSession, since: dt.date, until: dt.date) -> DataFrame:
     return one.select("day", F.date_format(F.col("day").cast("timestamp"), "'year='yyyy'/month='MM'/day='dd").alias("path"))
 
 
-def partitions(df: DataFrame, before: dt.date | None = None) -> DataFrame:
-    """The partitions that there are, in order, those from `before` on left out."""
-    out = df.select(*DAY).distinct()
+def partitions(df: DataFrame, before: dt.date | None = None, by: list[str] | None = None) -> DataFrame:
+    """The partitions that there are, in order; of partitions by day, those from `before` on left out."""
+    by = DAY if by is None else by
+    out = df.select(*by).distinct()
     if before is not None:
         out = out.where(day_range(dt.date(1, 1, 1), before))
-    return out.orderBy(*(F.col(c).cast("int") for c in DAY))
+    return out.orderBy(*(F.col(c).cast("int") for c in by))
+
+
+def count(spark: SparkSession, path: str) -> int:
+    """Rows of a table, none where there's no table."""
+    df = read(spark, path)
+    return 0 if df is None else df.count()
 
 
 def overwrite(df: DataFrame, path: str, by: list[str] | None = None, cluster: list[str] | None = None) -> None:
@@ -93,49 +100,72 @@ def _all(parts) -> Column:
 def upsert(new: DataFrame, path: str, keys: list[str], day: str | None = None, keep: list[str] = (), retract: Column | None = None, span: tuple[dt.date | None, dt.date | None] | None = None) -> int:
     """Merges new into the table at path; gives the number of rows of new.
 
-    The table is partitioned by `__day`, the date of column `day`: only days that new touches are read and rewritten. A day
-    is written next to the table first, so that no file is read and replaced at once. retract: old rows of the touched days
-    that this holds for go unless new has them; with span, days of [since, until) count as touched too (None: no bound). One
-    writer at a time.
+    The table is partitioned by `__day`, the date of column `day`: only days that new touches are read and rewritten. They are
+    written once, next to the table, and then moved into it, so that no file is read and replaced at once. retract: old rows of
+    the touched days that this holds for go unless new has them; with span, days of [since, until) count as touched too (None:
+    no bound). One writer at a time.
     """
-    spark = new.sparkSession
-    stage = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    spark, root = new.sparkSession, path.rstrip("/")
+    stage = f"{root}.staging-{uuid.uuid4().hex}"
     rows = new.withColumn("__day", F.to_date(day) if day else F.lit(None).cast("date"))
-    rows.write.parquet(f"{stage}/new")
-    fresh = spark.read.parquet(f"{stage}/new")
-    old, emptied = (read(spark, path) if exists(spark, path) else None), None
-    if old is not None:
-        touched = fresh.select("__day").distinct()
+    old = read(spark, path) if exists(spark, path) else None
+    if old is None:
+        overwrite(rows, f"{stage}/merged", by=["__day"])
+        n, touched = spark.read.schema(rows.schema).parquet(f"{stage}/merged").count(), set()
+    else:
+        rows.write.parquet(f"{stage}/new")
+        fresh = spark.read.parquet(f"{stage}/new")
+        counts = fresh.groupBy("__day").agg(F.count("*")).collect()  # a row for each day
+        n, touched = sum(r[1] for r in counts), {r[0] for r in counts}
         if retract is not None and span is not None:
             low, high = span
-            within = old.select("__day").distinct()
-            within = within if low is None else within.where(F.col("__day") >= F.lit(low))
-            within = within if high is None else within.where(F.col("__day") < F.lit(high))
-            touched = touched.union(within).distinct()
-        old = old.join(touched, old["__day"].eqNullSafe(touched["__day"]), "left_semi")
-        before = old.select("__day").distinct()
+            touched |= {d for d in _days(spark, root) if d is not None and (low is None or d >= low) and (high is None or d < high)}
+        dates = [d for d in touched if d is not None]
+        within = F.col("__day").isin(dates) if dates else F.lit(False)
+        old = old.withColumn("__day", F.col("__day").cast("date")).where(within | F.col("__day").isNull() if None in touched else within)
         if retract is not None:
             old = old.where(~F.coalesce(retract, F.lit(False)))
-        old = old.select(*fresh.columns)
-        emptied = before if retract is not None else None
-    merge(old, fresh, keys, list(keep)).write.parquet(f"{stage}/merged")
-    merged = spark.read.parquet(f"{stage}/merged")
-    if emptied is not None:  # a day that has no row left isn't overwritten, so it's removed
-        left = merged.select("__day").distinct()
-        gone = [r[0] for r in emptied.where("__day IS NOT NULL").join(left, "__day", "left_anti").toLocalIterator()]
-        for d in gone:
-            remove(spark, f"{path.rstrip('/')}/__day={d}")
-    overwrite(merged, path, by=["__day"])
-    n = fresh.count()
+        overwrite(merge(old.select(*fresh.columns), fresh, keys, list(keep)), f"{stage}/merged", by=["__day"])
+    moved = _move(spark, f"{stage}/merged", root)
+    if retract is not None:  # a touched day that has no row left
+        for d in touched - moved - {None}:
+            remove(spark, f"{root}/__day={d}")
     remove(spark, stage)
     return n
 
 
+def _days(spark: SparkSession, path: str) -> set[dt.date | None]:
+    """The partitions of a table of upsert, None for that of rows without a day."""
+    where, fs = _path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    parts = [n.removeprefix("__day=") for n in names if n.startswith("__day=")]
+    return {None if p == "__HIVE_DEFAULT_PARTITION__" else dt.date.fromisoformat(p) for p in parts}
+
+
+def _move(spark: SparkSession, staged: str, path: str) -> set[dt.date | None]:
+    """Puts staged partitions in the place of those of the table; gives their days."""
+    days = _days(spark, staged)
+    target, fs = _path(spark, path)
+    fs.mkdirs(target)
+    for d in days:
+        name = f"__day={d or '__HIVE_DEFAULT_PARTITION__'}"
+        source, there = _path(spark, f"{staged}/{name}")[0], _path(spark, f"{path}/{name}")[0]
+        fs.delete(there, True)
+        if not fs.rename(source, there):
+            raise OSError(f"{source} can't be moved to {there}")
+    return days
+
+
 def refresh(source: DataFrame, path: str, build, time: str, since: dt.date, until: dt.date) -> None:
-    """Recomputes the roll-up `build(rows)` for the days of [since, until) and replaces just those.
+    """Recomputes the roll-up `build(rows)` for the days of [since, until) and replaces just those; a day that has no rows any
+    more goes.
 
     build's result must have `time` again as its own day or hour column under the name that build gives it first.
     """
     rows = source.where((F.col(time) >= F.lit(since).cast("timestamp")) & (F.col(time) < F.lit(until).cast("timestamp")))
     out = build(rows)
     overwrite(out.withColumn("__day", F.to_date(out.columns[0])), path, by=["__day"])
+    left = {r[0] for r in out.select(F.to_date(out.columns[0])).distinct().toLocalIterator()}  # a row for each day of the range
+    for i in range((until - since).days):
+        if since + dt.timedelta(days=i) not in left:
+            remove(source.sparkSession, f"{path.rstrip('/')}/__day={since + dt.timedelta(days=i)}")

@@ -9,9 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset (local runs), below a temporary folder."""
+    """A fresh path below spark.checkpoint.dir. Where that is unset, local runs get a temporary folder; a cluster's machines
+    share none, so there it's an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", place)
     return f"{place.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

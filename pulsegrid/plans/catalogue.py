@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,10 @@ from pulsegrid.functions import columns as C
 from pulsegrid.operators import gold, serving, silver, tables
 from pulsegrid.operators.frames import ensure, first_of_each, naive, rounded
 from pulsegrid.operators.workspace import folder
+from pulsegrid.plans import loopback
 from pulsegrid.plans import views as V
-from pulsegrid.schemas import KEYS, PING, SERIES, SIGNAL
-from pulsegrid.sources import files
+from pulsegrid.schemas import ALERT, ENVELOPE, EVENT, KEYS, PING, SERIES, SIGNAL
+from pulsegrid.sources import files, network
 from pulsegrid.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +78,7 @@ def q_hourly_baseline(spark, sf):
     V.with_(V.EV, V.MEAS)
     + f"""SELECT time_window, country_code, asn, round(quantile_disc({TRUE_LOSS}, 0.1), 6) AS rtt_p10_ms, round(quantile_disc({TRUE_LOSS}, 0.5), 6) AS rtt_median_ms, round(quantile_disc({TRUE_LOSS}, 0.9), 6) AS rtt_p90_ms,
   round(quantile_disc(packet_loss, 0.5), 6) AS loss_median_pct, round(quantile_disc(packet_loss, 0.95), 6) AS loss_p95_pct, CAST(count(*) AS INT) AS total_measurements, CAST(count(DISTINCT probe) AS INT) AS probe_count,
-  CAST(count(DISTINCT msm_id) AS INT) AS root_server_count, CAST(sum(icmp_filtered::INT) AS INT) AS icmp_filtered_count FROM meas GROUP BY ALL"""
+  CAST(count(DISTINCT msm_id) AS INT) AS root_server_count, CAST(sum(icmp_filtered::INT) AS INT) AS icmp_filtered_count FROM meas WHERE packet_loss IS NOT NULL GROUP BY ALL"""
 )
 def q_baseline_keep_total_loss(spark, sf):
     return gold.baselines(V.measurements(spark, sf), include_total_loss=True)
@@ -171,8 +174,16 @@ def _summary_sql(total: str) -> str:
     return V.outages_sql().rstrip() + ",\n" + _SUMMARY + f" SELECT country_code, {d('a', 2)} AS avg_rtt, {d('m', 2)} AS max_p90, {d('l', 3)} AS avg_loss, providers, CAST({total} AS BIGINT) AS total, coalesce(outage_hours, 0) AS outage_hours, worst_severity FROM s LEFT JOIN e USING (country_code)"
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, which the queries after it read instead of computing it again."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _summary(spark, sf, fanout=False):
-    return serving.country_summary(base(spark, sf), outages(spark, sf), SINCE, UNTIL, fanout)
+    rows = _stored(base(spark, sf), "baselines")
+    return serving.country_summary(rows, gold.outage_events(rows, gold.signal_buckets(V.signals(spark, sf))), SINCE, UNTIL, fanout)
 
 
 @query(_summary_sql("t"))
@@ -225,7 +236,8 @@ def q_country_median(spark, sf):
     + "SELECT round(median(rtt_median_ms), 6) AS median_rtt, round(avg(loss_median_pct) * 100, 6) AS loss_pct, count(DISTINCT asn) AS providers, CAST(sum(total_measurements) AS BIGINT) AS measurements, (SELECT count(*) FROM outages) AS outages FROM base"
 )
 def q_kpi_summary(spark, sf):
-    return serving.kpis(base(spark, sf), outages(spark, sf))
+    rows = _stored(base(spark, sf), "baselines")
+    return serving.kpis(rows, gold.outage_events(rows, gold.signal_buckets(V.signals(spark, sf))))
 
 
 @query(V.with_(V.EV, V.MEAS, V.BASE) + "SELECT round(median(rtt_median_ms), 6) AS median_rtt, round(avg(loss_median_pct), 6) AS avg_loss, count(*) AS n FROM (SELECT * FROM base ORDER BY time_window DESC, country_code, asn LIMIT 24)")
@@ -301,7 +313,7 @@ def q_percent_labels(spark, sf):
 
 # Signal analytics and reports -------------------------------------------------------------------------------------------
 
-_Z = """z AS (SELECT event_id, s AS ts, country_code, datasource, gap_value AS value, avg(gap_value) OVER w AS m, stddev_samp(gap_value) OVER w AS d, count(gap_value) OVER (PARTITION BY country_code, datasource ORDER BY s, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS ahead
+_Z = """z AS (SELECT event_id, s AS ts, country_code, datasource, gap_value AS value, sum(gap_value::DECIMAL(18, 4)) OVER w::DOUBLE / count(gap_value) OVER w AS m, stddev_samp(gap_value) OVER w AS d, count(gap_value) OVER (PARTITION BY country_code, datasource ORDER BY s, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS ahead
   FROM sig WINDOW w AS (PARTITION BY country_code, datasource ORDER BY s RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING)),
 zs AS (SELECT event_id, ts, country_code, datasource, value, m, d, CASE WHEN d > 0 THEN round((value - m) / d, 4) END AS z_score, value IS NULL AS is_gap, value IS NULL AND ahead = 0 AS is_trailing_null FROM z)"""
 
@@ -310,14 +322,14 @@ def _scored(spark, sf):
     return gold.trailing_nulls(gold.z_scores(V.signals(spark, sf, gaps=True)), tie="event_id")
 
 
-@query(V.with_(V.EV, V.SIG, _Z) + "SELECT event_id, country_code, datasource, round(m, 4) AS rolling_mean, round(d, 3) AS rolling_std, z_score FROM zs")
+@query(V.with_(V.EV, V.SIG, _Z) + "SELECT event_id, country_code, datasource, round(m::DECIMAL(38, 10), 4)::DOUBLE AS rolling_mean, round(d::DECIMAL(38, 10), 3)::DOUBLE AS rolling_std, z_score FROM zs")
 def q_zscore_7d(spark, sf):
-    return _scored(spark, sf).select("event_id", F.col("entity_code").alias("country_code"), "datasource", F.round("rolling_mean", 4).alias("rolling_mean"), F.round("rolling_std", 3).alias("rolling_std"), "z_score")
+    return _scored(spark, sf).select("event_id", F.col("entity_code").alias("country_code"), "datasource", C.half_up(F.col("rolling_mean"), 4).alias("rolling_mean"), C.half_up(F.col("rolling_std"), 3).alias("rolling_std"), "z_score")
 
 
 @query(V.with_(V.EV, V.SIG, _Z) + "SELECT event_id, country_code, datasource, is_gap, is_trailing_null FROM zs")
 def q_trailing_null(spark, sf):
-    return _scored(spark, sf).select("event_id", F.col("entity_code").alias("country_code"), "datasource", "is_gap", "is_trailing_null")
+    return gold.trailing_nulls(V.signals(spark, sf, gaps=True), tie="event_id").select("event_id", F.col("entity_code").alias("country_code"), "datasource", "is_gap", "is_trailing_null")
 
 
 @query("SELECT o_orderkey, CASE WHEN a <> 0 THEN round((a - o_totalprice) / a * 100, 2) END AS deviation_pct FROM (SELECT o_orderkey, o_totalprice, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS a FROM orders)")
@@ -385,7 +397,7 @@ def q_quality_report_signals(spark, sf):
     return gold.signal_report(_scored(spark, sf))
 
 
-@query(V.with_(V.EV, V.SIG) + "SELECT datasource, CAST(step AS INT) AS step, count(*) AS n, CAST(0 AS BIGINT) AS n_mismatch FROM sig GROUP BY ALL")
+@query(V.with_(V.EV, V.SIG) + "SELECT datasource, CAST(step AS INT) AS step, count(*) AS n, count(*) FILTER (datasource = 'bgp') AS n_mismatch FROM sig GROUP BY ALL")
 def q_step_census(spark, sf):
     return gold.step_census(V.signals(spark, sf))
 
@@ -398,37 +410,37 @@ def q_baseline_diagnostic(spark, sf):
 # Refinement -------------------------------------------------------------------------------------------------------------
 
 
-def _twice(df: DataFrame) -> DataFrame:
-    return df.unionByName(df)
-
+def _copies(raw: DataFrame, value: str, kind: str, refine) -> DataFrame:
+    """Refined rows of raw records, of which each came once more with `value` raised by one, without copies."""
+    return silver.dedup(refine(raw.unionByName(raw.withColumn(value, F.col(value) + 1))), kind)
 
-def _dedup_sql(keys: str) -> str:
-    return f"SELECT {keys}, min(l_quantity) AS l_quantity FROM lineitem GROUP BY {keys}"
 
+def _least(c: str) -> str:
+    return f"CASE WHEN bool_or({c} IS NULL) THEN NULL ELSE round(min({c}), 6) END AS {c}"
 
-def _dedup(spark, sf, *keys):
-    rows = V.table(spark, sf, "lineitem").select(*keys, "l_quantity")
-    return first_of_each(_twice(rows), *keys)
 
-
-@query(_dedup_sql("l_orderkey, l_partkey, l_linenumber"))
+@query(V.with_(V.EV, V.MEAS) + f"SELECT msm_id, sha256(probe::VARCHAR) AS probe_id_hash, CAST(floor(epoch(ts_utc)) AS BIGINT) AS timestamp, {_least('rtt_avg_ms')} FROM meas GROUP BY ALL")
 def q_dedup_pings(spark, sf):
-    return _dedup(spark, sf, "l_orderkey", "l_partkey", "l_linenumber")
+    raw = jobs.payload(_ping_messages(spark, sf), PING).withColumns({"result": F.lit(None).cast(PING["result"].dataType), "avg": F.element_at("result.rtt", 1)}).drop(*silver.LINEAGE)
+    return _copies(raw, "avg", "pings", silver.pings).select(*silver.DEDUP["pings"], "rtt_avg_ms")
 
 
-@query(_dedup_sql("l_returnflag, l_linestatus, l_suppkey, l_shipdate"))
+@query(V.with_(V.EV, _ALERT) + f"SELECT 'COUNTRY' AS entity_type, entity_code, datasource, ts_from, {_least('alert_value')} FROM al GROUP BY ALL")
 def q_dedup_alerts(spark, sf):
-    return _dedup(spark, sf, "l_returnflag", "l_linestatus", "l_suppkey", "l_shipdate")
+    return _copies(_alert_json(spark, sf), "value", "alerts", silver.alerts).select(*silver.DEDUP["alerts"], "alert_value")
 
 
-@query(_dedup_sql("l_orderkey, l_shipdate"))
+@query(V.with_(V.EV, _FLAGS) + "SELECT country_code AS entity_code, make_timestamp(s * 1000000) AS ts_from, make_timestamp((s + 60 * k) * 1000000) AS ts_until, round(min(value), 6) AS score FROM fe GROUP BY ALL")
 def q_dedup_events(spark, sf):
-    return _dedup(spark, sf, "l_orderkey", "l_shipdate")
+    raw = _event_json(spark, sf).withColumns({"datasource": F.lit("d"), "alerts": F.lit(None).cast("string")})
+    return _copies(raw, "score", "events", silver.events).select(*silver.DEDUP["events"], "score")
 
 
-@query(_dedup_sql("l_returnflag, l_partkey, l_linenumber"))
+@query(V.with_(V.EV, V.SIG) + f"SELECT 'COUNTRY' AS entity_type, country_code AS entity_code, datasource, s AS ts, {_least('gap_value').replace('AS gap_value', 'AS value')} FROM sig GROUP BY ALL")
 def q_dedup_signals(spark, sf):
-    return _dedup(spark, sf, "l_returnflag", "l_partkey", "l_linenumber")
+    rows = V.signals(spark, sf, gaps=True)
+    raw = rows.select(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep")
+    return _copies(raw, "value", "signals", silver.signals).select(*silver.DEDUP["signals"], "value")
 
 
 def _envelope(df: DataFrame, value, time: str = "ts_utc") -> DataFrame:
@@ -523,7 +535,29 @@ def q_pruned_scan(spark, sf):
 
 @query("SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month FROM lineitem")
 def q_partition_discovery(spark, sf):
-    return tables.read(spark, _stored_lines(spark, sf)).select("year", "month").distinct()
+    return tables.partitions(tables.read(spark, _stored_lines(spark, sf)), by=["year", "month"])
+
+
+@query("SELECT DISTINCT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day FROM events WHERE ts < '2024-01-20'")
+def q_partition_list(spark, sf):
+    """Days before a date that a table has, in order."""
+    rows = V.events(spark, sf)
+    return tables.partitions(rows.select("event_id", *(c.alias(k) for k, c in C.day_parts(F.col("ts_utc")).items())), before=dt.date(2024, 1, 20))
+
+
+@query("SELECT 'none' AS state, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'written', count(*) FROM region UNION ALL SELECT 'read', count(*) FROM region")
+def q_missing_and_counts(spark, sf):
+    """A table that isn't there yet, how many rows an upsert writes to it, and how many it then has."""
+    path = folder(spark, "region")
+    before = tables.read(spark, path)
+    written = tables.upsert(V.table(spark, sf, "region"), path, ["r_regionkey"])
+    return spark.createDataFrame([("none", 0 if before is None else before.count()), ("written", written), ("read", tables.count(spark, path))], "state string, n long")
+
+
+@query(V.with_(V.EV, V.MEAS, V.BASE) + "SELECT time_window, country_code, asn, round(rtt_median_ms, 6) AS rtt_median_ms FROM base ORDER BY rtt_median_ms DESC, time_window, country_code, asn LIMIT 20")
+def q_preview(spark, sf):
+    """The first rows of a report, in order."""
+    return base(spark, sf).orderBy(F.desc("rtt_median_ms"), "time_window", "country_code", "asn").limit(20).select("time_window", "country_code", "asn", "rtt_median_ms")
 
 
 @query("SELECT CAST(64512 + n_nationkey AS INT) AS asn, CASE WHEN n_nationkey % 6 = 0 THEN 'AS' || (64512 + n_nationkey) ELSE n_name END AS name, 'C' || n_regionkey AS country FROM nation")
@@ -534,6 +568,72 @@ def q_whois_parse(spark, sf):
     return files.whois(nation.select(line.alias("value")).unionByName(nation.limit(1).select(bad.alias("value"))))
 
 
+@query("SELECT CAST(64512 + range AS INT) AS asn, CASE WHEN range % 7 = 0 THEN 'AS' || (64512 + range) ELSE 'Net ' || (64512 + range) END AS name, 'C1' AS country FROM range(0, 250)")
+def q_whois_fetch(spark, sf):
+    """Numbers sent to a server, a hundred a connection."""
+    spark.dataSource.register(network.BulkWhois)
+    with loopback.whois(lambda n: "" if (n - 64512) % 7 == 0 else f"Net {n}") as port:
+        lines = spark.read.format("bulk_whois").options(host="127.0.0.1", port=port, batch=100, asns=",".join(str(64512 + i) for i in range(250))).load()
+        return _stored(files.whois(lines), "names")
+
+
+def _rest(spark, url, **options) -> DataFrame:
+    spark.dataSource.register(network.PagedRest)
+    return spark.read.format("paged_rest").options(url=url, **options).load()
+
+
+_N, _ODD = "n long, odd boolean", "SELECT range AS n, range % 2 = 1 AS odd FROM range(0, 250)"
+
+
+@query(_ODD)
+def q_rest_pages(spark, sf):
+    with loopback.rest(250) as url:
+        return _stored(_rest(spark, f"{url}/pages", page_size=100, params="maxPoints=1440").select(F.from_json("value", _N).alias("r")).select("r.*"), "pages")
+
+
+@query(_ODD)
+def q_rest_next(spark, sf):
+    """Pages that name the next one."""
+    with loopback.rest(250) as url:
+        return _stored(_rest(spark, f"{url}/next", page_size=40, rows_name="results", next_name="next").select(F.from_json("value", _N).alias("r")).select("r.*"), "pages")
+
+
+@query("SELECT CASE WHEN range NOT BETWEEN 100 AND 199 THEN range END AS n, CASE WHEN range = 100 THEN '100-200: the server answered: this range is broken' END AS error FROM range(0, 250) WHERE range NOT BETWEEN 101 AND 199")
+def q_rest_chunks(spark, sf):
+    """History in chunks, of which one fails and is reported."""
+    with loopback.rest(250, broken_from=100) as url:
+        rows = _rest(spark, f"{url}/pages", page_size=30, since=0, until=250, chunk=100, on_error="report")
+        return _stored(rows.select(F.from_json("value", _N)["n"].alias("n"), "error"), "chunks")
+
+
+def _derby(spark, df: DataFrame, table: str) -> str:
+    """df in a database within Spark's own process; gives its URL."""
+    url = f"jdbc:derby:memory:{table}{uuid.uuid4().hex};create=true"
+    df.write.jdbc(url, table)
+    return url
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders")
+def q_jdbc_scan(spark, sf):
+    """Read in four parts by key."""
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice")
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    found = network.jdbc(spark, _derby(spark, orders, "orders"), "orders", "o_orderkey", low, high, 4)
+    return _stored(found.select(*(F.col(c).alias(c.lower()) for c in found.columns)), "orders")
+
+
+@query(V.with_(V.EV, V.SIG, V.buckets_sql()) + "SELECT country_code, datasource, time_bucket, round(signal_value, 6) AS signal_value FROM buckets WHERE time_bucket BETWEEN '2024-01-06 23:00:00' AND '2024-01-09 12:00:00'")
+def q_jdbc_lookback(spark, sf):
+    """Buckets from 25 hours before a batch, filtered by the database; an empty table there was made by a statement."""
+    buckets = gold.signal_buckets(V.signals(spark, sf)).select("country_code", "datasource", "time_bucket", "signal_value")
+    url = f"jdbc:derby:memory:signals{uuid.uuid4().hex};create=true"
+    network.execute(spark, url, "CREATE TABLE signals (country_code VARCHAR(8), datasource VARCHAR(32), time_bucket TIMESTAMP, signal_value DOUBLE)")
+    buckets.write.jdbc(url, "signals", mode="append")
+    window = network.lookback("signals", ["country_code", "datasource", "time_bucket", "signal_value"], "time_bucket", dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 9, 12))
+    found = network.jdbc(spark, url, window)
+    return _stored(found.select(*(F.col(c).alias(c.lower()) for c in found.columns)), "window")
+
+
 def _messages(spark, sf):
     e = V.events(spark, sf)
     body = F.to_json(F.struct(F.col("event_id").cast("int").alias("msm_id"), F.col("user_id").cast("int").alias("prb_id"), F.unix_timestamp("ts_utc").alias("timestamp"), F.col("value").alias("avg")))
@@ -546,6 +646,22 @@ def q_ws_message(spark, sf):
     return files.socket_messages(_messages(spark, sf), PING, "atlas_result").select("msm_id", "prb_id", "timestamp", "avg")
 
 
+@query("SELECT range AS n FROM range(0, 20) WHERE range % 4 <> 0 AND range <> 5")
+def q_socket_stream(spark, sf):
+    """Messages that a server sends, as a stream; others than results and broken ones are left out."""
+    lines = ["broken" if i == 5 else f'["{"other" if i % 4 == 0 else "atlas_result"}",{{"msm_id":{i}}}]' for i in range(20)]
+    with loopback.feed(lines) as port:
+        rows = files.socket_messages(network.lines(spark, "127.0.0.1", port), PING, "atlas_result").select(F.col("msm_id").cast("long").alias("n"))
+        path = folder(spark, "feed")
+        q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "checkpoint")).trigger(processingTime="200 milliseconds").start()
+        seen, until = 0, time.monotonic() + 60
+        while seen < len(lines) and time.monotonic() < until:
+            time.sleep(0.1)
+            seen = sum(p["numInputRows"] for p in q.recentProgress)
+        jobs.stop_all({"feed": q})
+        return _stored(spark.read.schema(rows.schema).parquet(path), "messages")
+
+
 @query("SELECT CAST(c_nationkey AS INT) AS prb_id, 'C' || arg_max(c_custkey, c_custkey) % 5 AS country_code, CAST(arg_max(c_custkey % 7, c_custkey) AS INT) AS asn FROM customer WHERE c_custkey % 7 <> 0 GROUP BY c_nationkey")
 def q_probe_directory(spark, sf):
     key = F.col("c_custkey")
@@ -553,6 +669,15 @@ def q_probe_directory(spark, sf):
     return files.probe_map(directory, F.col("seen"))
 
 
+@query("SELECT event_id, CAST(user_id AS INT) AS prb_id, 'C' || user_id % 5 AS country_code, CASE WHEN user_id % 2 = 0 THEN CAST(64512 + user_id % 30 AS INT) END AS asn FROM events WHERE user_id % 3 = 0")
+def q_probe_map_legacy(spark, sf):
+    """Measurements enriched by a stored map of which half the entries are of the old form, the country alone."""
+    e = V.events(spark, sf)
+    entry = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct("country_code", "asn"))).otherwise(F.concat(F.lit('"'), "country_code", F.lit('"')))
+    probes = files.probe_entries(e.where("user_id % 3 = 0").select(F.col("user_id").cast("int").alias("prb_id"), entry.alias("value")).distinct())
+    return silver.enrich(e.select("event_id", F.col("user_id").cast("int").alias("prb_id")), probes).select("event_id", "prb_id", "country_code", "asn")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size * 200 >= 5000 THEN 'v5' ELSE 'v4' END AS fw_gen FROM part")
 def q_fw_generation(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", C.firmware_generation(F.when(F.col("p_size") > 1, F.col("p_size") * 200)).alias("fw_gen"))
@@ -562,7 +687,8 @@ def q_fw_generation(spark, sf):
 def q_batch_time_range(spark, sf):
     e = V.events(spark, sf)
     day = (F.col("ts_utc") >= "2024-01-05") & (F.col("ts_utc") < "2024-01-06")
-    return e.agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count("*").alias("n"), F.count_if(day).alias("n_half_open"), F.count_if(F.unix_timestamp("ts_utc").between(1704412800, 1704499199)).alias("n_closed"))
+    closed = silver.between_epochs(e, 1704412800, 1704499199).select(F.col("event_id").alias("__in"))
+    return e.join(closed, e["event_id"] == closed["__in"], "left").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count("*").alias("n"), F.count_if(day).alias("n_half_open"), F.count("__in").alias("n_closed"))
 
 
 @query("SELECT event_id, ts FROM events WHERE ts >= '2024-01-07' AND ts < '2024-01-08'")
@@ -600,19 +726,26 @@ def q_json_scan(spark, sf):
     return good.withColumn("n_bad", F.lit(broken.count()).cast("int"))
 
 
-@query("SELECT event_id, CAST(1704067200 + i * 60 AS BIGINT) AS ts FROM events, range(0, 3) t(i) WHERE event_id < 50")
+@query("SELECT event_id, round(value, 6) AS value, event_type, CAST(NULL AS VARCHAR) AS _corrupt_record FROM events UNION ALL SELECT NULL, NULL, NULL, 'nothing'")
+def q_json_inferred(spark, sf):
+    """Lines without a schema given, one of them malformed."""
+    path = folder(spark, "lines")
+    e = V.table(spark, sf, "events").select("event_id", "value", "event_type")
+    e.select(F.to_json(F.struct("*")).alias("value")).unionByName(spark.range(1).select(F.lit("nothing").alias("value"))).write.option("compression", "gzip").text(path)
+    return files.json_inferred(spark, path).select("event_id", "value", "event_type", "_corrupt_record")
+
+
+@query("SELECT event_id, CAST(1704067200 + i * 60 AS BIGINT) AS ts FROM events, range(0, 3) t(i)")
 def q_unwrap_series(spark, sf):
     one = F.struct(F.lit("country").alias("entityType"), F.col("event_id").cast("string").alias("entityCode"), F.lit("bgp").alias("datasource"), F.lit(1704067200).cast("long").alias("from"), F.lit(1704067380).cast("long").alias("until"), F.lit(60).alias("step"), F.lit(60).alias("nativeStep"), F.array(*map(F.lit, (1.0, 2.0, 3.0))).alias("values"))
     text = F.to_json(F.array(F.array(one)))
-    raw = V.table(spark, sf, "events").where("event_id < 50").select(F.from_json(text, f"array<array<{SERIES.simpleString()}>>").alias("data"))
+    raw = V.table(spark, sf, "events").select(F.from_json(text, f"array<array<{SERIES.simpleString()}>>").alias("data"))
     return silver.expand_series(files.unwrap_series(raw)).select(F.col("entityCode").cast("long").alias("event_id"), "ts")
 
 
 @query("SELECT 1704067200 + i * 7200 AS \"from\", least(1704067200 + (i + 1) * 7200, 1704100000) AS until FROM range(0, 5) t(i)")
 def q_history_chunks(spark, sf):
-    from pulsegrid.sources.network import history_chunks
-
-    return history_chunks(spark, 1704067200, 1704100000)
+    return network.history_chunks(spark, 1704067200, 1704100000)
 
 
 # Tables -----------------------------------------------------------------------------------------------------------------
@@ -659,34 +792,31 @@ def q_upsert_coverage(spark, sf):
     return _upserted(spark, "coverage", rows, rows.where("source = 'ripe'").withColumn("measurement_count", (F.col("measurement_count") + 5).cast("int")), day="coverage_date")
 
 
-@query("SELECT CAST(64512 + n_nationkey AS INT) AS asn, CASE WHEN n_nationkey >= 10 THEN lower(n_name) ELSE n_name END AS name FROM nation")
+@query("SELECT CAST(64512 + n_nationkey AS INT) AS asn, CASE WHEN n_nationkey >= 10 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey < 18 THEN '2024-01-01'::TIMESTAMP ELSE '2024-02-01'::TIMESTAMP END AS updated_at FROM nation")
 def q_upsert_names(spark, sf):
+    """The time of a name is that of its first insert."""
     names = V.asn_names(spark, sf)
-    return _upserted(spark, "asn_names", names.where("asn < 64530"), names.where("asn >= 64522").withColumn("name", F.lower("name")))
+    at = lambda day: F.lit(day).cast("timestamp")
+    old = names.where("asn < 64530").withColumn("updated_at", at("2024-01-01"))
+    new = names.where("asn >= 64522").withColumns({"name": F.lower("name"), "updated_at": at("2024-02-01")})
+    return _upserted(spark, "asn_names", old, new, keep=["updated_at"])
 
 
 # Streams ----------------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf, batch) -> DataFrame:
-    """What `batch` makes of the events, with events read as a stream of files."""
-    schema = V.table(spark, sf, "events").schema
-    raw = jobs.files(spark, f"{sf}/events.parque[t]", schema)  # a pattern, as a stream's path may not name a single file
-    read = V.table
-    V.table = lambda s, d, name: raw if name == "events" else read(s, d, name)  # the views are built on V.table
-    try:
-        return batch(spark, sf)
-    finally:
-        V.table = read
+def _event_files(spark, sf) -> DataFrame:
+    """The events as a stream of files."""
+    return jobs.files(spark, f"{sf}/events.parque[t]", V.table(spark, sf, "events").schema)  # a pattern, as a stream's path may not name a single file
 
 
-def _ping_messages(spark, sf):
-    e = V.events(spark, sf).where(F.col("event_type").isin("signup", "error"))
+def _ping_messages(spark, sf, source=None):
+    e = V.events(spark, sf, source).where(F.col("event_type").isin("signup", "error"))
     k = F.col("k")
     rcvd = F.when(k < 2, 0).when(k < 6, 1).when(k < 15, 2).otherwise(3)
     packet = F.struct(F.col("value").alias("rtt"))
     text = F.to_json(
-        F.struct("msm_id", F.col("user_id").cast("int").alias("prb_id"), F.unix_timestamp("ts_utc").alias("timestamp"), F.lit(5020).alias("fw"), F.lit(3).alias("sent"), rcvd.alias("rcvd"), F.lit("1.2.3.4").alias("src_addr"), F.lower("country_code").alias("country_code"), "asn", F.when(rcvd > 0, F.array(packet, F.struct(F.lit(None).cast("double").alias("rtt")))).alias("result"))
+        F.struct("msm_id", F.col("user_id").cast("int").alias("prb_id"), F.unix_timestamp("ts_utc").alias("timestamp"), F.lit(5020).alias("fw"), F.when(k == 17, 0).otherwise(3).alias("sent"), rcvd.alias("rcvd"), F.lit("1.2.3.4").alias("src_addr"), F.lower("country_code").alias("country_code"), "asn", F.when(rcvd > 0, F.array(packet, F.struct(F.lit(None).cast("double").alias("rtt")))).alias("result"))
     )
     return _envelope(e, text)
 
@@ -696,17 +826,86 @@ _SILVER_OUT = ["kafka_offset", "msm_id", "probe_id_hash", "country_code", "asn",
 
 
 def _silver_pings(spark, sf, path) -> None:
-    stream = _stream(spark, sf, lambda s, d: jobs.refined(jobs.payload(_ping_messages(s, d), PING), "pings", late="60 days"))
+    stream = jobs.refined(jobs.payload(_ping_messages(spark, sf, _event_files(spark, sf)), PING), "pings")
     jobs.append(stream, path, folder(spark, "checkpoint"), f"pings_{path[-12:]}", every=None).awaitTermination()
 
 
 def _silver_signals(spark, sf, path) -> None:
-    def batch(s, d):
-        rows = V.signals(s, d)
-        text = F.to_json(F.struct(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep"))
-        return jobs.refined(jobs.payload(_envelope(rows.withColumn("country_code", F.col("entity_code")), text), SIGNAL), "signals", late="60 days")
-
-    jobs.append(_stream(spark, sf, batch), path, folder(spark, "checkpoint"), f"signals_{path[-12:]}", every=None).awaitTermination()
+    rows = V.signals(spark, sf, source=_event_files(spark, sf))
+    text = F.to_json(F.struct(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep"))
+    stream = jobs.refined(jobs.payload(_envelope(rows.withColumn("country_code", F.col("entity_code")), text), SIGNAL), "signals")
+    jobs.append(stream, path, folder(spark, "checkpoint"), f"signals_{path[-12:]}", every=None).awaitTermination()
+
+
+def _message_files(spark, parts: list[DataFrame]) -> DataFrame:
+    """JSON records in the envelopes of a message stream, each part a micro-batch of its own, in order."""
+    path = folder(spark, "messages")
+    for df in parts:
+        now = F.timestamp_seconds(F.lit(1706745600))
+        df.coalesce(1).select(F.lit(None).cast("binary").alias("key"), F.to_json(F.struct("*")).cast("binary").alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), now.alias("timestamp")).write.mode("append").parquet(path)
+    return jobs.files(spark, path, ENVELOPE, most=1)
+
+
+def _polled(spark, parts: list[DataFrame], schema, kind: str, every: str | None) -> DataFrame:
+    """The refined table of a stream, copies left out by its reader."""
+    path = folder(spark, kind)
+    q = jobs.append(jobs.refined(jobs.payload(_message_files(spark, parts), schema), kind), path, folder(spark, "checkpoint"), f"{kind}_{path[-12:]}", every=every)
+    q.processAllAvailable() if every else q.awaitTermination()
+    jobs.stop_all({kind: q})
+    return silver.dedup(tables.read(spark, path).drop(*silver.LINEAGE), kind)
+
+
+@query(V.with_(V.EV, _ALERT) + f"SELECT ts_from, 'COUNTRY' AS entity_type, entity_code, datasource, {_least('alert_value')}, 100.0::DOUBLE AS historical_value, CAST(strftime(ts_from, '%d') AS INT) AS day FROM al GROUP BY ALL")
+def q_stream_alerts(spark, sf):
+    """Polls that overlap: alerts of the second half, then all of them, hours late by then; a stream on a timer."""
+    rows = _alert_json(spark, sf)
+    late = F.coalesce("time", "from") >= 1705276800
+    found = _polled(spark, [rows.where(late), rows], ALERT, "alerts", "1 second")
+    return found.select("ts_from", "entity_type", "entity_code", "datasource", "alert_value", "historical_value", F.col("day").cast("int").alias("day"))
+
+
+@query(V.with_(V.EV, _FLAGS) + "SELECT DISTINCT make_timestamp(s * 1000000) AS ts_from, country_code AS entity_code, CAST(k * 60 + more AS BIGINT) AS duration_sec, bgp_fired, ping_fired, merit_nt_fired, datasource_count FROM fe, (VALUES (0), (3600)) m(more) WHERE more = 0 OR k < 50")
+def q_stream_events(spark, sf):
+    """Events that are reported again, hours or days after they began, with a later end, and then a third time."""
+    rows = _event_json(spark, sf).drop("event_id")
+    grown = rows.where((F.col("until") - F.col("from")) < 50 * 60).withColumn("until", F.col("until") + 3600)
+    found = _polled(spark, [rows, grown, grown], EVENT, "events", None)
+    return found.select("ts_from", "entity_code", "duration_sec", "bgp_fired", "ping_fired", "merit_nt_fired", "datasource_count")
+
+
+@query(V.with_(V.EV, V.SIG) + "SELECT 'events' AS kind, count(*) AS n FROM events UNION ALL SELECT 'alerts', count(*) FROM events UNION ALL SELECT 'signals', count(*) FROM sig UNION ALL SELECT 'pings', count(*) FROM events WHERE event_type IN ('signup', 'error')")
+def q_stream_all(spark, sf):
+    """Independent streams of the four kinds, started together; a fifth, whose source isn't there, is left out. Once they have
+    read what there is they are stopped, and forgotten, so that starting them anew reads all again."""
+    raw = {"events": (_event_json(spark, sf), EVENT), "alerts": (_alert_json(spark, sf), ALERT)}
+    paths, checkpoints = ({k: folder(spark, k) for k in ("events", "alerts", "signals", "pings")} for _ in range(2))
+    streams = {k: jobs.payload(_message_files(spark, [df]), schema) for k, (df, schema) in raw.items()}
+    streams["signals"] = jobs.payload(_message_files(spark, [V.signals(spark, sf).select(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep")]), SIGNAL)
+    streams["pings"] = jobs.payload(_ping_messages(spark, sf, _event_files(spark, sf)), PING)
+    tag = uuid.uuid4().hex
+    starts = {k: lambda k=k: jobs.append(jobs.refined(streams[k], k), paths[k], checkpoints[k], f"{k}_{tag}", every="1 second") for k in streams}
+    starts["missing"] = lambda: jobs.files(spark, folder(spark, "nothing"))
+    for _ in range(2):
+        running = jobs.start_all(spark, starts)
+        for q in running.values():
+            q.processAllAvailable()
+        jobs.stop_all(running)
+        n = {k: tables.count(spark, paths[k]) for k in running}
+        for k in running:
+            jobs.reset(spark, checkpoints[k], paths[k])
+            tables.remove(spark, paths[k])
+    return spark.createDataFrame(list(n.items()), "kind string, n long")
+
+
+@query(V.with_(V.EV) + "SELECT event_id, round(value, 6) AS value, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day FROM ev")
+def q_raw_sink(spark, sf):
+    """A stream of records to compressed JSON lines by event day; a batch without rows writes nothing."""
+    path = folder(spark, "raw")
+    sink = jobs.raw_sink(path, time="ts")
+    rows = V.events(spark, sf, _event_files(spark, sf)).select("event_id", "value", F.unix_timestamp("ts_utc").alias("ts"))
+    jobs.each_batch(rows, [sink, lambda batch, i: sink(batch.where("false"), i)], folder(spark, "checkpoint"), f"raw_{path[-12:]}", every=None).awaitTermination()
+    back = spark.read.text(path)
+    return back.select(F.from_json("value", "event_id long, value double").alias("r"), *tables.DAY).select("r.*", *(F.col(c).cast("int").alias(c) for c in tables.DAY))
 
 
 @query(_SILVER)

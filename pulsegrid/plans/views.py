@@ -12,8 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """The events, or a stream of them, with the columns that the other views are made of."""
+    rows = table(spark, sf_dir, "events") if source is None else source
+    return rows.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts_utc"),
         "user_id",
@@ -28,22 +30,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where k is 17 nothing was sent, so that the loss isn't known, though there's a latency."""
     k = F.col("k")
     rcvd = F.when(k < 2, 0).when(k < 6, 1).when(k < 15, 2).otherwise(3)
     rows = events(spark, sf_dir).where(F.col("event_type").isin("signup", "error"))
-    rows = rows.withColumns({"sent": F.lit(3), "rcvd": rcvd, "rtt_avg_ms": F.when(rcvd > 0, F.col("value"))})
+    rows = rows.withColumns({"sent": F.when(k == 17, 0).otherwise(3), "rcvd": rcvd, "rtt_avg_ms": F.when(rcvd > 0, F.col("value"))})
     return rows.select(
         "event_id", "ts_utc", "country_code", "asn", "msm_id", C.pii_hash(F.col("user_id")).alias("probe_id_hash"), "rtt_avg_ms", "sent", "rcvd", C.packet_loss(F.col("sent"), F.col("rcvd")).alias("packet_loss"), C.icmp_filtered(F.col("sent"), F.col("rcvd"), F.col("rtt_avg_ms")).alias("icmp_filtered")
     )
 
 
-def signals(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
-    """With gaps, values are null where k is a multiple of 20."""
+def signals(spark: SparkSession, sf_dir: str, gaps: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """With gaps, values are null where k is a multiple of 20. The native step of bgp is finer than its step."""
     name = F.when(F.col("event_type") == "click", "bgp").when(F.col("event_type") == "view", "merit-nt").otherwise("ping-slash24")
-    rows = events(spark, sf_dir).where(F.col("event_type").isin("click", "view", "purchase")).withColumn("datasource", name)
+    rows = events(spark, sf_dir, source).where(F.col("event_type").isin("click", "view", "purchase")).withColumn("datasource", name)
     value = F.when(F.col("k") % 20 != 0, F.col("value")) if gaps else F.col("value")
     step = F.when(F.col("datasource") == "ping-slash24", 600).otherwise(300)
-    return rows.select("event_id", F.unix_timestamp("ts_utc").alias("ts"), "ts_utc", F.col("country_code").alias("entity_code"), "datasource", value.alias("value"), step.alias("step"), step.alias("nativeStep"), value.isNull().alias("collection_gap"))
+    return rows.select("event_id", F.unix_timestamp("ts_utc").alias("ts"), "ts_utc", F.col("country_code").alias("entity_code"), "datasource", value.alias("value"), step.alias("step"), F.when(F.col("datasource") == "bgp", 60).otherwise(step).alias("nativeStep"), value.isNull().alias("collection_gap"))
 
 
 def asn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ EV = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, 'C
   CAST(64512 + user_id % 30 AS INT) AS asn, CAST(event_id % 13 AS INT) AS msm_id FROM events)"""
 MEAS = """meas AS (SELECT event_id, ts AS ts_utc, date_trunc('hour', ts) AS time_window, country_code, asn, msm_id, user_id AS probe, k,
   CASE WHEN k < 2 THEN NULL ELSE value END AS rtt_avg_ms,
-  1.0::DOUBLE - (CASE WHEN k < 2 THEN 0 WHEN k < 6 THEN 1 WHEN k < 15 THEN 2 ELSE 3 END)::DOUBLE / 3.0::DOUBLE AS packet_loss, k < 2 AS icmp_filtered
+  CASE WHEN k <> 17 THEN 1.0::DOUBLE - (CASE WHEN k < 2 THEN 0 WHEN k < 6 THEN 1 WHEN k < 15 THEN 2 ELSE 3 END)::DOUBLE / 3.0::DOUBLE END AS packet_loss, k < 2 AS icmp_filtered
   FROM ev WHERE event_type IN ('signup', 'error'))"""
 SIG = """sig AS (SELECT event_id, ts AS ts_utc, CAST(floor(epoch(ts)) AS BIGINT) AS s, country_code, value, CASE WHEN k % 20 = 0 THEN NULL ELSE value END AS gap_value,
   CASE event_type WHEN 'click' THEN 'bgp' WHEN 'view' THEN 'merit-nt' ELSE 'ping-slash24' END AS datasource, CASE event_type WHEN 'purchase' THEN 600 ELSE 300 END AS step
@@ -63,7 +66,7 @@ SIG = """sig AS (SELECT event_id, ts AS ts_utc, CAST(floor(epoch(ts)) AS BIGINT)
 BASE = """base AS (SELECT time_window, country_code, asn, quantile_disc(rtt_avg_ms, 0.1) AS rtt_p10_ms, quantile_disc(rtt_avg_ms, 0.5) AS rtt_median_ms, quantile_disc(rtt_avg_ms, 0.9) AS rtt_p90_ms,
   quantile_disc(packet_loss, 0.5) AS loss_median_pct, quantile_disc(packet_loss, 0.95) AS loss_p95_pct, CAST(count(*) AS INT) AS total_measurements,
   CAST(count(DISTINCT probe) AS INT) AS probe_count, CAST(count(DISTINCT msm_id) AS INT) AS root_server_count, CAST(sum(icmp_filtered::INT) AS INT) AS icmp_filtered_count
-  FROM meas WHERE rtt_avg_ms > 0 GROUP BY ALL)"""
+  FROM meas WHERE rtt_avg_ms > 0 AND packet_loss IS NOT NULL GROUP BY ALL)"""
 
 
 def buckets_sql(value: str = "value", name: str = "buckets") -> str:
@@ -78,7 +81,7 @@ pc AS (SELECT time_window, country_code, avg(CASE WHEN datasource = 'bgp' AND b
 EVIDENCE = """rc AS (SELECT time_window, country_code, quantile_disc(loss_p95_pct, 0.95) AS ripe_loss_p95, quantile_disc(rtt_p90_ms, 0.9) AS ripe_rtt_p90_ms, CAST(sum(probe_count) AS INT) AS ripe_probe_count,
   CAST(count(DISTINCT asn) FILTER (loss_p95_pct > 0.10::DOUBLE) AS INT) AS ripe_asn_affected FROM base GROUP BY ALL)"""
 EVIDENCE_RAW = """rc AS (SELECT time_window, country_code, quantile_disc(packet_loss, 0.95) AS ripe_loss_p95, quantile_disc(rtt_avg_ms, 0.9) AS ripe_rtt_p90_ms, CAST(count(DISTINCT probe) AS INT) AS ripe_probe_count,
-  CAST(count(DISTINCT asn) FILTER (packet_loss > 0.10::DOUBLE) AS INT) AS ripe_asn_affected FROM meas WHERE rtt_avg_ms > 0 GROUP BY ALL)"""
+  CAST(count(DISTINCT asn) FILTER (packet_loss > 0.10::DOUBLE) AS INT) AS ripe_asn_affected FROM meas WHERE rtt_avg_ms > 0 AND packet_loss IS NOT NULL GROUP BY ALL)"""
 SCORE = """(CASE WHEN ripe_loss_p95 > 0.20::DOUBLE THEN 1.0 WHEN ripe_loss_p95 > 0.10::DOUBLE THEN 0.5 ELSE 0.0 END)::DOUBLE * 0.35::DOUBLE
   + (CASE WHEN bgp_pct_change < -0.05::DOUBLE THEN 1 ELSE 0 END)::DOUBLE * 0.35::DOUBLE + (CASE WHEN merit_pct_change < -0.10::DOUBLE THEN 1 ELSE 0 END)::DOUBLE * 0.20::DOUBLE
   + (CASE WHEN ping_pct_change < -0.10::DOUBLE THEN 1 ELSE 0 END)::DOUBLE * 0.10::DOUBLE"""

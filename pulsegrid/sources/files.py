@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pulsegrid.operators.frames import ensure
 from pulsegrid.schemas import CORRUPT, with_corrupt
 
 
@@ -16,6 +17,12 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[Data
     return raw.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT), raw.select(f"r.{CORRUPT}").where(F.col(CORRUPT).isNotNull())
 
 
+def json_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the schema that Spark infers from them; a column `_corrupt_record` has the text of malformed ones, whose other
+    columns are null, and is there without any too."""
+    return ensure(spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path), **{CORRUPT: "string"})
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
@@ -42,6 +49,15 @@ def probe_map(directory: DataFrame, order: Column) -> DataFrame:
     return last.select("prb_id", "r.country_code", "r.asn")
 
 
+def probe_entries(entries: DataFrame) -> DataFrame:
+    """prb_id, country_code, asn of a stored probe map: columns prb_id and value, the JSON text of an object, or, as older maps
+    have it, of a string that is the country alone."""
+    legacy = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0]
+    entry = F.from_json("value", "country_code string, asn int")
+    old = F.ltrim("value").startswith('"')
+    return entries.select("prb_id", F.when(old, legacy).otherwise(entry["country_code"]).alias("country_code"), F.when(~old, entry["asn"]).alias("asn"))
+
+
 def unwrap_series(raw: DataFrame, column: str = "data") -> DataFrame:
     """Rows of an answer that is a list of lists of series."""
     return raw.select(F.explode(F.flatten(column)).alias("s")).select("s.*")

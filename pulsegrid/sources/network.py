@@ -1,9 +1,11 @@
-"""Sources that need a network: Kafka, JDBC, paginated REST, chunked history. Their libraries may be absent here; nothing
-is loaded before use."""
+"""Sources that need a network: Kafka, sockets, JDBC, paginated REST, chunked history, bulk WHOIS. Kafka's library may be absent;
+nothing is loaded before use."""
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import socket
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -26,6 +28,28 @@ def jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, l
     return r.load()
 
 
+def lookback(table: str, columns: list[str], time: str, since: dt.datetime, until: dt.datetime, hours: int = 25) -> str:
+    """For jdbc(): a subquery of the rows from so many hours before since up to until, which the database filters."""
+    at = lambda t: t.strftime("%Y-%m-%d %H:%M:%S")
+    return f"(SELECT {', '.join(columns)} FROM {table} WHERE {time} >= TIMESTAMP('{at(since - dt.timedelta(hours=hours))}') AND {time} <= TIMESTAMP('{at(until)}')) window_rows"
+
+
+def execute(spark: SparkSession, url: str, *statements: str) -> None:
+    """Runs statements in a database that Spark has a driver of, each committed by itself."""
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        for s in statements:
+            connection.createStatement().execute(s)
+    finally:
+        connection.close()
+
+
+def lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """A stream of the lines that a TCP server sends, column value; what has been read can't be read again, so it is for
+    feeds that are lossy anyhow."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
 def history_chunks(spark: SparkSession, since: int, until: int, width: int = 7200) -> DataFrame:
     """from, until of each chunk of [since, until), the last one cut: one row, so one request, each."""
     if since >= until:
@@ -39,11 +63,13 @@ class _Span(InputPartition):
 
 
 class PagedRest(DataSource):
-    """spark.read.format("paged_rest"): pages of a JSON API, each record a JSON text in column value.
+    """spark.read.format("paged_rest"): pages of a JSON API, each record a JSON text in column value; error is null.
 
-    Options: url; page_size (100); size_name, page_name (limit, page); since, until, chunk (epoch seconds: a partition for
-    each chunk, sent as from and until); timeout. Pages are read until one is empty or short; {"data": [...]} is unwrapped and
-    {"error": ...} raises, so that Spark retries the task.
+    Options: url; page_size (100); size_name, page_name (limit, page); rows_name (data: the field that holds a page's records);
+    since, until, chunk (epoch seconds: a partition for each chunk, sent as from and until); params, other parameters as a query string
+    such as maxPoints=1440; timeout. Pages are read until one is empty or short. With next_name, a page names the next one's URL
+    in that field instead, and page numbers aren't sent. {"error": ...} raises, so that Spark retries the task; with
+    on_error=report a chunk that fails is left out and gives one row, without a value, whose error tells its range and why.
     """
 
     @classmethod
@@ -51,7 +77,7 @@ class PagedRest(DataSource):
         return "paged_rest"
 
     def schema(self) -> str:
-        return "value string"
+        return "value string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _PagedReader(dict(self.options))
@@ -67,19 +93,74 @@ class _PagedReader(DataSourceReader):
         since, until, width = int(self.o["since"]), int(self.o["until"]), int(self.o.get("chunk", 7200))
         return [_Span(a, min(a + width, until)) for a in range(since, until, width)]
 
-    def read(self, partition: _Span) -> Iterator[tuple[str]]:
+    def read(self, partition: _Span) -> Iterator[tuple[str | None, str | None]]:
+        if self.o.get("on_error") != "report":
+            yield from self._rows(partition)
+            return
+        try:
+            found = list(self._rows(partition))  # a chunk is kept whole or not at all
+        except Exception as e:
+            found = [(None, f"{partition.since}-{partition.until}: {e}")]
+        yield from found
+
+    def _rows(self, partition: _Span) -> Iterator[tuple[str, None]]:
+        following, rows_name = self.o.get("next_name"), self.o.get("rows_name", "data")
         size, page = int(self.o.get("page_size", 100)), 0
-        while True:
-            query = {self.o.get("size_name", "limit"): size, self.o.get("page_name", "page"): page}
-            if partition.since is not None:
-                query |= {"from": partition.since, "until": partition.until}
-            with urllib.request.urlopen(f"{self.o['url']}?{urllib.parse.urlencode(query)}", timeout=float(self.o.get("timeout", 30))) as r:
+        query = dict(urllib.parse.parse_qsl(self.o.get("params", ""))) | {self.o.get("size_name", "limit"): size}
+        if partition.since is not None:
+            query |= {"from": partition.since, "until": partition.until}
+        url = f"{self.o['url']}?{urllib.parse.urlencode(query)}"
+        while url:
+            at = url if following else f"{url}&{urllib.parse.urlencode({self.o.get('page_name', 'page'): page})}"
+            with urllib.request.urlopen(at, timeout=float(self.o.get("timeout", 30))) as r:
                 body = json.load(r)
             if isinstance(body, dict) and body.get("error"):
                 raise RuntimeError(f"the server answered: {body['error']}")
-            rows = body["data"] if isinstance(body, dict) else body
+            rows = body[rows_name] if isinstance(body, dict) else body
             for x in rows or ():
-                yield (json.dumps(x, separators=(",", ":")),)
-            if not rows or len(rows) < size:
+                yield json.dumps(x, separators=(",", ":")), None
+            if following:
+                url = body.get(following)
+            elif not rows or len(rows) < size:
                 return
             page += 1
+
+
+class BulkWhois(DataSource):
+    """spark.read.format("bulk_whois"): the lines that a WHOIS server answers to a list of numbers, column value.
+
+    Options: host, port (43), asns (comma-separated), batch (1000: numbers a connection, each a partition), timeout.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "bulk_whois"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WhoisReader(dict(self.options))
+
+
+class _Numbers(InputPartition):
+    def __init__(self, asns: list[int]):
+        self.asns = asns
+
+
+class _WhoisReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.o = options
+
+    def partitions(self) -> list[InputPartition]:
+        asns, width = [int(a) for a in self.o["asns"].split(",") if a.strip()], int(self.o.get("batch", 1000))
+        return [_Numbers(asns[i : i + width]) for i in range(0, len(asns), width)] or [_Numbers([])]
+
+    def read(self, partition: _Numbers) -> Iterator[tuple[str]]:
+        if not partition.asns:
+            return
+        with socket.create_connection((self.o["host"], int(self.o.get("port", 43))), timeout=float(self.o.get("timeout", 60))) as s:
+            s.sendall(("begin\nverbose\n" + "".join(f"AS{a}\n" for a in partition.asns) + "end\n").encode())
+            with s.makefile(encoding="utf-8", errors="replace") as answer:
+                for line in answer:
+                    yield (line.rstrip("\r\n"),)

@@ -39,8 +39,10 @@ def payload(envelope: DataFrame, schema: StructType) -> DataFrame:
 KINDS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {"pings": (silver.pings, "ts_utc"), "alerts": (silver.alerts, "ts_from"), "events": (silver.events, "ts_from"), "signals": (silver.signals, "ts_utc")}
 
 
-def refined(raw: DataFrame, kind: str, late: str | None = "1 hour") -> DataFrame:
-    """The stream of refined rows; copies within `late` of each other are dropped, which covers polls that overlap."""
+def refined(raw: DataFrame, kind: str, late: str | None = None) -> DataFrame:
+    """The stream of refined rows, however late they come: polls that overlap give copies, which readers drop by silver.dedup
+    (as the handlers here do). With `late`, copies within that time of each other go in the stream, and with them rows that are
+    further behind the newest one, such as an event that began hours ago and is reported again."""
     transform, time = KINDS[kind]
     out = transform(raw)
     return out if late is None else out.withWatermark(time, late).dropDuplicatesWithinWatermark(silver.DEDUP[kind])
@@ -155,3 +157,11 @@ def stop_all(queries: dict[str, StreamingQuery]) -> None:
     for q in queries.values():
         if q.isActive:
             q.stop()
+
+
+def reset(spark: SparkSession, checkpoint: str, *outputs: str) -> None:
+    """Forgets what a stopped query has read: removes its checkpoint and the lists of committed files in its output folders, so
+    that tables which a batch job has rewritten are read as they are."""
+    tables.remove(spark, checkpoint)
+    for path in outputs:
+        tables.remove(spark, f"{path.rstrip('/')}/_spark_metadata")

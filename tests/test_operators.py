@@ -112,6 +112,31 @@ def test_z_scores_equal_a_sliding_frame(spark):
         assert (r.z_score is None) == (r.value is None or len(seen) < 2 or r.datasource == "flat")
 
 
+def test_z_scores_keep_rows_with_nulls_and_round_ties(spark):
+    day = 86400
+    rows = [("DE", "x", 0, 47.84), ("DE", "x", 1, 47.85), ("DE", "x", 1, 47.85), ("DE", "x", 2, 47.845), (None, "x", 5, 1.0), (None, "x", 6, 2.0), (None, "x", 7, 4.0), ("DE", None, 5, 1.0), ("DE", "x", None, 3.0), ("DE", "x", None, 5.0), (None, None, None, None), ("DE", "inf", 0, float("inf")), ("DE", "inf", 1, 1.0), ("DE", "inf", 8 * day, 1.0), ("DE", "inf", 8 * day + 1, 1.0)]
+    got = gold.z_scores(spark.createDataFrame(rows, "entity_code string, datasource string, ts long, value double")).collect()
+    assert len(got) == len(rows)
+    at = {(r.entity_code, r.datasource, r.ts): r for r in got}
+    assert at["DE", "x", 2].rolling_mean == (47.84 + 47.85 + 47.85) / 3 and at["DE", "x", 1].rolling_mean == 47.84
+    assert (at[None, "x", 7].rolling_mean, at[None, "x", 7].z_score) == (1.5, round(2.5 / 0.5**0.5, 4))
+    assert at["DE", None, 5].rolling_mean is None and at[None, None, None].rolling_mean is None
+    assert at["DE", "x", None].rolling_mean == 4.0  # rows without a time are each other's window
+    assert at["DE", "inf", 1].rolling_mean is None and at["DE", "inf", 8 * day + 1].rolling_mean == 1.0
+
+
+def test_trailing_nulls_equal_a_window_over_the_series(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["DE", "FR", None]), "bgp", rng.choice([None, rng.randrange(30) * 40_000, rng.randrange(9)]), None if rng.random() < 0.8 else 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, entity_code string, datasource string, ts long, value double")
+    w = Window.partitionBy("entity_code", "datasource").orderBy("ts", "id").rowsBetween(1, 5)
+    want = {r.id: r.t for r in df.select("id", (F.col("value").isNull() & (F.count("value").over(w) == 0)).alias("t")).collect()}
+    got = {r.id: r.is_trailing_null for r in gold.trailing_nulls(df, tie="id").collect()}
+    assert got == want and any(got.values()) and not all(got.values())
+
+
 def test_trailing_nulls(spark):
     values = [1.0, None, 2.0] + [None] * 6
     got = gold.trailing_nulls(spark.createDataFrame([("DE", "bgp", i, v) for i, v in enumerate(values)], "entity_code string, datasource string, ts long, value double")).orderBy("ts").collect()
@@ -163,6 +188,33 @@ def test_percentiles_are_ordered_and_total_loss_is_optional(spark):
     assert a.icmp_filtered_count == 0 < b.icmp_filtered_count
 
 
+def test_rows_without_a_known_loss_are_left_out(spark):
+    rows = silver.pings(spark.createDataFrame([ping(), ping(sent=0), ping(sent=None, asn=2)], PING))
+    assert [(r.asn, r.total_measurements) for r in gold.baselines(rows).collect()] == [(1, 1)]
+    assert [r.total_measurements for r in gold.baselines(rows, include_total_loss=True).collect()] == [1]
+    assert gold.loss_evidence_raw(rows).first().ripe_probe_count == 1
+
+
+def test_buckets_are_of_the_step_not_the_native_one(spark):
+    rows = [("country", "de", "bgp", NOON + t, 1.0, 900, 300) for t in (0, 300, 600)] + [("country", "de", "bgp", NOON, 1.0, None, 300), ("country", "de", "bgp", NOON, 1.0, 0, 300)]
+    got = gold.signal_buckets(silver.signals(spark.createDataFrame(rows, SIGNAL))).collect()
+    assert [(r.step_seconds, r.sample_count) for r in got] == [(900, 3)]
+
+
+def test_refresh_empties_days(spark):
+    path = folder(spark, "t")
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, d, 5), "A", 1, 10.0, 20.0, 0.1, 0.2, 30, 2) for d in (1, 2, 3)], "time_window timestamp, country_code string, asn int, rtt_median_ms double, rtt_p90_ms double, loss_median_pct double, loss_p95_pct double, total_measurements int, probe_count int")
+    tables.refresh(rows, path, gold.rollup_daily, "time_window", dt.date(2024, 1, 1), dt.date(2024, 1, 5))
+    tables.refresh(rows.where("day(time_window) != 2"), path, gold.rollup_daily, "time_window", dt.date(2024, 1, 2), dt.date(2024, 1, 4))
+    assert sorted(r.day.day for r in tables.read(spark, path).collect()) == [1, 3]
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([("a", 3), ("b", None), ("c", 5), ("d", 3), ("e", None)], "country_code string, v int")
+    assert [(r.country_code, r["rank"]) for r in serving.ranked(df, "v").orderBy("rank").collect()] == [("c", 1), ("a", 2), ("d", 3), ("b", 4), ("e", 5)]
+    assert serving.ranked(df, "v", 2).count() == 2
+
+
 def test_upsert_touches_only_its_days(spark):
     path = folder(spark, "t")
     ts = lambda d, h: dt.datetime(2024, 1, d, h)

@@ -5,7 +5,8 @@ import urllib.parse
 
 import pytest
 
-from pulsegrid.sources import network
+from pulsegrid.operators.workspace import folder
+from pulsegrid.sources import files, network
 from pulsegrid.streaming import jobs
 
 
@@ -36,6 +37,7 @@ def test_paged_rest(spark, server):
     df = spark.read.format("paged_rest").option("url", server).option("page_size", 5).options(since=1000, until=1250, chunk=100).load()
     assert df.rdd.getNumPartitions() == 3
     assert sorted(json.loads(r.value)["n"] for r in df.collect()) == sorted(b + i for b in (1000, 1100, 1200) for i in range(12))
+    assert df.where("error IS NOT NULL").count() == 0
     with pytest.raises(Exception, match="the server answered"):
         spark.read.format("paged_rest").option("url", f"{server}/broken").load().collect()
 
@@ -45,6 +47,24 @@ def test_chunks(spark):
     assert network.history_chunks(spark, 5, 5).count() == 0
 
 
+def test_an_operator_without_a_shared_folder_fails_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folder(Session, "x")
+
+
+def test_probe_entries_of_both_forms(spark):
+    rows = [(1, '{"country_code": "DE", "asn": 5}'), (2, '"FR"'), (3, '{"country_code": "ES"}'), (4, "junk"), (5, None)]
+    got = files.probe_entries(spark.createDataFrame(rows, "prb_id int, value string")).orderBy("prb_id").collect()
+    assert [tuple(r)[1:] for r in got] == [("DE", 5), ("FR", None), ("ES", None), (None, None), (None, None)]
+
+
 def test_a_stream_without_a_source_is_left_out(spark):
     assert jobs.files(spark, "/tmp/there/is/no/such/path") is None
     assert jobs.start_all(spark, {"a": lambda: None}) == {}
