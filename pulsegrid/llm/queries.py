@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from pulsegrid.llm import cdc_dedup, html_main, iblt, lsa_decontam, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, warc_revisit
 from pulsegrid.llm.shared import table
 
@@ -68,7 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rake_mix": op8_rake_mix,
         "op9_iblt": op9_iblt,
         "op10_simhash_cover": op10_simhash_cover,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -24,13 +24,21 @@ def free(name: str, columns: list[str]) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder in spark.checkpoint.dir; where that is unset (local runs, tests), of one of our
-    own. Whoever ends the application may remove it; tables that results still read are there."""
+    """This application's part of the folder in spark.checkpoint.dir. Where that is unset, local runs get a temporary folder; a
+    cluster's machines share none, so there it's an error. What is left of it goes when the application ends."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"
+    own = f"{place.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return own
 
 
 def park(df: DataFrame, name: str) -> tuple[DataFrame, str]:
