@@ -1,12 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame operations only.
 
-A sketch has three tables of cells; a digest goes to one cell of each, which keeps the number of digests, the XOR of them
-and the XOR of their checks. Sketches of two versions subtract cell by cell: what both have cancels out. A cell that then
-holds one digest gives it away; taking that out of its other cells lays more bare, and so on (peeling) until the cells are
-empty and all differing digests are known. If cells are left over, both versions are sketched anew with twice the cells.
-
-Peeling is done in rows (document, cell), partitioned by document once: every round is a Generate and an aggregation by
-document and cell, which that partitioning serves, so that rounds need no exchange.
+A sketch has three tables of four cells; a digest goes to one cell of each, which keeps the number of digests, the XOR of
+them and the XOR of their checks. Sketches of two versions subtract cell by cell: what both have cancels out. A cell that
+then holds one digest gives it away; taking that out of its other cells lays more bare, and so on (peeling) until the cells
+are empty and all differing digests are known. The published fingerprints are compared in this way. Where cells are left
+over, both versions are sketched anew, with as many cells as the failed sketches let expect, and twice as many each time
+that this fails again.
+
+Sketching and peeling are done in rows (document, cell), partitioned by document once: every round is a Generate and an
+aggregation by document and cell, which that partitioning serves, so that rounds need no exchange.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from pulsegrid.llm.shared import drop, park
 
 #: Cells of each of the three tables of the sketch that is published.
 WIDTH = 4
-ROUNDS = 12
-#: (row, pair)s of a task when peeling: each is spread to hundreds of rows, so that the size of what is read tells little.
-PAIRS = 20_000
+CELLS = 3 * WIDTH
+#: Rounds of peeling, a table each.
+ROUNDS = 9
+#: Rows of a task when sketching: each is spread to dozens of rows, so that the size of what is read tells little.
+TASK_ROWS = 20_000
 #: doc_ids that share all bits but the last ten follow each other in one window.
 BLOCK = 10
+#: A block with more rows than this (of repeated or null doc_ids) is cut by doc_id and the first bits of the text's hash.
+CROWD = 8 << BLOCK
 #: Blocks are themselves put in order in one window up to this number, and else in blocks of blocks.
 AT_ONCE = 10_000
 
@@ -48,21 +54,51 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("long")))
 
 
-def _cell_of(d: Column, factors: tuple[int, int]):
-    def cell(i: Column) -> Column:
-        own = F.filter(d, lambda x: _hash(x, factors) % WIDTH == i)
-        keys = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-        checks = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(check(x)))
-        return F.concat_ws(":", F.size(own).cast("string"), F.hex(keys), F.hex(checks))
+def _places(key: Column, width: Column) -> list[Column]:
+    """A digest's cell in each of three tables of so many cells, numbered through."""
+    return [width * j + _hash(key, FACTORS[j]) % width for j in range(3)]
+
 
-    return cell
+def _sketches(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, cell, n, key, check of the cells of sketches that hold something; rows: by, width, n (1 or -1), key."""
+    key = F.col("key")
+    spread = rows.select(*by, F.explode(F.array(*_places(key, F.col("width")))).alias("cell"), "n", "key", check(key).alias("check"))
+    return _total(spread, [*by, "cell"])
 
 
-def sketch(d: Column) -> Column:
-    """The published sketch: count:xor:check of every cell, in hex, joined by dots. Equal sets give equal sketches."""
-    cells = F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))
-    tables = [F.transform(cells, _cell_of(d, factors)) for factors in FACTORS]
-    return F.lower(F.array_join(F.concat(*tables), "."))
+def _total(rows: DataFrame, by: list[str]) -> DataFrame:
+    cells = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    return cells.where("n != 0 OR key != 0 OR check != 0")
+
+
+def _peel(cells: DataFrame) -> DataFrame:
+    """row, pair, width, cell, n, key, check of what is left of subtracted sketches after so many rounds; cell -1 has the
+    number of digests found."""
+    now, key = cells, F.col("key")
+    places = _places(key, F.col("width"))
+    row = lambda cell, n, key, check: F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
+    as_is, counted = row(F.col("cell"), F.col("n"), key, F.col("check")), row(F.lit(-1), F.lit(1), F.lit(0), F.lit(0))
+    for k in range(ROUNDS):
+        t = k % 3
+        # In one table a digest lies in one cell alone, so that none is taken out twice.
+        pure = (F.col("cell") >= F.col("width") * t) & (F.col("cell") < F.col("width") * (t + 1)) & (F.abs("n") == 1) & (check(key) == F.col("check")) & (places[t] == F.col("cell"))
+        others = [row(places[j], -F.col("n"), key, F.col("check")) for j in range(3) if j != t]
+        spread = now.select("row", "pair", "width", F.explode(F.when(pure, F.array(*others, counted)).otherwise(F.array(as_is))).alias("c"))
+        now = _total(spread.select("row", "pair", "width", "c.cell", "c.n", "c.key", "c.check"), ["row", "pair", "width", "cell"])
+    return now
+
+
+def _outcome(peeled: DataFrame) -> DataFrame:
+    """row, pair, n: digests found, null where cells are left over."""
+    return peeled.groupBy("row", "pair").agg(F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("some"), F.max("cell").alias("left")).select("row", "pair", F.when(F.col("left") < 0, F.col("some")).alias("n"))
+
+
+def published(cells: Column) -> Column:
+    """A sketch as text, from a map of its cells that hold something: count:xor:check of every cell, in hex, joined by dots. Equal
+    sets give equal sketches."""
+    one = lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"]))
+    all_ = F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))
+    return F.lower(F.array_join(F.transform(all_, lambda j: F.when(F.map_contains_key(cells, j), one(F.try_element_at(cells, j))).otherwise(F.lit("0:0:0"))), "."))
 
 
 def next_lower(ids: DataFrame) -> DataFrame:
@@ -77,23 +113,51 @@ def next_lower(ids: DataFrame) -> DataFrame:
     return within.join(heads, "block", "left").select("id", F.coalesce("lower", "below").alias("lower"))
 
 
+def _after(firsts: DataFrame) -> DataFrame:
+    """firsts (block, slot) with to_block, to_slot: the part of the order that comes next, the first after the last."""
+    order = Window.partitionBy("block").orderBy("slot")
+    parts, _ = park(firsts.select("block", "slot", F.lead("slot").over(order).alias("next_slot")), "parts")
+    heads = parts.groupBy("block").agg(F.min("slot").alias("head"))
+    lower, _ = park(next_lower(heads.select(F.col("block").alias("id"))), "order")
+    top = lower.agg(F.max("id")).first()[0]
+    to = lower.select(F.col("id").alias("block"), F.coalesce("lower", F.lit(top)).alias("lower")).join(heads.select(F.col("block").alias("lower"), "head"), "lower")
+    same = F.col("next_slot").isNotNull()
+    return parts.join(to, "block").select("block", "slot", F.when(same, F.col("block")).otherwise(F.col("lower")).alias("to_block"), F.when(same, F.col("next_slot")).otherwise(F.col("head")).alias("to_slot"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text of docs, null texts as empty, with the next document's text: in order of descending doc_id (null last),
     rows of one doc_id by the MD5 of their text; the first follows the last.
 
-    Texts are shuffled once, by blocks of doc_ids; the block's last row gets the head of the next block.
+    Texts are shuffled once, by blocks of doc_ids; a block's last row gets the head of the next block, from the same shuffle.
+    Blocks with more rows than doc_ids could account for are cut finer, and equal rows in them are counted before they are
+    shuffled, so that no number of rows of one doc_id, or without one, is a single task.
     """
-    low = F.lit(-(2**63)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.shiftright(F.coalesce("doc_id", low), BLOCK))
-    blocks, _ = park(rows.groupBy("block").agg(F.max(F.coalesce("doc_id", low)).alias("head")), "heads")
-    order, _ = park(next_lower(blocks.select(F.col("block").alias("id"))), "order")
-    top = blocks.agg(F.max("block")).first()[0]
-    text = rows.join(blocks.select("block", "head"), "block").where(F.coalesce("doc_id", low) == F.col("head")).groupBy("block").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("m"), "text")).alias("m"))
-    lower = F.coalesce("lower", F.lit(top))
-    heads = order.select(F.col("id"), lower.alias("block")).join(text, "block").select(F.col("id").alias("block"), F.col("m.text").alias("head"))
-    heads, _ = park(heads, "head_texts")
-    w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.md5(F.col("text").cast("binary")))
-    return rows.withColumn("next", F.lead("text").over(w)).join(heads, "block").select("doc_id", "text", F.coalesce("next", "head").alias("next"))
+    id_ = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.shiftright(id_, BLOCK))
+    blocks, _ = park(rows.groupBy("block").count(), "blocks")
+    crowded = blocks.where(F.col("count") > CROWD).select("block", F.lit(True).alias("crowded"))
+    crowds = not crowded.isEmpty()
+    rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    if crowds:
+        cut = ((1 << BLOCK) - 1 - id_.bitwiseAND(F.lit((1 << BLOCK) - 1))) * 4096 + F.conv(F.substring("digest", 1, 3), 16, 10).cast("long")
+        rows = rows.join(crowded, "block", "left").withColumn("slot", F.when(F.col("crowded"), cut).otherwise(F.lit(0)))
+        many = rows.where("crowded").groupBy("block", "slot", "doc_id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        rows = rows.where("crowded IS NULL").withColumn("copies", F.lit(1).cast("long")).drop("crowded").unionByName(many)
+        firsts = rows.select("block", "slot").distinct()
+    else:
+        rows = rows.withColumns({"slot": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+        firsts = blocks.select("block", F.lit(0).cast("long").alias("slot"))
+    w = Window.partitionBy("block", "slot").orderBy(F.desc(id_), "digest")
+    placed = rows.withColumns({"next": F.lead("text").over(w), "place": F.row_number().over(w)})
+    to = _after(firsts)
+    heads = placed.where("place = 1").select(F.col("block").alias("to_block"), F.col("slot").alias("to_slot"), F.col("text").alias("head"))
+    heads = to.join(heads, ["to_block", "to_slot"]).select("block", "slot", "head")
+    found = placed.join(heads, ["block", "slot"]).select("doc_id", "text", F.coalesce("next", "head").alias("next"), "copies")
+    if not crowds:
+        return found.drop("copies")
+    each = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("i"))
+    return each.select("doc_id", "text", F.when(F.col("i") == F.col("copies"), F.col("next")).otherwise(F.col("text")).alias("next"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -103,54 +167,53 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(other, F.lit(1), half))
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / TASK_ROWS))
+
+
+def compare(sets: DataFrame) -> DataFrame:
+    """row, fingerprint, edited_fingerprint, own_size, new_size, other_size, and for the edited text and the next one the
+    number of paragraphs that differ by the fingerprints (edited, next; null where they don't peel) and the number to expect
+    then. sets: row, own, new, other, arrays of digests."""
+    version = lambda k, c: F.struct(F.lit(k).alias("version"), F.col(c).alias("digests"))
+    rows = sets.repartition(_tasks(sets), "row").select("row", F.explode(F.array(version(0, "own"), version(1, "new"), version(2, "other"))).alias("v")).select("row", "v.version", F.explode("v.digests").alias("key"))
+    cells = _sketches(rows.select("row", "version", F.lit(WIDTH).cast("long").alias("width"), F.lit(1).cast("long").alias("n"), "key"), ["row", "version"])
+    # Every document's own cells by version, and subtracted by pair: the own ones take part in both.
+    entry = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("version") == k, F.struct("cell", F.struct("n", "key", "check")))))
+    size = lambda k: F.coalesce(F.sum(F.when((F.col("version") == k) & (F.col("cell") < WIDTH), F.col("n"))), F.lit(0))
+    texts = cells.groupBy("row").agg(published(entry(0)).alias("fingerprint"), published(entry(1)).alias("edited_fingerprint"), size(0).alias("own_size"), size(1).alias("new_size"), size(2).alias("other_size"))
+    pairs = F.when(F.col("version") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("version") - 1))
+    signed = cells.select("row", F.explode(pairs).alias("pair"), "cell", F.when(F.col("version") == 0, F.col("n")).otherwise(-F.col("n")).alias("n"), "key", "check")
+    less = _total(signed, ["row", "pair", "cell"]).withColumn("width", F.lit(WIDTH).cast("long"))
+    found = _outcome(_peel(less.select("row", "pair", "width", "cell", "n", "key", "check")))
+    # A table's counts squared are, on average, 3/4 of the differences and a quarter of the square of their sum.
+    first = F.col("cell") < WIDTH
+    seen = less.groupBy("row", "pair").agg((F.sum(F.col("n") * F.col("n")) / 3).alias("square"), F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("more"))
+    expected = F.greatest(F.abs("more").cast("double"), (F.col("square") - F.col("more") * F.col("more") / 4) / 0.75, F.lit(8.0))
+    both = found.join(seen.select("row", "pair", expected.alias("expected")), ["row", "pair"])
+    of = lambda k, c: F.max(F.when(F.col("pair") == k, F.col(c)))
+    wide = both.groupBy("row").agg(of(0, "n").alias("edited"), of(1, "n").alias("next"), of(0, "expected").alias("edited_expected"), of(1, "expected").alias("next_expected"))
+    return texts.join(wide, "row", "left")
+
+
 def differing(pairs: DataFrame) -> DataFrame:
     """row, pair, n: how many digests differ between the sets a and b of each (row, pair); rows of equal sets may be missing.
 
-    pairs: row, pair, a, b, the sets as arrays of digests.
+    pairs: row, pair, a, b, the sets as arrays of digests, and expected, about how many differ: sketches have some 3.6 cells for
+    each, and twice as many every time that they don't peel.
     """
-    spark = pairs.sparkSession
-    out, todo, scale = None, pairs, 1
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / PAIRS))
+    out, todo = None, pairs
     while True:
-        tried, _ = park(_peel(todo, scale, tasks), "peeled")
-        failed = tried.where("cell >= 0").select("row", "pair").distinct()
-        found = tried.where("cell < 0").select("row", "pair", F.col("n").cast("long").alias("n"))
-        failed, failed_path = park(failed, "failed")
-        done = failed.isEmpty()
-        good = found if done else found.join(failed, ["row", "pair"], "left_anti")
-        out = good if out is None else out.union(good)
-        if done:
-            drop(spark, failed_path)
+        width = F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("expected") * 1.2)))).cast("long")
+        signed = lambda c, s: F.transform(c, lambda d: F.struct(d.alias("key"), F.lit(s).cast("long").alias("n")))
+        each = todo.repartition(_tasks(todo), "row").select("row", "pair", width.alias("width"), F.explode(F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1))).alias("e"))
+        tried, _ = park(_outcome(_peel(_sketches(each.select("row", "pair", "width", "e.n", "e.key"), ["row", "pair", "width"]))), "peeled")
+        good = tried.where("n IS NOT NULL")
+        out = good if out is None else out.unionByName(good)
+        failed = tried.where("n IS NULL")
+        if failed.isEmpty():
             return out
-        todo, scale = pairs.join(failed, ["row", "pair"], "left_semi"), scale * 2
-
-
-def _peel(pairs: DataFrame, scale: float, tasks: int) -> DataFrame:
-    """row, pair, cell, n, key, check after so many rounds; cell -1 has the number of digests found."""
-    some = F.size("a") + F.size("b")
-    width = F.greatest(F.lit(4), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(some, F.lit(1)) * 0.6 * scale)))).cast("long")
-    signed = lambda c, s: F.transform(c, lambda d: F.struct(d.alias("key"), F.lit(s).alias("n")))
-    sized = pairs.repartition(tasks, "row").select("row", "pair", width.alias("width"), F.explode(F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1))).alias("e"))
-    key = F.col("e.key")
-    place = lambda j, d: F.col("width") * j + _hash(d, FACTORS[j]) % F.col("width")
-    rows = sized.select("row", "pair", "width", F.explode(F.array(*(place(j, key) for j in range(3)))).alias("cell"), F.col("e.n").alias("n"), key.alias("key"), check(key).alias("check"))
-
-    def total(rows: DataFrame) -> DataFrame:
-        cells = rows.groupBy("row", "pair", "width", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
-        return cells.where("n != 0 OR key != 0 OR check != 0")
-
-    now = total(rows)
-    for k in range(ROUNDS):
-        t = k % 3
-        # In one table a digest lies in one cell alone, so that none is taken out twice.
-        pure = (F.floor(F.col("cell") / F.col("width")) == t) & (F.col("cell") >= 0) & (F.abs("n") == 1) & (check(F.col("key")) == F.col("check"))
-        row = lambda cell, n, key, check: F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
-        others = [row(place(j, F.col("key")), -F.col("n"), F.col("key"), F.col("check")) for j in range(3) if j != t]
-        counted = row(F.lit(-1), F.lit(1), F.lit(0), F.lit(0))
-        as_is = row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"))
-        spread = now.select("row", "pair", "width", F.explode(F.when(pure, F.array(*others, counted)).otherwise(F.array(as_is))).alias("c"))
-        now = total(spread.select("row", "pair", "width", "c.cell", "c.n", "c.key", "c.check"))
-    return now.select("row", "pair", "cell", "n", "key", "check")
+        todo = todo.join(failed.select("row", "pair"), ["row", "pair"], "left_semi").withColumn("expected", F.col("expected") * 2)
 
 
 def likeness(a: Column, b: Column, n: Column) -> Column:
@@ -162,13 +225,14 @@ def likeness(a: Column, b: Column, n: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
-    Null texts count as empty; an only document is its own next; ties and repeated rows: see with_next; an empty table gives
-    an empty one; other columns are not looked at.
+    near_* are the shared paragraphs over all, from the numbers of paragraphs that fingerprints hold and of those in which the
+    two differ. Null texts count as empty; an only document is its own next; ties and repeated rows: see with_next; an empty
+    table gives an empty one; other columns are not looked at.
     """
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     new = edited(F.col("text"), F.col("next"))
-    base = with_next(docs).select(
+    texts = with_next(docs).select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
@@ -177,20 +241,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(new).alias("new"),
         digests(F.col("next")).alias("other"),
     )
-    base, _ = park(base, "paragraphs")
-    pair = lambda k, c: F.struct(F.lit(k).alias("pair"), F.col(c).alias("b"))
-    pairs = base.select("row", F.col("own").alias("a"), F.explode(F.array(pair(0, "new"), pair(1, "other"))).alias("p")).select("row", "p.pair", "a", "p.b")
-    found = differing(pairs).groupBy("row").agg(F.sum(F.when(F.col("pair") == 0, F.col("n"))).alias("e"), F.sum(F.when(F.col("pair") == 1, F.col("n"))).alias("x"))
-    zero = F.lit(0).cast("long")
-    return base.join(found, "row", "left").select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        sketch(F.col("own")).alias("fingerprint"),
-        sketch(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.size("own"), F.size("new"), F.coalesce("e", zero)).alias("near_edited"),
-        likeness(F.size("own"), F.size("other"), F.coalesce("x", zero)).alias("near_next"),
-    )
+    base, base_path = park(texts, "paragraphs")
+    found, _ = park(base.select("row", "doc_id", "n_chars", "edited_sha256").join(compare(base.select("row", "own", "new", "other")), "row", "left"), "compared")
+    missing = lambda c: F.col(c).isNull() & F.col(f"{c}_expected").isNotNull()
+    todo = found.where(missing("edited") | missing("next"))
+    if not todo.isEmpty():
+        pair = lambda k, c, b: F.when(missing(c), F.struct(F.lit(k).alias("pair"), F.col(b).alias("b"), F.col(f"{c}_expected").alias("expected")))
+        arrays = base.select("row", "own", "new", "other").join(todo.select("row", "edited", "next", "edited_expected", "next_expected"), "row")
+        pairs = arrays.select("row", F.col("own").alias("a"), F.explode(F.array_compact(F.array(pair(0, "edited", "new"), pair(1, "next", "other")))).alias("p")).select("row", "p.pair", "a", "p.b", "p.expected")
+        pairs, pairs_path = park(pairs, "pairs")
+        late = differing(pairs).groupBy("row").agg(*(F.max(F.when(F.col("pair") == k, F.col("n"))).alias(f"{c}_late") for k, c in enumerate(("edited", "next"))))
+        late, _ = park(late, "late")
+        drop(docs.sparkSession, pairs_path)
+        found = found.join(late, "row", "left").withColumns({c: F.coalesce(c, f"{c}_late") for c in ("edited", "next")})
+    drop(docs.sparkSession, base_path)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    none = F.lit(".".join(["0:0:0"] * CELLS))
+    near = lambda other, n: likeness(zero("own_size"), zero(other), zero(n))
+    return found.select("doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", none).alias("fingerprint"), F.coalesce("edited_fingerprint", none).alias("edited_fingerprint"), near("new_size", "edited").alias("near_edited"), near("other_size", "next").alias("near_next"))
 
 
 def sql() -> str:

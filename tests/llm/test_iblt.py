@@ -19,16 +19,42 @@ def test_peeling_finds_every_difference(spark):
         shared = [rng.getrandbits(60) for _ in range(rng.randrange(0, 40))]
         a = shared + [rng.getrandbits(60) for _ in range(rng.randrange(0, 30) if i % 50 else 900)]
         b = shared + [rng.getrandbits(60) for _ in range(rng.randrange(0, 30))]
-        rows.append((i, i % 2, a, b))
-    got = {(r.row, r.pair): r.n for r in op.differing(spark.createDataFrame(rows, "row long, pair int, a array<long>, b array<long>")).collect()}
-    assert all(got.get((i, p), 0) == len(set(a) ^ set(b)) for i, p, a, b in rows)
+        rows.append((i, i % 2, a, b, float(len(set(a) ^ set(b)))))
+    got = {(r.row, r.pair): r.n for r in op.differing(spark.createDataFrame(rows, "row long, pair int, a array<long>, b array<long>, expected double")).collect()}
+    assert all(got.get((i, p), 0) == len(set(a) ^ set(b)) for i, p, a, b, _ in rows)
 
 
-def test_a_sketch_that_fails_is_retried_larger(spark):
+def test_fingerprints_that_do_not_peel_are_sketched_larger(spark):
     rng = random.Random(2)
-    df = spark.createDataFrame([(i, 0, [rng.getrandbits(60) for _ in range(14)], [rng.getrandbits(60) for _ in range(14)]) for i in range(200)], "row long, pair int, a array<long>, b array<long>")
-    assert op._peel(df, 0.4, 4).where("cell >= 0").count() > 0
-    assert {r.n for r in op.differing(df).collect()} == {28}
+    digests = lambda n: [rng.getrandbits(60) for _ in range(n)]
+    rows = []
+    for i in range(200):
+        own, more = digests(12), digests(i // 20)
+        rows.append((i, own, own + more, digests(i // 2)))
+    df = spark.createDataFrame(rows, "row long, own array<long>, new array<long>, other array<long>")
+    got = {r.row: r for r in op.compare(df).collect()}
+    for i, own, new, other in rows:
+        r = got[i]
+        assert (r.own_size, r.new_size, r.other_size) == (len(own), len(new), len(other))
+        assert r.edited in (None, len(new) - 12) if i >= 20 else r.edited is None and r.edited_expected is None
+        assert r.next in (None, 12 + len(other))
+    assert sum(got[i].edited is not None for i in range(20, 80)) > 50 and all(got[i].next is None for i in range(10, 200))
+    near = [got[i].next_expected / (12 + i // 2) for i in range(100, 200)]
+    assert 0.5 < sorted(near)[50] < 1.5
+    pairs = [(i, 0, own, other, 1.0) for i, own, _, other in rows]  # expected far too few: doubled until they peel
+    assert {r.row: r.n for r in op.differing(spark.createDataFrame(pairs, "row long, pair int, a array<long>, b array<long>, expected double")).collect()} == {i: 12 + len(other) for i, _, _, other in rows}
+
+
+def test_many_rows_of_one_id_and_of_none(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(7, f"a{rng.randrange(4000)}\nb{i % 3}") for i in range(9000)] + [(None, f"n{i % 5000}") for i in range(10_000)] + [(7, "equal\nrows")] * 9000 + [(8, "after"), (6, "before"), (5000, "far"), (-3, "below")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = op.with_next(df)
+    assert got.count() == len(rows)
+    order = sorted(((d, t) for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    want = sorted((str(d), t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order))
+    found = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((str(r.doc_id), r.text, r.next) for r in found) == want
 
 
 def test_next_lower_in_blocks_of_blocks(spark, monkeypatch):
@@ -63,6 +89,7 @@ def test_rows_equal_brute_force(spark):
     for (d, t) in rows:
         same.setdefault(frozenset(p for p in (t or "").split("\n") if p), set())
     assert len({r.fingerprint for r in got}) == len(same)
+    assert all(len(r.fingerprint.split(".")) == op.CELLS for r in got)
 
 
 def test_query_equals_sql(spark):
@@ -80,4 +107,4 @@ def test_empty_and_single(spark):
     r = op.fingerprints(df).first()
     assert r.near_next == 1.0 and r.n_chars == 6 and r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     assert op.fingerprints(df.limit(0)).count() == 0
-    assert isinstance(F.lit(1), type(op.check(F.lit(1))))
+    
\ No newline at end of file
