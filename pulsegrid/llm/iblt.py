@@ -4,8 +4,8 @@ A sketch has three tables of four cells; a digest goes to one cell of each, whic
 them and the XOR of their checks. Sketches of two versions subtract cell by cell: what both have cancels out. A cell that
 then holds one digest gives it away; taking that out of its other cells lays more bare, and so on (peeling) until the cells
 are empty and all differing digests are known. The published fingerprints are compared in this way. Where cells are left
-over, both versions are sketched anew, with as many cells as the failed sketches let expect, and twice as many each time
-that this fails again.
+over, both versions are sketched anew, with as many cells as the failed sketches let expect, and eight times as many each
+time that this fails again.
 
 Sketching and peeling are done in rows (document, cell), partitioned by document once: every round is a Generate and an
 aggregation by document and cell, which that partitioning serves, so that rounds need no exchange.
@@ -24,7 +24,9 @@ from pulsegrid.llm.shared import drop, park
 WIDTH = 4
 CELLS = 3 * WIDTH
 #: Rounds of peeling, a table each.
-ROUNDS = 9
+ROUNDS = 6
+#: Cells of a larger sketch for each difference to expect, in each table, and by how much it grows where it doesn't peel.
+SPARE, GROW = 4, 8
 #: Rows of a task when sketching: each is spread to dozens of rows, so that the size of what is read tells little.
 TASK_ROWS = 20_000
 #: doc_ids that share all bits but the last ten follow each other in one window.
@@ -40,51 +42,49 @@ FACTORS = ((48271, 69621), (39373, 742938285), (1226874159, 62089911))
 CHECK = (630360016, 950706376)
 
 
-def _hash(d: Column, factors: tuple[int, int]) -> Column:
-    return (d % F.lit(PRIME) * F.lit(factors[0]).cast("long") + F.shiftright(d, 31) * F.lit(factors[1]).cast("long")) % F.lit(PRIME)
+def _hash(d: str, factors: tuple[int, int]) -> str:
+    return f"(({d} % {PRIME}L * {factors[0]}L + shiftright({d}, 31) * {factors[1]}L) % {PRIME}L)"
 
 
-def check(d: Column) -> Column:
+def _check(d: str) -> str:
     return _hash(d, CHECK)
 
 
+def _place(d: str, j: int) -> str:
+    """A digest's cell in table j of so many cells as column width says, numbered through."""
+    return f"(width * {j} + {_hash(d, FACTORS[j])} % width)"
+
+
 def digests(text: Column) -> Column:
     """60-bit digests of the text's distinct paragraphs (lines that aren't empty); null counts as empty."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != "")
     return F.array_distinct(F.transform(lines, lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("long")))
 
 
-def _places(key: Column, width: Column) -> list[Column]:
-    """A digest's cell in each of three tables of so many cells, numbered through."""
-    return [width * j + _hash(key, FACTORS[j]) % width for j in range(3)]
-
-
 def _sketches(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, cell, n, key, check of the cells of sketches that hold something; rows: by, width, n (1 or -1), key."""
-    key = F.col("key")
-    spread = rows.select(*by, F.explode(F.array(*_places(key, F.col("width")))).alias("cell"), "n", "key", check(key).alias("check"))
+    places = ", ".join(_place("key", j) for j in range(3))
+    spread = rows.selectExpr(*by, f"explode(array({places})) AS cell", "n", "key", f"{_check('key')} AS check")
     return _total(spread, [*by, "cell"])
 
 
 def _total(rows: DataFrame, by: list[str]) -> DataFrame:
-    cells = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    cells = rows.groupBy(*by).agg(F.expr("sum(n) AS n"), F.expr("bit_xor(key) AS key"), F.expr("bit_xor(check) AS check"))
     return cells.where("n != 0 OR key != 0 OR check != 0")
 
 
 def _peel(cells: DataFrame) -> DataFrame:
     """row, pair, width, cell, n, key, check of what is left of subtracted sketches after so many rounds; cell -1 has the
     number of digests found."""
-    now, key = cells, F.col("key")
-    places = _places(key, F.col("width"))
-    row = lambda cell, n, key, check: F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
-    as_is, counted = row(F.col("cell"), F.col("n"), key, F.col("check")), row(F.lit(-1), F.lit(1), F.lit(0), F.lit(0))
+    now = cells
+    row = lambda cell, n, key, check: f"named_struct('cell', {cell}, 'n', {n}, 'key', {key}, 'check', {check})"
     for k in range(ROUNDS):
         t = k % 3
         # In one table a digest lies in one cell alone, so that none is taken out twice.
-        pure = (F.col("cell") >= F.col("width") * t) & (F.col("cell") < F.col("width") * (t + 1)) & (F.abs("n") == 1) & (check(key) == F.col("check")) & (places[t] == F.col("cell"))
-        others = [row(places[j], -F.col("n"), key, F.col("check")) for j in range(3) if j != t]
-        spread = now.select("row", "pair", "width", F.explode(F.when(pure, F.array(*others, counted)).otherwise(F.array(as_is))).alias("c"))
-        now = _total(spread.select("row", "pair", "width", "c.cell", "c.n", "c.key", "c.check"), ["row", "pair", "width", "cell"])
+        pure = f"cell >= width * {t} AND cell < width * {t + 1} AND abs(n) = 1 AND {_check('key')} = check AND {_place('key', t)} = cell"
+        others = ", ".join(row(_place("key", j), "-n", "key", "check") for j in range(3) if j != t)
+        spread = now.selectExpr("row", "pair", "width", f"explode(CASE WHEN {pure} THEN array({others}, {row('-1L', '1L', '0L', '0L')}) ELSE array({row('cell', 'n', 'key', 'check')}) END) AS c")
+        now = _total(spread.selectExpr("row", "pair", "width", "c.cell", "c.n", "c.key", "c.check"), ["row", "pair", "width", "cell"])
     return now
 
 
@@ -199,12 +199,13 @@ def compare(sets: DataFrame) -> DataFrame:
 def differing(pairs: DataFrame) -> DataFrame:
     """row, pair, n: how many digests differ between the sets a and b of each (row, pair); rows of equal sets may be missing.
 
-    pairs: row, pair, a, b, the sets as arrays of digests, and expected, about how many differ: sketches have some 3.6 cells for
-    each, and twice as many every time that they don't peel.
+    pairs: row, pair, a, b, the sets as arrays of digests, and expected, about how many differ. Only cells that hold something
+    are rows, so that wide sketches cost no more than narrow ones: they have at least 3 * SPARE cells for each, and GROW times
+    as many every time that they don't peel.
     """
     out, todo = None, pairs
     while True:
-        width = F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("expected") * 1.2)))).cast("long")
+        width = F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("expected") * SPARE)))).cast("long")
         signed = lambda c, s: F.transform(c, lambda d: F.struct(d.alias("key"), F.lit(s).cast("long").alias("n")))
         each = todo.repartition(_tasks(todo), "row").select("row", "pair", width.alias("width"), F.explode(F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1))).alias("e"))
         tried, _ = park(_outcome(_peel(_sketches(each.select("row", "pair", "width", "e.n", "e.key"), ["row", "pair", "width"]))), "peeled")
@@ -213,7 +214,7 @@ def differing(pairs: DataFrame) -> DataFrame:
         failed = tried.where("n IS NULL")
         if failed.isEmpty():
             return out
-        todo = todo.join(failed.select("row", "pair"), ["row", "pair"], "left_semi").withColumn("expected", F.col("expected") * 2)
+        todo = todo.join(failed.select("row", "pair"), ["row", "pair"], "left_semi").withColumn("expected", F.col("expected") * GROW)
 
 
 def likeness(a: Column, b: Column, n: Column) -> Column:
