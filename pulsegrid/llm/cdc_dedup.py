@@ -20,9 +20,9 @@ from pulsegrid.llm.shared import free, park
 
 #: A chunk has more than NEAR bytes (a power of two), twice as many on average, and MOST at most (but for the rest of a character).
 NEAR, MOST = 16, 256
-#: A run is reported from so many words and code points. Its passage is longer: the chunks at both ends aren't repeated as
-#: they reach out of it, which costs some 10 of the words of a passage.
-MIN_WORDS, MIN_CHARS = 20, 100
+#: A run is reported from so many words. Its passage is longer: the chunks at both ends aren't repeated as they reach out of
+#: it, which costs some 10 of the words of a passage, more where they are short.
+MIN_WORDS = 20
 
 _GEAR = np.random.default_rng(20240601).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -93,23 +93,33 @@ def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return digest.view(np.int64), point[edge[:-1]], np.diff(point[edge]), np.diff(word[edge])
 
 
+def _doc() -> F.Column:
+    """A number for each document: its doc_id; for a row without one a number of its text, below all doc_ids of any use."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1)))
+
+
+#: What is below this is no doc_id.
+_NO_ID = -(2**63) + 2**61
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest, doc, at of every chunk; `at` packs 15 bits of the text's hash, then start (28 bits), length and words (10 each)."""
+    """digest, doc, version, at of every chunk; version is a hash of the whole text, `at` packs start (28 bits), length and words
+    (10 each)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for first in range(0, b.num_rows, 500):
                 parts = []
-                for doc, text in zip(b.column(0)[first : first + 500].to_pylist(), b.column(1)[first : first + 500].to_pylist()):
+                rows = (b.column(k)[first : first + 500].to_pylist() for k in range(3))
+                for doc, version, text in zip(*rows):
                     digest, start, length, words = chunks(text)
-                    version = (xxhash.xxh3_64_intdigest((text or "").encode()) & 0x7FFF) << 48
-                    parts.append((digest, np.full(len(digest), doc), version | start << 20 | length << 10 | words))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["digest", "doc", "at"])
+                    parts.append((digest, np.full(len(digest), doc), np.full(len(digest), version), start << 20 | length << 10 | words))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["digest", "doc", "version", "at"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "text").mapInArrow(run, "digest long, doc long, at long")
+    return docs.select(_doc().alias("doc"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "digest long, doc long, version long, at long")
 
 
-def runs(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, version, start, end (code points), n_words, first_doc of every run of chunks that other documents have too.
 
     first_doc: the smallest doc that has one of the run's chunks. Chunks are summed by digest before they are shuffled; the
@@ -121,8 +131,8 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS
     seen, _ = park(seen.where("first_doc < last_doc").select("digest", "first_doc"), "repeated")
     hit = rows.join(seen, "digest").select(
         "doc",
-        F.shiftright("at", 48).alias("version"),
-        F.shiftright("at", 20).bitwiseAND(F.lit((1 << 28) - 1)).alias("start"),
+        "version",
+        F.shiftright("at", 20).alias("start"),
         F.shiftright("at", 10).bitwiseAND(F.lit(1023)).alias("length"),
         F.col("at").bitwiseAND(F.lit(1023)).alias("words"),
         "first_doc",
@@ -133,32 +143,32 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS
     isle = hit.withColumns({"fresh": F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)), "words": F.when(again, 0).otherwise(F.col("words"))})
     isle = isle.withColumn("isle", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     found = isle.groupBy("doc", "version", "isle").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc"))
-    return found.where((F.col("n_words") >= min_words) & (F.col("end") - F.col("start") >= min_chars)).drop("isle")
+    return found.where(F.col("n_words") >= min_words).drop("isle")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_runs, n_chars, spans, first_doc_ids of every document with a passage that another document has too.
 
     spans: start:end in code points, joined by commas in order; first_doc_ids: for each span the smallest doc_id that has
-    part of it, which may be this one. Rows of one doc_id (null too) are versions of one document: what only they share is
-    no repeat, and their spans are listed one version after the other. Null and empty texts have no chunks. Repeated rows
-    count once. An empty table gives an empty one. Other columns are not looked at.
+    part of it, which may be this one. Rows of one doc_id are versions of one document, a result each: what only they share is
+    no repeat. Rows without a doc_id are documents of their own, which come before all others and are null in first_doc_ids.
+    Null and empty texts have no chunks. Repeated rows count once. An empty table gives an empty one. Other columns are not
+    looked at.
     """
-    null = F.lit(-(2**63))
-    found = runs(docs, min_words, min_chars).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("version", "start", "end", "first_doc"))).alias("r"))
+    found = runs(docs, min_words).groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc"))).alias("r"))
+    known = lambda c: F.when(c >= F.lit(_NO_ID), c)
     return found.select(
-        F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"),
+        known(F.col("doc")).alias("doc_id"),
         F.size("r").cast("long").alias("n_runs"),
         F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_chars"),
         F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
-        F.transform("r", lambda x: F.when(x["first_doc"] != null, x["first_doc"])).alias("first_doc_ids"),
+        F.transform("r", lambda x: known(x["first_doc"])).alias("first_doc_ids"),
     )
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs; of each repeated passage only the occurrence in the smallest doc_id keeps its text."""
-    null = F.lit(-(2**63))
-    later = runs(docs, min_words, min_chars).where("first_doc < doc").groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    later = runs(docs, min_words).where("first_doc < doc").groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
     at, names = docs.columns.index("text"), docs.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +182,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int
                 text.append("".join(keep) + t[last:] if gone else t)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(text, pa.string()), *b.columns[at + 1 : -1]], names)
 
-    version = F.udf(lambda t: xxhash.xxh3_64_intdigest((t or "").encode()) & 0x7FFF, "long")
     doc, number, cut = (free(n, docs.columns) for n in ("__doc", "__version", "__cut"))
-    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), null), number: version("text")})
+    keyed = docs.withColumns({doc: _doc(), number: F.xxhash64("text")})
     joined = keyed.join(later.withColumnsRenamed({"doc": doc, "version": number, "__cut": cut}), [doc, number], "left")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), cut).mapInArrow(run, docs.schema)
-
-

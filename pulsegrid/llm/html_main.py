@@ -1,9 +1,14 @@
 """Main text of web pages, with site templates removed.
 
-Every page is parsed to a tree, and each element's subtree is hashed. Spark counts the hashes by host, over pages of
-different content; a subtree that recurs across many pages of its host is the site's template and is deleted. Elements
-that are no article by their tag, role or class go as well. Plain paragraphs and headings inside an article are never
-taken for a template: a licence line or a quoted passage that many articles share belongs to each.
+Every page is parsed to a tree, and each element's subtree is hashed, twice: by its tags and words, and by its skeleton, that
+is its tags, classes and nesting without words, in which repeated siblings count once. Spark counts the hashes by host, over
+pages of different content. A subtree whose words recur on several pages of its host is the site's template and is deleted;
+so is one that is mostly links, without prose, and whose skeleton recurs on more pages, such as a menu that lists other things
+on each.
+Elements that are no article by their tag, role or class go as well. Plain paragraphs and headings inside an article are
+never taken for a template: a licence line or a quoted passage that many articles share belongs to each.
+
+How often a subtree must recur is a number of pages, whatever the host's size, so large hosts are treated like small ones.
 """
 
 from __future__ import annotations
@@ -19,11 +24,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import park, small
 
-#: A subtree is a template's if so many pages of its host have it, and so large a share of the host's pages; plain
-#: paragraphs (of pages without an article element) need the second share.
-MIN_PAGES = 5
-MIN_SHARE = 0.1
-MIN_SHARE_PLAIN = 0.5
+#: On how many pages of a host, different in content, a template recurs: one with the same words, plain text (of pages
+#: without an article) with the same words, and one of links with the same skeleton.
+MIN_PAGES, MIN_PAGES_PLAIN, MIN_PAGES_SKELETON = 5, 20, 10
+WORDS, PLAIN, SKELETON = range(3)
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>""", re.S)
 _TAIL = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
@@ -35,6 +39,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul".split()
 )
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption td th tr caption summary".split())
+_PROSE = frozenset("p h1 blockquote pre".split())
 _IN_P = frozenset("table td th caption button html".split())
 _CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "option": (frozenset(["option"]), frozenset(["select", "datalist"]))}
 _DROP = frozenset("head nav footer aside form button select datalist svg math canvas object audio video dialog menu input label fieldset map".split())
@@ -55,6 +60,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.kids = ["html"], [-1], [[]]
         self.boiler, self.named, self.main, self.inside, self.soft = [False], [False], [False], [False], [False]
+        self.kind = [""]
         self.parse(source)
         n = len(self.tag)
         self.size = [sum(len(k) for k in kids if isinstance(k, str)) for kids in self.kids]
@@ -124,6 +130,7 @@ class Page:
         self.soft.append(by_name and not words & _COMMENTS)
         self.inside.append(inside)
         self.named.append(bool(found))
+        self.kind.append(f"{' '.join(sorted(words))} {role}")
         self.main.append(is_main and not boiler)
         self.kids[stack[-1]].append(len(self.tag) - 1)
         stack.append(len(self.tag) - 1)
@@ -158,15 +165,24 @@ class Page:
             open_[self.tag[i]] -= 1
         del stack[k:]
 
-    def hashes(self) -> list[int]:
-        """Of every subtree: tags and words, without attributes."""
-        out = [0] * len(self.tag)
-        self.empty = [False] * len(self.tag)
-        for i in range(len(out) - 1, -1, -1):
-            parts = [k if isinstance(k, str) else f"\x01{out[k]:x}\x02" for k in self.kids[i]]
-            self.empty[i] = all(not k.strip() if isinstance(k, str) else self.empty[k] for k in self.kids[i])
+    def hashes(self) -> tuple[list[int], list[int]]:
+        """Of every subtree the hash of its tags and words, and that of its skeleton, zero where it isn't mostly links or where it has
+        prose: a paragraph, quotation or first heading that isn't a link."""
+        n = len(self.tag)
+        out, bones, linked, prose = [0] * n, [0] * n, [0] * n, [False] * n
+        self.empty = [False] * n
+        for i in range(n - 1, -1, -1):
+            kids = self.kids[i]
+            parts = [k if isinstance(k, str) else f"\x01{out[k]:x}\x02" for k in kids]
+            self.empty[i] = all(not k.strip() if isinstance(k, str) else self.empty[k] for k in kids)
             out[i] = xxhash.xxh3_64_intdigest(f"{self.tag[i]}\x01{' '.join(' '.join(parts).split())}".encode("utf-8", "surrogatepass")) - 2**63
-        return out
+            below = [k for k in kids if not isinstance(k, str)]
+            linked[i] = self.size[i] if self.tag[i] == "a" else sum(linked[k] for k in below)
+            prose[i] = any(prose[k] for k in below) or self.tag[i] in _PROSE and 2 * linked[i] < self.size[i]
+            shape = [bones[k] for k in below if self.tag[k] in _BLOCK or self.tag[k] == "a"]
+            once = [x for j, x in enumerate(shape) if j == 0 or x != shape[j - 1]]
+            bones[i] = xxhash.xxh3_64_intdigest(f"{self.tag[i]} {self.kind[i]} {once}", 1) - 2**63
+        return out, [x if linked[i] and 2 * linked[i] >= self.size[i] and not prose[i] else 0 for i, x in enumerate(bones)]
 
     def scopes(self) -> list[int]:
         """The outermost articles; without any the main elements; without any the whole page."""
@@ -192,31 +208,32 @@ class Page:
             yield i
 
     def blank(self, i: int) -> bool:
-        return next(self.blocks([i]), None) is None
+        return next(self.lines([i]), None) is None
 
-    def blocks(self, scopes: list[int], deleted: frozenset = frozenset(), hashes: list[int] | None = None) -> Iterator[str]:
-        """The blocks of text under the scopes in page order, white space folded."""
+    def lines(self, scopes: list[int]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """The lines of text under the scopes in page order, white space folded, each with the elements around it within its
+        scope that may be a template's. Such elements are blocks, so a line is whole inside or outside of each."""
         line: list[str] = []
+        chain: list[int] = []
         for scope in scopes:
             work: list = [scope]
             while work:
                 k = work.pop()
+                into = None
                 if isinstance(k, str):
                     if k != "\x00":
                         line.append(k)
                         continue
                 elif k >= 0:
-                    if k != scope and not self.holds[k] and (self.boiler[k] or hashes is not None and hashes[k] in deleted and self.deletable(k)):
-                        if self.tag[k] in _BLOCK:
-                            k = -1
-                        else:
+                    block = self.tag[k] in _BLOCK
+                    if k != scope and not self.holds[k] and self.boiler[k]:
+                        if not block:
                             continue
                     else:
-                        cell = self.tag[k] in ("td", "th")
-                        block = self.tag[k] in _BLOCK
                         if block:
-                            work.append(-1)
-                        elif cell:
+                            into = k if k != scope and self.deletable(k) else None
+                            work.append(-1 if into is None else -2)
+                        elif self.tag[k] in ("td", "th"):
                             work.append(" ")
                         work.extend(reversed(self.kids[k]))
                         if not block:
@@ -224,11 +241,15 @@ class Page:
                 text = " ".join("".join(line).split())
                 line.clear()
                 if text:
-                    yield text
+                    yield text, tuple(chain)
+                if into is not None:
+                    chain.append(into)
+                elif k == -2:
+                    chain.pop()
             text = " ".join("".join(line).split())
             line.clear()
             if text:
-                yield text
+                yield text, tuple(chain)
 
     def deletable(self, k: int) -> bool:
         """Whether the subtree may be a template's: outside articles any block, inside those that aren't plain text."""
@@ -237,18 +258,33 @@ class Page:
             return False
         return not self.inside[k] or self.named[k] or tag not in _PLAIN
 
-    def candidates(self) -> dict[int, bool]:
-        """Hashes of the subtrees with text that may be a template's, and whether each is plain text."""
-        found = self.hashes()
-        return {found[i]: self.tag[i] in _PLAIN and not self.named[i] for i in range(1, len(self.tag)) if not self.empty[i] and self.deletable(i)}
+    def parts(self) -> tuple[list[str], list[list[int]], dict[int, int]]:
+        """The main text's lines, for each the hashes that delete it if they are a template's, and of the whole page the hashes of
+        subtrees with text that may be a template's, with their kind."""
+        words, bones = self.hashes()
+        texts, under = [], []
+        for text, chain in self.lines(self.scopes()):
+            texts.append(text)
+            under.append([h for i in chain for h in (words[i], bones[i] if self.light(i) else 0) if h])
+        found = {}
+        for i in range(1, len(self.tag)):
+            if not self.empty[i] and self.deletable(i):
+                found[words[i]] = PLAIN if self.tag[i] in _PLAIN and not self.named[i] else WORDS
+                if bones[i] and self.light(i):
+                    found[bones[i]] = SKELETON
+        return texts, under, found
+
+    def light(self, k: int) -> bool:
+        """Whether the subtree may be a template's by its skeleton alone: in articles only with a class, id or role."""
+        return self.tag[k] not in _PLAIN and (self.named[k] or not self.inside[k])
 
 
 def main_text(source: str | None, deleted: frozenset = frozenset()) -> str:
     """The page's main text without the deleted subtrees; empty for null and for pages without text."""
     if not source:
         return ""
-    page = Page(source)
-    return "\n".join(page.blocks(page.scopes(), deleted, page.hashes() if deleted else None))
+    texts, under, _ = Page(source).parts()
+    return "\n".join(t for t, u in zip(texts, under) if deleted.isdisjoint(u))
 
 
 def host() -> F.Column:
@@ -256,58 +292,51 @@ def host() -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_share_plain: float = MIN_SHARE_PLAIN) -> DataFrame:
-    """host, hashes: the subtrees that recur across many pages of each host.
-
-    Copies of a page count once. Before counts are shuffled, rows are one for each page and subtree; a host's list is bounded
-    by a page's subtrees over min_share, whatever the number of its pages.
-    """
+def parsed(pages: DataFrame) -> DataFrame:
+    """row, page_id, url, host, page (the html's hash), texts, under, hashes, kinds of every row of pages: see Page.parts. Pages
+    are parsed once, here; what follows needs no html."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(it):
-            hosts, hashes, plain, pages_ = [], [], [], []
-            for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not source:
-                    continue
-                own = xxhash.xxh3_64_intdigest(source.encode()) - 2**63
-                found = Page(source).candidates() | {0: False}
-                hosts += [h] * len(found)
-                hashes += found.keys()
-                plain += found.values()
-                pages_ += [own] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(plain, pa.bool_()), pa.array(pages_, pa.int64())], ["host", "hash", "plain", "page"])
-
-    rows = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, hash long, plain boolean, page long").distinct()
-    counts = rows.groupBy("host", "hash", "plain").count().where((F.col("count") >= min_pages) | (F.col("hash") == 0))
-    counts, _ = park(counts, "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("count").alias("total"))
-    share = F.when(F.col("plain"), min_share_plain).otherwise(min_share)
-    return counts.where("hash != 0").join(total, "host").where(F.col("count") >= share * F.col("total")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+            own, texts, under, hashes, kinds = [], [], [], [], []
+            for source in b.column(3).to_pylist():
+                t, u, found = Page(source).parts() if source else ([], [], {})
+                own.append(xxhash.xxh3_64_intdigest((source or "").encode()) - 2**63)
+                texts.append(t)
+                under.append(u)
+                hashes.append(list(found))
+                kinds.append(list(found.values()))
+            more = [pa.array(own, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(under, pa.list_(pa.list_(pa.int64()))), pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], ["page_id", "url", "host", "page", "texts", "under", "hashes", "kinds"])
+
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
+    schema = "page_id long, url string, host string, page long, texts array<string>, under array<array<long>>, hashes array<long>, kinds array<byte>"
+    return plain.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("row"), "*")
+
+
+def _recurring(found: DataFrame) -> DataFrame:
+    """host, hash, kind, pages: the templates among the subtrees of what parsed gives. Copies of a page count once."""
+    each = found.select("host", "page", F.explode(F.arrays_zip("hashes", "kinds")).alias("e")).select("host", F.col("e.hashes").alias("hash"), F.col("e.kinds").cast("int").alias("kind"), "page").distinct()
+    least = F.element_at(F.array(F.lit(MIN_PAGES), F.lit(MIN_PAGES_PLAIN), F.lit(MIN_PAGES_SKELETON)), F.col("kind") + 1)
+    return each.groupBy("host", "hash", "kind").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, hash, kind (WORDS, PLAIN or SKELETON), pages: the subtrees that recur across pages of each host."""
+    return _recurring(parsed(pages))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     Null and empty html give the empty text; a null or odd url counts as the empty host; copies of a page each get the same
-    text and count once for templates; an empty table gives an empty one; other columns are not looked at. The lists of
-    templates are joined by host: Spark broadcasts them where they are small, and else splits hosts that are too large.
+    text and count once for templates; an empty table gives an empty one; other columns are not looked at. Templates are
+    joined by host and hash, a row for each, so that no host's list is ever in one place.
     """
-    found, _ = park(templates(pages), "templates")
-    joined = pages.select("page_id", "url", "html", host().alias("host")).join(found, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "hashes")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
-        for b in small(it):
-            text = []
-            for source, hashes in zip(b.column(2).to_pylist(), b.column(3)):
-                deleted = frozenset()
-                if hashes.is_valid:
-                    key = tuple(hashes.as_py())
-                    if key not in sets:
-                        sets.clear()
-                        sets[key] = frozenset(key)
-                    deleted = sets[key]
-                text.append(main_text(source, deleted))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    found, _ = park(parsed(pages), "parsed")
+    recurring, _ = park(_recurring(found).select("host", "hash").distinct(), "templates")
+    around = found.where(F.exists("under", lambda x: F.size(x) > 0)).select("row", "host", F.explode(F.array_distinct(F.flatten("under"))).alias("hash"))
+    gone = around.join(recurring, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    lines = F.filter(F.arrays_zip("texts", "under"), lambda x: ~F.arrays_overlap(x["under"], "gone"))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.transform(lines, lambda x: x["texts"])), "\n")
+    return found.join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -177,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
                     ["doc_id", "y", "bucket", "value", "dense"],
                 )
 
-    got = rows.mapInArrow(sparse, "doc_id long, y double, bucket binary, value binary, dense binary").toPandas()
-    got["order"] = got["dense"]
-    got = got.sort_values(["doc_id", "order"], kind="stable").drop_duplicates("doc_id")
+    # Of several rows of a document one, chosen before anything is sent, so that max_train bounds what the driver gets.
+    each = rows.mapInArrow(sparse, "doc_id long, y double, bucket binary, value binary, dense binary").groupBy("doc_id").agg(F.min(F.struct("dense", "bucket", "value", "y")).alias("r"))
+    got = each.select("doc_id", "r.*").toPandas().sort_values("doc_id")
     bucket = [np.frombuffer(b, np.int32) for b in got["bucket"]]
     first = np.concatenate(([0], np.cumsum([len(b) for b in bucket]))).astype(np.int64)
     value = [np.frombuffer(b, np.float32) for b in got["value"]]

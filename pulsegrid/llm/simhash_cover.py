@@ -10,6 +10,7 @@ anchor are distinct and within two bits of it, so no anchor ever has more than 2
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pulsegrid.llm.shared import drop, mix, park, small
 
 THRESHOLD = 2
 SHINGLE = 3
+#: Fingerprints of a task when they are replicated: each is spread to 33 rows, so that the size of what is read tells little.
+TASK_ROWS = 20_000
 #: Bands of MinHashes for likeness by Jaccard: two texts of likeness 0.8 share none of 32 bands of 5 in 3 of a million cases.
 BANDS, BAND = 32, 5
 
@@ -135,7 +138,8 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all within two bits of each other: of the links at an anchor
     it has a spanning forest, so their number is bounded by the replicas, not by the square of a group."""
-    spread = fps.select("fp").distinct().mapInArrow(_spread, "anchor long, fp long")
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(fps.count() / TASK_ROWS))
+    spread = fps.select("fp").distinct().repartition(tasks, "fp").mapInArrow(_spread, "anchor long, fp long")
     met = spread.groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select("fps").mapInArrow(_compare, "a long, b long").distinct()
 

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Records of one URL that stand in one window at most, about; more are dealt over slices of time.
-SLICE = 200
+from pulsegrid.llm.shared import park
 
 #: Headers that a 304 answer may renew. Fixed values.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -38,14 +37,18 @@ def renewed(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(low(old), lambda k, v: ~F.map_contains_key(permitted, k)), permitted)
 
 
+def slices(key: list[str], records: DataFrame) -> DataFrame:
+    """records with `slice`: partitions of equal size in order of key, time and record_id. A URL with more records than fit one
+    stands in several, cut by rank, however its times are spread; the numbers are in its records' order."""
+    found, _ = park(records.repartitionByRange(*key, "time", "record_id").withColumn("slice", F.spark_partition_id()), "slices")
+    return found
+
+
 def _latest(key: list[str], records: DataFrame) -> DataFrame:
     """records with `found`: the latest response before each in (time, record_id), by key and over all slices."""
     order = [F.col("time"), F.col("record_id")]
     full = F.when(F.col("kind") == "response", F.struct("time", "record_id", "etag", "last_modified", "headers"))
-    count = records.groupBy(*key).agg(F.count("*").alias("n"), F.min("time").alias("low"), F.max("time").alias("high"))
-    many = F.ceil(F.col("n") / SLICE)
-    share = (F.col("time") - F.col("low")).cast("double") / (F.col("high") - F.col("low") + 1).cast("double")
-    sliced = records.join(count, key).withColumn("slice", F.coalesce(F.floor(share * many), F.lit(-1)).cast("long")).drop("n", "low", "high")
+    sliced = slices(key, records)
     before = Window.partitionBy(*key, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = sliced.withColumn("within", F.last(full, ignorenulls=True).over(before))
     # Of every slice the last response; one row each, so that the window over a URL's slices is small.

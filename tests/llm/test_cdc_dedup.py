@@ -80,3 +80,28 @@ def test_repeated_passages(spark):
     assert kept[1000] == [""] and kept[3] == [rows[3][1]] and kept[1001] == [None]
     assert len(kept[20][0]) < len(text[20]) and kept[11] == [text[11]] and sorted(map(len, kept[8])) == [len(text[8]), len(text[8]) + 5]
     assert op.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passages_of_short_words(spark):
+    """51 words of one to three letters, in texts of such words."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = []
+    for k in range(60):
+        passage = say(51)
+        rows += [(2 * k + i, f"{say(rng.randrange(20, 200))} {passage} {say(rng.randrange(20, 200))}") for i in range(2)]
+    rows += [(1000 + k, say(300)) for k in range(200)]
+    got = {r.doc_id for r in op.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert max(got) < 1000 and len(got) >= 0.75 * 120
+
+
+def test_many_rows_of_one_id_and_of_none(spark):
+    """Versions of one document share no repeat among them; rows without an id are documents of their own."""
+    rng = random.Random(10)
+    passage, other = words(rng, 60), words(rng, 60)
+    rows = [(7, f"{words(rng, 30)} {passage} {words(rng, 30)}") for _ in range(3000)] + [(None, f"{words(rng, 30)} {other if k % 2 else words(rng, 60)} {words(rng, 30)}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = op.repeated_passages(df).collect()
+    assert len(got) == 1500 and all(r.doc_id is None and r.first_doc_ids == [None] * r.n_runs for r in got)
+    kept = [r.text for r in op.without_repeats(df).collect()]
+    assert len(kept) == 6000 and sum(other in t for t in kept) == 1

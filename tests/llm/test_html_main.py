@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from pulsegrid.llm import html_main as op
@@ -74,3 +76,47 @@ def test_query_on_its_table(spark):
     got = queries.op1_html_main(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert all(r.text and "<" not in r.text and "©" not in r.text for r in got)
+
+
+def bare(html):
+    """The page with nothing left that names its parts: only templates can tell them."""
+    for tag in ("nav", "article", "footer", "header"):
+        html = re.sub(rf"<(/?){tag}\b[^>]*>", r"<\1div>", html)
+    return re.sub(r'<div class="ad">', "<div>", html)
+
+
+def test_templates_alone_equal_brute_force_and_find_the_article(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    rows = [(p.page_id, p.url, bare(p.html)) for p in pages]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    hosts, parts = {}, {}
+    for i, url, html in rows:
+        h = re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", url.lower())
+        parts[i] = h, op.Page(html).parts()
+        for k, kind in parts[i][1][2].items():
+            hosts.setdefault((h, k), (kind, set()))[1].add(html)
+    least = (op.MIN_PAGES, op.MIN_PAGES_PLAIN, op.MIN_PAGES_SKELETON)
+    deleted = {k for k, (kind, where) in hosts.items() if len(where) >= least[kind]}
+    for i, (h, (texts, under, _)) in parts.items():
+        assert got[i] == "\n".join(t for t, u in zip(texts, under) if not any((h, x) in deleted for x in u))
+    assert any(hosts[k][0] == op.SKELETON for k in deleted)
+    large = [p for p in pages if sum(parts[p.page_id][0] == h for h, _ in parts.values()) >= op.MIN_PAGES_SKELETON]
+    menus = [re.findall(r"<nav>.*?</nav>", p.html)[0] for p in large]
+    names = [[t for t in re.split(r"<[^>]*>", m) if t] for m in menus]
+    assert sum(got[p.page_id].split("\n")[: len(n)] != n for p, n in zip(large, names)) >= 0.95 * len(large)
+    for p in pages:  # and nothing of the article goes
+        assert got[p.page_id].endswith(op.main_text(p.html)) or op.main_text(p.html) in got[p.page_id]
+
+
+def test_large_hosts_are_treated_like_small_ones(spark):
+    """A section's template on 6 of 3,000 pages, a menu of other links on each page, and a list of links that is an article's."""
+    def page(i):
+        links = "".join(f"<li><a href='/{i}/{k}'>link {i * 7 + k}</a></li>" for k in range(i % 5 + 2))
+        promo = "<section class=box>Written by the desk</section>" if i < 6 else ""
+        return (i, f"http://big.example/{i}", f"<div id=top><ul>{links}</ul></div><article><h1>Head {i}</h1><p>Text {i}</p>{promo}<ul>{links}</ul></article><div class=low><div><a href='/x{i}'>More {i}</a></div></div>")
+
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame([page(i) for i in range(3000)], "page_id long, url string, html string").repartition(4)).collect()}
+    for i in (0, 5, 6, 2999):
+        assert got[i].split("\n") == [f"Head {i}", f"Text {i}", *(f"link {i * 7 + k}" for k in range(i % 5 + 2))]
+    free = {r.page_id: r.text for r in op.extract(spark.createDataFrame([(i, u, h.replace("article", "div")) for i, u, h in map(page, range(3000))], "page_id long, url string, html string").repartition(4)).collect()}
+    assert free[2999].split("\n") == ["Head 2999", "Text 2999"]  # a list of links isn't known to be an article's then

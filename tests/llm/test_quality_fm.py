@@ -54,3 +54,13 @@ def test_odd_rows(spark):
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     assert op.classify(docs.limit(0), labels.limit(0)).count() == 0
     assert {r.score for r in op.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_many_rows_of_one_id_are_one_in_the_fit(spark):
+    """Of 10,000 rows of a labelled document, and as many without an id, one and none."""
+    rows = [(4, f"text {i}", 6) for i in range(10_000)] + [(None, f"none {i}", 6) for i in range(10_000)] + [(i, "good words here" if i % 2 else "bad bad", 9) for i in range(1000, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in [4, *range(1000, 1100)]] * 2, "doc_id long, quality int")
+    once = docs.groupBy("doc_id").agg(op.F.min("text").alias("text"), op.F.first("n_chars").alias("n_chars"))
+    a, b = op.train(docs, labels), op.train(docs, labels)
+    assert (a.w == b.w).all() and len(op.scores(once, a, ["doc_id"]).collect()) == 102

@@ -55,6 +55,29 @@ def test_as_of_join_equals_brute_force(spark):
     assert {r.status for r in got.values()} == {"missing", "resolved", "changed", "unchecked"}
 
 
+def test_slices_are_of_equal_size(spark):
+    """Of a URL with a null time, a burst and a far one."""
+    rows = [(i, "response" if i % 3 else "revisit", "u", -(2**62) if i == 0 else 77 if i < 6000 else i if i < 9999 else 2**60) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "record_id long, kind string, canonical_url string, time long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = op.slices(["canonical_url"], df).groupBy("slice").agg(F.count("*").alias("n"), F.min(F.struct("time", "record_id")).alias("low"), F.max(F.struct("time", "record_id")).alias("high")).orderBy("slice").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 4 and max(r.n for r in got) < 4000 and sum(r.n for r in got) == 10_000
+    assert all(a.high < b.low for a, b in zip(got, got[1:]))
+
+
+def test_many_records_of_one_url_over_slices(spark):
+    rows = [(i, "response" if i % 500 == 3 else "revisit", "http://a.b/", None if i < 2 else 9 if i < 5000 else i, "x", None, None) for i in range(10_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.record_id: r.refers_to for r in op.resolve(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: None if i < 3 else (i - 3) // 500 * 500 + 3 for i in range(10_000) if i % 500 != 3}
+
+
 def test_repeats_and_empty(spark):
     rows = [(1, "response", "http://a.b/", 5, "x", None, None), (1, "response", "http://a.b/", 5, "x", None, None), (2, "revisit", "http://a.b", 6, "x", None, None), (2, "revisit", "http://a.b", 6, "x", None, None), (3, "revisit", None, None, None, None, None)]
     got = sorted((r.record_id, r.status, r.refers_to) for r in op.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
