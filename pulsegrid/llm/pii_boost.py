@@ -91,7 +91,7 @@ def propose(text: str) -> list[tuple[str, int, int]]:
 
 
 #: No generator proposes anything in a text without one of these.
-_ANY = re.compile(r"[0-9@]|\b(?:at)\b|[(\[{]at", re.I)
+_ANY = re.compile(r"[0-9@]|\b(?:at)\b|[(\[{]at|[a-f]:[a-f:]", re.I)
 
 
 def describe(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -227,7 +227,7 @@ def cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tld = lambda: rng.choice("com org net de fr es io co edu".split())
 
     def positive() -> tuple[str, str, str]:
-        k = rng.randrange(8)
+        k = rng.randrange(9)
         if k == 0:
             mark = at()
             return "email", rng.choice(["mail", "contact", "write to", "", "reach me:"]), f"{word()}{mark}{word()}{rng.choice(['(dot)', '[dot]', ' dot ']) if mark == ' at ' else dot()}{tld()}"
@@ -244,10 +244,12 @@ def cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return "phone", rng.choice(["call", "phone:", "tel", "mobile", "fax"]), rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])
         if k == 6:
             return "phone", rng.choice(["tel.", "telefon", "call", "phone"]), rng.choice([f"0{digits(3)} {digits(7)}", f"0{digits(2)}/{digits(7)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
+        if k == 7:
+            return "phone", rng.choice(["call", "mobile", "ring", "tel:"]), rng.choice([f"0{digits(4)} {digits(6)}", f"(0{digits(2)}) {digits(4)} {digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"])
         return "phone", rng.choice(["", "call", "tel"]), f"00{rng.choice(['49', '33', '34', '44', '1'])} {digits(3)} {digits(3)} {digits(4)}"
 
     def negative() -> tuple[str, str]:
-        k = rng.randrange(11)
+        k = rng.randrange(15)
         if k == 0:
             return rng.choice(["order", "invoice", "ticket", "no", "serial", ""]), digits(rng.randrange(7, 20))
         if k == 1:
@@ -268,6 +270,14 @@ def cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return rng.choice(["table", "figure", "page", "scores", ""]), " ".join(digits(rng.randrange(1, 5)) for _ in range(rng.randrange(3, 7)))
         if k == 9:
             return rng.choice(["order", "sku", "no", "id", "ref", ""]), rng.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(4)}/{digits(6)}", f"{digits(5)}-{digits(5)}"])
+        if k == 10:
+            return rng.choice(["device", "mac", "from", "address", ""]), ":".join(f"{rng.randrange(256):02x}" for _ in range(6))
+        if k == 11:
+            return rng.choice(["at", "lat", "position", "from", ""]), f"{rng.randrange(90)}.{digits(4)} {rng.randrange(180)}.{digits(4)}"
+        if k == 12:
+            return rng.choice(["barcode", "item", "code", "article", ""]), digits(rng.choice([12, 13, 14]))
+        if k == 13:
+            return rng.choice(["results", "rooms", "sizes", "lines", "set", ""]), rng.choice([" ", "-", "/"]).join(str(rng.randrange(1, 400)) for _ in range(rng.randrange(3, 7)))
         return rng.choice(["", "looking"]), f"{word()} at {word()} dot {word()} {word()}" if rng.random() < 0.2 else f"{word()} at {word()}.{word()}"
 
     x, y, kinds = [], [], []
@@ -298,7 +308,7 @@ def model(n: int = 4000) -> tuple[Trees, tuple[float, ...]]:
         order = np.argsort(-own, kind="stable")
         right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero((right >= PRECISION) & (np.arange(len(order)) >= 20))
-        thresholds.append(max(0.5, float(own[order][good[-1]])) if len(good) else 1.1)
+        thresholds.append(float(own[order][good[-1]]) if len(good) else 1.1)
     return trees, tuple(thresholds)
 
 

@@ -125,8 +125,12 @@ def broadcast(spark: SparkSession, what):
     return spark.sparkContext.broadcast(cloudpickle.dumps(what))
 
 
-def received(held):
-    return pickle.loads(held.value)
+def received(held, keep: bool = True):
+    """With keep=False a worker doesn't hold on to the bytes, but reads its file again each time."""
+    value = pickle.loads(held.value)
+    if not keep and getattr(held, "_path", None):
+        held.__dict__.pop("_value", None)
+    return value
 
 
 def small(it, rows: int = 512):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -75,3 +76,57 @@ def test_query_form(spark):
     assert by[None].n_phone == 1 and by[4].n_card == 1 and "card:200001:200017" in by[4].spans
     assert op.redact("mail x@y.com now") == "mail [EMAIL] now"
     assert op.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def other_cases(n, seed):
+    """Sentences that share no template with those that the trees are fitted on: (text, kind or None, start, end)."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    first = "anna bruno chloe dmitri elena farid greta hugo ines jonas".split()
+    firm = "northwind acme-tools rivercity bluecanoe heliograph".split()
+    num = lambda k: "".join(pick("0123456789") for _ in range(k))
+
+    def card(mark):
+        d = pick("45") + num(14)
+        d += next(c for c in "0123456789" if op.luhn(d + c))
+        return mark.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    positive = {
+        "email": [lambda: f"{pick(first)}.{pick(first)} [at] {pick(firm)} [dot] com", lambda: f"{pick(first)}_{num(2)} (at) {pick(firm)} (dot) org", lambda: f"{pick(first)}{num(2)} AT {pick(firm)} DOT net", lambda: f"{pick(first)} @ {pick(firm)}.de", lambda: f"{pick(first)}(at){pick(firm)}.fr"],
+        "ip": [lambda: "[.]".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"fe80::{rng.randrange(4096, 65536):x}:fe{num(2)}:{num(4)}:{num(3)}a", lambda: ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), lambda: "(.)".join(str(rng.randrange(256)) for _ in range(4))],
+        "card": [lambda: card("."), lambda: card("/"), lambda: card("_"), lambda: card("  ")],
+        "phone": [lambda: f"({num(3)}) 555-{num(4)}", lambda: f"0{num(3)}/{num(7)}", lambda: f"07{num(3)} {num(6)}", lambda: f"0049 {num(2)} {num(6)}", lambda: f"06 {num(2)} {num(2)} {num(2)} {num(2)}"],
+    }
+    lead = {"email": ["You can reach the editor under", "Please mail", "Questions go to"], "ip": ["The firewall blocked", "Traffic came from host", "The server answers on"], "card": ["The fare was charged to card", "She paid with", "Refund to visa"], "phone": ["For bookings call", "Office phone:", "Ring the warden on"]}
+    negative = [lambda: f"The book has ISBN 978-0-{num(3)}-{num(5)}-{num(1)}", lambda: f"It was built from release {rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(20)}", lambda: f"They met on 20{num(2)}-0{rng.randrange(1, 10)}-1{num(1)} in the hall", lambda: f"Parcel no. {num(3)}-{num(3)}-{num(4)} is late", lambda: f"We arrived at {pick(firm)}. then it rained", lambda: f"The EAN is {num(13)}", lambda: "Its adapter is " + ":".join(f"{rng.randrange(256):02X}" for _ in range(6)), lambda: f"The lap took 0{num(1)}:{num(2)}:{num(2)}:{num(2)}", lambda: f"Sales rose to {num(3)}.{num(3)}.{num(3)} units", lambda: f"See sections {rng.randrange(9)} {rng.randrange(99)} {rng.randrange(99)} {rng.randrange(99)}", lambda: f"Ticket {num(4)}/{num(6)} was closed", lambda: f"Id {num(8)}-{num(4)}-{num(4)} in the log"]
+    for i in range(n):
+        if i % 2:
+            kind = op.KINDS[i // 2 % 4]
+            head, span = pick(lead[kind]) + " ", pick(positive[kind])()
+            yield head + span + pick([" before noon", ", thanks", " today."]), kind, len(head), len(head) + len(span)
+        else:
+            yield pick(negative)() + pick(["", " as usual", "."]), None, 0, 0
+
+
+def test_on_cases_of_another_generator():
+    rows = list(other_cases(4000, 77))
+    texts = [t for t, *_ in rows]
+    bases = [op.base(t) for t in texts]
+    found = op.added(texts, bases, op.model())
+    right, wrong, there = ({k: 0 for k in op.KINDS} for _ in range(3))
+    for (text, kind, a, b), base, more in zip(rows, bases, found):
+        if kind and (kind, a, b) not in base:
+            there[kind] += 1
+        for k, x, y in more:
+            hit = k == kind and (x, y) == (a, b)
+            right[k] += hit
+            wrong[k] += not hit
+    for k in op.KINDS:
+        print(k, "precision", round(right[k] / max(1, right[k] + wrong[k]), 3), "recall", round(right[k] / max(1, there[k]), 3), "of", there[k])
+    assert sum(right.values()) >= 0.9 * (sum(right.values()) + sum(wrong.values()))
+    assert sum(right.values()) >= 0.6 * sum(there.values())
+
+
+def test_every_generator_is_asked():
+    for text in ("dead:beef:cafe:babe::", "::abcd:ef:ab:cd", "jane at mail dot com", "10[.]2[.]3[.]4"):
+        assert op.propose(f"see {text} now"), text
