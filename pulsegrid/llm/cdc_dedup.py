@@ -20,9 +20,9 @@ from pulsegrid.llm.shared import free, park
 
 #: A chunk has more than NEAR bytes (a power of two), twice as many on average, and MOST at most (but for the rest of a character).
 NEAR, MOST = 16, 256
-#: A run is reported from so many words. Its passage is longer: the chunks at both ends aren't repeated as they reach out of
-#: it, which costs some 10 of the words of a passage, more where they are short.
-MIN_WORDS = 20
+#: A run is reported whose passage has about so many words. It is longer than the run: the chunks at both ends aren't repeated
+#: as they reach out of it, which costs LOST characters on average, or as many words as the run has in so many characters.
+MIN_WORDS, LOST = 38, 64
 
 _GEAR = np.random.default_rng(20240601).integers(0, 2**32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -143,7 +143,8 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     isle = hit.withColumns({"fresh": F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)), "words": F.when(again, 0).otherwise(F.col("words"))})
     isle = isle.withColumn("isle", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     found = isle.groupBy("doc", "version", "isle").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc"))
-    return found.where(F.col("n_words") >= min_words).drop("isle")
+    chars = F.col("end") - F.col("start")
+    return found.where(F.col("n_words") * (chars + LOST) >= min_words * chars).drop("isle")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
