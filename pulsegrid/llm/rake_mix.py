@@ -23,6 +23,8 @@ TEMPER = 0.5
 ROUNDS, BLOCK = 30, 5
 #: Of a marginal's distance from its target, as a share of all tokens to sample.
 TOLERANCE = 1e-8
+#: Up to so many cells are one partition, of which groups need no exchange; more are dealt anew for each dimension.
+AT_ONCE = 100_000
 DIMS = ("source", "lang", "topic")
 
 
@@ -107,7 +109,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, fraction
         now = now.join(target, d, "left").withColumn(f"target_{d}", F.coalesce(f"target_{d}", F.lit(0.0)))
     now, path = park(now, "cells")
     spark, done = now.sparkSession, 0
+    few = now.count() <= AT_ONCE
     while done < rounds:
+        now = now.coalesce(1) if few else now
         for _ in range(min(BLOCK, rounds - done)):
             for d in DIMS:
                 now = fill(now, [d], "weight", "most", f"target_{d}", [x for x in DIMS if x != d])
