@@ -292,6 +292,13 @@ def q_signal_series(spark, sf):
     return serving.signal_series(gold.signal_buckets(V.signals(spark, sf)), "C1", SINCE, UNTIL)
 
 
+@query(V.with_(V.EV, V.SIG, V.buckets_sql()) + f"SELECT time_bucket, datasource, round(signal_value, 6) AS signal_value, sample_count FROM buckets WHERE country_code = 'C1' AND time_bucket >= {RANGE} AND time_bucket < {RANGE_END}")
+def q_signal_series_older(spark, sf):
+    """The series from a table of the older form, which calls the time otherwise and has no gaps and steps."""
+    older = gold.signal_buckets(V.signals(spark, sf)).withColumnRenamed("time_bucket", "time_window").drop("collection_gap", "step_seconds")
+    return serving.signal_series(older, "C1", SINCE, UNTIL)
+
+
 @query(V.with_(V.EV) + "SELECT DISTINCT country_code FROM ev")
 def q_distinct_entities(spark, sf):
     return serving.countries(V.events(spark, sf))
