@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import drop, mix, park, small
+from pulsegrid.llm.shared import Words, batches, drop, mix, park, small
 
 THRESHOLD = 2
 SHINGLE = 3
@@ -182,15 +183,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
-_FACTOR = np.random.default_rng(20240817).integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR = np.random.default_rng(20240817).integers(0, 2**31, BANDS * BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def grams(texts: list[str | None], shingle: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of its shingles, like `shingles`, but of hashes of words instead of XXH64, so that there's no loop
+    over words."""
+    for _, group in batches(texts):
+        w = Words(group)
+        fold = lambda h, n, k: reduce(lambda a, i: a * np.uint64(0x9E3779B97F4A7C15) + h[i : i + k], range(n), np.zeros(k, np.uint64))
+        every = mix(fold(w.hash, shingle, max(0, len(w.hash) - shingle + 1)))
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+            yield every[a : b - shingle + 1] if b - a >= shingle else mix(fold(w.hash[a:b], b - a, 1)) if b > a else every[:0]
 
 
 def _bands(hashes: np.ndarray) -> np.ndarray:
     """A key for each band of MinHashes, as signed longs."""
-    low = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        low = np.minimum(low, (hashes[i : i + 1024, None] * _FACTOR).min(axis=0))
-    rows = mix(low).reshape(BANDS, BAND)
+    low, high = np.full(BANDS * BAND, 2**32 - 1, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), 512):
+        low = np.minimum(low, (high[i : i + 512, None] * _FACTOR).min(axis=0))
+    rows = mix(low.astype(np.uint64)).reshape(BANDS, BAND)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -202,7 +214,7 @@ def bands(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(it):
-            keys = [_bands(shingles(t.as_py(), shingle)) for t in b.column(1)]
+            keys = [_bands(h) for h in grams(b.column(1).to_pylist(), shingle)]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "digest", "keys"])
@@ -216,11 +228,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(it, 64):
-            keep, last, held = [], None, None
-            for a, left, right in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if a != last:
-                    last, held = a, np.unique(shingles(left, shingle))
-                other = np.unique(shingles(right, shingle))
+            keep, held = [], None
+            new = [a != b for a, b in zip(b.column(0).to_pylist(), [None, *b.column(0).to_pylist()])]  # a text on the left may stand in many rows
+            lefts = grams([t for t, n in zip(b.column(2).to_pylist(), new) if n], shingle)
+            for n, other in zip(new, grams(b.column(3).to_pylist(), shingle)):
+                held = np.unique(next(lefts)) if n else held
+                other = np.unique(other)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(both >= similarity * (len(held) + len(other) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -94,3 +96,15 @@ def test_a_long_chain_is_one_component(spark):
 
 def test_empty_table(spark):
     assert op.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_grams_are_equal_where_shingles_are():
+    rng = random.Random(31)
+    texts = [None, "", " ", "one", "One", "a b c d", "a b c d e", "a  b\tc D e f"] + [" ".join(rng.choice("abcdé") for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    texts.append(" ".join("xyz"[i % 3] for i in range(90_000)))
+    own, exact = {}, {}
+    for t, got in zip(texts, op.grams(texts, 5)):
+        want = op.shingles(t, 5)
+        assert len(got) == len(want)
+        for g, w in zip(got.tolist(), want.tolist()):
+            assert own.setdefault(w, g) == g and exact.setdefault(g, w) == w
