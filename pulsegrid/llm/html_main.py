@@ -335,8 +335,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     found, _ = park(parsed(pages), "parsed")
     recurring, _ = park(_recurring(found).select("host", "hash").distinct(), "templates")
-    around = found.where(F.exists("under", lambda x: F.size(x) > 0)).select("row", "host", F.explode(F.array_distinct(F.flatten("under"))).alias("hash"))
+    # Most pages have nothing around their main text that could be a template's: they aren't shuffled.
+    may = F.exists("under", lambda x: F.size(x) > 0)
+    plain, some = found.where(~may), found.where(may)
+    around = some.select("row", "host", F.explode(F.array_distinct(F.flatten("under"))).alias("hash"))
     gone = around.join(recurring, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    lines = F.filter(F.arrays_zip("texts", "under"), lambda x: ~F.arrays_overlap(x["under"], "gone"))
-    text = F.array_join(F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.transform(lines, lambda x: x["texts"])), "\n")
-    return found.join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    left = F.transform(F.filter(F.arrays_zip("texts", "under"), lambda x: ~F.arrays_overlap(x["under"], "gone")), lambda x: x["texts"])
+    kept = some.join(gone, "row", "left").withColumn("texts", F.when(F.col("gone").isNull(), F.col("texts")).otherwise(left))
+    lines = plain.select("page_id", "url", "texts").union(kept.select("page_id", "url", "texts"))
+    return lines.select("page_id", "url", F.array_join("texts", "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
