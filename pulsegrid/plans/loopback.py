@@ -1,14 +1,24 @@
-"""Small servers on this machine that the catalogue's queries of network sources read from."""
+"""Small servers on this machine that the catalogue's queries of network sources read from, and a database for JDBC."""
 
 from __future__ import annotations
 
 import json
+import shutil
 import socketserver
+import tempfile
 import threading
 import urllib.parse
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pulsegrid.operators import tables
+from pulsegrid.operators.workspace import folder
+from pulsegrid.sources import network
 
 
 @contextmanager
@@ -85,3 +95,32 @@ def feed(lines: list[str]) -> Iterator[int]:
             yield s.server_address[1]
         finally:
             done.set()
+
+
+@contextmanager
+def database(spark: SparkSession, rows: dict[str, DataFrame], *statements: str) -> Iterator[str]:
+    """The JDBC URL of a database with these tables, for readers on all machines. Only one process at a time may have a database
+    of Derby's open for writing, and one in memory is seen by its own process alone: so the driver fills it and shuts it down, and an
+    archive of it in the shared folder, which must be a mounted one, is what all processes read. Statements run before."""
+    own, shared = tempfile.mkdtemp(prefix="pulsegrid-"), folder(spark, "database")
+    url = f"jdbc:derby:{own}/db"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared}/db.jar")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        raise ValueError("the database needs a spark.checkpoint.dir that all machines have mounted")
+    try:
+        network.execute(spark, f"{url};create=true", *statements)
+        for table, df in rows.items():
+            network.upload(df, url, table, f"{shared}/{table}")
+        network.shut(spark, url)
+        with zipfile.ZipFile(f"{own}/db.jar", "w", zipfile.ZIP_STORED) as z:  # pages are read by their offset
+            for f in sorted(Path(own, "db").rglob("*")):
+                z.write(f, f.relative_to(own))
+        files.copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{own}/db.jar"), where)
+        shutil.rmtree(own)
+        archived = f"jdbc:derby:jar:({where.toUri().getPath()})db"
+        yield archived
+        network.shut(spark, archived)
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
+        tables.remove(spark, shared)

@@ -10,6 +10,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -44,6 +45,40 @@ def execute(spark: SparkSession, url: str, *statements: str) -> None:
         connection.close()
 
 
+def upload(df: DataFrame, url: str, table: str, path: str) -> None:
+    """Appends rows, columns in the table's order, to a table of an embedded Derby that only the driver may have open, and makes the
+    table where there's none. Executors write text files below path, a mounted folder that all machines share, and the database takes in
+    one after the other. Where executors reach the database, df.write.jdbc() does it in parallel."""
+    jvm = df.sparkSession.sparkContext._jvm
+    jdbc = jvm.org.apache.spark.sql.execution.datasources.jdbc
+    zone = jvm.java.util.TimeZone.getDefault().getID()  # the one by which JDBC reads timestamps
+    df.write.option("timeZone", zone).csv(path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    parts = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        options = jdbc.JdbcOptionsInWrite(url, table, jvm.PythonUtils.toScalaMap({}))
+        if not jdbc.JdbcUtils.tableExists(connection, options):
+            jdbc.JdbcUtils.createTable(connection, table, df._jdf.schema(), False, options)
+        take = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+        for f in parts:
+            if f.getPath().getName().startswith("part-") and f.getLen():
+                take.setString(1, table.upper())
+                take.setString(2, f.getPath().toUri().getPath())
+                take.execute()
+    finally:
+        connection.close()
+
+
+def shut(spark: SparkSession, url: str) -> None:
+    """Closes an embedded database that this process has open."""
+    try:
+        spark.sparkContext._jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true")
+    except Py4JJavaError as e:  # it answers by an error, with this state where it's done
+        if e.java_exception.getSQLState() != "08006":
+            raise
+
+
 def lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     """A stream of the lines that a TCP server sends, column value; what has been read can't be read again, so it is for
     feeds that are lossy anyhow."""

@@ -1,11 +1,16 @@
 import http.server
 import json
+import os
+import subprocess
+import sys
 import threading
 import urllib.parse
+from pathlib import Path
 
 import pytest
 
 from pulsegrid.operators.workspace import folder
+from pulsegrid.plans import loopback
 from pulsegrid.sources import files, network
 from pulsegrid.streaming import jobs
 
@@ -69,3 +74,15 @@ def test_a_stream_without_a_source_is_left_out(spark):
     assert jobs.files(spark, "/tmp/there/is/no/such/path") is None
     assert jobs.start_all(spark, {"a": lambda: None}) == {}
     jobs.stop_all({})
+
+
+def test_a_database_gives_texts_and_nulls_as_they_were(spark):
+    rows = [(1, 'a "b", c', 0.1), (2, "", 1 / 3), (3, None, None), (4, " two\nlines ", -1e-300), (5, "é,\\", 1e300), (None, "x", 0.0)]
+    df = spark.createDataFrame(rows, "id long, t string, d double").repartition(3)
+    with loopback.database(spark, {"things": df}, "CREATE TABLE things (id BIGINT, t VARCHAR(99), d DOUBLE)") as url:
+        got = network.jdbc(spark, url, "things", "ID", 1, 5, 3).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+    with loopback.database(spark, {"made": df.drop("t")}) as url:
+        assert network.jdbc(spark, url, "made").count() == len(rows)
+    with loopback.database(spark, {"nothing": df.limit(0)}) as url:
+        assert network.jdbc(spark, url, "nothing").count() == 0
