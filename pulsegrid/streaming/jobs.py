@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pulsegrid.operators import gold, silver, tables
+from pulsegrid.operators.frames import first_of_each
 from pulsegrid.schemas import KEYS
 
 SILVER_TRIGGER, GOLD_TRIGGER = "2 minutes", "5 minutes"
@@ -85,24 +86,30 @@ def _again(batch: DataFrame, silver_path: str) -> DataFrame | None:
     return rows.join(hours, F.date_trunc("hour", rows["ts_utc"]) == hours["__hour"], "left_semi")
 
 
-def baseline_handler(silver_path: str, gold_path: str) -> Callable[[DataFrame, int], None]:
-    """Percentiles of batches can't be merged: the hours that a batch touches are computed again from all refined rows."""
+#: What names a message: with these as `unique`, handlers count every message once, and only those delivered twice are copies.
+MESSAGE = ["kafka_topic", "kafka_partition", "kafka_offset"]
+
+
+def baseline_handler(silver_path: str, gold_path: str, unique: Iterable[str] = silver.DEDUP["pings"]) -> Callable[[DataFrame, int], None]:
+    """Percentiles of batches can't be merged: the hours that a batch touches are computed again from all refined rows. Of rows that
+    are equal in `unique` one counts: by default polls that overlap give no copies, but of two readings of a second one is lost."""
 
     def run(batch: DataFrame, _: int) -> None:
         rows = _again(batch, silver_path)
         if rows is not None:
-            tables.upsert(gold.baselines(silver.dedup(rows, "pings")), gold_path, KEYS["baselines"], day="time_window")
+            tables.upsert(gold.baselines(first_of_each(rows, *unique)), gold_path, KEYS["baselines"], day="time_window")
 
     return run
 
 
-def signal_handler(silver_path: str, gold_path: str) -> Callable[[DataFrame, int], None]:
-    """Buckets of touched hours, again from all refined rows; the step of a bucket that is there already stays."""
+def signal_handler(silver_path: str, gold_path: str, unique: Iterable[str] = silver.DEDUP["signals"]) -> Callable[[DataFrame, int], None]:
+    """Buckets of touched hours, again from all refined rows, one of those equal in `unique`; the step of a bucket that is there
+    already stays."""
 
     def run(batch: DataFrame, _: int) -> None:
         rows = _again(batch, silver_path)
         if rows is not None:
-            tables.upsert(gold.signal_buckets(silver.dedup(rows, "signals")), gold_path, KEYS["signals"], day="time_bucket", keep=["step_seconds"])
+            tables.upsert(gold.signal_buckets(first_of_each(rows, *unique)), gold_path, KEYS["signals"], day="time_bucket", keep=["step_seconds"])
 
     return run
 
