@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Words, batches, drop, mix, park, small
+from pulsegrid.llm.shared import Words, batches, broadcast, drop, mix, park, received, small
 
 THRESHOLD = 2
 SHINGLE = 3
@@ -28,6 +28,10 @@ SHINGLE = 3
 TASK_ROWS = 20_000
 #: Bands of MinHashes for likeness by Jaccard: two texts of likeness 0.8 share none of 32 bands of 5 in 3 of a million cases.
 BANDS, BAND = 32, 5
+#: Bits of the table that tells texts which aren't needed, at most.
+MOST_BITS = 1 << 27
+#: Bytes of shingles' hashes of a key that a task compares.
+KEY_BYTES = 16 << 20
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -222,6 +226,27 @@ def bands(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, keys array<long>")
 
 
+def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """digest, text of the different texts whose digests are used. A table of bits on each machine tells most others, which
+    then aren't shuffled; of very many digests there's none."""
+    spark, n = docs.sparkSession, used.count()
+    every = docs.select(F.xxhash64("text").alias("digest"), "text")
+    if n <= MOST_BITS // 16:
+        size = 1 << max(16, (16 * n).bit_length())
+        bits = np.zeros(size, bool)
+        bits[used.select(F.expr(f"digest & {size - 1}").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+        held = broadcast(spark, np.packbits(bits))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = received(held)
+            for b in it:
+                at = b.column(0).to_numpy() & (size - 1)
+                yield b.filter(pa.array((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+        every = every.mapInArrow(run, "digest long, text string")
+    return every.join(used, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of texts' digests, those whose shingles have a Jaccard likeness of `similarity` at least; counted
     over all shingles. The text of b is joined first, so that a text that is in many pairs as a isn't shuffled for each."""
@@ -239,41 +264,91 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     used = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    texts, _ = park(docs.select(F.xxhash64("text").alias("digest"), "text").join(used, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "texts")
+    texts, _ = park(_texts(docs, used), "texts")
     right = pairs.join(texts.withColumnsRenamed({"digest": "b", "text": "right"}), "b")
     return right.join(texts.withColumnsRenamed({"digest": "a", "text": "left"}), "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _within(open_: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the texts of each key (key, digest, root, outside), links (a, b) of those outside to texts of other roots, by the exact
+    likeness of all shingles: one for each root that a text is alike to. Each key's sets of shingles meet once, so there's
+    no row for a pair; a key with more than KEY_BYTES of them is cut into parts, each pair of which is a task's."""
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(it, 64):
+            own = [np.unique(g).view(np.int64) for g in grams(b.column(1).to_pylist(), shingle)]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["digest", "own"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        digest, root, outside, part = (t.column(c).to_numpy() for c in ("digest", "root", "outside", "part"))
+        own = [x for c in t.column("own").chunks for x in (c.offsets.to_numpy(), c.values.to_numpy())]
+        flat, size = np.concatenate([np.zeros(0, np.int64), *(v[o[0] : o[-1]] for o, v in zip(own[::2], own[1::2]))]), np.concatenate([np.zeros(0, np.int64), *(np.diff(o) for o in own[::2])])
+        end = np.cumsum(size)
+        _, place = np.unique(flat, return_inverse=True)
+        mark, total = np.zeros(int(place.max(initial=-1)) + 1, np.int64), np.zeros(len(place) + 1, np.int64)
+        two, left, right = part.min() != part.max(), [], []
+        for i in np.flatnonzero(outside):
+            other = root != root[i]
+            if two:
+                other &= part != part[i]
+            if not other.any():
+                continue
+            at = place[end[i] - size[i] : end[i]]
+            mark[at] = 1
+            np.cumsum(mark[place], out=total[1:])
+            mark[at] = 0
+            both = total[end] - total[end - size]
+            hit = np.flatnonzero(other & (both >= similarity * (size[i] + size - both)))
+            hit = hit[np.unique(root[hit], return_index=True)[1]]
+            left.append(np.full(len(hit), digest[i]))
+            right.append(digest[hit])
+        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *left]), "b": np.concatenate([np.zeros(0, np.int64), *right])})
+
+    found, path = park(_texts(docs, open_.select("digest").distinct()).mapInArrow(sets, "digest long, own array<long>"), "sets")
+    cut = open_.join(found.select("digest", F.size("own").alias("size")), "digest").groupBy("key").agg(F.ceil(F.sum("size") * 8 / KEY_BYTES).cast("int").alias("parts")).where("parts > 1")
+    each = open_.join(cut, "key", "left").select("key", "digest", "root", "outside", F.greatest(F.lit(1), F.coalesce("parts", F.lit(1))).alias("parts"))
+    each = each.withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = each.select("key", "digest", "root", "outside", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(found, "digest")
+    late, _ = park(met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "late")
+    drop(docs.sparkSession, path)
+    return late
+
+
 def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, digest, root (the component's smallest digest) for every row of docs; texts are linked when the exact Jaccard
     likeness of their shingles is `similarity` or more.
 
-    SimHashes can't find these: at a likeness of 0.8 they differ by 10 of 64 bits on average, and no covering code of that
-    radius is of use. Texts that share a band of MinHashes are candidates. First each text of a band's key is compared with the
-    key's least. Where that leaves a key more than one component, all texts outside its largest are compared with
-    those of other components. So any two texts that share a key and are alike end in one component, and the comparisons
-    grow with the square of a key's texts only where they aren't alike.
+    The links of the fingerprints' covering code are candidates, as are texts that share a band of MinHashes: at a likeness of
+    0.8 SimHashes differ by 10 of 64 bits on average, and no covering code of that radius is of use. Near copies have a
+    hub, the text that they are copies of. So each text of a band's key is first compared with the key's text that meets most others
+    over all keys. Where that leaves a key more than one component, all texts outside its largest are compared with all of
+    other components, within a task. So any two texts that share a key and are alike end in one component.
     """
     spark = docs.sparkSession
     rows, _ = park(bands(docs, shingle), "bands")
+    prints, prints_path = park(fingerprints(docs).groupBy("digest").agg(F.first("fp").alias("fp")), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("digest").alias("least"))
+    same = prints.join(least, "fp").where("digest != least").select(F.col("least").alias("a"), F.col("digest").alias("b"))
+    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_")) for x in ("a", "b")]
+    close = links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
     each = rows.groupBy("digest").agg(F.first("keys").alias("keys")).select("digest", F.explode("keys").alias("key"))
-    members, members_path = park(each, "members")
-    low = members.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    first, first_path = park(members.join(low, "key").where("digest != a").select("a", F.col("digest").alias("b")).distinct(), "pairs")
-    edges, _ = park(_alike(first, docs, shingle, similarity), "alike")
+    met = each.groupBy("key").agg(F.collect_list("digest").alias("met")).where(F.size("met") > 1)
+    shared, shared_path = park(met.select("key", F.size("met").alias("n"), F.explode("met").alias("digest")), "shared")
+    degree = shared.groupBy("digest").agg(F.sum("n").alias("degree"))
+    hub = shared.join(degree, "digest").groupBy("key").agg(F.max(F.struct("degree", "digest"))["digest"].alias("hub"))
+    hubs = shared.join(hub, "key").where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b"))
+    pairs, pairs_path = park(same.union(close).union(hubs).distinct(), "pairs")
+    edges, _ = park(_alike(pairs, docs, shingle, similarity), "alike")
     root, _ = park(components(edges), "roots")
-    named = members.join(low.select("key"), "key").join(root.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
-    named, named_path = park(named, "named")
-    split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    open_, open_path = park(named.join(split, "key"), "open")
-    top = open_.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("top")).select("key", F.col("top.root").alias("top"))
-    outside = open_.join(top, "key").where("root != top").select("key", F.col("digest").alias("d"), F.col("root").alias("r"))
-    more = open_.join(outside, "key").where("root != r").select(F.least("digest", "d").alias("a"), F.greatest("digest", "d").alias("b")).distinct()
-    more, more_path = park(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    for path in (members_path, first_path, named_path, open_path):
+    named, named_path = park(shared.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root")), "named")
+    count = named.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("top")).where("roots > 1")
+    open_, open_path = park(named.join(count, "key").select("key", "digest", "root", (F.col("root") != F.col("top")).alias("outside")), "open")
+    for path in (prints_path, shared_path, pairs_path, named_path):
         drop(spark, path)
-    late, _ = park(_alike(more, docs, shingle, similarity), "alike")
-    drop(spark, more_path)
+    late = _within(open_, docs, shingle, similarity)
+    drop(spark, open_path)
     if late.limit(1).count():
         root, _ = park(components(edges.union(late)), "roots")
     return rows.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))

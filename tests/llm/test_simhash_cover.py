@@ -108,3 +108,86 @@ def test_grams_are_equal_where_shingles_are():
         assert len(got) == len(want)
         for g, w in zip(got.tolist(), want.tolist()):
             assert own.setdefault(w, g) == g and exact.setdefault(g, w) == w
+
+
+def family(rng, n, edits):
+    """Copies of a text of 200 words, each with words of its own at some places; the text itself isn't among them."""
+    base, out = [f"w{i}" for i in range(200)], []
+    for k in range(n):
+        text = list(base)
+        for i in rng.sample(range(200), edits(k)):
+            text[i] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+def components_of(texts, similarity=0.8):
+    own = [set(op.shingles(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(own[i] & own[j])
+            if find(i) != find(j) and both >= similarity * (len(own[i]) + len(own[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted(sorted(i for i in range(len(texts)) if find(i) == r) for r in {find(i) for i in range(len(texts))})
+
+
+def groups(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r.root, []).append(r.doc_id)
+    return sorted(map(sorted, found.values()))
+
+
+def test_a_family_of_near_copies_makes_no_row_for_each_pair(spark, monkeypatch):
+    rng = random.Random(41)
+    texts = family(rng, 240, lambda k: 1 + k % 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, alike = [], op._alike
+    monkeypatch.setattr(op, "_alike", lambda pairs, *more: seen.append(pairs.count()) or alike(pairs, *more))
+    want = components_of(texts)
+    assert groups(op.like_duplicates(docs, 5, 0.8).collect()) == want and 1 < len(want) < 200
+    assert sum(seen) < 10 * len(texts)
+    monkeypatch.setattr(op, "KEY_BYTES", 40_000)  # keys of several parts
+    assert groups(op.like_duplicates(docs, 5, 0.8).collect()) == want
+
+
+def test_texts_outside_their_keys_largest_component_are_found(spark, monkeypatch):
+    """With a hub that few are alike to, all links come from the comparison within a task."""
+    rng = random.Random(43)
+    texts = family(rng, 60, lambda k: 2 + k % 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(op, "_alike", lambda pairs, *more: pairs.where("false"))
+    for size in (op.KEY_BYTES, 20_000):
+        monkeypatch.setattr(op, "KEY_BYTES", size)
+        keys = spark.createDataFrame([(1, i) for i in range(60)], "key int, doc_id long").join(docs, "doc_id")
+        open_ = keys.select("key", op.F.xxhash64("text").alias("digest"), op.F.xxhash64("text").alias("root"), op.F.lit(True).alias("outside"))
+        found = {(r.a, r.b) for r in op._within(open_, docs, 5, 0.8).collect()}
+        digest = [r.d for r in docs.orderBy("doc_id").select(op.F.xxhash64("text").alias("d")).collect()]
+        own = [set(op.shingles(t, 5).tolist()) for t in texts]
+        want = {(digest[i], digest[j]) for i in range(60) for j in range(60) if i != j and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+        assert found == want and len(want) > 20
+
+
+def test_links_of_the_covering_code_are_candidates(spark, monkeypatch):
+    """Copies with a word changed in 2,000 are linked where no two texts share a band of MinHashes."""
+    rng = random.Random(42)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(500)}" for _ in range(2000)]
+        for _ in range(4):
+            text = list(base)
+            text[rng.randrange(2000)] = "changed"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r.root for r in op.near_duplicates(docs).collect()}
+    monkeypatch.setattr(op, "bands", lambda d, shingle: d.select("doc_id", op.F.xxhash64("text").alias("digest"), op.F.array(op.F.col("doc_id")).alias("keys")))
+    want = sorted(sorted(d for d in near if near[d] == r) for r in set(near.values()))
+    assert groups(op.like_duplicates(docs, 5, 0.8).collect()) == want and len(want) < 18
