@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import cdc_dedup, html_main, iblt, lsa_decontam, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, warc_revisit
+from pulsegrid.llm import cdc_dedup, html_main, iblt, lsa_decontam, lyndon_runs, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, warc_revisit
 from pulsegrid.llm.shared import table
 
 
@@ -55,6 +55,10 @@ def op10_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_cover.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_main": op1_html_main,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rake_mix": op8_rake_mix,
         "op9_iblt": op9_iblt,
         "op10_simhash_cover": op10_simhash_cover,
+        "op13_lyndon_runs": op13_lyndon_runs,
     }
 
 
