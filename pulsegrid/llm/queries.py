@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import cdc_dedup, html_main, iblt, lsa_decontam, lyndon_runs, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, token_automaton, warc_revisit
+from pulsegrid.llm import cdc_dedup, html_main, iblt, lsa_decontam, lyndon_runs, pii_boost, quality_fm, rake_mix, secret_worklist, simhash_cover, token_align, token_automaton, warc_revisit
 from pulsegrid.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op10_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_cover.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_automaton.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rake_mix": op8_rake_mix,
         "op9_iblt": op9_iblt,
         "op10_simhash_cover": op10_simhash_cover,
+        "op11_token_align": op11_token_align,
         "op12_token_automaton": op12_token_automaton,
         "op13_lyndon_runs": op13_lyndon_runs,
     }
