@@ -1,15 +1,21 @@
-"""Partitioned Parquet tables: scans with pruning, overwrites of single partitions, keyed upserts, incremental roll-ups."""
+"""Partitioned Parquet tables: scans with pruning, overwrites of single partitions, keyed upserts, incremental roll-ups.
+
+Tables of `upsert` are versioned (see versions.py); `read`, `count` and `exists` take both kinds.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pulsegrid.operators import versions
+
 DAY = ["year", "month", "day"]
 
 
@@ -20,7 +26,7 @@ def _path(spark: SparkSession, path: str):
 
 def exists(spark: SparkSession, path: str) -> bool:
     where, fs = _path(spark, path)
-    return fs.exists(where)
+    return versions.current(spark, path) is not None if versions.versioned(spark, path) else fs.exists(where)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -29,14 +35,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str, schema: StructType | None = None, where: Column | None = None) -> DataFrame | None:
-    """The table, pruned by a predicate on partition columns; None where there's no such path."""
+    """The table, pruned by a predicate on partition columns; None where there's no such path or no version yet."""
     try:
-        df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        df = versions.read(spark, path) if versions.versioned(spark, path) else (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
-    return df if where is None else df.where(where)
+    return df if where is None or df is None else df.where(where)
 
 
 def day_range(since: dt.date, until: dt.date) -> Column:
@@ -97,63 +103,56 @@ def _all(parts) -> Column:
     return out
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], day: str | None = None, keep: list[str] = (), retract: Column | None = None, span: tuple[dt.date | None, dt.date | None] | None = None) -> int:
-    """Merges new into the table at path; gives the number of rows of new.
+def upsert(
+    new: DataFrame, path: str, keys: list[str], day: str | None = None, keep: list[str] = (), retract: Column | None = None, span: tuple[dt.date | None, dt.date | None] | None = None, batch: tuple[str, int] | None = None, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+) -> int:
+    """Merges new into the versioned table at path; gives the number of rows of new.
 
-    The table is partitioned by `__day`, the date of column `day`: only days that new touches are read and rewritten. They are
-    written once, next to the table, and then moved into it, so that no file is read and replaced at once. retract: old rows of
+    The table is partitioned by `__day`, the date of column `day`: only days that new touches are read and written again, into a
+    folder of their own, and one new version makes them count. A crash at any time leaves the version before. Writers may run at
+    once: one that finds others' days changed keeps them, and merges anew where they are its own. retract: old rows of
     the touched days that this holds for go unless new has them; with span, days of [since, until) count as touched too (None:
-    no bound). One writer at a time.
+    no bound). batch: a writer's name and this batch's number; one that the table has seen adds nothing. combine(old, new) merges
+    instead of keys and keep.
     """
     spark, root = new.sparkSession, path.rstrip("/")
+    if batch is not None and (seen := versions.current(spark, root)) is not None and seen.seen(batch):
+        return 0
     stage = f"{root}.staging-{uuid.uuid4().hex}"
     rows = new.withColumn("__day", F.to_date(day) if day else F.lit(None).cast("date"))
-    old = read(spark, path) if exists(spark, path) else None
-    if old is None:
-        overwrite(rows, f"{stage}/merged", by=["__day"])
-        n, touched = spark.read.schema(rows.schema).parquet(f"{stage}/merged").count(), set()
-    else:
-        rows.write.parquet(f"{stage}/new")
-        fresh = spark.read.parquet(f"{stage}/new")
+    rows.write.parquet(stage)
+    try:
+        fresh = spark.read.schema(rows.schema).parquet(stage)
         counts = fresh.groupBy("__day").agg(F.count("*")).collect()  # a row for each day
-        n, touched = sum(r[1] for r in counts), {r[0] for r in counts}
-        if retract is not None and span is not None:
-            low, high = span
-            touched |= {d for d in _days(spark, root) if d is not None and (low is None or d >= low) and (high is None or d < high)}
-        dates = [d for d in touched if d is not None]
-        within = F.col("__day").isin(dates) if dates else F.lit(False)
-        old = old.withColumn("__day", F.col("__day").cast("date")).where(within | F.col("__day").isNull() if None in touched else within)
-        if retract is not None:
-            old = old.where(~F.coalesce(retract, F.lit(False)))
-        overwrite(merge(old.select(*fresh.columns), fresh, keys, list(keep)), f"{stage}/merged", by=["__day"])
-    moved = _move(spark, f"{stage}/merged", root)
-    if retract is not None:  # a touched day that has no row left
-        for d in touched - moved - {None}:
-            remove(spark, f"{root}/__day={d}")
-    remove(spark, stage)
-    return n
-
-
-def _days(spark: SparkSession, path: str) -> set[dt.date | None]:
-    """The partitions of a table of upsert, None for that of rows without a day."""
-    where, fs = _path(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-    parts = [n.removeprefix("__day=") for n in names if n.startswith("__day=")]
-    return {None if p == "__HIVE_DEFAULT_PARTITION__" else dt.date.fromisoformat(p) for p in parts}
-
-
-def _move(spark: SparkSession, staged: str, path: str) -> set[dt.date | None]:
-    """Puts staged partitions in the place of those of the table; gives their days."""
-    days = _days(spark, staged)
-    target, fs = _path(spark, path)
-    fs.mkdirs(target)
-    for d in days:
-        name = f"__day={d or '__HIVE_DEFAULT_PARTITION__'}"
-        source, there = _path(spark, f"{staged}/{name}")[0], _path(spark, f"{path}/{name}")[0]
-        fs.delete(there, True)
-        if not fs.rename(source, there):
-            raise OSError(f"{source} can't be moved to {there}")
-    return days
+        touched = {r[0] for r in counts}
+        while not _merged(spark, root, fresh, touched, combine or (lambda old, rows: merge(old, rows, keys, list(keep))), retract, span, batch):
+            pass
+    finally:
+        remove(spark, stage)
+    return sum(r[1] for r in counts)
+
+
+def _merged(spark: SparkSession, root: str, fresh: DataFrame, touched: set[dt.date | None], combine, retract: Column | None, span, batch) -> bool:
+    """One attempt of upsert; False if another writer has changed the same days meanwhile."""
+    base = versions.current(spark, root)
+    if base is not None and base.seen(batch):
+        return True
+    days = {versions.day(d) for d in touched}
+    if base is not None and retract is not None and span is not None:
+        low, high = (None if d is None else d.isoformat() for d in span)
+        days |= {d for d in base.days if d != versions.NONE and (low is None or d >= low) and (high is None or d < high)}
+    out = fresh
+    if base is not None and days & set(base.days):
+        old = versions.read(spark, root, base, days)
+        out = combine((old if retract is None else old.where(~F.coalesce(retract, F.lit(False)))).select(*fresh.columns), fresh)
+    name, written = versions.write(out, root)
+    while not versions.publish(spark, root, versions.replaced(base, days, name, written, fresh.schema.json(), batch)):
+        other = versions.current(spark, root)
+        if other.seen(batch) or retract is not None or versions.changed(other.days, {} if base is None else base.days) & days:
+            versions.drop(spark, root, name)
+            return other.seen(batch)
+        base = other
+    return True
 
 
 def refresh(source: DataFrame, path: str, build, time: str, since: dt.date, until: dt.date) -> None:
