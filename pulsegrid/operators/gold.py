@@ -6,27 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
-from pulsegrid.operators.frames import matched
+from pulsegrid.operators.frames import matched, running
 
 HOUR = 3600
 #: Window of the signal baseline: the 24 hours before, the hour itself left out.
 TRAILING = 24 * HOUR
+#: Size of the sketches of percentiles: exact up to so many values of an hour, beyond that off by a rank in some 8,000.
+SKETCH = 32_768
+
+
+def _known(pings: DataFrame, include_total_loss: bool) -> tuple[DataFrame, Column]:
+    """Rows with a known loss, and their latency. Without include_total_loss rows without a positive mean latency, lost pings among
+    them, are left out; with it they count for loss and numbers, and only the latencies leave them out."""
+    known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL AND packet_loss IS NOT NULL")
+    rtt: Column = F.col("rtt_avg_ms")
+    return (known, F.when(rtt > 0, rtt)) if include_total_loss else (known.where(rtt > 0), rtt)
 
 
 def baselines(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
     """Hourly percentiles of latency and loss for each country and ASN.
 
-    Rows without a known loss are left out. Without include_total_loss, so are rows without a positive mean latency, lost pings
-    among them; with it they count for loss and numbers, and only the latencies leave them out. Distinct probes and measurements are gathered
-    as sets, which an hour of an ASN has few of: counting two columns' distinct values would triple the rows and build
-    percentiles for every one of those values first.
+    Distinct probes and measurements are gathered as sets, which an hour of an ASN has few of: counting two columns' distinct
+    values would triple the rows and build percentiles for every one of those values first. Where hours have many, and for longer
+    spans, see `id_bitmaps`.
     """
-    known = pings.where("country_code IS NOT NULL AND asn IS NOT NULL AND packet_loss IS NOT NULL")
-    rtt: Column = F.col("rtt_avg_ms")
-    if include_total_loss:
-        rtt = F.when(rtt > 0, rtt)
-    else:
-        known = known.where(rtt > 0)
+    known, rtt = _known(pings, include_total_loss)
     return known.groupBy(F.date_trunc("hour", "ts_utc").alias("time_window"), "country_code", "asn").agg(
         C.percentile(rtt, 0.1).alias("rtt_p10_ms"),
         C.percentile(rtt, 0.5).alias("rtt_median_ms"),
@@ -34,12 +38,68 @@ def baselines(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
         C.percentile("packet_loss", 0.5).alias("loss_median_pct"),
         C.percentile("packet_loss", 0.95).alias("loss_p95_pct"),
         F.count("*").cast("int").alias("total_measurements"),
-        F.size(F.collect_set("probe_id_hash")).alias("probe_count"),
+        F.size(F.collect_set(F.unhex("probe_id_hash"))).alias("probe_count"),
         F.size(F.collect_set("msm_id")).alias("root_server_count"),
         F.sum(F.col("icmp_filtered").cast("int")).cast("int").alias("icmp_filtered_count"),
     )
 
 
+def baseline_sketches(pings: DataFrame, include_total_loss: bool = False) -> DataFrame:
+    """What the baselines of an hour, country and ASN are made of, in a form that `merge_sketches` can add to: quantile sketches of
+    latency and loss, numbers, and the sets of probes and measurements."""
+    known, rtt = _known(pings, include_total_loss)
+    return known.groupBy(F.date_trunc("hour", "ts_utc").alias("time_window"), "country_code", "asn").agg(
+        F.kll_sketch_agg_double(rtt, SKETCH).alias("rtt"),
+        F.kll_sketch_agg_double("packet_loss", SKETCH).alias("loss"),
+        F.count("*").alias("n"),
+        F.collect_set(F.unhex("probe_id_hash")).alias("probes"),
+        F.collect_set("msm_id").alias("servers"),
+        F.sum(F.col("icmp_filtered").cast("long")).alias("filtered"),
+    )
+
+
+def merge_sketches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both tables of sketches as one; each has an hour, country and ASN once, so a group here has two rows at most."""
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    keys = [c for c in new.columns if c not in ("rtt", "loss", "n", "probes", "servers", "filtered")]
+    both = old.unionByName(new).groupBy(*keys).agg(F.kll_merge_agg_double("rtt", SKETCH).alias("rtt"), F.kll_merge_agg_double("loss", SKETCH).alias("loss"), F.sum("n").alias("n"), union("probes"), union("servers"), F.sum("filtered").alias("filtered"))
+    return both.select(*new.columns)
+
+
+def from_sketches(sketches: DataFrame) -> DataFrame:
+    """The baselines that sketches stand for."""
+    at = lambda c, p: F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, F.lit(p)))
+    return sketches.select(
+        "time_window",
+        "country_code",
+        "asn",
+        at("rtt", 0.1).alias("rtt_p10_ms"),
+        at("rtt", 0.5).alias("rtt_median_ms"),
+        at("rtt", 0.9).alias("rtt_p90_ms"),
+        at("loss", 0.5).alias("loss_median_pct"),
+        at("loss", 0.95).alias("loss_p95_pct"),
+        F.col("n").cast("int").alias("total_measurements"),
+        F.size("probes").alias("probe_count"),
+        F.size("servers").alias("root_server_count"),
+        F.col("filtered").cast("int").alias("icmp_filtered_count"),
+    )
+
+
+def id_bitmaps(rows: DataFrame, by: list[Column | str], id: str) -> DataFrame:
+    """by, bucket, bitmap: which ids, numbered in order, a group has. A buffer is 4 KB whatever a group holds; `counted` gives
+    exact numbers of distinct ids, of these groups or of any that they add up to. Null ids are none."""
+    ids = running(rows.select(F.col(id).alias("__id")).where("__id IS NOT NULL").distinct(), [F.col("__id")], "__number")
+    number = rows.select(*by, F.col(id).alias("__id")).join(ids, "__id")
+    keys = [c for c in number.columns if c not in ("__id", "__number")]
+    return number.groupBy(*keys, F.bitmap_bucket_number("__number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__number")).alias("bitmap"))
+
+
+def counted(bitmaps: DataFrame, by: list[Column | str], name: str) -> DataFrame:
+    """by, name: exact numbers of distinct ids, from bitmaps of these groups or of parts of them."""
+    whole = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    return whole.groupBy(*(c for c in whole.columns if c not in ("bucket", "bitmap"))).agg(F.sum(F.bitmap_count("bitmap")).alias(name))
+
+
 def signal_buckets(signals: DataFrame, compat: bool = False) -> DataFrame:
     """Means of a signal over its steps; of several steps in a bucket the finest counts.
 

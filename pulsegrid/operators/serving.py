@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
-from pulsegrid.operators.frames import matched
+from pulsegrid.operators.frames import matched, running
 
 LEAST = 3
 OUTAGE_LABELS = ("hard_outage", "degraded")
@@ -82,9 +82,31 @@ def top_providers(consistency: DataFrame, n: int = 10) -> DataFrame:
     return consistency.orderBy("avg_rtt", "asn").limit(n)
 
 
+def medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by, name: the exact median of each group's values, null where there's none.
+
+    A median function holds a group's values in one buffer. Here approximate percentiles a little under and over the middle, which are
+    bounded in memory, tell where it lies; rows below are counted, and only what lies between, a thousandth of the rows, is
+    counted by value and put in order, over all groups at once and by ranges.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("__x"))
+    near = F.percentile_approx("__x", F.lit([0.4995, 0.5005]), F.lit(10_000))
+    bounds = rows.groupBy(*by).agg(near.alias("__near"), F.count("__x").alias("__n"))
+    both = matched(rows.where("__x IS NOT NULL"), bounds, by) if by else rows.where("__x IS NOT NULL").join(bounds, F.lit(True))
+    low, high = F.element_at("__near", 1), F.element_at("__near", 2)
+    found = both.where(F.col("__x") <= high).groupBy(*by, F.when(F.col("__x") >= low, F.col("__x")).alias("__x")).agg(F.count("*").alias("__times"), F.first("__n").alias("__n"))
+    placed = running(found, [*by, F.col("__x").asc_nulls_first()], "__at", "__times")
+    start = placed.groupBy(*by).agg(F.min("__at").alias("__start"))
+    placed = matched(placed, start, by) if by else placed.join(start, F.lit(True))
+    first, n = F.col("__at") - F.col("__start"), F.col("__n")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < first + F.col("__times")), F.col("__x")))
+    middle = placed.groupBy(*by).agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias(name))
+    return matched(bounds.select(*by), middle, by) if by else middle
+
+
 def heatmap(base: DataFrame) -> DataFrame:
     """Exact median by day and hour of day."""
-    return base.groupBy(F.to_date("time_window").alias("day"), F.hour("time_window").alias("hour")).agg(F.median("rtt_median_ms").alias("rtt"))
+    return medians(base.select(F.to_date("time_window").alias("day"), F.hour("time_window").alias("hour"), "rtt_median_ms"), ["day", "hour"], "rtt_median_ms", "rtt")
 
 
 def hourly_overlay(base: DataFrame) -> DataFrame:
@@ -93,14 +115,15 @@ def hourly_overlay(base: DataFrame) -> DataFrame:
 
 def country_medians(base: DataFrame, *countries: str) -> DataFrame:
     rows = base.where(F.col("country_code").isin(*countries)) if countries else base
-    return rows.groupBy("time_window", "country_code").agg(F.median("rtt_median_ms").alias("rtt"))
+    return medians(rows, ["time_window", "country_code"], "rtt_median_ms", "rtt")
 
 
 def kpis(base: DataFrame, outages: DataFrame) -> DataFrame:
     """One row: median latency, mean loss in percent, providers, measurements, outages."""
-    a = base.agg(F.median("rtt_median_ms").alias("median_rtt"), (F.avg("loss_median_pct") * 100).alias("loss_pct"), F.count_distinct("asn").alias("providers"), F.sum("total_measurements").alias("measurements")).withColumn("k", F.lit(0))
+    middle = medians(base, [], "rtt_median_ms", "median_rtt").withColumn("k", F.lit(0))
+    a = base.agg((F.avg("loss_median_pct") * 100).alias("loss_pct"), F.count_distinct("asn").alias("providers"), F.sum("total_measurements").alias("measurements")).withColumn("k", F.lit(0))
     b = outages.agg(F.count("*").alias("outages")).withColumn("k", F.lit(0))
-    return a.join(b, "k").drop("k")
+    return middle.join(a, "k").join(b, "k").drop("k")
 
 
 def recent_tail(base: DataFrame, n: int = 24) -> DataFrame:
@@ -129,14 +152,8 @@ def severity_bars(summary: DataFrame) -> DataFrame:
 
 
 def ranked(summary: DataFrame, by: str, n: int | None = None) -> DataFrame:
-    """country_code, value and rank by a column, ties by code; only ranks up to n where it's given.
-
-    Rows aren't put into one window: a value's first rank is the number of rows with greater values, from a table of the
-    distinct values, and ranks go on within the value.
-    """
+    """country_code, value and rank by a column, ties by code; only ranks up to n where it's given. Rows are counted by ranges of the
+    order, not in one window."""
     rows = summary.select("country_code", F.col(by).alias("value"))
-    before = F.sum("n").over(Window.orderBy(F.desc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, -1))
-    firsts = rows.groupBy("value").agg(F.count("*").alias("n")).select("value", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("value").orderBy("country_code"))
-    out = matched(rows, firsts, ["value"]).select("country_code", "value", (F.col("__before") + within).cast("int").alias("rank"))
+    out = running(rows, [F.desc_nulls_last("value"), F.col("country_code")], "__before").select("country_code", "value", (F.col("__before") + 1).cast("int").alias("rank"))
     return out if n is None else out.where(F.col("rank") <= n)

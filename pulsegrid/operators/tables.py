@@ -66,6 +66,24 @@ def partitions(df: DataFrame, before: dt.date | None = None, by: list[str] | Non
     return out.orderBy(*(F.col(c).cast("int") for c in by))
 
 
+def listed(spark: SparkSession, path: str, by: list[str] | None = None, before: dt.date | None = None) -> DataFrame:
+    """`partitions` of a table from the names of its folders: nothing of its data is read, and folders of days from `before` on
+    aren't looked into. One row for each partition."""
+    by = DAY if by is None else by
+    last = None if before is None else [before.year, before.month, before.day][: len(by)]
+    found: list[list[str]] = [[]]
+    for i, name in enumerate(by):
+        deeper = []
+        for values in found:
+            where, fs = _path(spark, "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in zip(by, values))]))
+            here = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []
+            deeper += [[*values, v] for v in (n.removeprefix(f"{name}=") for n in here if n.startswith(f"{name}="))]
+        found = [v for v in deeper if last is None or [int(x) for x in v] <= last[: i + 1]]
+    found = [v for v in found if last is None or [int(x) for x in v] < last]
+    out = spark.createDataFrame(found, StructType.fromDDL(", ".join(f"`{c}` string" for c in by)))
+    return out.orderBy(*(F.col(c).cast("int") for c in by))
+
+
 def count(spark: SparkSession, path: str) -> int:
     """Rows of a table, none where there's no table."""
     df = read(spark, path)
@@ -103,6 +121,27 @@ def _all(parts) -> Column:
     return out
 
 
+def adopt(spark: SparkSession, stage: str, path: str, tag: str, depth: int) -> None:
+    """Moves the files of a staged table, so many partition columns deep, into the partitions of another, under names that begin with
+    tag; files of an earlier attempt, which have the same, go first. The names are listed in the driver: a batch has few files."""
+    where, fs = _path(spark, stage)
+    where = fs.makeQualified(where)
+    folders = [where]
+    for _ in range(depth):
+        folders = [s.getPath() for f in folders for s in fs.listStatus(f) if s.isDirectory()]
+    for f in folders:
+        target, _ = _path(spark, f"{path.rstrip('/')}/{where.toUri().relativize(f.toUri()).getPath()}")
+        fs.mkdirs(target)
+        for s in fs.listStatus(target):
+            if s.getPath().getName().startswith(tag):
+                fs.delete(s.getPath(), False)
+        for s in fs.listStatus(f):
+            name = s.getPath().getName()
+            if not name.startswith((".", "_")) and not fs.rename(s.getPath(), _path(spark, f"{target.toString()}/{tag}{name}")[0]):
+                raise OSError(f"{s.getPath()} can't be moved to {target}")
+    fs.delete(where, True)
+
+
 def upsert(
     new: DataFrame, path: str, keys: list[str], day: str | None = None, keep: list[str] = (), retract: Column | None = None, span: tuple[dt.date | None, dt.date | None] | None = None, batch: tuple[str, int] | None = None, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 ) -> int:

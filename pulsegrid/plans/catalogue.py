@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
-from pulsegrid.operators import gold, serving, silver, tables
-from pulsegrid.operators.frames import ensure, first_of_each, naive, rounded
+from pulsegrid.operators import gold, serving, silver, tables, versions
+from pulsegrid.operators.frames import ensure, first_of_each, naive, rounded, running
 from pulsegrid.operators.workspace import folder
 from pulsegrid.plans import loopback
 from pulsegrid.plans import views as V
@@ -162,6 +164,45 @@ def q_rollup_incremental(spark, sf):
     return tables.read(spark, path).drop("__day")
 
 
+@query(V.with_(V.EV, V.MEAS, V.BASE) + _DAILY)
+def q_rollup_follow(spark, sf):
+    """A roll-up that follows its table: rows of some hours come late, and just their days are built again."""
+    source, path = folder(spark, "baselines"), folder(spark, "rollup")
+    rows = base(spark, sf)
+    late = (F.dayofmonth("time_window") % 5 == 0) & (F.hour("time_window") < 12)
+    for part in (rows.where(~late), rows.where(late)):
+        tables.upsert(part, source, KEYS["baselines"], day="time_window")
+        versions.follow(spark, source, path, gold.rollup_daily)
+    return tables.read(spark, path).drop("__day")
+
+
+_COUNTED = "SELECT '{0}' AS span, date_trunc('{0}', ts)::TIMESTAMP AS at, country_code, count(DISTINCT user_id) AS n FROM ev GROUP BY ALL"
+
+
+@query(V.with_(V.EV) + " UNION ALL ".join(_COUNTED.format(x) for x in ("hour", "day")))
+def q_distinct_bitmaps(spark, sf):
+    """Users of hours and of days, both from the hours' bitmaps."""
+    hours = gold.id_bitmaps(V.events(spark, sf), [F.date_trunc("hour", "ts_utc").alias("hour"), "country_code"], "user_id")
+    found = [gold.counted(hours, [F.date_trunc(x, "hour").alias("at"), "country_code"], "n").select(F.lit(x).alias("span"), "at", "country_code", "n") for x in ("hour", "day")]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS price, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem")
+def q_rank_prices(spark, sf):
+    """Ranks over a whole table."""
+    rows = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+    found = running(rows, [F.desc("price"), "l_orderkey", "l_linenumber"], "before")
+    return found.select("l_orderkey", "l_linenumber", "price", (F.col("before") + 1).alias("rank"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS price, round(any_value(whole), 6) AS whole FROM lineitem, (SELECT median(l_extendedprice) AS whole FROM lineitem) GROUP BY ALL")
+def q_exact_medians(spark, sf):
+    """Medians of groups and of the whole table."""
+    rows = V.table(spark, sf, "lineitem")
+    whole = serving.medians(rows, [], "l_extendedprice", "whole")
+    return serving.medians(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", "price").join(whole, F.lit(True))
+
+
 # Serving ----------------------------------------------------------------------------------------------------------------
 
 _SUMMARY = f"""s AS (SELECT country_code, avg(rtt_median_ms) AS a, max(rtt_p90_ms) AS m, avg(loss_median_pct) * 100 AS l, count(DISTINCT asn) AS providers, CAST(sum(total_measurements) AS BIGINT) AS t
@@ -545,6 +586,15 @@ def q_partition_discovery(spark, sf):
     return tables.partitions(tables.read(spark, _stored_lines(spark, sf)), by=["year", "month"])
 
 
+@query("SELECT DISTINCT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day FROM events WHERE ts < '2024-01-20'")
+def q_partition_listing(spark, sf):
+    """Days before a date that a stored table has, from the names of its folders."""
+    path = folder(spark, "events")
+    rows = V.events(spark, sf)
+    tables.overwrite(rows.select("event_id", *(c.alias(k) for k, c in C.day_parts(F.col("ts_utc")).items())), path)
+    return tables.listed(spark, path, before=dt.date(2024, 1, 20))
+
+
 @query("SELECT DISTINCT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day FROM events WHERE ts < '2024-01-20'")
 def q_partition_list(spark, sf):
     """Days before a date that a table has, in order."""
@@ -837,21 +887,36 @@ def _silver_signals(spark, sf, path) -> None:
     jobs.append(stream, path, folder(spark, "checkpoint"), f"signals_{path[-12:]}", every=None).awaitTermination()
 
 
-def _message_files(spark, parts: list[DataFrame]) -> DataFrame:
-    """JSON records in the envelopes of a message stream, each part a micro-batch of its own, in order."""
+def _record_files(spark, parts: list[DataFrame], arrived: list[int]) -> tuple[list[Callable[[], None]], str]:
+    """JSON records in the envelopes of a message stream: for each part what writes its files, and the folder that takes them."""
     path = folder(spark, "messages")
-    for df in parts:
-        now = F.timestamp_seconds(F.lit(1706745600))
-        df.coalesce(1).select(F.lit(None).cast("binary").alias("key"), F.to_json(F.struct("*")).cast("binary").alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), now.alias("timestamp")).write.mode("append").parquet(path)
-    return jobs.files(spark, path, ENVELOPE, most=1)
-
-
-def _polled(spark, parts: list[DataFrame], schema, kind: str, every: str | None) -> DataFrame:
-    """The refined table of a stream, without lineage; copies are left to its reader."""
-    path = folder(spark, kind)
-    q = jobs.append(jobs.refined(jobs.payload(_message_files(spark, parts), schema), kind), path, folder(spark, "checkpoint"), f"{kind}_{path[-12:]}", every=every)
-    q.processAllAvailable() if every else q.awaitTermination()
-    jobs.stop_all({kind: q})
+
+    def add(i: int) -> None:
+        body = F.to_json(F.struct("*")).cast("binary").alias("value")
+        offset = (F.lit(i << 48) + F.monotonically_increasing_id()).alias("offset")
+        parts[i].repartition(3).select(F.lit(None).cast("binary").alias("key"), body, F.lit("t").alias("topic"), F.lit(0).alias("partition"), offset, F.timestamp_seconds(F.lit(arrived[i])).alias("timestamp")).write.mode("append").parquet(path)
+
+    return [lambda i=i: add(i) for i in range(len(parts))], path
+
+
+def _polled(spark, parts: list[DataFrame], schema, kind: str, every: str | None, late: str | None = None, arrived: list[int] | None = None, now=None) -> DataFrame:
+    """The refined table of a stream, without lineage. Each part is some files that are there when the stream goes on, a batch of its own:
+    of a running stream, or of one that ends and begins again where it was."""
+    path, checkpoint = folder(spark, kind), folder(spark, "checkpoint")
+    arrived = arrived or [1706745600] * len(parts)
+    adds, messages = _record_files(spark, parts, arrived)
+    running = None
+    for add in adds:
+        add()
+        if running is None:
+            rows = jobs.refined(jobs.payload(jobs.files(spark, messages, ENVELOPE, most=1000), schema), kind, late, now)
+            running = jobs.append(rows, path, checkpoint, f"{kind}_{path[-12:]}", every=every)
+        if every:
+            running.processAllAvailable()
+        else:
+            running.awaitTermination()
+            running = None
+    jobs.stop_all({} if running is None else {kind: running})
     return tables.read(spark, path).drop(*silver.LINEAGE)
 
 
@@ -864,14 +929,89 @@ def q_stream_alerts(spark, sf):
     return found.select("ts_from", "entity_type", "entity_code", "datasource", "alert_value", "historical_value", F.col("day").cast("int").alias("day"))
 
 
-@query(V.with_(V.EV, _FLAGS) + "SELECT DISTINCT make_timestamp(s * 1000000) AS ts_from, country_code AS entity_code, CAST(k * 60 + more AS BIGINT) AS duration_sec, bgp_fired, ping_fired, merit_nt_fired, datasource_count FROM fe, (VALUES (0), (3600)) m(more) WHERE more = 0 OR k < 50")
+@query(
+    V.with_(V.EV, _FLAGS.replace("k, value, ", "k, value, lower(event_type) AS source, ", 1))
+    + """SELECT make_timestamp(s * 1000000) AS ts_from, country_code AS entity_code, CAST(k * 60 + more AS BIGINT) AS duration_sec, round(value, 6) AS score, source AS datasource, bgp_fired, ping_fired, merit_nt_fired, datasource_count
+FROM (SELECT *, row_number() OVER (PARTITION BY country_code, s, k * 60 + more ORDER BY value, source, bgp_fired, ping_fired, merit_nt_fired) AS i FROM fe, (VALUES (0), (3600)) m(more) WHERE more = 0 OR k < 50) WHERE i = 1"""
+)
 def q_stream_events(spark, sf):
-    """Events that are reported again, hours or days after they began, with a later end, and then a third time. Two events of a
-    country that share start and end but not their sources aren't copies."""
+    """Events that are reported again, hours or days after they began, with a later end, and then a third time; of events that share a
+    country, start and end the least stays."""
     rows = _event_json(spark, sf).drop("event_id")
     grown = rows.where((F.col("until") - F.col("from")) < 50 * 60).withColumn("until", F.col("until") + 3600)
-    found = _polled(spark, [rows, grown, grown], EVENT, "events", None)
-    return found.select("ts_from", "entity_code", "duration_sec", "bgp_fired", "ping_fired", "merit_nt_fired", "datasource_count").distinct()
+    found = silver.dedup(_polled(spark, [rows, grown, grown], EVENT, "events", None), "events")
+    return found.select("ts_from", "entity_code", "duration_sec", "score", "datasource", "bgp_fired", "ping_fired", "merit_nt_fired", "datasource_count")
+
+
+def _ping_json(spark, sf):
+    rows = V.measurements(spark, sf)
+    return rows.select("msm_id", F.substring("probe_id_hash", 1, 6).alias("h"), F.unix_timestamp("ts_utc").alias("timestamp"), F.lit(3).alias("sent"), "country_code", "asn", F.col("rtt_avg_ms").alias("avg")).withColumn("prb_id", F.conv("h", 16, 10).cast("int")).drop("h")
+
+
+_OVERLAP_PINGS = "SELECT DISTINCT 'pings' AS kind, CAST(msm_id AS VARCHAR) || ':' || sha256(CAST(CAST('0x' || substr(sha256(probe::VARCHAR), 1, 6) AS INT) AS VARCHAR)) AS name, CAST(floor(epoch(ts_utc)) AS BIGINT) AS ts FROM meas"
+
+
+@query(V.with_(V.EV, V.MEAS, V.SIG) + f"SELECT kind, count(*) AS n, count(DISTINCT name) AS names, CAST(sum(ts) AS BIGINT) AS total, false AS late FROM ({_OVERLAP_PINGS} UNION ALL SELECT DISTINCT 'signals', country_code || ':' || datasource, s FROM sig) GROUP BY kind UNION ALL SELECT 'signals', count(*), count(DISTINCT country_code || ':' || datasource), CAST(sum(s) AS BIGINT), true FROM sig WHERE s % 3 = 0")
+def q_stream_overlap(spark, sf):
+    """Three polls that overlap, of pings and of signals: copies go in the stream, whose tables have each key once. Some signals come a
+    second time in a message that had waited for hours: these are kept apart."""
+    hour = 3600
+    noon = 1706745600
+    pings, signals = _ping_json(spark, sf), V.signals(spark, sf).select(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep")
+    clock = F.timestamp_seconds(F.lit(noon + hour))
+    polls = lambda rows, t: [rows.where(F.col(t) % 3 < 2), rows.where(F.col(t) % 3 > 0), rows]
+    a = _polled(spark, polls(pings, "timestamp"), PING, "pings", None, "2 hours", [noon, noon + 900, noon + 1800], clock)
+    b = _polled(spark, [*polls(signals, "ts"), signals.where("ts % 3 = 0")], SIGNAL, "signals", None, "2 hours", [noon, noon + 900, noon + 1800, noon - 9 * hour], clock)
+    rows = a.select(F.lit("pings").alias("kind"), F.concat_ws(":", "msm_id", "probe_id_hash").alias("name"), F.col("timestamp").alias("ts"), "late")
+    rows = rows.unionByName(b.select(F.lit("signals").alias("kind"), F.concat_ws(":", "entity_code", "datasource").alias("name"), "ts", "late"))
+    return rows.groupBy("kind", F.col("late").cast("boolean").alias("late")).agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.sum("ts").alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS price, true AS several FROM lineitem")
+def q_stream_restart(spark, sf):
+    """Files, some a batch; the stream is stopped after its first batches and goes on from its checkpoint."""
+    path, source, checkpoint = folder(spark, "lines"), folder(spark, "files"), folder(spark, "checkpoint")
+    rows = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    rows.repartition(12).write.parquet(source)
+    stop = threading.Event()
+
+    def counted(batch: DataFrame, i: int) -> None:
+        tables.upsert(batch, path, ["l_orderkey", "l_linenumber"], batch=("lines", i), combine=lambda old, new: old.unionByName(new))
+        if i >= 1:
+            stop.set()
+
+    start = lambda every: jobs.each_batch(jobs.files(spark, source, rows.schema, most=2), [counted], checkpoint, f"lines_{path[-12:]}", every)
+    running = start("0 seconds")
+    if not stop.wait(300):
+        raise TimeoutError("no second batch")
+    jobs.stop_all({"lines": running})
+    before = versions.current(spark, path).batches["lines"]
+    start(None).awaitTermination()
+    several = 1 <= before and versions.current(spark, path).batches["lines"] == 5  # twelve files, two a batch
+    return versions.read(spark, path).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.lit(several).alias("several"))
+
+
+@query(V.with_(V.EV) + "SELECT event_id, round(value, 6) AS value, day(ts)::INT AS day, 2 AS attempts FROM ev")
+def q_stream_retry(spark, sf):
+    """A sink that dies after it has written half of a batch, and is run again by a new start of the stream."""
+    path, checkpoint = folder(spark, "raw"), folder(spark, "checkpoint")
+    sink, attempts = jobs.raw_sink(path, time="ts"), []
+
+    def dies(batch: DataFrame, i: int) -> None:
+        attempts.append(i)
+        if len(attempts) > 1:
+            return sink(batch, i)
+        sink(batch.where("event_id % 2 = 0"), i)
+        raise OSError("gone in the middle")
+
+    rows = V.events(spark, sf, _event_files(spark, sf)).select("event_id", "value", F.unix_timestamp("ts_utc").alias("ts"))
+    start = lambda: jobs.each_batch(rows, [dies], checkpoint, f"raw_{path[-12:]}", every=None).awaitTermination()
+    try:
+        start()
+    except StreamingQueryException:
+        start()
+    back = spark.read.text(path)
+    return back.select(F.from_json("value", "event_id long, value double").alias("r"), F.col("day").cast("int").alias("day")).select("r.*", "day", F.lit(len(attempts)).alias("attempts"))
 
 
 @query(V.with_(V.EV, V.SIG) + "SELECT 'events' AS kind, count(*) AS n FROM events UNION ALL SELECT 'alerts', count(*) FROM events UNION ALL SELECT 'signals', count(*) FROM sig UNION ALL SELECT 'pings', count(*) FROM events WHERE event_type IN ('signup', 'error')")
@@ -879,9 +1019,13 @@ def q_stream_all(spark, sf):
     """Independent streams of the four kinds, started together; a fifth, whose source isn't there, is left out. Once they have
     read what there is they are stopped, and forgotten, so that starting them anew reads all again."""
     raw = {"events": (_event_json(spark, sf), EVENT), "alerts": (_alert_json(spark, sf), ALERT)}
+    raw["signals"] = (V.signals(spark, sf).select(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep"), SIGNAL)
     paths, checkpoints = ({k: folder(spark, k) for k in ("events", "alerts", "signals", "pings")} for _ in range(2))
-    streams = {k: jobs.payload(_message_files(spark, [df]), schema) for k, (df, schema) in raw.items()}
-    streams["signals"] = jobs.payload(_message_files(spark, [V.signals(spark, sf).select(F.lit("country").alias("entityType"), F.col("entity_code").alias("entityCode"), "datasource", "ts", "value", "step", "nativeStep")]), SIGNAL)
+    streams = {}
+    for k, (df, schema) in raw.items():
+        (add,), messages = _record_files(spark, [df], [1706745600])
+        add()
+        streams[k] = jobs.payload(jobs.files(spark, messages, ENVELOPE), schema)
     streams["pings"] = jobs.payload(_ping_messages(spark, sf, _event_files(spark, sf)), PING)
     tag = uuid.uuid4().hex
     starts = {k: lambda k=k: jobs.append(jobs.refined(streams[k], k), paths[k], checkpoints[k], f"{k}_{tag}", every="1 second") for k in streams}
@@ -928,9 +1072,13 @@ def _run_gold(spark, path, handlers) -> None:
 
 @query(SQL["q_hourly_baseline"])
 def q_stream_baseline(spark, sf):
-    path, out = folder(spark, "silver"), folder(spark, "gold")
+    """Refined pings in three parts, in no order of time: each batch is added to the sketches of hours that earlier ones have begun."""
+    path, parts, sketches, out = (folder(spark, x) for x in ("silver", "parts", "sketches", "gold"))
     _silver_pings(spark, sf, path)
-    _run_gold(spark, path, [jobs.baseline_handler(path, out, jobs.MESSAGE)])
+    rows, checkpoint = tables.read(spark, path), folder(spark, "checkpoint")
+    for i in range(3):
+        rows.where(F.col("kafka_offset") % 3 == i).write.mode("append").parquet(parts)
+        jobs.each_batch(jobs.files(spark, parts, most=1000), [jobs.baseline_handler(sketches, out)], checkpoint, f"gold_{out[-12:]}", every=None).awaitTermination()
     return tables.read(spark, out).drop("__day")
 
 
@@ -938,9 +1086,9 @@ def q_stream_baseline(spark, sf):
 def q_stream_outage(spark, sf):
     """Signals to buckets, then pings to baselines and outages: two handlers on one stream. Each message is a reading of its own, also
     where two of a source are of the same second."""
-    pings, signals, base_, buckets, out = (folder(spark, x) for x in ("pings", "signals", "base", "buckets", "outages"))
+    pings, signals, sketches, base_, buckets, out = (folder(spark, x) for x in ("pings", "signals", "sketches", "base", "buckets", "outages"))
     _silver_signals(spark, sf, signals)
-    _run_gold(spark, signals, [jobs.signal_handler(signals, buckets, jobs.MESSAGE)])
+    _run_gold(spark, signals, [jobs.signal_handler(signals, buckets)])
     _silver_pings(spark, sf, pings)
-    _run_gold(spark, pings, [jobs.baseline_handler(pings, base_, jobs.MESSAGE), jobs.outage_handler(base_, buckets, out)])
+    _run_gold(spark, pings, [jobs.baseline_handler(sketches, base_), jobs.outage_handler(base_, buckets, out)])
     return tables.read(spark, out).drop("__day")

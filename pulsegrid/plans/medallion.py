@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import gold, silver, tables
+from pulsegrid.operators import gold, silver, tables, versions
 from pulsegrid.schemas import ALERT, EVENT, KEYS, PING, SIGNAL, with_corrupt
 from pulsegrid.sources.files import CORRUPT
 from pulsegrid.streaming import jobs
@@ -16,6 +16,8 @@ from pulsegrid.streaming import jobs
 #: Raw schema, transform and event-time column of each kind.
 KINDS = {"pings": (PING, silver.pings, "ts_utc"), "signals": (SIGNAL, silver.signals, "ts_utc"), "alerts": (ALERT, silver.alerts, "ts_from"), "events": (EVENT, silver.events, "ts_from")}
 GOLD = ("baselines", "signals", "outages", "coverage")
+#: Copies of polls that overlap come within this time.
+POLLED = "1 hour"
 
 
 @dataclass
@@ -75,12 +77,15 @@ def _refined(spark: SparkSession, at: Layout, kind: str, since, until) -> DataFr
 def aggregate(spark: SparkSession, at: Layout, names=GOLD, since: dt.date | None = None, until: dt.date | None = None, retract: bool = False) -> dict[str, int]:
     """Builds aggregates of [since, until), or of all days; gives the number of rows of each.
 
-    retract: outages of the range that are no longer found go, instead of staying as they were.
+    retract: outages of the range that are no longer found go, instead of staying as they were. Sketches of baselines are
+    replaced; streams add to them, so that a stream over the same refined rows should have read them all before.
     """
     done: dict[str, int] = {}
     pings, signals = (_refined(spark, at, k, since, until) for k in ("pings", "signals"))
     if "baselines" in names and pings is not None:
-        done["baselines"] = tables.upsert(gold.baselines(pings), at.gold("baselines"), KEYS["baselines"], day="time_window")
+        tables.upsert(gold.baseline_sketches(pings), at.gold("sketches"), KEYS["baselines"], day="time_window")
+        within = [versions.day(r[0]) for r in pings.select(F.to_date("ts_utc")).distinct().collect()]  # a row for each day
+        done["baselines"] = tables.upsert(gold.from_sketches(versions.read(spark, at.gold("sketches"), days=within)), at.gold("baselines"), KEYS["baselines"], day="time_window")
     if "signals" in names and signals is not None:
         done["signals"] = tables.upsert(gold.signal_buckets(signals), at.gold("signals"), KEYS["signals"], day="time_bucket", keep=["step_seconds"])
     if "outages" in names and tables.exists(spark, at.gold("baselines")) and tables.exists(spark, at.gold("signals")):
@@ -116,16 +121,17 @@ def stream_gold(spark: SparkSession, at: Layout, every: str | None = jobs.GOLD_T
         df = jobs.files(spark, at.silver(kind))
         return None if df is None else jobs.each_batch(df, handlers, at.checkpoint(f"gold_{kind}"), f"gold_{kind}", every)
 
-    pings = [jobs.baseline_handler(at.silver("pings"), at.gold("baselines")), jobs.outage_handler(at.gold("baselines"), at.gold("signals"), at.gold("outages"))]
+    pings = [jobs.baseline_handler(at.gold("sketches"), at.gold("baselines")), jobs.outage_handler(at.gold("baselines"), at.gold("signals"), at.gold("outages"))]
     return jobs.start_all(spark, {"signals": lambda: start("signals", [jobs.signal_handler(at.silver("signals"), at.gold("signals"))]), "pings": lambda: start("pings", pings)})
 
 
 def stream_silver(spark: SparkSession, at: Layout, servers: str, topics: dict[str, str], every: str | None = jobs.SILVER_TRIGGER) -> dict:
-    """A stream for each kind's topic into the refined tables."""
+    """A stream for each kind's topic into the refined tables. Pings are pushed, so that each is a reading of its own; the other kinds
+    are polled by ranges that overlap, whose copies go in the stream."""
     from pulsegrid.sources.network import kafka
 
     def start(kind: str, topic: str):
-        rows = jobs.refined(jobs.payload(kafka(spark, servers, topic), KINDS[kind][0]), kind)
+        rows = jobs.refined(jobs.payload(kafka(spark, servers, topic), KINDS[kind][0]), kind, late=None if kind == "pings" else POLLED)
         return jobs.append(rows, at.silver(kind), at.checkpoint(f"silver_{kind}"), f"silver_{kind}", every)
 
     return jobs.start_all(spark, {k: lambda k=k, t=t: start(k, t) for k, t in topics.items()})

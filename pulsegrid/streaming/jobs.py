@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from pulsegrid.operators import gold, silver, tables
-from pulsegrid.operators.frames import first_of_each
+from pulsegrid.operators import gold, silver, tables, versions
 from pulsegrid.schemas import KEYS
 
 SILVER_TRIGGER, GOLD_TRIGGER = "2 minutes", "5 minutes"
@@ -40,13 +40,23 @@ def payload(envelope: DataFrame, schema: StructType) -> DataFrame:
 KINDS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {"pings": (silver.pings, "ts_utc"), "alerts": (silver.alerts, "ts_from"), "events": (silver.events, "ts_from"), "signals": (silver.signals, "ts_utc")}
 
 
-def refined(raw: DataFrame, kind: str, late: str | None = None) -> DataFrame:
-    """The stream of refined rows, however late they come: polls that overlap give copies, which readers drop by silver.dedup
-    (as the handlers here do). With `late`, copies within that time of each other go in the stream, and with them rows that are
-    further behind the newest one, such as an event that began hours ago and is reported again."""
-    transform, time = KINDS[kind]
+def refined(raw: DataFrame, kind: str, late: str | None = None, now: Column | None = None) -> DataFrame:
+    """The stream of refined rows. Every message counts; polls that overlap give copies.
+
+    With `late` (such as "1 hour") copies that arrive within that time of each other are dropped by silver.DEDUP, in a state store that
+    forgets what arrived twice as long ago. What had waited for longer than that before it was read, or came with no time of
+    arrival, isn't compared with the store, where its copy may be forgotten, nor lost: it stays, with True in column `late`, and readers
+    drop copies by silver.dedup. now: the clock, by default that of the batch.
+    """
+    transform, _ = KINDS[kind]
     out = transform(raw)
-    return out if late is None else out.withWatermark(time, late).dropDuplicatesWithinWatermark(silver.DEDUP[kind])
+    if late is None:
+        return out
+    span = F.expr(f"INTERVAL {late}")
+    behind = F.coalesce(F.col("kafka_ts") < (F.current_timestamp() if now is None else now) - span, F.lit(True))
+    number, unit = late.split()
+    kept = out.where(~behind).withWatermark("kafka_ts", f"{2 * int(number)} {unit}").dropDuplicatesWithinWatermark(silver.DEDUP[kind])
+    return kept.withColumn("late", F.lit(False)).unionByName(out.where(behind).withColumn("late", F.lit(True)))
 
 
 def _trigger(writer, every: str | None):
@@ -54,7 +64,8 @@ def _trigger(writer, every: str | None):
 
 
 def append(df: DataFrame, path: str, checkpoint: str, name: str, every: str | None = SILVER_TRIGGER, by: Iterable[str] = tables.DAY) -> StreamingQuery:
-    """Appends to a partitioned table; every=None takes what is there and ends."""
+    """Appends to a partitioned table, first by `late` where rows have that; every=None takes what is there and ends."""
+    by = ["late", *by] if "late" in df.columns and "late" not in by else by
     w = df.writeStream.queryName(name).outputMode("append").format("parquet").partitionBy(*by).option("path", path).option("checkpointLocation", checkpoint)
     return _trigger(w, every).start()
 
@@ -86,30 +97,33 @@ def _again(batch: DataFrame, silver_path: str) -> DataFrame | None:
     return rows.join(hours, F.date_trunc("hour", rows["ts_utc"]) == hours["__hour"], "left_semi")
 
 
-#: What names a message: with these as `unique`, handlers count every message once, and only those delivered twice are copies.
-MESSAGE = ["kafka_topic", "kafka_partition", "kafka_offset"]
+def _writer(batch: DataFrame, name: str) -> str:
+    """A name for the ledger of a versioned table: a stream's id lives as long as its checkpoint, and so do its batches' numbers."""
+    return f"{name}:{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}"
 
 
-def baseline_handler(silver_path: str, gold_path: str, unique: Iterable[str] = silver.DEDUP["pings"]) -> Callable[[DataFrame, int], None]:
-    """Percentiles of batches can't be merged: the hours that a batch touches are computed again from all refined rows. Of rows that
-    are equal in `unique` one counts: by default polls that overlap give no copies, but of two readings of a second one is lost."""
+def baseline_handler(sketch_path: str, gold_path: str) -> Callable[[DataFrame, int], None]:
+    """Adds a batch to the sketches of its hours, and writes the baselines that these stand for. Rows of earlier batches aren't read
+    again. A batch that runs twice is added once; the baselines, from what the sketches are, may be written again."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        rows = _again(batch, silver_path)
-        if rows is not None:
-            tables.upsert(gold.baselines(first_of_each(rows, *unique)), gold_path, KEYS["baselines"], day="time_window")
+    def run(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        tables.upsert(gold.baseline_sketches(batch), sketch_path, KEYS["baselines"], day="time_window", batch=(_writer(batch, "sketches"), i), combine=gold.merge_sketches)
+        days = [versions.day(r[0]) for r in batch.select(F.to_date("ts_utc")).distinct().collect()]  # a row for each day
+        sketches, hours = versions.read(spark, sketch_path, days=days), _touched(batch, "ts_utc")
+        tables.upsert(gold.from_sketches(sketches.join(hours, sketches["time_window"] == hours["__hour"], "left_semi")), gold_path, KEYS["baselines"], day="time_window")
 
     return run
 
 
-def signal_handler(silver_path: str, gold_path: str, unique: Iterable[str] = silver.DEDUP["signals"]) -> Callable[[DataFrame, int], None]:
-    """Buckets of touched hours, again from all refined rows, one of those equal in `unique`; the step of a bucket that is there
-    already stays."""
+def signal_handler(silver_path: str, gold_path: str) -> Callable[[DataFrame, int], None]:
+    """Buckets of touched hours, again from all refined rows, each of which counts; the step of a bucket that is there already
+    stays."""
 
     def run(batch: DataFrame, _: int) -> None:
         rows = _again(batch, silver_path)
         if rows is not None:
-            tables.upsert(gold.signal_buckets(first_of_each(rows, *unique)), gold_path, KEYS["signals"], day="time_bucket", keep=["step_seconds"])
+            tables.upsert(gold.signal_buckets(rows), gold_path, KEYS["signals"], day="time_bucket", keep=["step_seconds"])
 
     return run
 
@@ -136,16 +150,23 @@ def outage_handler(base_path: str, buckets_path: str, gold_path: str) -> Callabl
 
 def raw_sink(path: str, time: str = "timestamp", servers: str | None = None, topic: str | None = None) -> Callable[[DataFrame, int], None]:
     """Writes each batch as compressed JSON lines by event day, and to a message topic first where servers are given. Batches
-    without rows write nothing; time is a column of epoch seconds."""
+    without rows write nothing; time is a column of epoch seconds.
 
-    def run(batch: DataFrame, _: int) -> None:
+    Files are written beside the table and then get names of their writer and batch: one that runs again, whatever it had written
+    before, leaves its rows once. (A topic may get messages twice.)
+    """
+
+    def run(batch: DataFrame, i: int) -> None:
         if batch.isEmpty():
             return
         if servers:
             batch.select(F.to_json(F.struct("*")).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
         day = F.timestamp_seconds(time)
         rows = batch.select(F.to_json(F.struct("*")).alias("value"), F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"), F.date_format(day, "dd").alias("day"))
-        rows.hint("rebalance", *tables.DAY).write.mode("append").option("compression", "gzip").partitionBy(*tables.DAY).text(path)
+        tag = f"{hashlib.sha256(_writer(batch, path).encode()).hexdigest()[:12]}-{i:010d}-"
+        stage = f"{path.rstrip('/')}/_batch-{tag}files"  # readers pass over names of this kind
+        rows.hint("rebalance", *tables.DAY).write.mode("overwrite").option("compression", "gzip").partitionBy(*tables.DAY).text(stage)
+        tables.adopt(batch.sparkSession, stage, path, tag, len(tables.DAY))
 
     return run
 
@@ -168,7 +189,7 @@ def stop_all(queries: dict[str, StreamingQuery]) -> None:
 
 def reset(spark: SparkSession, checkpoint: str, *outputs: str) -> None:
     """Forgets what a stopped query has read: removes its checkpoint and the lists of committed files in its output folders, so
-    that tables which a batch job has rewritten are read as they are."""
+    that tables which a batch job has rewritten are read as they are. Sketches that the query has added to go with tables.remove."""
     tables.remove(spark, checkpoint)
     for path in outputs:
         tables.remove(spark, f"{path.rstrip('/')}/_spark_metadata")
