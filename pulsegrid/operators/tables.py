@@ -39,7 +39,7 @@ def read(spark: SparkSession, path: str, schema: StructType | None = None, where
     try:
         df = versions.read(spark, path) if versions.versioned(spark, path) else (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "Unable to infer schema")):
             return None
         raise
     return df if where is None or df is None else df.where(where)

@@ -20,7 +20,7 @@ from pulsegrid.plans import loopback
 from pulsegrid.plans import views as V
 from pulsegrid.schemas import ALERT, ENVELOPE, EVENT, KEYS, PING, SERIES, SIGNAL
 from pulsegrid.sources import files, network
-from pulsegrid.streaming import jobs
+from pulsegrid.streaming import buffer, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1014,6 +1014,38 @@ def q_stream_retry(spark, sf):
     return back.select(F.from_json("value", "event_id long, value double").alias("r"), F.col("day").cast("int").alias("day")).select("r.*", "day", F.lit(len(attempts)).alias("attempts"))
 
 
+@query(V.with_(V.EV) + "SELECT event_id, country_code, round(value, 6) AS value, 'raw' AS kafka_topic FROM ev")
+def q_stream_messages(spark, sf):
+    """What goes to a message topic, in its broker's envelopes, and back."""
+    path, source = folder(spark, "read"), folder(spark, "topic")
+    rows = V.events(spark, sf).select("event_id", "country_code", "value")
+    sent = jobs.messages(rows, "raw").withColumns({"key": F.lit(None).cast("binary"), "partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()})
+    sent.select(*ENVELOPE.names).write.parquet(source)
+    stream = jobs.payload(jobs.files(spark, source, ENVELOPE), rows.schema)
+    jobs.append(stream, path, folder(spark, "checkpoint"), f"messages_{path[-12:]}", every=None, by=["kafka_topic"]).awaitTermination()
+    return tables.read(spark, path).select("event_id", "country_code", "value", "kafka_topic")
+
+
+@query(V.with_(V.EV) + "SELECT event_id, CAST(msm_id AS VARCHAR) AS key, round(value, 6) AS value, day(ts)::INT AS day, true AS fits FROM ev")
+def q_stream_buffer(spark, sf):
+    """Rows wait in a buffer of their key until it has 40 or two seconds have passed, over several batches; each leaves once."""
+    path, source = folder(spark, "flushed"), folder(spark, "files")
+    rows = V.events(spark, sf).select("event_id", "msm_id", "value", F.unix_timestamp("ts_utc").alias("ts"))
+    rows.repartition(6).write.parquet(source)
+    out = buffer.buffered(jobs.files(spark, source, rows.schema, most=2), "msm_id", most=40, seconds=2)
+    out = out.withColumn("r", F.from_json("body", "event_id long, value double, ts long")).select("key", "flush", "reason", "size", "r.*", F.dayofmonth(F.timestamp_seconds("r.ts")).alias("day"))
+    with buffer.store(spark):
+        running = jobs.append(out, path, folder(spark, "checkpoint"), f"flushed_{path[-12:]}", every="500 milliseconds", by=["day"])
+    total, until = rows.count(), time.monotonic() + 240
+    while tables.count(spark, path) < total and time.monotonic() < until and running.isActive:
+        time.sleep(0.5)
+    jobs.stop_all({"buffer": running})
+    found = tables.read(spark, path)
+    sizes = found.groupBy("key", "flush").agg(F.count("*").alias("n"), F.first("size").alias("said"), F.first("reason").alias("why"))
+    fits = (F.col("n") == F.col("said")) & F.when(F.col("why") == "full", F.col("n") == 40).otherwise(F.col("n") < 40)
+    return found.join(sizes.select("key", "flush", fits.alias("fits")), ["key", "flush"]).select("event_id", "key", "value", F.col("day").cast("int").alias("day"), "fits")
+
+
 @query(V.with_(V.EV, V.SIG) + "SELECT 'events' AS kind, count(*) AS n FROM events UNION ALL SELECT 'alerts', count(*) FROM events UNION ALL SELECT 'signals', count(*) FROM sig UNION ALL SELECT 'pings', count(*) FROM events WHERE event_type IN ('signup', 'error')")
 def q_stream_all(spark, sf):
     """Independent streams of the four kinds, started together; a fifth, whose source isn't there, is left out. Once they have

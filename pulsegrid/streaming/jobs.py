@@ -36,6 +36,11 @@ def payload(envelope: DataFrame, schema: StructType) -> DataFrame:
     return envelope.select(F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("timestamp").alias("kafka_ts"), data.alias("data")).select("kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts", "data.*")
 
 
+def messages(rows: DataFrame, topic: str) -> DataFrame:
+    """Rows as what a message sink takes: JSON values, for one topic, which `payload` reads back."""
+    return rows.select(F.lit(topic).alias("topic"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).cast("binary").alias("value"))
+
+
 #: Transform and event-time column of each kind of record.
 KINDS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {"pings": (silver.pings, "ts_utc"), "alerts": (silver.alerts, "ts_from"), "events": (silver.events, "ts_from"), "signals": (silver.signals, "ts_utc")}
 
@@ -160,7 +165,7 @@ def raw_sink(path: str, time: str = "timestamp", servers: str | None = None, top
         if batch.isEmpty():
             return
         if servers:
-            batch.select(F.to_json(F.struct("*")).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+            messages(batch, topic).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
         day = F.timestamp_seconds(time)
         rows = batch.select(F.to_json(F.struct("*")).alias("value"), F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"), F.date_format(day, "dd").alias("day"))
         tag = f"{hashlib.sha256(_writer(batch, path).encode()).hexdigest()[:12]}-{i:010d}-"
