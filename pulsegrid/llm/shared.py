@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -133,6 +136,19 @@ def received(held, keep: bool = True):
     return value
 
 
+@contextmanager
+def large_caches() -> Iterator[None]:
+    """Python's collector goes through all objects again and again; a worker with millions of them that makes no cycles, or collects
+    those itself, is better off without."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def small(it, rows: int = 512):
     """Arrow batches cut to a few rows each, so that few texts are Python objects at once."""
     for b in it:

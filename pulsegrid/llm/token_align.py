@@ -5,6 +5,9 @@ its last token. The state is which side leads and these bytes; the next token of
 whatever comes before doesn't matter, so transitions are kept by state and token. A group ends where nothing dangles. Each token that
 is taken overlaps the last one of the other side, and no other pairs overlap: these are the links.
 
+Where a space stands between two visible characters both tokenizers cut, so that nothing dangles there: texts are taken apart
+into such words, and what the transducer makes of a word is kept for the next time that it occurs.
+
 How often two ids are linked is counted over the corpus. Documents are kept in blocks with one list of their links' ids, so that what
 is joined with the counts is a block's list, not each document's.
 """
@@ -12,9 +15,12 @@ is joined with the counts is a block's list, not each document's.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +30,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.shared import park, small
+from pulsegrid.llm.shared import large_caches, park, small
 
 #: Code points of text in a block; a longer text is one by itself.
-BLOCK = 8_000_000
-#: Longer texts are cut into parts where both tokenizers cut for sure: at a space between letters, which the second part begins with.
-PART = 65_536
-#: Transitions that a worker keeps; beyond that it starts anew.
-TRANSITIONS = 1_000_000
+BLOCK = 2_000_000
+#: Code points that are given to the tokenizers at once; a longer word is by itself.
+AT_ONCE = 200_000
+#: Transitions, and words of up to WORD characters, that a worker keeps; beyond that it starts anew.
+TRANSITIONS, WORDS, WORD = 300_000, 500_000, 40
 #: Bits of a link's number that are the B id's.
 _BITS = 24
-_GAP = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Here both tokenizers cut: the space begins a token of either. Printable ASCII and Latin letters, of which none is white space.
+_GAP = re.compile("(?<=[!-~\u00a1-\u024f]) (?=[!-~\u00a1-\u024f])")
 
 
 def byte_level() -> dict[str, int]:
@@ -45,13 +52,16 @@ def byte_level() -> dict[str, int]:
 
 
 class Vocabularies:
-    """Both tokenizers, and every token's bytes."""
+    """Both tokenizers, and every token's bytes. A has a token for each byte and changes none, so that its tokens always have a text's
+    bytes; if B's are the same they are the text's too."""
 
     def __init__(self, a: str, b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True
-        known = byte_level()
+        known, kind = byte_level(), json.loads(self.a.to_str())
+        if kind["normalizer"] or kind["pre_tokenizer"].get("type") != "ByteLevel" or kind["pre_tokenizer"].get("add_prefix_space") or not set(known) <= set(kind["model"]["vocab"]):
+            raise ValueError("A isn't a byte-level tokenizer that gives every text back as it is")
         self.bytes_a = {i: bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
@@ -61,9 +71,6 @@ class Vocabularies:
         first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [(x.ids, y) for x, y in zip(first, self.b.encode(texts, num_threads=1))]
 
-    def whole(self, text: str, ids: list[int]) -> bool:
-        return b"".join(map(self.bytes_a.__getitem__, ids)) == b" " + text.encode()
-
 
 class Dangling(dict):
     """A state: whether A leads, and by which bytes. Transitions by the next token: of A where nothing dangles, else of the side
@@ -106,34 +113,73 @@ class Transducer:
         """The groups as text and the links as numbers (a << _BITS | b), or None if the two don't have the same bytes."""
         if self.made > self.most:
             self.clear()
-        groups, links, nothing = [], [], self.nothing
-        one, two = iter(first), iter(second)
-        for a in one:
-            state, own, other = nothing[a], [a], []
-            while state is not nothing:
-                if state is None:
-                    return None
-                if state.a_leads:
-                    b = next(two, None)
-                    other.append(b)
-                else:
-                    a = next(one, None)
-                    own.append(a)
-                if a is None or b is None:
-                    return None
-                state = state[b if state.a_leads else a]
+        groups, links, nothing, i, j = [], [], self.nothing, 0, 0
+        try:
+            while i < len(first):
+                a, b, since, from_ = first[i], second[j], i, j
+                i, j = i + 1, j + 1
+                state = nothing[a][b]
                 links.append(a << _BITS | b)
-            groups.append(f"{own[0]}|{other[0]}" if len(own) == len(other) == 1 else f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-        return None if next(two, None) is not None else (groups, links)
+                if state is nothing:
+                    groups.append(f"{a}|{b}")
+                    continue
+                while state is not nothing:
+                    if state is None:
+                        return None
+                    if state.a_leads:
+                        b = second[j]
+                        j += 1
+                        state = state[b]
+                    else:
+                        a = first[i]
+                        i += 1
+                        state = state[a]
+                    links.append(a << _BITS | b)
+                groups.append(f"{','.join(map(str, first[since:i]))}|{','.join(map(str, second[from_:j]))}")
+        except IndexError:  # one side ends while bytes of the other dangle
+            return None
+        return (groups, links) if j == len(second) else None
 
 
-def parts(text: str, most: int = PART) -> list[str]:
-    """The text cut at spaces between letters, these left out, into parts of `most` characters and what it takes to the next such space."""
-    out, at = [], 0
-    while len(text) - at > most and (gap := _GAP.search(text, at + most)):
-        out.append(text[at : gap.start()])
-        at = gap.end()
-    return [*out, text[at:]]
+class Aligner:
+    """Words by what they are made of: (number of A's tokens, groups as text, links as bytes), or None where the bytes differ.
+
+    A group of so many tokens has one link less, so the number of B's follows from these.
+    """
+
+    def __init__(self, both: Vocabularies):
+        self.both, self.transducer, self.known = both, Transducer(both.bytes_a, both.bytes_b), {}
+
+    def word(self, first: list[int], second: list[int]) -> tuple[int, str, bytes] | None:
+        found = self.transducer.align(first, second)
+        return found and (len(first), ";".join(found[0]), array("q", found[1]).tobytes())
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """For each text its numbers of A's tokens, B's tokens and groups, the groups as text, and the links; nothing where it's empty
+        or the bytes of a word differ."""
+        if len(self.known) > WORDS:
+            self.known = {}
+        known, words = self.known, [_GAP.split(t) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(known))
+        group, size = [], 0
+        for i, w in enumerate(new):
+            group.append(w)
+            size += len(w)
+            if size >= AT_ONCE or i + 1 == len(new):
+                known.update((x, self.word(*both)) for x, both in zip(group, self.both.encode(group)))
+                group, size = [], 0
+        for own in words:
+            found = list(map(known.__getitem__, own))
+            if not found or None in found:
+                yield 0, 0, 0, "", np.zeros(0, np.int64)
+                continue
+            numbers, listed, links = zip(*found)
+            first, joined, own = sum(numbers), ";".join(listed), np.frombuffer(b"".join(links), np.int64)
+            groups = joined.count(";") + 1
+            yield first, len(own) - first + groups, groups, joined, own
+        for w in new:
+            if len(w) > WORD:
+                del known[w]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -167,22 +213,16 @@ def _blocks(docs: DataFrame, a: str, b: str, groups: bool, block: int) -> DataFr
         return pa.RecordBatch.from_arrays(columns, ["block", "docs", "pairs", "n"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Vocabularies(a, b)
-        transducer = Transducer(both.bytes_a, both.bytes_b)
+        aligner = Aligner(Vocabularies(a, b))
         number, rows, links, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in small(it, 64):
-            texts = [parts(t) if t else [] for t in batch.column(1).to_pylist()]
-            encoded = iter(both.encode([p for t in texts for p in t]))
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                own = [(p, *next(encoded)) for p in text]
-                aligned = [transducer.align(x, y) if both.whole(p, x) else None for p, x, y in own]
-                if None in aligned:
-                    own = aligned = []
-                listed = [g for found, _ in aligned for g in found]
-                joined = ";".join(listed)
-                links.append(np.array([x for _, found in aligned for x in found], np.int64))
-                rows.append((doc_id, sum(len(x) for _, x, _ in own), sum(len(y) for *_, y in own), len(listed), len(links[-1]), hashlib.sha256(joined.encode()).hexdigest() if listed else "", joined if groups else None))
-                size += sum(map(len, text))
+            texts = batch.column(1).to_pylist()
+            with large_caches():
+                aligned = list(aligner.texts(texts))
+            for doc_id, text, (one, two, n, listed, own) in zip(batch.column(0).to_pylist(), texts, aligned):
+                rows.append((doc_id, one, two, n, len(own), hashlib.sha256(listed.encode()).hexdigest() if listed else "", listed if groups else None))
+                links.append(own)
+                size += len(text or "")
                 if size >= block:
                     yield pack(number, rows, links)
                     number, rows, links, size = number + 1, [], [], 0
@@ -217,6 +257,7 @@ def align(docs: DataFrame, a: str, b: str, groups: bool = False, block: int = BL
     text; an empty table gives an empty one; other columns are not looked at.
 
     Texts are read and aligned once and kept in blocks of BLOCK characters; only lists of different links are joined with counts.
+    Memory is bounded by the block, the longest text and the words that a worker keeps.
     """
     blocks, _ = park(_blocks(docs, a, b, groups, block), "aligned")
     each = blocks.select("block", F.posexplode("pairs").alias("at", "pair"))

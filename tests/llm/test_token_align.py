@@ -73,7 +73,8 @@ def expected(both, rows):
 def test_groups_and_links_equal_offsets(both, text):
     machine = op.Transducer(both.bytes_a, both.bytes_b)
     ((x, y),) = both.encode([text])
-    got = machine.align(x, y) if both.whole(text, x) else None
+    assert b"".join(both.bytes_a[i] for i in x) == b" " + text.encode()
+    got = machine.align(x, y)
     a, b, groups, links = by_offsets(both, text)
     assert (got or ([], []))[0] == groups and [(n >> op._BITS, n % 2**op._BITS) for n in (got or ([], []))[1]] == links
 
@@ -86,13 +87,38 @@ def test_sides_that_differ_or_end_early():
     assert machine.align([2], [0, 1, 2]) is None and machine.align([], []) == ([], []) and machine.align([], [1]) is None
 
 
-def test_parts_of_a_long_text_have_the_tokens_of_the_whole(both):
-    rng = random.Random(1)
-    text = "".join(rng.choice(["the ", "Über ", "don't ", " 12 ", "\n", "naïve", "ab ", "…", "x"]) for _ in range(3000))
-    cut = op.parts(text, 40)
-    assert len(cut) > 100 and " ".join(cut) == text
-    a, b = both.encode([text])[0]
-    assert [i for x, _ in both.encode(cut) for i in x] == a and [i for _, y in both.encode(cut) for i in y] == b
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text("ab 'sé1.\u00a0\n▁-"), st.text(" aéß€中\u0301\t9!"), st.text()))
+def test_words_of_a_text_have_the_tokens_of_the_whole(both, text):
+    a, b = both.encode([text])[0] if text else ([], [])
+    words = both.encode(op._GAP.split(text)) if text else []
+    assert [i for x, _ in words for i in x] == a and [i for _, y in words for i in y] == b
+
+
+def test_no_character_beside_a_gap_is_white_space(both):
+    seen = [chr(c) for c in range(33, 0x250) if op._GAP.search(f"a {chr(c)}") and op._GAP.search(f"{chr(c)} a")]
+    assert len(seen) > 500 and not any(c.isspace() for c in seen)
+    for c in seen:
+        for text in (f"a {c}", f"{c} a", f"{c} {c}", f"1 {c} ."):
+            words = both.encode(op._GAP.split(text))
+            assert both.encode([text])[0] == ([i for x, _ in words for i in x], [i for _, y in words for i in y])
+
+
+def test_tokenizers_of_another_kind_are_refused():
+    with pytest.raises(ValueError):
+        op.Vocabularies(public_tokenizers.path("word_bpe_49k.json"), B)
+
+
+def test_words_are_kept_and_forgotten(both, monkeypatch):
+    monkeypatch.setattr(op, "WORDS", 3)
+    monkeypatch.setattr(op, "AT_ONCE", 5)
+    aligner = op.Aligner(both)
+    for text in ("one two three four five", "one ▁ two", "", None, "five " * 50 + "x" * 99, "one two three four five"):
+        ((one, two, n, listed, links),) = aligner.texts([text])
+        a, b, groups, own = by_offsets(both, text)
+        assert (one, two, n, listed) == (len(a), len(b), len(groups), ";".join(groups))
+        assert [(k >> op._BITS, k % 2**op._BITS) for k in links.tolist()] == own
+        assert len(aligner.known) <= 9
 
 
 def test_the_query_equals_brute_force(spark, both):
