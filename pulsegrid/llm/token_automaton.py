@@ -6,13 +6,16 @@ has the tokens that the whole text has there, and tokens that stand side by side
 is the one that may follow the last token of the shorter prefix before it, and a state need only hold, for every end of
 what has been read that begins some piece, which token stands before that end and how many tokens less it has.
 
-States are compiled on demand. A text is cut into chunks; a chunk's map takes a state to the state at its end and the
+States are compiled on demand, and so are transitions by whole words, which compose those of their characters: no piece has a
+space after another character, so that every word but a chunk's first begins in the same state. A text is cut into chunks; a chunk's map takes a state to the state at its end and the
 change of the count, and maps compose, so that they can be made before it's known in which state a chunk begins: from the
 states that the characters before it allow. A prefix scan composes them.
 """
 
 from __future__ import annotations
 
+import gc
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +23,17 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import small
+from pulsegrid.llm.shared import large_caches, small
 
 LIMIT = 4096
 #: Code points of a chunk.
 CHUNK = 4096
-#: States that a worker keeps; beyond that it compiles anew.
-STATES = 100_000
+#: States, and as many words, that a worker keeps; beyond that it compiles anew.
+STATES = 200_000
+#: Characters of words that are kept.
+WORD = 24
 _SPACE = "▁"
+_WORDS = re.compile(f"[^{_SPACE}]+|{_SPACE}+[^{_SPACE}]*")
 
 #: What a state knows: (an end of what was read that begins a piece, the token before that end or None if nothing depends
 #: on it, the change of the count up to there), longest first.
@@ -57,10 +63,12 @@ class Machine:
         self.starts = {p[:k] for p in self.score for k in range(len(p))}
         self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.longest = max(map(len, self.score))
-        self.most, self.states, self.made = states, {}, {}
+        self.most, self.states, self.words, self.made = states, {}, {}, {}
         for probe in ("a", "  two  spaces ", "ﬁ Å\n\t́ <s> ▁", "\U0001f600\U000e0001 the end."):
             if len(library.encode(probe, num_threads=1)) != self.count(probe):
                 raise ValueError("the model isn't a plain one: merges by score, byte fallback, a space before the text, nothing normalised")
+        if any(p[1] == _SPACE != p[0] for p in self.pairs):
+            raise ValueError("a piece of the model has a space after another character")
 
     def merges(self, piece: str) -> list[tuple[float, str, str]] | None:
         """What makes the piece of its characters: (score, first part, last part) before each merge; None if merges end elsewhere."""
@@ -119,13 +127,29 @@ class Machine:
                 longer.append((end + ch, before, less - change))
         return self.state((*longer, ("", token, 0))), change
 
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        n = 0
+        for ch in text:
+            state, change = state[ch]
+            n += change
+        return state, n
+
     def run(self, chain: Chain, text: str) -> tuple[Chain, int]:
         """The state after the text, and the change of the count."""
         if len(self.states) > self.most:
-            self.states = {}
-        state, n = self.state(chain), 0
-        for ch in text:
-            state, change = state[ch]
+            self.states, self.words = {}, {}
+            gc.collect()  # states refer to each other
+        elif len(self.words) > self.most:
+            self.words = {}
+        fresh, words = self.state(self.FRESH), _WORDS.findall(text)
+        state, n = self.walk(self.state(chain), words[0] if words else "")
+        for word in words[1:]:
+            found = self.words.get(word)
+            if found is None:
+                found = self.walk(fresh, word)
+                if len(word) <= WORD:
+                    self.words[word] = found
+            state, change = found
             n += change
         return state.chain, n
 
@@ -197,7 +221,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(model)
         for b in small(it):
-            n = [machine.count(t) for t in b.column(2).to_pylist()]
+            with large_caches():
+                n = [machine.count(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long"))
