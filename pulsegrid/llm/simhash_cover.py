@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Words, batches, broadcast, drop, mix, park, received, small
+from pulsegrid.llm.shared import Words, batches, broadcast, drop, free, mix, park, received, small
 
 THRESHOLD = 2
 SHINGLE = 3
@@ -65,6 +65,11 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def digest() -> F.Column:
+    """128 bits that stand for a text: of 10^11 texts no two are likely to share them. Null counts as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, digest (of the text), fp (the 64 bits as a signed long) of every row; one pass, nothing shuffled."""
 
@@ -73,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest().alias("digest")).mapInArrow(run, "doc_id long, digest binary, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -142,9 +147,10 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all within two bits of each other: of the links at an anchor
-    it has a spanning forest, so their number is bounded by the replicas, not by the square of a group."""
+    it has a spanning forest, so their number is bounded by the replicas, not by the square of a group. Fingerprints are dealt out
+    by turns before they are replicated: dealt by their value, as they lie after distinct(), Spark would leave them where they are."""
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(fps.count() / TASK_ROWS))
-    spread = fps.select("fp").distinct().repartition(tasks, "fp").mapInArrow(_spread, "anchor long, fp long")
+    spread = fps.select("fp").distinct().repartition(tasks).mapInArrow(_spread, "anchor long, fp long")
     met = spread.groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select("fps").mapInArrow(_compare, "a long, b long").distinct()
 
@@ -223,32 +229,38 @@ def bands(docs: DataFrame, shingle: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "digest", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest().alias("digest")).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+
+
+def _hashed(df: DataFrame, column: str, used: DataFrame) -> DataFrame:
+    """The rows of df whose hash of `column` is one of those in `used` (a column of that name, no nulls), and some others: a table of
+    bits, of bounded size, tells on each machine which rows needn't be shuffled. If there are too many for it, all rows."""
+    n = used.count()
+    if n > MOST_BITS // 16:
+        return df
+    size = 1 << max(16, (16 * n).bit_length())
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(size - 1))
+    bits = np.zeros(size, bool)
+    bits[used.select(place(column).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    held, at, names = broadcast(df.sparkSession, np.packbits(bits)), len(df.columns), df.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = received(held)
+        for b in it:
+            bit = b.column(at).to_numpy()
+            yield b.filter(pa.array((table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool))).select(names)
+
+    return df.withColumn("__bit", place(column)).mapInArrow(run, df.schema)
 
 
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """digest, text of the different texts whose digests are used. A table of bits on each machine tells most others, which
-    then aren't shuffled; of very many digests there's none."""
-    spark, n = docs.sparkSession, used.count()
-    every = docs.select(F.xxhash64("text").alias("digest"), "text")
-    if n <= MOST_BITS // 16:
-        size = 1 << max(16, (16 * n).bit_length())
-        bits = np.zeros(size, bool)
-        bits[used.select(F.expr(f"digest & {size - 1}").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-        held = broadcast(spark, np.packbits(bits))
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = received(held)
-            for b in it:
-                at = b.column(0).to_numpy() & (size - 1)
-                yield b.filter(pa.array((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-
-        every = every.mapInArrow(run, "digest long, text string")
-    return every.join(used, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of texts' digests, those whose shingles have a Jaccard likeness of `similarity` at least; counted
+    """id, text of the different texts whose ids and digests (id, digest) are used."""
+    every = _hashed(docs.select(digest().alias("digest"), "text"), "digest", used.select("digest"))
+    return every.join(used, "digest").groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of texts' ids (ids: id, digest), those whose shingles have a Jaccard likeness of `similarity` at least; counted
     over all shingles. The text of b is joined first, so that a text that is in many pairs as a isn't shuffled for each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +275,16 @@ def _alike(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -
                 keep.append(both >= similarity * (len(held) + len(other) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    texts, _ = park(_texts(docs, used), "texts")
-    right = pairs.join(texts.withColumnsRenamed({"digest": "b", "text": "right"}), "b")
-    return right.join(texts.withColumnsRenamed({"digest": "a", "text": "left"}), "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(ids, "id")
+    texts, texts_path = park(_texts(docs, used), "texts")
+    right = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
+    found, _ = park(right.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "alike")
+    drop(docs.sparkSession, texts_path)
+    return found
 
 
-def _within(open_: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the texts of each key (key, digest, root, outside), links (a, b) of those outside to texts of other roots, by the exact
+def _within(open_: DataFrame, docs: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the texts of each key (key, id, root, outside), links (a, b) of those outside to texts of other roots, by the exact
     likeness of all shingles: one for each root that a text is alike to. Each key's sets of shingles meet once, so there's
     no row for a pair; a key with more than KEY_BYTES of them is cut into parts, each pair of which is a task's."""
 
@@ -278,11 +292,11 @@ def _within(open_: DataFrame, docs: DataFrame, shingle: int, similarity: float)
         for b in small(it, 64):
             own = [np.unique(g).view(np.int64) for g in grams(b.column(1).to_pylist(), shingle)]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["digest", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["id", "own"])
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        digest, root, outside, part = (t.column(c).to_numpy() for c in ("digest", "root", "outside", "part"))
+        id_, root, outside, part = (t.column(c).to_numpy() for c in ("id", "root", "outside", "part"))
         own = [x for c in t.column("own").chunks for x in (c.offsets.to_numpy(), c.values.to_numpy())]
         flat, size = np.concatenate([np.zeros(0, np.int64), *(v[o[0] : o[-1]] for o, v in zip(own[::2], own[1::2]))]), np.concatenate([np.zeros(0, np.int64), *(np.diff(o) for o in own[::2])])
         end = np.cumsum(size)
@@ -302,61 +316,83 @@ def _within(open_: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             both = total[end] - total[end - size]
             hit = np.flatnonzero(other & (both >= similarity * (size[i] + size - both)))
             hit = hit[np.unique(root[hit], return_index=True)[1]]
-            left.append(np.full(len(hit), digest[i]))
-            right.append(digest[hit])
+            left.append(np.full(len(hit), id_[i]))
+            right.append(id_[hit])
         return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *left]), "b": np.concatenate([np.zeros(0, np.int64), *right])})
 
-    found, path = park(_texts(docs, open_.select("digest").distinct()).mapInArrow(sets, "digest long, own array<long>"), "sets")
-    cut = open_.join(found.select("digest", F.size("own").alias("size")), "digest").groupBy("key").agg(F.ceil(F.sum("size") * 8 / KEY_BYTES).cast("int").alias("parts")).where("parts > 1")
-    each = open_.join(cut, "key", "left").select("key", "digest", "root", "outside", F.greatest(F.lit(1), F.coalesce("parts", F.lit(1))).alias("parts"))
-    each = each.withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = each.select("key", "digest", "root", "outside", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(found, "digest")
+    used = open_.select("id").distinct().join(ids, "id")
+    found, path = park(_texts(docs, used).mapInArrow(sets, "id long, own array<long>"), "sets")
+    cut = open_.join(found.select("id", F.size("own").alias("size")), "id").groupBy("key").agg(F.ceil(F.sum("size") * 8 / KEY_BYTES).cast("int").alias("parts")).where("parts > 1")
+    each = open_.join(cut, "key", "left").select("key", "id", "root", "outside", F.greatest(F.lit(1), F.coalesce("parts", F.lit(1))).alias("parts"))
+    each = each.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = each.select("key", "id", "root", "outside", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(found, "id")
     late, _ = park(met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "late")
     drop(docs.sparkSession, path)
     return late
 
 
 def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, digest, root (the component's smallest digest) for every row of docs; texts are linked when the exact Jaccard
-    likeness of their shingles is `similarity` or more.
+    """doc_id, digest, root (one id for a component) for every row of docs; texts are linked when the exact Jaccard likeness of
+    their shingles is `similarity` or more.
 
     The links of the fingerprints' covering code are candidates, as are texts that share a band of MinHashes: at a likeness of
     0.8 SimHashes differ by 10 of 64 bits on average, and no covering code of that radius is of use. Near copies have a
-    hub, the text that they are copies of. So each text of a band's key is first compared with the key's text that meets most others
-    over all keys. Where that leaves a key more than one component, all texts outside its largest are compared with all of
-    other components, within a task. So any two texts that share a key and are alike end in one component.
+    hub, the text that they are copies of. So each text is first compared with one hub, of those texts that meet most others in its
+    bands' keys the one that meets most; then, where they aren't one component yet, with the hubs of its other keys. Where that leaves
+    a key more than one component, all texts outside its largest are compared with all of other components, within a task. So
+    any two texts that share a key and are alike end in one component.
+
+    Null and empty texts are one text without shingles, which is like itself alone; repeated rows and rows of one doc_id, with or without
+    a number, are each given the root of their text; ties between hubs go to the greater id; an empty table gives an empty one;
+    other columns are not looked at. Different texts are numbered, so that links, keys and roots hold 8 bytes a text.
     """
     spark = docs.sparkSession
     rows, _ = park(bands(docs, shingle), "bands")
-    prints, prints_path = park(fingerprints(docs).groupBy("digest").agg(F.first("fp").alias("fp")), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("digest").alias("least"))
-    same = prints.join(least, "fp").where("digest != least").select(F.col("least").alias("a"), F.col("digest").alias("b"))
+    first = rows.groupBy("digest").agg(F.first("keys").alias("keys"))
+    ids, _ = park(first.select(F.monotonically_increasing_id().alias("id"), "digest", "keys"), "ids")
+    of = ids.select("id", "digest")
+    prints, prints_path = park(fingerprints(docs).groupBy("digest").agg(F.first("fp").alias("fp")).join(of, "digest").select("id", "fp"), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    same = prints.join(least, "fp").where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_")) for x in ("a", "b")]
     close = links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
-    each = rows.groupBy("digest").agg(F.first("keys").alias("keys")).select("digest", F.explode("keys").alias("key"))
-    met = each.groupBy("key").agg(F.collect_list("digest").alias("met")).where(F.size("met") > 1)
-    shared, shared_path = park(met.select("key", F.size("met").alias("n"), F.explode("met").alias("digest")), "shared")
-    degree = shared.groupBy("digest").agg(F.sum("n").alias("degree"))
-    hub = shared.join(degree, "digest").groupBy("key").agg(F.max(F.struct("degree", "digest"))["digest"].alias("hub"))
-    hubs = shared.join(hub, "key").where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b"))
-    pairs, pairs_path = park(same.union(close).union(hubs).distinct(), "pairs")
-    edges, _ = park(_alike(pairs, docs, shingle, similarity), "alike")
-    root, _ = park(components(edges), "roots")
-    named, named_path = park(shared.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root")), "named")
+    each = ids.select("id", F.explode("keys").alias("key"))
+    twice, twice_path = park(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    shared, shared_path = park(_hashed(each, "key", twice.select("key")).join(twice, "key"), "shared")
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    hub = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub"))
+    stars, stars_path = park(shared.join(hub, "key").where("id != hub.id").groupBy("id", "hub").agg(F.lit(1).alias("one")).select("id", "hub"), "stars")
+    best = stars.groupBy("id").agg(F.max("hub")["id"].alias("hub"))
+    pairs, pairs_path = park(same.union(close).union(best.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct(), "pairs")
+    edges = _alike(pairs, docs, of, shingle, similarity)
+    root = _rooted(of, edges)
+    to = root.withColumnsRenamed({"id": "b", "root": "to"})
+    apart = stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).join(to, "b").join(root.withColumnRenamed("id", "a"), "a").where("root != to").select("a", "b")
+    apart, apart_path = park(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        edges = edges.union(_alike(apart, docs, of, shingle, similarity))
+        root = _rooted(of, edges)
+    named, named_path = park(shared.join(root, "id").select("key", "id", "root"), "named")
     count = named.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("top")).where("roots > 1")
-    open_, open_path = park(named.join(count, "key").select("key", "digest", "root", (F.col("root") != F.col("top")).alias("outside")), "open")
-    for path in (prints_path, shared_path, pairs_path, named_path):
+    open_, open_path = park(named.join(count, "key").select("key", "id", "root", (F.col("root") != F.col("top")).alias("outside")), "open")
+    for path in (prints_path, twice_path, shared_path, stars_path, pairs_path, apart_path, named_path):
         drop(spark, path)
-    late = _within(open_, docs, shingle, similarity)
+    late = _within(open_, docs, of, shingle, similarity)
     drop(spark, open_path)
-    if late.limit(1).count():
-        root, _ = park(components(edges.union(late)), "roots")
-    return rows.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
+    if not late.isEmpty():
+        root = _rooted(of, edges.union(late))
+    return rows.select("doc_id", "digest").join(of.join(root, "id"), "digest").select("doc_id", "digest", "root")
+
+
+def _rooted(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, root for all ids: of a text that no edge has, itself."""
+    root, _ = park(components(edges), "roots")
+    return ids.select("id").join(root.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns, one of each component: the smallest doc_id's (null last), of its texts the one with the
-    least digest, of equal rows one. Components are those of near_duplicates, or with a similarity of like_duplicates."""
+    least digest, of equal rows (null counts as empty) one. Components are those of near_duplicates, or with a similarity of like_duplicates."""
     found, path = park(near_duplicates(docs, shingle) if similarity is None else like_duplicates(docs, shingle, similarity), "near")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("kept"))
     kept, _ = park(kept, "kept")  # read again, so that Spark can split a root that has too many rows for a task
@@ -367,10 +403,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     twice, _ = park(twice, "twice")
     gone, _ = park(gone, "gone")
     drop(docs.sparkSession, path)
-    same = lambda d, other: d["doc_id"].cast("long").eqNullSafe(other["__doc_id"]) & (F.xxhash64(d["text"]) == other["__digest"])
+    same = lambda d, other: d["doc_id"].cast("long").eqNullSafe(other["__doc_id"]) & (F.unhex(F.md5(F.coalesce(d["text"], F.lit("")).cast("binary"))) == other["__digest"])
     left = docs.join(gone, same(docs, gone), "left_anti")
     once = left.join(twice, same(left, twice), "left_anti")
-    return once.union(left.join(twice, same(left, twice), "left_semi").dropDuplicates(["doc_id", "text"]))
+    mark = free("digest", docs.columns)
+    return once.union(left.join(twice, same(left, twice), "left_semi").withColumn(mark, digest()).dropDuplicates(["doc_id", mark]).drop(mark))
 
 
 def hex16(fp) -> F.Column:

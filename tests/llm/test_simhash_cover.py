@@ -167,10 +167,10 @@ def test_texts_outside_their_keys_largest_component_are_found(spark, monkeypatch
     monkeypatch.setattr(op, "_alike", lambda pairs, *more: pairs.where("false"))
     for size in (op.KEY_BYTES, 20_000):
         monkeypatch.setattr(op, "KEY_BYTES", size)
-        keys = spark.createDataFrame([(1, i) for i in range(60)], "key int, doc_id long").join(docs, "doc_id")
-        open_ = keys.select("key", op.F.xxhash64("text").alias("digest"), op.F.xxhash64("text").alias("root"), op.F.lit(True).alias("outside"))
-        found = {(r.a, r.b) for r in op._within(open_, docs, 5, 0.8).collect()}
-        digest = [r.d for r in docs.orderBy("doc_id").select(op.F.xxhash64("text").alias("d")).collect()]
+        open_ = docs.select(op.F.lit(1).alias("key"), op.F.col("doc_id").alias("id"), op.F.col("doc_id").alias("root"), op.F.lit(True).alias("outside"))
+        ids = docs.select(op.F.col("doc_id").alias("id"), op.digest().alias("digest"))
+        found = {(r.a, r.b) for r in op._within(open_, docs, ids, 5, 0.8).collect()}
+        digest = list(range(60))
         own = [set(op.shingles(t, 5).tolist()) for t in texts]
         want = {(digest[i], digest[j]) for i in range(60) for j in range(60) if i != j and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
         assert found == want and len(want) > 20
@@ -188,6 +188,53 @@ def test_links_of_the_covering_code_are_candidates(spark, monkeypatch):
             rows.append((len(rows), " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     near = {r.doc_id: r.root for r in op.near_duplicates(docs).collect()}
-    monkeypatch.setattr(op, "bands", lambda d, shingle: d.select("doc_id", op.F.xxhash64("text").alias("digest"), op.F.array(op.F.col("doc_id")).alias("keys")))
+    monkeypatch.setattr(op, "bands", lambda d, shingle: d.select("doc_id", op.digest().alias("digest"), op.F.array(op.F.col("doc_id")).alias("keys")))
     want = sorted(sorted(d for d in near if near[d] == r) for r in set(near.values()))
     assert groups(op.like_duplicates(docs, 5, 0.8).collect()) == want and len(want) < 18
+
+
+def test_texts_are_told_apart_by_their_digests(spark):
+    """Texts are told apart by 128 bits; of rows of one doc_id each text counts."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, None), (1, ""), (None, "g h i j k l"), (None, "g h i j k l"), (2, "g h i j k l m")]
+    docs = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, id int, digest int")
+    got = op.like_duplicates(docs, 5, 0.8).collect()
+    assert len(got) == 7 and len({bytes(r.digest) for r in got}) == 4 and all(len(r.digest) == 16 for r in got)
+    kept = [tuple(r)[:2] for r in op.one_of_each(docs, 5, 0.8).collect()]
+    assert sorted((d or 0, t or "") for d, t in kept) == [(0, "g h i j k l"), (1, ""), (1, "a b c d e f"), (2, "g h i j k l m")]
+
+
+def test_very_many_rows_of_one_doc_id(spark):
+    rng = random.Random(44)
+    texts = family(rng, 40, lambda k: 1)
+    rows = [(7, texts[i % 40]) for i in range(10_000)] + [(3, texts[5]), (9, "something else that stands alone")]
+    kept = op.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, texts[5]), (9, "something else that stands alone")]
+
+
+def test_all_alike_texts_of_a_table_are_linked(spark):
+    """By brute force over an inverted index of whole texts' shingles, those in over 150 texts left aside, on sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    first = {}
+    for d, t in rows:
+        first.setdefault(t or "", d)
+    own = [np.unique(g) for g in op.grams(list(first), 5)]
+    flat, who = np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own])
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    edge = np.flatnonzero(np.diff(flat, prepend=flat[0] - np.uint64(1)) != 0)
+    size = np.diff(np.append(edge, len(flat)))
+    pairs = set()
+    for at, n in zip(edge[(size > 1) & (size <= 150)], size[(size > 1) & (size <= 150)]):
+        met = who[at : at + n].tolist()
+        pairs |= {(a, b) for i, a in enumerate(met) for b in met[i + 1 :]}
+    alike = []
+    for a, b in pairs:
+        if min(len(own[a]), len(own[b])) >= 0.8 * max(len(own[a]), len(own[b])):
+            both = len(np.intersect1d(own[a], own[b], assume_unique=True))
+            if both >= 0.8 * (len(own[a]) + len(own[b]) - both):
+                alike.append((a, b))
+    root = {r.doc_id: r.root for r in op.like_duplicates(docs, 5, 0.8).collect()}
+    ids = list(first.values())
+    assert len(alike) >= 40 and all(root[ids[a]] == root[ids[b]] for a, b in alike)
+    assert len(set(root.values())) == 9245
