@@ -3,9 +3,9 @@
 Every page is parsed to a tree, and each element's subtree is hashed, twice: by its tags and words, and by its skeleton, that
 is its tags, classes and nesting without words, in which repeated siblings count once. Spark counts the hashes by host, over
 pages of different content. A subtree whose words recur on several pages of its host is the site's template and is deleted;
-so is one that is mostly links, without prose, and whose skeleton recurs on more pages, such as a menu that lists other things
-on each.
-Elements that are no article by their tag, role or class go as well. Plain paragraphs and headings inside an article are
+so is one without prose whose skeleton recurs on more pages and that is mostly links, such as a menu that lists other things
+on each, or, outside articles, a small part of its page, such as a notice or a footer that says another thing on each.
+What recurrence leaves is checked by tag, role and class: elements that are no article by these go as well. Plain paragraphs and headings inside an article are
 never taken for a template: a licence line or a quoted passage that many articles share belongs to each.
 
 How often a subtree must recur is a number of pages, whatever the host's size, so large hosts are treated like small ones.
@@ -27,6 +27,8 @@ from pulsegrid.llm.shared import park, small
 #: On how many pages of a host, different in content, a template recurs: one with the same words, plain text (of pages
 #: without an article) with the same words, and one of links with the same skeleton.
 MIN_PAGES, MIN_PAGES_PLAIN, MIN_PAGES_SKELETON = 5, 20, 10
+#: Less than this share of a page's text is a small part of it.
+SMALL = 0.25
 WORDS, PLAIN, SKELETON = range(3)
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>""", re.S)
@@ -166,8 +168,8 @@ class Page:
         del stack[k:]
 
     def hashes(self) -> tuple[list[int], list[int]]:
-        """Of every subtree the hash of its tags and words, and that of its skeleton, zero where it isn't mostly links or where it has
-        prose: a paragraph, quotation or first heading that isn't a link."""
+        """Of every subtree the hash of its tags and words, and that of its skeleton, zero where it has prose (a paragraph, quotation
+        or first heading that isn't a link) and where it's neither mostly links nor, outside articles, a small part of the page."""
         n = len(self.tag)
         out, bones, linked, prose = [0] * n, [0] * n, [0] * n, [False] * n
         self.empty = [False] * n
@@ -182,7 +184,8 @@ class Page:
             shape = [bones[k] for k in below if self.tag[k] in _BLOCK or self.tag[k] == "a"]
             once = [x for j, x in enumerate(shape) if j == 0 or x != shape[j - 1]]
             bones[i] = xxhash.xxh3_64_intdigest(f"{self.tag[i]} {self.kind[i]} {once}", 1) - 2**63
-        return out, [x if linked[i] and 2 * linked[i] >= self.size[i] and not prose[i] else 0 for i, x in enumerate(bones)]
+        few = [self.size[i] < SMALL * self.size[0] and not self.inside[i] and not self.main[i] for i in range(n)]
+        return out, [x if not prose[i] and (few[i] or linked[i] and 2 * linked[i] >= self.size[i]) else 0 for i, x in enumerate(bones)]
 
     def scopes(self) -> list[int]:
         """The outermost articles; without any the main elements; without any the whole page."""

@@ -120,3 +120,35 @@ def test_large_hosts_are_treated_like_small_ones(spark):
         assert got[i].split("\n") == [f"Head {i}", f"Text {i}", *(f"link {i * 7 + k}" for k in range(i % 5 + 2))]
     free = {r.page_id: r.text for r in op.extract(spark.createDataFrame([(i, u, h.replace("article", "div")) for i, u, h in map(page, range(3000))], "page_id long, url string, html string").repartition(4)).collect()}
     assert free[2999].split("\n") == ["Head 2999", "Text 2999"]  # a list of links isn't known to be an article's then
+
+
+def test_recurrence_alone_takes_menus_notices_and_footers(spark):
+    """On sf0.1, with nothing left that names a page's parts. What should recur is counted here from the pages' source."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    df = spark.createDataFrame([(p.page_id, p.url, bare(p.html)) for p in pages], "page_id long, url string, html string").repartition(8)
+    got = {r.page_id: r.text for r in op.extract(df).collect()}
+    fold = lambda x: " ".join(re.sub(r"<[^>]*>", " ", op.charrefs.unescape(x)).split())
+    by_host, seen = {}, {}
+    for p in pages:
+        host = re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", p.url.lower())
+        menu, notice, footer = (fold(re.search(x, p.html, re.S)[1]) for x in (r"<nav>(.*?)</nav>", r'<div class="ad">(.*?)</div>', r"<footer>(.*?)</footer>"))
+        by_host.setdefault(host, {})[p.html] = (menu, notice, footer)
+        for kind, text in (("notice", notice), ("footer", footer)):
+            seen.setdefault((host, kind, text), set()).add(p.html)
+    alone = whole = total = 0
+    for p in pages:
+        host = re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", p.url.lower())
+        if len(by_host[host]) < op.MIN_PAGES_SKELETON:
+            continue
+        menu, notice, footer = by_host[host][p.html]
+        article = op.main_text(p.html)
+        size = len(article) + len(menu) + len(notice) + len(footer)
+        for kind, text in (("notice", notice), ("footer", footer)):
+            if len(text) < 0.9 * op.SMALL * size or len(seen[host, kind, text]) >= op.MIN_PAGES:
+                assert text not in got[p.page_id].split("\n") or text in article.split("\n"), (p.page_id, kind)
+        items = [fold(x) for x in re.findall(r"<li>(.*?)</li>", p.html.split("</nav>")[0]) if fold(x)]
+        assert len(items) < 2 or got[p.page_id].split("\n")[: len(items)] != items
+        total, alone, whole = total + 1, alone + (got[p.page_id] == article), whole + (article in got[p.page_id])
+    assert total > 2000 and alone >= 0.95 * total and whole >= 0.98 * total
+    marked = {r.page_id: r.text for r in op.extract(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()}
+    assert all(marked[p.page_id] == op.main_text(p.html) for p in pages)  # where the article is marked, nothing of it goes
