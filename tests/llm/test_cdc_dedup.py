@@ -105,3 +105,36 @@ def test_many_rows_of_one_id_and_of_none(spark):
     assert len(got) == 1500 and all(r.doc_id is None and r.first_doc_ids == [None] * r.n_runs for r in got)
     kept = [r.text for r in op.without_repeats(df).collect()]
     assert len(kept) == 6000 and sum(other in t for t in kept) == 1
+
+
+def shared_runs(texts, n):
+    """The texts that share n words in a row with another, by brute force over all windows."""
+    first, found = {}, set()
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        for k in range(len(own) - n + 1):
+            j = first.setdefault(tuple(map(id_of, own[k : k + n])), i)
+            if j != i:
+                found |= {i, j}
+    return found
+
+
+_IDS = {}
+
+
+def id_of(word):
+    return _IDS.setdefault(word, len(_IDS))
+
+
+def test_the_query_finds_all_that_brute_force_finds(spark):
+    """Documents that share 51 words in a row are all found; what else is reported shares 20 at least, but for few."""
+    from pulsegrid.llm.queries import op5_cdc_dedup
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    ids, texts = zip(*docs)
+    got = {r.doc_id for r in op5_cdc_dedup(spark, sf).collect()}
+    want = {ids[i] for i in shared_runs(texts, 51)}
+    assert len(want) > 100 and want <= got
+    less = {ids[i] for i in shared_runs(texts, 20)}
+    assert len(got - less) <= 0.02 * len(got)
