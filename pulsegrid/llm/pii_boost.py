@@ -208,7 +208,8 @@ def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Made cases: features of what the generators propose in them, truth, kind. Names and numbers are random."""
+    """Made cases: features of what the generators propose in them, truth, kind. Names and numbers are random; a cue stands next to
+    the number or some words before it."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9)))
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -286,7 +287,8 @@ def cases(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             kind, cue, what = positive()
         else:
             (cue, what), kind = negative(), ""
-        head = f"{filler()} {cue} ".lstrip()
+        between = rng.choice(["", "", "", f"{word()} ", f"the {word()} {rng.choice(['on', 'under', 'is', 'of', 'with', 'to'])} ", f"{word()} {word()} "]) if cue else ""
+        head = f"{filler()} {cue} {between}".lstrip()
         text = f"{head}{what}{rng.choice([' ', '. ', ', ', ''])}{filler()}"
         for k, a, b in propose(text):
             x.append(describe(text, k, a, b))

@@ -125,6 +125,8 @@ def test_on_cases_of_another_generator():
         print(k, "precision", round(right[k] / max(1, right[k] + wrong[k]), 3), "recall", round(right[k] / max(1, there[k]), 3), "of", there[k])
     assert sum(right.values()) >= 0.9 * (sum(right.values()) + sum(wrong.values()))
     assert sum(right.values()) >= 0.6 * sum(there.values())
+    for k in op.KINDS:
+        assert right[k] >= 0.98 * (right[k] + wrong[k]) and right[k] >= 0.9 * there[k], k
 
 
 def test_every_generator_is_asked():
