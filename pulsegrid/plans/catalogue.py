@@ -115,16 +115,17 @@ def q_outage_events_rawstyle(spark, sf):
     return gold.outages(gold.loss_evidence_raw(V.measurements(spark, sf)), gold.signal_changes(gold.signal_buckets(V.signals(spark, sf))))
 
 
-@query(
-    f"""SELECT ripe_loss_p95, bgp_pct_change, merit_pct_change, ping_pct_change, confidence_score, {V.LABEL} AS severity FROM (SELECT *, {V.SCORE} AS confidence_score
-  FROM (VALUES (0.0::DOUBLE), (0.15), (0.3)) a(ripe_loss_p95), (VALUES (0.0::DOUBLE), (-0.2)) b(bgp_pct_change), (VALUES (0.0::DOUBLE), (-0.2)) c(merit_pct_change), (VALUES (0.0::DOUBLE), (-0.2)) d(ping_pct_change))""",
-    plain=True,
-)
+_LATTICE = "SELECT event_id, CASE k % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.15 ELSE 0.3 END AS ripe_loss_p95, CASE WHEN k % 2 = 0 THEN 0.0::DOUBLE ELSE -0.2 END AS bgp_pct_change, CASE WHEN k % 5 < 3 THEN 0.0::DOUBLE ELSE -0.2 END AS merit_pct_change, CASE WHEN k % 7 < 4 THEN 0.0::DOUBLE ELSE -0.2 END AS ping_pct_change FROM ev"
+
+
+@query(V.with_(V.EV) + f"SELECT event_id, ripe_loss_p95, bgp_pct_change, merit_pct_change, ping_pct_change, confidence_score, {V.LABEL} AS severity FROM (SELECT *, {V.SCORE} AS confidence_score FROM ({_LATTICE}))", plain=True)
 def q_score_lattice(spark, sf):
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.15, 0.3)))).alias("ripe_loss_p95"))
-    for c in ("bgp_pct_change", "merit_pct_change", "ping_pct_change"):
-        one = one.select("*", F.explode(F.array(F.lit(0.0), F.lit(-0.2))).alias(c))
-    scored = one.withColumn("confidence_score", C.confidence(*(F.col(c) for c in one.columns)))
+    """Every combination of evidence, as events have them, scored and labelled."""
+    k = F.col("k")
+    drop = lambda c, name: F.when(c, 0.0).otherwise(-0.2).alias(name)
+    loss = F.when(k % 3 == 0, 0.0).when(k % 3 == 1, 0.15).otherwise(0.3)
+    rows = V.events(spark, sf).select("event_id", loss.alias("ripe_loss_p95"), drop(k % 2 == 0, "bgp_pct_change"), drop(k % 5 < 3, "merit_pct_change"), drop(k % 7 < 4, "ping_pct_change"))
+    scored = rows.withColumn("confidence_score", C.confidence(*(F.col(c) for c in rows.columns[1:])))
     return scored.withColumn("severity", C.severity(F.col("confidence_score")))
 
 
@@ -556,9 +557,13 @@ def q_paths(spark, sf):
     return rows.withColumn("day", C.path_day(F.col("path")))
 
 
-@query("SELECT CAST(range AS DATE) AS day, strftime(range, 'year=%Y/month=%m/day=%d') AS path FROM range('2024-02-25'::TIMESTAMP, '2024-03-05'::TIMESTAMP, INTERVAL 1 DAY)")
+@query("WITH d AS (SELECT o_orderdate::DATE AS day FROM orders) SELECT CAST(range AS DATE) AS day, strftime(range, 'year=%Y/month=%m/day=%d') AS path, coalesce(n, 0) AS n FROM range((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY) LEFT JOIN (SELECT day, count(*) AS n FROM d GROUP BY day) c ON c.day = CAST(range AS DATE)")
 def q_partition_dates(spark, sf):
-    return tables.days(spark, dt.date(2024, 2, 25), dt.date(2024, 3, 5))
+    """The days that orders span, the last left out, with the number of orders of each."""
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    since, until = orders.agg(F.min("day"), F.max("day")).first()
+    n = orders.groupBy("day").agg(F.count("*").alias("n"))
+    return tables.days(spark, since, until).join(n, "day", "left").select("day", "path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _stored_lines(spark, sf) -> str:
@@ -793,9 +798,16 @@ def q_unwrap_series(spark, sf):
     return silver.expand_series(files.unwrap_series(raw)).select(F.col("entityCode").cast("long").alias("event_id"), "ts")
 
 
-@query("SELECT 1704067200 + i * 7200 AS \"from\", least(1704067200 + (i + 1) * 7200, 1704100000) AS until FROM range(0, 5) t(i)")
+@query(
+    """WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT min(t) AS low, max(t) AS high FROM e), c AS (SELECT low + i * 7200 AS "from", least(low + (i + 1) * 7200, high) AS until FROM s, range(0, 100000) r(i) WHERE low + i * 7200 < high)
+SELECT "from", until, count(t) AS n FROM c LEFT JOIN e ON t >= "from" AND t < until GROUP BY ALL"""
+)
 def q_history_chunks(spark, sf):
-    return network.history_chunks(spark, 1704067200, 1704100000)
+    """The history of the events in chunks of two hours, with the events of each."""
+    t = V.events(spark, sf).select(F.unix_timestamp("ts_utc").alias("t"))
+    low, high = t.agg(F.min("t"), F.max("t")).first()
+    n = t.where(F.col("t") < high).groupBy((F.col("t") - F.pmod(F.col("t") - low, F.lit(7200))).alias("from")).agg(F.count("*").alias("n"))
+    return network.history_chunks(spark, low, high).join(n, "from", "left").select("from", "until", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Tables -----------------------------------------------------------------------------------------------------------------
