@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import threading
 import time
 import uuid
@@ -689,6 +691,42 @@ def q_jdbc_lookback(spark, sf):
         return _stored(found.select(*(F.col(c).alias(c.lower()) for c in found.columns)), "window")
 
 
+def _file_database(spark, name: str) -> dict:
+    """A database in a file that all machines have mounted; writers take turns."""
+    place = folder(spark, name)
+    if not place.removeprefix("file:").startswith("/"):
+        raise ValueError("the database needs a spark.checkpoint.dir that all machines have mounted")
+    path = "/" + place.removeprefix("file:").lstrip("/")
+    os.makedirs(path)
+    spark.dataSource.register(network.Database)
+    return {"database": f"{path}/db", "timeout": 600}
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders")
+def q_database_scan(spark, sf):
+    """Written by the tasks that have the rows, twice, and read in five parts by key."""
+    connect = _file_database(spark, "database")
+    network.statements("sqlite3", connect, "CREATE TABLE orders (o_orderkey INTEGER PRIMARY KEY, o_totalprice REAL)")
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    to = orders.write.format("database").options(module="sqlite3", connect=json.dumps(connect), statement="INSERT OR REPLACE INTO orders VALUES (?, ?)").mode("append")
+    to.save()
+    to.save()
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return spark.read.schema(orders.schema).format("database").options(module="sqlite3", connect=json.dumps(connect), table="orders", column="o_orderkey", low=low, high=high, parts=5).load()
+
+
+@query(SQL["q_jdbc_lookback"])
+def q_database_lookback(spark, sf):
+    """Buckets from 25 hours before a batch, filtered by the database."""
+    connect = _file_database(spark, "database")
+    network.statements("sqlite3", connect, "CREATE TABLE signals (country_code TEXT, datasource TEXT, time_bucket TEXT, signal_value REAL, PRIMARY KEY (country_code, datasource, time_bucket))")
+    buckets = gold.signal_buckets(V.signals(spark, sf)).select("country_code", "datasource", F.date_format("time_bucket", "yyyy-MM-dd HH:mm:ss").alias("time_bucket"), "signal_value")
+    buckets.write.format("database").options(module="sqlite3", connect=json.dumps(connect), statement="INSERT OR REPLACE INTO signals VALUES (?, ?, ?, ?)").mode("append").save()
+    window = network.lookback("signals", buckets.columns, "time_bucket", dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 9, 12)).replace("TIMESTAMP(", "(")
+    found = spark.read.schema(buckets.schema).format("database").options(module="sqlite3", connect=json.dumps(connect), table=window).load()
+    return found.withColumn("time_bucket", F.to_timestamp("time_bucket"))
+
+
 def _messages(spark, sf):
     e = V.events(spark, sf)
     body = F.to_json(F.struct(F.col("event_id").cast("int").alias("msm_id"), F.col("user_id").cast("int").alias("prb_id"), F.unix_timestamp("ts_utc").alias("timestamp"), F.col("value").alias("avg")))

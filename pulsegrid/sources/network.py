@@ -1,19 +1,24 @@
-"""Sources that need a network: Kafka, sockets, JDBC, paginated REST, chunked history, bulk WHOIS. Kafka's library may be absent;
-nothing is loaded before use."""
+"""Sources that need a network: Kafka, sockets, JDBC, databases with a Python driver, paginated REST, chunked history, bulk WHOIS.
+Kafka's library may be absent; nothing is loaded before use."""
 
 from __future__ import annotations
 
 import datetime as dt
+import importlib
 import json
 import socket
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, most: int = 50_000) -> DataFrame:
@@ -161,6 +166,93 @@ class _PagedReader(DataSourceReader):
             page += 1
 
 
+def _connect(options: dict[str, str]):
+    return importlib.import_module(options["module"]).connect(**json.loads(options.get("connect", "{}")))
+
+
+def statements(module: str, connect: dict, *sql: str) -> None:
+    """Runs statements in a database with a Python driver, each committed by itself."""
+    with_ = _connect({"module": module, "connect": json.dumps(connect)})
+    try:
+        for s in sql:
+            with_.cursor().execute(s)
+            with_.commit()
+    finally:
+        with_.close()
+
+
+class Database(DataSource):
+    """spark.read.schema(...).format("database") and df.write.format("database"): a database with a driver of Python's DB-API, which
+    the tasks, not the driver, connect to.
+
+    Options: module, the driver's; connect, its arguments as JSON. Reading: table, or a subquery `(SELECT ...) AS t` that the database
+    filters, with columns of the schema's names; column, low, high and parts for as many ranges of a number, each a task's (first and last
+    are open, nulls are in the first); batch (10,000 rows at a time). Writing: statement, with a mark for each column, run for batches of
+    rows, one transaction a task. A task may run twice, so the statement should replace rows by key.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "database"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DatabaseReader(dict(self.options), schema)
+
+    def writer(self, schema, overwrite) -> DataSourceWriter:
+        return _DatabaseWriter(dict(self.options))
+
+
+class _DatabaseReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], schema: StructType):
+        self.o, self.schema = options, schema
+
+    def partitions(self) -> list[InputPartition]:
+        if "column" not in self.o:
+            return [_Span(None, None)]
+        low, high, parts = int(self.o["low"]), int(self.o["high"]), int(self.o.get("parts", 8))
+        edges = sorted({low + (high - low) * i // parts for i in range(1, parts)})
+        return [_Span(a, b) for a, b in zip([None, *edges], [*edges, None])]
+
+    def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        column, a, b = self.o.get("column"), partition.since, partition.until
+        parts = [*([f"{column} >= {a}"] if a is not None else []), *([f"{column} < {b}"] if b is not None else [])]
+        where = f" WHERE {' AND '.join(parts)}" if parts else ""
+        if parts and a is None:
+            where += f" OR {column} IS NULL"
+        connection, arrow = _connect(self.o), to_arrow_schema(self.schema)
+        try:
+            cursor = connection.cursor()
+            cursor.execute(f"SELECT {', '.join(self.schema.names)} FROM {self.o['table']}{where}")
+            while rows := cursor.fetchmany(int(self.o.get("batch", 10_000))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        finally:
+            connection.close()
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    rows: int
+
+
+class _DatabaseWriter(DataSourceWriter):
+    def __init__(self, options: dict[str, str]):
+        self.o = options
+
+    def write(self, iterator) -> _Written:
+        connection, n = _connect(self.o), 0
+        try:
+            cursor, rows = connection.cursor(), (tuple(r) for r in iterator)
+            while some := list(islice(rows, int(self.o.get("batch", 3000)))):
+                cursor.executemany(self.o["statement"], some)
+                n += len(some)
+            connection.commit()
+        finally:
+            connection.close()
+        return _Written(n)
+
+
 class BulkWhois(DataSource):
     """spark.read.format("bulk_whois"): the lines that a WHOIS server answers to a list of numbers, column value.
 

@@ -88,6 +88,21 @@ def test_a_database_gives_texts_and_nulls_as_they_were(spark):
         assert network.jdbc(spark, url, "nothing").count() == 0
 
 
+def test_parts_of_a_database_table_have_each_row_once(spark, tmp_path):
+    spark.dataSource.register(network.Database)
+    connect = {"database": f"{tmp_path}/db", "timeout": 60}
+    network.statements("sqlite3", connect, "CREATE TABLE t (id INTEGER, name TEXT, x REAL)", "INSERT INTO t VALUES (-5, 'a', 0.5), (NULL, 'none', NULL), (0, NULL, 1), (7, 'é', 2), (99, 'z', 3)")
+    options = {"module": "sqlite3", "connect": json.dumps(connect)}
+    want = sorted([(-5, "a", 0.5), (None, "none", None), (0, None, 1.0), (7, "é", 2.0), (99, "z", 3.0)], key=repr)
+    for more in ({}, {"column": "id", "low": 0, "high": 10, "parts": 4, "batch": 1}, {"column": "id", "low": 3, "high": 3, "parts": 4}):
+        got = spark.read.schema("id long, name string, x double").format("database").options(**options, table="t", **more).load()
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    some = spark.read.schema("name string").format("database").options(**options, table="(SELECT name FROM t WHERE x > 1) AS u").load()
+    assert sorted(r.name for r in some.collect()) == ["z", "é"]
+    with pytest.raises(Exception, match="no such table"):
+        spark.read.schema("id long").format("database").options(**options, table="absent").load().collect()
+
+
 def test_jdbc_queries_where_executors_are_processes_of_their_own(tmp_path):
     """All addresses are this machine's loopback, whatever its name resolves to; a machine on which no such cluster comes up can't
     tell anything of the queries."""
@@ -99,7 +114,7 @@ spark = SparkSession.builder.master("local-cluster[2,1,700]").config(map=conf).g
 pids = spark.range(0, 64, 1, 8).mapInPandas(lambda it: (d.assign(id=__import__("os").getppid()) for d in it), "id long").distinct().count()
 print("STARTED", pids)
 from pulsegrid.plans import catalogue
-print("ROWS", *(catalogue.QUERIES[q](spark, "/root/testdata/sf0.001").count() for q in ("q_jdbc_scan", "q_jdbc_lookback")))
+print("ROWS", *(catalogue.QUERIES[q](spark, "/root/testdata/sf0.001").count() for q in ("q_jdbc_scan", "q_jdbc_lookback", "q_database_scan", "q_database_lookback")))
 spark.stop()
 """
     root = str(Path(__file__).resolve().parents[1])
@@ -109,5 +124,5 @@ spark.stop()
         pytest.skip(f"no cluster of processes comes up on this machine:\n{ran.stderr}")
     assert int(ran.stdout.split("STARTED")[1].split()[0]) >= 2, ran.stdout  # workers of more than one process
     assert "ROWS" in ran.stdout, ran.stderr
-    scan, window = map(int, ran.stdout.split("ROWS")[1].split()[:2])
-    assert scan == 1500 and window > 0
+    scan, window, *same = map(int, ran.stdout.split("ROWS")[1].split()[:4])
+    assert scan == 1500 and window > 0 and same == [scan, window]
