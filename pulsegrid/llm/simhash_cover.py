@@ -340,7 +340,8 @@ def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFra
     hub, the text that they are copies of. So each text is first compared with one hub, of those texts that meet most others in its
     bands' keys the one that meets most; then, where they aren't one component yet, with the hubs of its other keys. Where that leaves
     a key more than one component, all texts outside its largest are compared with all of other components, within a task. So
-    any two texts that share a key and are alike end in one component.
+    any two texts that share a key and are alike end in one component. Keys that have the same texts, as the several bands that two
+    texts share mostly do, are taken as one.
 
     Null and empty texts are one text without shingles, which is like itself alone; repeated rows and rows of one doc_id, with or without
     a number, are each given the root of their text; ties between hubs go to the greater id; an empty table gives an empty one;
@@ -357,7 +358,8 @@ def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFra
     ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_")) for x in ("a", "b")]
     close = links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
     each = ids.select("id", F.explode("keys").alias("key"))
-    twice, twice_path = park(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    met = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
+    twice, twice_path = park(met.groupBy("n", "low", "who").agg(F.min("key").alias("key")).select("key", "n"), "twice")  # of keys with the same texts one
     shared, shared_path = park(_hashed(each, "key", twice.select("key")).join(twice, "key"), "shared")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     hub = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub"))
