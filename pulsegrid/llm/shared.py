@@ -44,14 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def park(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def park(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing.
 
-    Unlike checkpoint(), which runs the plan twice, this runs it once. Gives the table and its path, for `drop`.
+    Unlike checkpoint(), which runs the plan twice, this runs it once. rows: bytes that a task gathers before it writes them, for
+    tables of large rows. Gives the table and its path, for `drop`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if rows is None else df.write.option("parquet.block.size", rows)).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

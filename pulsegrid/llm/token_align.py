@@ -34,6 +34,8 @@ from pulsegrid.llm.shared import large_caches, park, small
 
 #: Code points of text in a block; a longer text is one by itself.
 BLOCK = 2_000_000
+#: Bytes of blocks that a task holds before it writes them.
+ROWS = 16 << 20
 #: Code points that are given to the tokenizers at once; a longer word is by itself.
 AT_ONCE = 200_000
 #: Transitions, and words of up to WORD characters, that a worker keeps; beyond that it starts anew.
@@ -42,6 +44,7 @@ TRANSITIONS, WORDS, WORD = 300_000, 500_000, 40
 _BITS = 24
 #: Here both tokenizers cut: the space begins a token of either. Printable ASCII and Latin letters, of which none is white space.
 _GAP = re.compile("(?<=[!-~\u00a1-\u024f]) (?=[!-~\u00a1-\u024f])")
+_VISIBLE = frozenset(map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x250))))
 
 
 def byte_level() -> dict[str, int]:
@@ -63,13 +66,27 @@ class Vocabularies:
         if kind["normalizer"] or kind["pre_tokenizer"].get("type") != "ByteLevel" or kind["pre_tokenizer"].get("add_prefix_space") or not set(known) <= set(kind["model"]["vocab"]):
             raise ValueError("A isn't a byte-level tokenizer that gives every text back as it is")
         self.bytes_a = {i: bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """For each text, a space before it, the ids of both."""
-        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [(x.ids, y) for x, y in zip(first, self.b.encode(texts, num_threads=1))]
+        """For each text, a space before it, the ids of both. For A texts that begin and end with a visible character are put into one,
+        which it takes apart again where the spaces are, and that is cut by the tokens' bytes: each text by itself costs more."""
+        whole = [t[:1] in _VISIBLE and t[-1:] in _VISIBLE for t in texts]
+        together = " " + " ".join(t for t, w in zip(texts, whole) if w)
+        one, *alone = self.a.encode_batch_fast([together, *(" " + t for t, w in zip(texts, whole) if not w)], add_special_tokens=False)
+        ids, at, rest, first = one.ids, 0, iter(alone), []
+        for t, w in zip(texts, whole):
+            if not w:
+                first.append(next(rest).ids)
+                continue
+            since, left = at, len(t.encode()) + 1
+            while left > 0:
+                left -= self.size_a[ids[at]]
+                at += 1
+            first.append(ids[since:at])
+        return list(zip(first, self.b.encode(texts, num_threads=1)))
 
 
 class Dangling(dict):
@@ -244,7 +261,7 @@ def _counts(blocks: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFrame:
     """a, b, count, best: how often the ids of the two vocabularies are linked over all rows of docs."""
-    found = _counts(park(_blocks(docs, a, b, False, block), "aligned")[0])
+    found = _counts(park(_blocks(docs, a, b, False, block), "aligned", ROWS)[0])
     return found.select(F.shiftright("pair", _BITS).alias("a"), F.col("pair").bitwiseAND(2**_BITS - 1).alias("b"), "count", "best")
 
 
@@ -259,7 +276,7 @@ def align(docs: DataFrame, a: str, b: str, groups: bool = False, block: int = BL
     Texts are read and aligned once and kept in blocks of BLOCK characters; only lists of different links are joined with counts.
     Memory is bounded by the block, the longest text and the words that a worker keeps.
     """
-    blocks, _ = park(_blocks(docs, a, b, groups, block), "aligned")
+    blocks, _ = park(_blocks(docs, a, b, groups, block), "aligned", ROWS)
     each = blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
     rated = each.join(_counts(blocks), "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("rated"))
     rated = rated.select("block", F.col("rated.count").alias("counts"), F.col("rated.best").alias("bests"))
