@@ -40,10 +40,12 @@ class Buffer(StatefulProcessor):
         kept = n
         for part in rows:
             fresh += part["body"].tolist()
-            while kept + len(fresh) >= self.most:
-                take = self.most - kept
-                yield self._out(key, flushes, "full", [*self._stored(kept), *fresh[:take]])
-                fresh, kept, flushes = fresh[take:], 0, flushes + 1
+            at = 0
+            while kept + len(fresh) - at >= self.most:
+                since, at = at, at + self.most - kept
+                yield self._out(key, flushes, "full", [*self._stored(kept), *fresh[since:at]])
+                kept, flushes = 0, flushes + 1
+            fresh = fresh[at:]
         if kept == 0 and n:
             self.rows.clear()
         if kept == 0:  # what waits now began to wait now
