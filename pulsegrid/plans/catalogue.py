@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
 from pulsegrid.operators import gold, serving, silver, tables, versions
-from pulsegrid.operators.frames import ensure, first_of_each, naive, rounded, running
+from pulsegrid.operators.frames import ensure, naive, rounded, running
 from pulsegrid.operators.workspace import folder
 from pulsegrid.plans import loopback
 from pulsegrid.plans import views as V
