@@ -1,5 +1,4 @@
 import hashlib
-import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
