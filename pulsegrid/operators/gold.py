@@ -11,8 +11,9 @@ from pulsegrid.operators.frames import matched, running
 HOUR = 3600
 #: Window of the signal baseline: the 24 hours before, the hour itself left out.
 TRAILING = 24 * HOUR
-#: Size of the sketches of percentiles: exact up to so many values of an hour, beyond that off by a rank in some 8,000.
-SKETCH = 32_768
+#: Size of the sketches of percentiles: exact up to so many values of an hour, beyond that off by a rank in some 1,000. A group's
+#: buffer has that many values from the start, which many small groups pay for.
+SKETCH = 4096
 
 
 def _known(pings: DataFrame, include_total_loss: bool) -> tuple[DataFrame, Column]:
