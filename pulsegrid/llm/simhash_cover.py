@@ -232,25 +232,27 @@ def bands(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest().alias("digest")).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
 
 
-def _hashed(df: DataFrame, column: str, used: DataFrame) -> DataFrame:
+def _hashed(df: DataFrame, column: str, used: DataFrame, inside: bool = True) -> DataFrame:
     """The rows of df whose hash of `column` is one of those in `used` (a column of that name, no nulls), and some others: a table of
-    bits, of bounded size, tells on each machine which rows needn't be shuffled. If there are too many for it, all rows."""
+    bits, of bounded size, tells on each machine which rows needn't be shuffled. With inside=False all the rest. If there are too
+    many hashes for a table, all rows, and no rest."""
     n = used.count()
     if n > MOST_BITS // 16:
-        return df
+        return df if inside else df.where("false")
     size = 1 << max(16, (16 * n).bit_length())
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(size - 1))
     bits = np.zeros(size, bool)
     bits[used.select(place(column).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    held, at, names = broadcast(df.sparkSession, np.packbits(bits)), len(df.columns), df.columns
+    held, at, names = broadcast(df.sparkSession, np.packbits(bits if inside else ~bits)), len(df.columns), df.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = received(held)
         for b in it:
             bit = b.column(at).to_numpy()
-            yield b.filter(pa.array((table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool))).select(names)
+            kept = b.filter(pa.array((table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:at], names)
 
-    return df.withColumn("__bit", place(column)).mapInArrow(run, df.schema)
+    return df.withColumn(free("__bit", names), place(column)).mapInArrow(run, df.schema)
 
 
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
@@ -372,8 +374,7 @@ def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFra
     apart = stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).join(to, "b").join(root.withColumnRenamed("id", "a"), "a").where("root != to").select("a", "b")
     apart, apart_path = park(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
-        edges = edges.union(_alike(apart, docs, of, shingle, similarity))
-        root = _rooted(of, edges)
+        root = _linked(root, _alike(apart, docs, of, shingle, similarity))
     named, named_path = park(shared.join(root, "id").select("key", "id", "root"), "named")
     count = named.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("top")).where("roots > 1")
     open_, open_path = park(named.join(count, "key").select("key", "id", "root", (F.col("root") != F.col("top")).alias("outside")), "open")
@@ -382,7 +383,7 @@ def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFra
     late = _within(open_, docs, of, shingle, similarity)
     drop(spark, open_path)
     if not late.isEmpty():
-        root = _rooted(of, edges.union(late))
+        root = _linked(root, late)
     return rows.select("doc_id", "digest").join(of.join(root, "id"), "digest").select("doc_id", "digest", "root")
 
 
@@ -392,6 +393,15 @@ def _rooted(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.select("id").join(root.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _linked(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, root once more edges between ids are there: only the roots that they join are gone through again."""
+    end = lambda x: root.select(F.col("id").alias(x), F.col("root").alias(f"{x}_"))
+    between = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")).where("a != b")
+    over = components(between).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    found, _ = park(root.join(over, "root", "left").select("id", F.coalesce("over", "root").alias("root")), "roots")
+    return found
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns, one of each component: the smallest doc_id's (null last), of its texts the one with the
     least digest, of equal rows (null counts as empty) one. Components are those of near_duplicates, or with a similarity of like_duplicates."""
@@ -406,10 +416,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     gone, _ = park(gone, "gone")
     drop(docs.sparkSession, path)
     same = lambda d, other: d["doc_id"].cast("long").eqNullSafe(other["__doc_id"]) & (F.unhex(F.md5(F.coalesce(d["text"], F.lit("")).cast("binary"))) == other["__digest"])
-    left = docs.join(gone, same(docs, gone), "left_anti")
+    key = free("key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), digest()))
+    named = gone.union(twice).select(F.xxhash64("__doc_id", "__digest").alias(key))
+    some, rest = (_hashed(keyed, key, named, inside).drop(key) for inside in (True, False))  # most rows aren't shuffled
+    left = some.join(gone, same(some, gone), "left_anti")
     once = left.join(twice, same(left, twice), "left_anti")
     mark = free("digest", docs.columns)
-    return once.union(left.join(twice, same(left, twice), "left_semi").withColumn(mark, digest()).dropDuplicates(["doc_id", mark]).drop(mark))
+    first = left.join(twice, same(left, twice), "left_semi").withColumn(mark, digest()).dropDuplicates(["doc_id", mark]).drop(mark)
+    return rest.union(once).union(first)
 
 
 def hex16(fp) -> F.Column:
