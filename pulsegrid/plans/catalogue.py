@@ -632,12 +632,13 @@ def q_whois_parse(spark, sf):
     return files.whois(nation.select(line.alias("value")).unionByName(nation.limit(1).select(bad.alias("value"))))
 
 
-@query("SELECT CAST(64512 + range AS INT) AS asn, CASE WHEN range % 7 = 0 THEN 'AS' || (64512 + range) ELSE 'Net ' || (64512 + range) END AS name, 'C1' AS country FROM range(0, 250)")
+@query("SELECT CAST(64512 + n_nationkey AS INT) AS asn, CASE WHEN n_nationkey % 7 = 0 THEN 'AS' || (64512 + n_nationkey) ELSE 'Net ' || (64512 + n_nationkey) END AS name, 'C1' AS country FROM nation")
 def q_whois_fetch(spark, sf):
-    """Numbers sent to a server, a hundred a connection."""
+    """Numbers that a table lacks the names of, sent to a server, ten a connection."""
     spark.dataSource.register(network.BulkWhois)
+    asns = [r.asn for r in V.asn_names(spark, sf).select("asn").collect()]  # a row for each nation
     with loopback.whois(lambda n: "" if (n - 64512) % 7 == 0 else f"Net {n}") as port:
-        lines = spark.read.format("bulk_whois").options(host="127.0.0.1", port=port, batch=100, asns=",".join(str(64512 + i) for i in range(250))).load()
+        lines = spark.read.format("bulk_whois").options(host="127.0.0.1", port=port, batch=10, asns=",".join(map(str, asns))).load()
         return _stored(files.whois(lines), "names")
 
 
@@ -646,27 +647,51 @@ def _rest(spark, url, **options) -> DataFrame:
     return spark.read.format("paged_rest").options(url=url, **options).load()
 
 
-_N, _ODD = "n long, odd boolean", "SELECT range AS n, range % 2 = 1 AS odd FROM range(0, 250)"
+def _file_database(spark, name: str) -> dict:
+    """A database in a file that all machines have mounted; writers take turns."""
+    place = folder(spark, name)
+    if not place.removeprefix("file:").startswith("/"):
+        raise ValueError("the database needs a spark.checkpoint.dir that all machines have mounted")
+    path = "/" + place.removeprefix("file:").lstrip("/")
+    os.makedirs(path)
+    spark.dataSource.register(network.Database)
+    return {"database": f"{path}/db", "timeout": 600}
+
+
+_N, _ODD = "n long, odd boolean", "SELECT CAST(c_custkey AS BIGINT) AS n, c_custkey % 2 = 1 AS odd FROM customer"
+
+
+def _served(spark, sf) -> tuple[dict, DataFrame]:
+    """The customers' keys in a database that the API is over, written by the tasks that read them; and the table."""
+    connect = _file_database(spark, "api")
+    network.statements("sqlite3", connect, "CREATE TABLE keys (n INTEGER PRIMARY KEY, odd INTEGER)")
+    keys = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("n"), (F.col("c_custkey") % 2).cast("int").alias("odd"))
+    keys.write.format("database").options(module="sqlite3", connect=json.dumps(connect), statement="INSERT OR REPLACE INTO keys VALUES (?, ?)").mode("append").save()
+    return connect, keys
 
 
 @query(_ODD)
 def q_rest_pages(spark, sf):
-    with loopback.rest(250) as url:
+    connect, _ = _served(spark, sf)
+    with loopback.rest(connect, "keys") as url:
         return _stored(_rest(spark, f"{url}/pages", page_size=100, params="maxPoints=1440").select(F.from_json("value", _N).alias("r")).select("r.*"), "pages")
 
 
 @query(_ODD)
 def q_rest_next(spark, sf):
     """Pages that name the next one."""
-    with loopback.rest(250) as url:
+    connect, _ = _served(spark, sf)
+    with loopback.rest(connect, "keys") as url:
         return _stored(_rest(spark, f"{url}/next", page_size=40, rows_name="results", next_name="next").select(F.from_json("value", _N).alias("r")).select("r.*"), "pages")
 
 
-@query("SELECT CASE WHEN range NOT BETWEEN 100 AND 199 THEN range END AS n, CASE WHEN range = 100 THEN '100-200: the server answered: this range is broken' END AS error FROM range(0, 250) WHERE range NOT BETWEEN 101 AND 199")
+@query("SELECT CASE WHEN n NOT BETWEEN 100 AND 199 THEN n END AS n, CASE WHEN n = 100 THEN '100-200: the server answered: this range is broken' END AS error FROM (SELECT CAST(c_custkey AS BIGINT) AS n FROM customer) WHERE n NOT BETWEEN 101 AND 199")
 def q_rest_chunks(spark, sf):
-    """History in chunks, of which one fails and is reported."""
-    with loopback.rest(250, broken_from=100) as url:
-        rows = _rest(spark, f"{url}/pages", page_size=30, since=0, until=250, chunk=100, on_error="report")
+    """A table by ranges of its key, a task each, of which one fails and is reported."""
+    connect, keys = _served(spark, sf)
+    last = keys.agg(F.max("n")).first()[0]
+    with loopback.rest(connect, "keys", broken_from=100) as url:
+        rows = _rest(spark, f"{url}/pages", page_size=30, since=0, until=(last // 100 + 1) * 100, chunk=100, on_error="report")
         return _stored(rows.select(F.from_json("value", _N)["n"].alias("n"), "error"), "chunks")
 
 
@@ -691,17 +716,6 @@ def q_jdbc_lookback(spark, sf):
         return _stored(found.select(*(F.col(c).alias(c.lower()) for c in found.columns)), "window")
 
 
-def _file_database(spark, name: str) -> dict:
-    """A database in a file that all machines have mounted; writers take turns."""
-    place = folder(spark, name)
-    if not place.removeprefix("file:").startswith("/"):
-        raise ValueError("the database needs a spark.checkpoint.dir that all machines have mounted")
-    path = "/" + place.removeprefix("file:").lstrip("/")
-    os.makedirs(path)
-    spark.dataSource.register(network.Database)
-    return {"database": f"{path}/db", "timeout": 600}
-
-
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders")
 def q_database_scan(spark, sf):
     """Written by the tasks that have the rows, twice, and read in five parts by key."""

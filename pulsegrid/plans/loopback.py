@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import shutil
 import socketserver
+import sqlite3
 import tempfile
 import threading
 import urllib.parse
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import closing, contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
@@ -32,24 +33,24 @@ def _serving(server) -> Iterator[str]:
 
 
 @contextmanager
-def rest(records: int, broken_from: int | None = None) -> Iterator[str]:
-    """The URL of an API: /pages gives {"data": records n = 0, 1, ... of a page}, of n from `from` to before `until` where these
-    are sent; /next the same as {"results": ..., "next": URL}. A range that starts at broken_from is answered by an error."""
+def rest(database: dict, table: str, broken_from: int | None = None) -> Iterator[str]:
+    """The URL of an API over a table (n, odd) of an SQLite database: /pages gives {"data": a page's records in order of n}, of n from
+    `from` to before `until` where these are sent; /next the same as {"results": ..., "next": URL}. A range that starts at broken_from
+    is answered by an error. A request holds a page."""
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             at = urllib.parse.urlparse(self.path)
             q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(at.query).items()}
-            low, high = q.get("from", 0), min(q.get("until", records), records)
-            first = low + q.get("page", 0) * q["limit"]
-            rows = [{"n": n, "odd": bool(n % 2)} for n in range(first, min(first + q["limit"], high))]
-            if broken_from is not None and low == broken_from:
+            if broken_from is not None and q.get("from") == broken_from:
                 body = {"error": "this range is broken"}
-            elif at.path == "/next":
-                more = f"http://127.0.0.1:{self.server.server_port}/next?limit={q['limit']}&page={q.get('page', 0) + 1}"
-                body = {"results": rows, "next": more if first + q["limit"] < high else None}
             else:
-                body = {"data": rows}
+                with closing(sqlite3.connect(**database)) as found:
+                    sql = f"SELECT n, odd FROM {table} WHERE n >= ? AND n < ? ORDER BY n LIMIT ? OFFSET ?"
+                    page = found.execute(sql, (q.get("from", 0), q.get("until", 2**62), q["limit"] + 1, q.get("page", 0) * q["limit"])).fetchall()
+                rows = [{"n": n, "odd": bool(odd)} for n, odd in page[: q["limit"]]]
+                more = f"http://127.0.0.1:{self.server.server_port}/next?limit={q['limit']}&page={q.get('page', 0) + 1}"
+                body = {"results": rows, "next": more if len(page) > len(rows) else None} if at.path == "/next" else {"data": rows}
             self.send_response(200)
             self.end_headers()
             self.wfile.write(json.dumps(body).encode())
