@@ -753,16 +753,18 @@ def q_ws_message(spark, sf):
     return files.socket_messages(_messages(spark, sf), PING, "atlas_result").select("msm_id", "prb_id", "timestamp", "avg")
 
 
-@query("SELECT range AS n FROM range(0, 20) WHERE range % 4 <> 0 AND range <> 5")
+@query("SELECT CAST(c_custkey AS BIGINT) AS n FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey <> 5")
 def q_socket_stream(spark, sf):
     """Messages that a server sends, as a stream; others than results and broken ones are left out."""
-    lines = ["broken" if i == 5 else f'["{"other" if i % 4 == 0 else "atlas_result"}",{{"msm_id":{i}}}]' for i in range(20)]
-    with loopback.feed(lines) as port:
+    connect, keys = _served(spark, sf)
+    total = keys.count()
+    line = lambda n: "broken" if n == 5 else f'["{"other" if n % 4 == 0 else "atlas_result"}",{{"msm_id":{n}}}]'
+    with loopback.feed(connect, "keys", line) as port:
         rows = files.socket_messages(network.lines(spark, "127.0.0.1", port), PING, "atlas_result").select(F.col("msm_id").cast("long").alias("n"))
         path = folder(spark, "feed")
         q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "checkpoint")).trigger(processingTime="200 milliseconds").start()
         seen, until = 0, time.monotonic() + 60
-        while seen < len(lines) and time.monotonic() < until:
+        while seen < total and time.monotonic() < until:
             time.sleep(0.1)
             seen = sum(p["numInputRows"] for p in q.recentProgress)
         jobs.stop_all({"feed": q})

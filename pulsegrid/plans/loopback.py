@@ -80,13 +80,15 @@ def whois(name) -> Iterator[int]:
 
 
 @contextmanager
-def feed(lines: list[str]) -> Iterator[int]:
-    """The port of a TCP server that sends the lines to whoever connects, and then waits."""
+def feed(database: dict, table: str, line) -> Iterator[int]:
+    """The port of a TCP server that sends line(n) of each n in a table of an SQLite database to whoever connects, and then waits."""
     done = threading.Event()
 
     class Handler(socketserver.StreamRequestHandler):
         def handle(self):
-            self.wfile.write("".join(f"{x}\n" for x in lines).encode())
+            with closing(sqlite3.connect(**database)) as found:
+                for (n,) in found.execute(f"SELECT n FROM {table} ORDER BY n"):
+                    self.wfile.write(f"{line(n)}\n".encode())
             done.wait(600)
 
     server = socketserver.ThreadingTCPServer(("127.0.0.1", 0), Handler)
