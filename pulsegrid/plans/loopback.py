@@ -22,6 +22,10 @@ from pulsegrid.operators.workspace import folder
 from pulsegrid.sources import network
 
 
+class _Lines(socketserver.ThreadingTCPServer):
+    request_queue_size = 128  # tasks connect at once
+
+
 @contextmanager
 def _serving(server) -> Iterator[str]:
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -67,6 +71,8 @@ def whois(name) -> Iterator[int]:
     """The port of a bulk WHOIS server; name gives an ASN's name."""
 
     class Handler(socketserver.StreamRequestHandler):
+        wbufsize = 1 << 16
+
         def handle(self):
             self.wfile.write(b"Bulk mode; answers follow\r\n")
             for line in map(bytes.decode, self.rfile):
@@ -75,7 +81,7 @@ def whois(name) -> Iterator[int]:
                 if line.startswith("AS"):
                     self.wfile.write(f"{line[2:].strip()} | C1 | registry | 2001-01-01 | {name(int(line[2:]))}\n".encode())
 
-    with _serving(socketserver.ThreadingTCPServer(("127.0.0.1", 0), Handler)) as s:
+    with _serving(_Lines(("127.0.0.1", 0), Handler)) as s:
         yield s.server_address[1]
 
 

@@ -284,10 +284,28 @@ class _WhoisReader(DataSourceReader):
         return [_Numbers(asns[i : i + width]) for i in range(0, len(asns), width)] or [_Numbers([])]
 
     def read(self, partition: _Numbers) -> Iterator[tuple[str]]:
-        if not partition.asns:
-            return
-        with socket.create_connection((self.o["host"], int(self.o.get("port", 43))), timeout=float(self.o.get("timeout", 60))) as s:
-            s.sendall(("begin\nverbose\n" + "".join(f"AS{a}\n" for a in partition.asns) + "end\n").encode())
-            with s.makefile(encoding="utf-8", errors="replace") as answer:
-                for line in answer:
-                    yield (line.rstrip("\r\n"),)
+        for line in _asked(self.o["host"], int(self.o.get("port", 43)), partition.asns, float(self.o.get("timeout", 60))):
+            yield (line,)
+
+
+def _asked(host: str, port: int, asns: list[int], timeout: float) -> Iterator[str]:
+    """The lines of the answer to so many numbers, over one connection."""
+    if not asns:
+        return
+    with socket.create_connection((host, port), timeout=timeout) as s:
+        s.sendall(("begin\nverbose\n" + "".join(f"AS{a}\n" for a in asns) + "end\n").encode())
+        with s.makefile(encoding="utf-8", errors="replace") as answer:
+            for line in answer:
+                yield line.rstrip("\r\n")
+
+
+def whois(numbers: DataFrame, host: str, port: int = 43, batch: int = 1000, timeout: float = 60) -> DataFrame:
+    """The lines that a WHOIS server answers to the numbers of a table's first column, asked by the tasks that have them, so many a
+    connection: column value. Nulls aren't asked for; a number that is there twice is asked for twice."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asns = (a for b in it for a in b.column(0).to_pylist() if a is not None)
+        while some := list(islice(asns, batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(_asked(host, port, some, timeout), pa.string())], ["value"])
+
+    return numbers.select(numbers.columns[0]).mapInArrow(run, "value string")

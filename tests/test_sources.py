@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 
 from pulsegrid.operators.workspace import folder
-from pulsegrid.plans import loopback
+from pulsegrid.plans import catalogue, loopback
 from pulsegrid.sources import files, network
 from pulsegrid.streaming import jobs
 
@@ -126,3 +126,16 @@ spark.stop()
     assert "ROWS" in ran.stdout, ran.stderr
     scan, window, *same = map(int, ran.stdout.split("ROWS")[1].split()[:4])
     assert scan == 1500 and window > 0 and same == [scan, window]
+
+
+def test_whois_asks_for_every_number_of_a_table(spark):
+    """q_whois_fetch once sent the numbers of the 25 nations instead of 250."""
+    got = catalogue.QUERIES["q_whois_fetch"](spark, "/root/testdata/sf0.01").collect()
+    keys = {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/customer.parquet").select("c_custkey").collect()} | set(range(250))
+    assert sorted(r.asn for r in got) == sorted(64512 + k for k in keys)
+    assert all(r.name == (f"AS{r.asn}" if (r.asn - 64512) % 7 == 0 else f"Net {r.asn}") for r in got)
+    connections = []
+    with loopback.whois(lambda n: connections.append(n) or str(n)) as port:
+        numbers = spark.createDataFrame([(n,) for n in [5, None, 7, 7, *range(100, 125)]], "n long").coalesce(1)
+        lines = network.whois(numbers, "127.0.0.1", port, batch=10).collect()
+    assert sum("|" in r.value for r in lines) == 28 and sum(r.value.startswith("Bulk mode") for r in lines) == 3
