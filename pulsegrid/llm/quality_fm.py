@@ -7,6 +7,7 @@ sum_i v_if^2 x_i^2).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Words, batches, free, small
+from pulsegrid.llm.shared import Words, batches, drop, free, hashed, park, shared_dir, small
 
 BUCKETS = 1 << 16
 RANK = 8
-#: The classifier is fitted on so many labelled rows at most, the ones whose doc_id has the least hash.
-MAX_TRAIN = 6000
+#: Full-batch rounds of the fit, each a pass over all labelled rows.
+ROUNDS = 60
+#: Up to so many labelled rows each round takes all of them. More are dealt into shares of about as many, MOST_SHARES at most, that the
+#: rounds take in turn: every row counts in equally many rounds.
+SHARE_ROWS, MOST_SHARES = 6000, 12
+#: Labelled rows of a task of a round, and how many such tasks a round has at most: the driver gets a gradient of each.
+TASK_ROWS, MOST_TASKS = 3000, 16
 THRESHOLD = 0.3
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _PUNCTUATION, _SYMBOL, _HIGH = range(7)
@@ -101,46 +107,105 @@ def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(first: np.ndarray, bucket: np.ndarray, value: np.ndarray, dense: np.ndarray, y: np.ndarray, rounds: int = 60) -> Machine:
-    """Logistic loss, full-batch Adam with a little weight decay; the same rows give the same machine."""
-    rng = np.random.default_rng(7)
-    mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-    share = np.clip(y.mean(), 0.01, 0.99) if len(y) else 0.5
-    m = Machine(float(np.log(share / (1 - share))), np.zeros(BUCKETS + N_DENSE), rng.normal(0, 0.05, (BUCKETS + N_DENSE, RANK)), mean, scale)
-    if len(y) == 0:
-        return m
-    x = m.standard(dense)
+def gradient(m: Machine, first: np.ndarray, bucket: np.ndarray, value: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over rows of the logistic loss's gradient: the buckets that occur; for these and then the standardised dense features a row
+    each of the weight's and the factors'; the bias's."""
+    used, small = np.unique(bucket, return_inverse=True)
     of = np.repeat(np.arange(len(y)), np.diff(first))
-    used = np.unique(bucket)
-    small = np.searchsorted(used, bucket)
-    theta = [m.w, m.v]
-    first_moment, second_moment = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    bias_moment = [0.0, 0.0]
-    blocks = [(i, min(i + 500, len(y))) for i in range(0, len(y), 500)]  # a block's arrays are what memory holds at once
-    for t in range(1, rounds + 1):
-        gw, gv, total_g = 1e-5 * m.w, 1e-5 * m.v, 0.0
-        gw_used, weight, gv_used = np.zeros(len(used)), np.zeros(len(used)), np.zeros((len(used), RANK))
-        for i, j in blocks:
-            part = slice(first[i], first[j])
-            z, total = m.margin(first[i : j + 1] - first[i], bucket[part], value[part], x[i:j])
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
-            total_g += g.sum()
-            row = g[of[part] - i] * value[part]
-            gw_used += np.bincount(small[part], row, len(used))
-            gw[BUCKETS:] += g @ x[i:j]
-            weight += np.bincount(small[part], row * value[part], len(used))
-            for f in range(RANK):
-                gv_used[:, f] += np.bincount(small[part], row * total[of[part] - i, f], len(used))
-            gv[BUCKETS:] += (x[i:j] * g[:, None]).T @ total - ((x[i:j] * x[i:j] * g[:, None]).sum(axis=0))[:, None] * m.v[BUCKETS:]
-        gw[used] += gw_used
-        gv[used] += gv_used - weight[:, None] * m.v[used]
-        for theta_i, grad, a, b in zip(theta, (gw, gv), first_moment, second_moment):
+    z, total = m.margin(first, bucket, value, x)
+    g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+    row = g[of] * value
+    weight = np.bincount(small, row * value, len(used))
+    out = np.empty((len(used) + N_DENSE, 1 + RANK))
+    out[: len(used), 0] = np.bincount(small, row, len(used))
+    for f in range(RANK):
+        out[: len(used), 1 + f] = np.bincount(small, row * total[of, f], len(used)) - weight * m.v[used, f]
+    out[len(used) :, 0] = g @ x
+    out[len(used) :, 1:] = (x * g[:, None]).T @ total - (x * x * g[:, None]).sum(axis=0)[:, None] * m.v[BUCKETS:]
+    return used, out, g.sum()
+
+
+class Adam:
+    """The machine's next state from the mean gradient, with a little weight decay; moments of fixed size."""
+
+    def __init__(self, m: Machine):
+        self.m, self.t = m, 0
+        self.moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (m.w, m.v)]
+        self.bias_moments = [0.0, 0.0]
+
+    def step(self, gw: np.ndarray, gv: np.ndarray, bias: float) -> None:
+        m, self.t = self.m, self.t + 1
+        one, two = 1 - 0.9**self.t, 1 - 0.999**self.t
+        for theta, grad, (a, b) in zip((m.w, m.v), (gw, gv), self.moments):
+            grad += 1e-5 * theta
             a += 0.1 * (grad - a)
             b += 0.001 * (grad * grad - b)
-            theta_i -= 0.05 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-        bias_moment[0] += 0.1 * (total_g - bias_moment[0])
-        bias_moment[1] += 0.001 * (total_g**2 - bias_moment[1])
-        m.bias -= 0.05 * (bias_moment[0] / (1 - 0.9**t)) / (np.sqrt(bias_moment[1] / (1 - 0.999**t)) + 1e-8)
+            theta -= 0.05 * (a / one) / (np.sqrt(b / two) + 1e-8)
+        c = self.bias_moments
+        c[0] += 0.1 * (bias - c[0])
+        c[1] += 0.001 * (bias**2 - c[1])
+        m.bias -= 0.05 * (c[0] / one) / (np.sqrt(c[1] / two) + 1e-8)
+
+
+def _stored(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """first, bucket, value, dense and y of rows of binary columns bucket, value, dense, and y."""
+    bucket, value, dense = ([np.frombuffer(x, kind) for x in b.column(k).to_pylist()] for k, kind in enumerate((np.int32, np.float32, float)))
+    first = np.concatenate(([0], np.cumsum([len(x) for x in bucket]))).astype(np.int64)
+    return first, np.concatenate(bucket), np.concatenate(value), np.array(dense).reshape(-1, N_DENSE), (b.column(3).to_numpy() > 0).astype(float)
+
+
+def _moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows: how many, how many of label 1, means and squared deviations of the dense features."""
+    n, ones, mean, square = 0, 0.0, np.zeros(N_DENSE), np.zeros(N_DENSE)
+    for b in small(it):
+        *_, dense, y = _stored(b)
+        n, mean, square = _pooled(n, mean, square, len(y), dense.mean(axis=0), dense.var(axis=0) * len(y))
+        ones += y.sum()
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([ones]), pa.array([mean.tobytes()]), pa.array([square.tobytes()])], ["n", "ones", "mean", "square"])
+
+
+def _pooled(n: int, mean: np.ndarray, square: np.ndarray, k: int, other_mean: np.ndarray, other_square: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    if k == 0:
+        return n, mean, square
+    d = other_mean - mean
+    return n + k, mean + d * (k / (n + k)), square + other_square + d * d * (n * k / (n + k))
+
+
+def fit(rows: DataFrame, shares: int, rounds: int = ROUNDS) -> Machine:
+    """Logistic loss over all rows (bucket, value, dense: binary; y; share), Adam. Each round is a job over all rows of a share, whose
+    tasks send sums of their rows' gradients, of bounded size whatever the rows; the same stored rows give the same machine."""
+    spark, columns = rows.sparkSession, ["bucket", "value", "dense", "y"]
+    n, ones, mean, square = 0, 0.0, np.zeros(N_DENSE), np.zeros(N_DENSE)
+    for r in rows.select(*columns).mapInArrow(_moments, "n long, ones double, mean binary, square binary").where("n > 0").toLocalIterator():
+        n, mean, square = _pooled(n, mean, square, r.n, np.frombuffer(r.mean), np.frombuffer(r.square))
+        ones += r.ones
+    if n == 0:
+        return Machine(0.0, np.zeros(BUCKETS + N_DENSE), np.zeros((BUCKETS + N_DENSE, RANK)), np.zeros(N_DENSE), np.ones(N_DENSE))
+    share = float(np.clip(ones / n, 0.01, 0.99))
+    m = Machine(float(np.log(share / (1 - share))), np.zeros(BUCKETS + N_DENSE), np.random.default_rng(7).normal(0, 0.05, (BUCKETS + N_DENSE, RANK)), mean, np.sqrt(square / n) + 1e-6)
+    adam = Adam(m)
+    for t in range(rounds):
+        held = spark.sparkContext.broadcast((m.bias, m.w, m.v, m.mean, m.scale))
+
+        def part(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            m, out, n, bias = Machine(*held.value), np.zeros((BUCKETS + N_DENSE, 1 + RANK)), 0, 0.0
+            for b in small(it):
+                first, bucket, value, dense, y = _stored(b)
+                used, sums, g = gradient(m, first, bucket, value, m.standard(dense), y)
+                out[used] += sums[: len(used)]
+                out[BUCKETS:] += sums[len(used) :]
+                n, bias = n + len(y), bias + g
+            some = np.flatnonzero(out.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([float(bias)]), pa.array([some.astype(np.int32).tobytes()]), pa.array([out[some].astype(np.float32).tobytes()])], ["n", "bias", "at", "sums"])
+
+        total, n, bias = np.zeros((BUCKETS + N_DENSE, 1 + RANK)), 0, 0.0
+        for r in rows.where(F.col("share") == t % shares).select(*columns).mapInArrow(part, "n long, bias double, at binary, sums binary").collect():  # a row for each of a few tasks
+            total[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.sums, np.float32).reshape(-1, 1 + RANK)
+            n, bias = n + r.n, bias + r.bias
+        held.destroy()
+        if n:
+            total /= n
+            adam.step(total[:, 0].copy(), total[:, 1:].copy(), bias / n)
     return m
 
 
@@ -157,36 +222,39 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
-    """Fits on at most max_train labelled rows that aren't held out: a bounded sample, by the hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame) -> Machine:
+    """Fits on all labelled rows that aren't held out.
 
-    Rows without a doc_id, text or quality aren't used; of several labels of a document the higher counts. No usable row at
-    all gives a machine that scores every text 0.5.
+    Rows without a doc_id, text or quality aren't used; of several labels of a document the higher counts, of several rows of a document
+    one. No usable row at all gives a machine that scores every text 0.5.
     """
-    truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    picked = truth.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = _plain(docs).where(F.col("text").isNotNull()).join(picked, "doc_id").select("text", "n_chars", "y", "doc_id")
+    truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
+    truth, truth_path = park(truth, "labels")
+    n = truth.count()
+    shares, tasks = min(MOST_SHARES, max(1, n // SHARE_ROWS)), min(MOST_TASKS, max(1, n // TASK_ROWS))
+    usable = _plain(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def sparse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(it):
-            for k, texts in batches(b.column(0).to_pylist()):
-                first, bucket, value, dense = features(texts, _meta(b, 1)[k : k + len(texts)])
+            for k, texts in batches(b.column(1).to_pylist()):
+                first, bucket, value, dense = features(texts, _meta(b, 2)[k : k + len(texts)])
                 cut = [slice(first[i], first[i + 1]) for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(3)[k : k + len(texts)], b.column(2)[k : k + len(texts)].cast(pa.float64()), pa.array([bucket[c].tobytes() for c in cut], pa.binary()), pa.array([value[c].tobytes() for c in cut], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())],
-                    ["doc_id", "y", "bucket", "value", "dense"],
+                    [b.column(0)[k : k + len(texts)], pa.array([bucket[c].tobytes() for c in cut], pa.binary()), pa.array([value[c].tobytes() for c in cut], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())],
+                    ["doc_id", "bucket", "value", "dense"],
                 )
 
-    # Of several rows of a document one, chosen before anything is sent, so that max_train bounds what the driver gets.
-    each = rows.mapInArrow(sparse, "doc_id long, y double, bucket binary, value binary, dense binary").groupBy("doc_id").agg(F.min(F.struct("dense", "bucket", "value", "y")).alias("r"))
-    got = each.select("doc_id", "r.*").toPandas().sort_values("doc_id")
-    bucket = [np.frombuffer(b, np.int32) for b in got["bucket"]]
-    first = np.concatenate(([0], np.cumsum([len(b) for b in bucket]))).astype(np.int64)
-    value = [np.frombuffer(b, np.float32) for b in got["value"]]
-    dense = np.array([np.frombuffer(b, float) for b in got["dense"]]).reshape(-1, N_DENSE)
-    if not len(got):
-        return Machine(0.0, np.zeros(BUCKETS + N_DENSE), np.zeros((BUCKETS + N_DENSE, RANK)), np.zeros(N_DENSE), np.ones(N_DENSE))
-    return fit(first, np.concatenate([np.zeros(0, np.int32), *bucket]), np.concatenate([np.zeros(0, np.float32), *value]), dense, (got["y"].to_numpy() > 0).astype(float))
+    # Of texts without a label few are looked at, and none is shuffled: only features are.
+    each = hashed(usable, "doc_id", truth.select("doc_id")).mapInArrow(sparse, "doc_id long, bucket binary, value binary, dense binary").join(truth, "doc_id")
+    one = each.groupBy("doc_id").agg(F.min(F.struct("dense", "bucket", "value", "y")).alias("r")).select("doc_id", "r.*")
+    path = f"{shared_dir(docs.sparkSession)}/fit-{uuid.uuid4().hex}"
+    dealt = one.withColumns({"share": F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int"), "task": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(tasks))})
+    dealt.repartition(tasks, "task").sortWithinPartitions("share", "doc_id").drop("task").write.partitionBy("share").parquet(path)
+    drop(docs.sparkSession, truth_path)
+    stored = docs.sparkSession.read.schema("doc_id long, dense binary, bucket binary, value binary, y double, share int").parquet(path)
+    machine = fit(stored, shares)
+    drop(docs.sparkSession, path)
+    return machine
 
 
 def scores(docs: DataFrame, machine: Machine, keep: list[str], name: str = "quality_score") -> DataFrame:
@@ -209,11 +277,11 @@ def scores(docs: DataFrame, machine: Machine, keep: list[str], name: str = "qual
     return docs.select(*(F.col(f"`{c}`") for c in keep), *own).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
     Repeated rows are scored alike; a null doc_id isn't held out; ties at the threshold count as 1; an empty table gives an
     empty one; other columns, lang and source among them, are not looked at.
     """
-    found = scores(_plain(docs), train(docs, labels, max_train), ["doc_id"])
+    found = scores(_plain(docs), train(docs, labels), ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Words, batches, broadcast, drop, free, mix, park, received, small
+from pulsegrid.llm.shared import Words, batches, drop, free, hashed, mix, park, small
 
 THRESHOLD = 2
 SHINGLE = 3
@@ -28,8 +28,6 @@ SHINGLE = 3
 TASK_ROWS = 20_000
 #: Bands of MinHashes for likeness by Jaccard: two texts of likeness 0.8 share none of 32 bands of 5 in 3 of a million cases.
 BANDS, BAND = 32, 5
-#: Bits of the table that tells texts which aren't needed, at most.
-MOST_BITS = 1 << 27
 #: Bytes of shingles' hashes of a key that a task compares.
 KEY_BYTES = 16 << 20
 
@@ -232,32 +230,9 @@ def bands(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest().alias("digest")).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
 
 
-def _hashed(df: DataFrame, column: str, used: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of df whose hash of `column` is one of those in `used` (a column of that name, no nulls), and some others: a table of
-    bits, of bounded size, tells on each machine which rows needn't be shuffled. With inside=False all the rest. If there are too
-    many hashes for a table, all rows, and no rest."""
-    n = used.count()
-    if n > MOST_BITS // 16:
-        return df if inside else df.where("false")
-    size = 1 << max(16, (16 * n).bit_length())
-    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(size - 1))
-    bits = np.zeros(size, bool)
-    bits[used.select(place(column).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    held, at, names = broadcast(df.sparkSession, np.packbits(bits if inside else ~bits)), len(df.columns), df.columns
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = received(held)
-        for b in it:
-            bit = b.column(at).to_numpy()
-            kept = b.filter(pa.array((table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays(kept.columns[:at], names)
-
-    return df.withColumn(free("__bit", names), place(column)).mapInArrow(run, df.schema)
-
-
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
     """id, text of the different texts whose ids and digests (id, digest) are used."""
-    every = _hashed(docs.select(digest().alias("digest"), "text"), "digest", used.select("digest"))
+    every = hashed(docs.select(digest().alias("digest"), "text"), "digest", used.select("digest"))
     return every.join(used, "digest").groupBy("id").agg(F.first("text").alias("text"))
 
 
@@ -362,7 +337,7 @@ def like_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFra
     each = ids.select("id", F.explode("keys").alias("key"))
     met = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
     twice, twice_path = park(met.groupBy("n", "low", "who").agg(F.min("key").alias("key")).select("key", "n"), "twice")  # of keys with the same texts one
-    shared, shared_path = park(_hashed(each, "key", twice.select("key")).join(twice, "key"), "shared")
+    shared, shared_path = park(hashed(each, "key", twice.select("key")).join(twice, "key"), "shared")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     hub = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub"))
     stars, stars_path = park(shared.join(hub, "key").where("id != hub.id").groupBy("id", "hub").agg(F.lit(1).alias("one")).select("id", "hub"), "stars")
@@ -419,7 +394,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     key = free("key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), digest()))
     named = gone.union(twice).select(F.xxhash64("__doc_id", "__digest").alias(key))
-    some, rest = (_hashed(keyed, key, named, inside).drop(key) for inside in (True, False))  # most rows aren't shuffled
+    some, rest = (hashed(keyed, key, named, inside).drop(key) for inside in (True, False))  # most rows aren't shuffled
     left = some.join(gone, same(some, gone), "left_anti")
     once = left.join(twice, same(left, twice), "left_anti")
     mark = free("digest", docs.columns)

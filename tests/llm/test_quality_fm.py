@@ -64,3 +64,23 @@ def test_many_rows_of_one_id_are_one_in_the_fit(spark):
     once = docs.groupBy("doc_id").agg(op.F.min("text").alias("text"), op.F.first("n_chars").alias("n_chars"))
     a, b = op.train(docs, labels), op.train(docs, labels)
     assert (a.w == b.w).all() and len(op.scores(once, a, ["doc_id"]).collect()) == 102
+
+
+def test_every_labelled_row_is_fitted_on(spark, monkeypatch):
+    """More labelled rows than a round takes: none is left out, and shares of them, taken in turn, tell the same."""
+    rows = [(i, f"{'good' if i % 2 else 'bad'}{i % 7 < 5} w{i % 11}", None) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9000)], "doc_id long, quality int")
+    seen = []
+    fit = op.fit
+    monkeypatch.setattr(op, "fit", lambda rows, *more: seen.append((rows.count(), rows.select("doc_id").distinct().count())) or fit(rows, *more))
+    learnt = labels.where(~op.held_out()).count()
+    machine = op.train(docs, labels)
+    assert seen == [(learnt, learnt)] and learnt > 6000
+    monkeypatch.setattr(op, "SHARE_ROWS", 2000)
+    monkeypatch.setattr(op, "TASK_ROWS", 1500)
+    in_shares = op.train(docs, labels)
+    assert seen[1] == seen[0]
+    for m in (machine, in_shares):
+        found = op.scores(docs, m, ["doc_id"]).collect()
+        assert all((r.quality_score > 0.5) == bool(r.doc_id % 2) for r in found)
