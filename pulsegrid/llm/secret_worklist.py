@@ -117,10 +117,8 @@ def _bytes(chars: str) -> bytes:
 
 
 def _magic(head: bytes) -> bool:
-    try:
-        return _decompressor(head) is not None
-    except ImportError:
-        return False
+    """Whether compressed data begins so. Without the library that its kind needs this fails, since what it holds would go unread."""
+    return _decompressor(head) is not None
 
 
 def _begins(head: bytes) -> bool:

@@ -7,6 +7,7 @@ import re
 import zlib
 from urllib.parse import quote
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -177,3 +178,16 @@ def test_without_a_limit_nothing_is_left(spark):
     assert not op.Scan(b64(deep), None).truncated and {"assign", "hex"} == {k for k, *_ in op.Scan(b64(deep), None).added}
     got = op.find_secrets(spark.createDataFrame([(1, f"x {blob}")], "doc_id long, text string")).first()
     assert not got.truncated and "assign:2:" in got.spans
+
+
+def test_data_that_a_missing_library_would_read_is_no_clean_text(monkeypatch):
+    """Without zstandard a document that holds zstd data fails, instead of passing as one without secrets; others need no such library."""
+    import base64
+    import sys
+
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    packed = base64.b64encode(b"\x28\xb5\x2f\xfd" + bytes(40)).decode()
+    for run in (op.Scan, op.redacted):
+        with pytest.raises(ImportError):
+            run(f"see {packed} here")
+    assert op.Scan("password = hunter2hunter2").base == [("assign", 0, 25)]
