@@ -26,6 +26,10 @@ class _Lines(socketserver.ThreadingTCPServer):
     request_queue_size = 128  # tasks connect at once
 
 
+class _Api(ThreadingHTTPServer):
+    request_queue_size = 128
+
+
 @contextmanager
 def _serving(server) -> Iterator[str]:
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -39,10 +43,13 @@ def _serving(server) -> Iterator[str]:
 @contextmanager
 def rest(database: dict, table: str, broken_from: int | None = None) -> Iterator[str]:
     """The URL of an API over a table (n, odd) of an SQLite database: /pages gives {"data": a page's records in order of n}, of n from
-    `from` to before `until` where these are sent; /next the same as {"results": ..., "next": URL}. A range that starts at broken_from
-    is answered by an error. A request holds a page."""
+    `from` to before `until` where these are sent; /next the same as {"results": ..., "next": URL}, whose pages begin after the last record
+    of the one before, so that none is looked for among all before it. A range that starts at broken_from is answered by an error. A
+    request holds a page."""
 
     class Handler(BaseHTTPRequestHandler):
+        wbufsize = 1 << 16  # an answer's head and body go together
+
         def do_GET(self):
             at = urllib.parse.urlparse(self.path)
             q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(at.query).items()}
@@ -53,7 +60,8 @@ def rest(database: dict, table: str, broken_from: int | None = None) -> Iterator
                     sql = f"SELECT n, odd FROM {table} WHERE n >= ? AND n < ? ORDER BY n LIMIT ? OFFSET ?"
                     page = found.execute(sql, (q.get("from", 0), q.get("until", 2**62), q["limit"] + 1, q.get("page", 0) * q["limit"])).fetchall()
                 rows = [{"n": n, "odd": bool(odd)} for n, odd in page[: q["limit"]]]
-                more = f"http://127.0.0.1:{self.server.server_port}/next?limit={q['limit']}&page={q.get('page', 0) + 1}"
+                rest = {"from": rows[-1]["n"] + 1} | {k: q[k] for k in ("until",) if k in q} if rows else {}
+                more = f"http://127.0.0.1:{self.server.server_port}/next?{urllib.parse.urlencode({'limit': q['limit']} | rest)}"
                 body = {"results": rows, "next": more if len(page) > len(rows) else None} if at.path == "/next" else {"data": rows}
             self.send_response(200)
             self.end_headers()
@@ -62,7 +70,7 @@ def rest(database: dict, table: str, broken_from: int | None = None) -> Iterator
         def log_message(self, *_):
             pass
 
-    with _serving(ThreadingHTTPServer(("127.0.0.1", 0), Handler)) as s:
+    with _serving(_Api(("127.0.0.1", 0), Handler)) as s:
         yield f"http://127.0.0.1:{s.server_port}"
 
 

@@ -106,7 +106,8 @@ class PagedRest(DataSource):
     """spark.read.format("paged_rest"): pages of a JSON API, each record a JSON text in column value; error is null.
 
     Options: url; page_size (100); size_name, page_name (limit, page); rows_name (data: the field that holds a page's records);
-    since, until, chunk (epoch seconds: a partition for each chunk, sent as from and until); params, other parameters as a query string
+    since, until, chunk (epoch seconds: a partition for each chunk, sent as from and until), or edges, comma-separated numbers: a partition
+    from each to the next, the last left out; params, other parameters as a query string
     such as maxPoints=1440; timeout. Pages are read until one is empty or short. With next_name, a page names the next one's URL
     in that field instead, and page numbers aren't sent. {"error": ...} raises, so that Spark retries the task; with
     on_error=report a chunk that fails is left out and gives one row, without a value, whose error tells its range and why.
@@ -128,6 +129,9 @@ class _PagedReader(DataSourceReader):
         self.o = options
 
     def partitions(self) -> list[InputPartition]:
+        if "edges" in self.o:
+            edges = [int(x) for x in self.o["edges"].split(",")]
+            return [_Span(a, b) for a, b in zip(edges, edges[1:])]
         if "since" not in self.o:
             return [_Span(None, None)]
         since, until, width = int(self.o["since"]), int(self.o["until"]), int(self.o.get("chunk", 7200))

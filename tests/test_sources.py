@@ -5,6 +5,7 @@ import subprocess
 import sys
 import threading
 import urllib.parse
+import urllib.request
 from pathlib import Path
 
 import pytest
@@ -139,3 +140,23 @@ def test_whois_asks_for_every_number_of_a_table(spark):
         numbers = spark.createDataFrame([(n,) for n in [5, None, 7, 7, *range(100, 125)]], "n long").coalesce(1)
         lines = network.whois(numbers, "127.0.0.1", port, batch=10).collect()
     assert sum("|" in r.value for r in lines) == 28 and sum(r.value.startswith("Bulk mode") for r in lines) == 3
+
+
+def test_pages_of_ranges_and_pages_that_begin_after_the_last_record(spark, tmp_path):
+    """Pages once were all one task's, and each was looked for among all before it."""
+    connect = {"database": f"{tmp_path}/db", "timeout": 60}
+    keys = [*range(-5, 40), 41, 1000, 10**15, 10**15 + 7]
+    network.statements("sqlite3", connect, "CREATE TABLE keys (n INTEGER PRIMARY KEY, odd INTEGER)", f"INSERT INTO keys VALUES {', '.join(f'({n}, {n % 2})' for n in keys)}")
+    edges = catalogue._edges(spark.createDataFrame([(n,) for n in keys], "n long"))
+    assert edges == f"-5,{10**15 + 8}" and catalogue._edges(spark.range(0).withColumnRenamed("id", "n")) == "0,0"
+    wide = [int(x) for x in catalogue._edges(spark.range(10**12, 10**12 + 35_000 * 10**6, 10**6).withColumnRenamed("id", "n")).split(",")]
+    assert len(wide) == 5 and all(5000 <= (b - a) / 10**6 <= 15_000 for a, b in zip(wide, wide[1:])) and (wide[0], wide[-1]) == (10**12, 10**12 + 34_999 * 10**6 + 1)
+    with loopback.rest(connect, "keys") as url:
+        for path, more in (("pages", {}), ("next", {"rows_name": "results", "next_name": "next"})):
+            for size in (1, 7, 100):
+                df = catalogue._rest(spark, f"{url}/{path}", page_size=size, edges=f"-5,0,20,41,1000,{10**15 + 8}", **more)
+                assert df.rdd.getNumPartitions() == 5
+                assert sorted(json.loads(r.value)["n"] for r in df.collect()) == keys
+        with urllib.request.urlopen(f"{url}/next?limit=3&from=2&until=9") as r:
+            body = json.load(r)
+        assert [x["n"] for x in body["results"]] == [2, 3, 4] and urllib.parse.parse_qs(urllib.parse.urlparse(body["next"]).query) == {"limit": ["3"], "from": ["5"], "until": ["9"]}
