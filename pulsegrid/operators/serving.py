@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
 from pulsegrid.operators.frames import matched, running
+from pulsegrid.operators.workspace import folder
 
 LEAST = 3
 OUTAGE_LABELS = ("hard_outage", "degraded")
@@ -91,7 +92,9 @@ def medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """
     rows = df.select(*by, F.col(value).cast("double").alias("__x"))
     near = F.percentile_approx("__x", F.lit([0.4995, 0.5005]), F.lit(10_000))
-    bounds = rows.groupBy(*by).agg(near.alias("__near"), F.count("__x").alias("__n"))
+    path = folder(df.sparkSession, "bounds")
+    rows.groupBy(*by).agg(near.alias("__near"), F.count("__x").alias("__n")).write.parquet(path)
+    bounds = df.sparkSession.read.parquet(path)  # of known size, so that rows needn't be dealt by group, which few groups would make large
     both = matched(rows.where("__x IS NOT NULL"), bounds, by) if by else rows.where("__x IS NOT NULL").join(bounds, F.lit(True))
     low, high = F.element_at("__near", 1), F.element_at("__near", 2)
     found = both.where(F.col("__x") <= high).groupBy(*by, F.when(F.col("__x") >= low, F.col("__x")).alias("__x")).agg(F.count("*").alias("__times"), F.first("__n").alias("__n"))

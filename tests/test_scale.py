@@ -161,3 +161,18 @@ def test_a_sink_that_dies_while_it_moves_files(spark, monkeypatch):
         assert sorted(r.value for r in spark.read.text(path).collect()) == sorted(f'{{"v":{i},"ts":{1704067200 + i * 40_000}}}' for i in range(20))
     sink(rows, 8)
     assert spark.read.text(path).count() == 40
+
+
+def test_medians_of_few_groups_dont_deal_rows_by_group(spark, monkeypatch):
+    """Once all rows of a group were sorted by one task."""
+    rows = spark.range(100_001).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    plans, add = [], running
+    monkeypatch.setattr(serving, "running", lambda df, *more: plans.append(plan(df)) or add(df, *more))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        got = {r.g: r.m for r in serving.medians(rows, ["g"], "v", "m").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {0: 50_000.0, 1: 50_000.0}
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
