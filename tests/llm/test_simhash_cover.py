@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import simhash_cover as op
+from pulsegrid.llm.shared import BATCH_ROWS, hashed, park
 
 
 def plain_fingerprint(text):
@@ -238,3 +241,23 @@ def test_all_alike_texts_of_a_table_are_linked(spark):
     ids = list(first.values())
     assert len(alike) >= 40 and all(root[ids[a]] == root[ids[b]] for a, b in alike)
     assert len(set(root.values())) == 9245
+
+
+def test_tasks_give_python_few_texts_at_once(spark):
+    """Batches of 10,000 texts took too much of an executor's memory; what only drops rows by a table of bits gives none at all."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+
+    def count(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    df = spark.range(0, 5000, 1, 1)
+    rows = park(df.mapInArrow(count, "n long"), "rows")[0].agg(F.max("n"), F.sum("n")).first()
+    assert rows[0] <= BATCH_ROWS and rows[1] == 5000 and spark.conf.get(name) == was
+    docs = df.withColumn("text", F.lit("text"))
+    for inside, at_least in ((True, 7), (False, 4900)):
+        some = hashed(docs, "id", spark.range(7), inside)
+        assert some.columns == docs.columns and at_least <= some.count() <= 5000 - (7 if not inside else 4900)
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
